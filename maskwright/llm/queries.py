@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, substring_dedup
+from . import near_dedup, packing, quality, secrets, substring_dedup, token_count, warc
+from .scratch import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,4 +24,43 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup)}
+def op3_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens; a digest of each piece's ids."""
+    out = packing.pack_documents(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op5_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule votes weighed by expectation-maximisation over all documents."""
+    out = quality.judge(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in the documents: each distinct content is scanned once and its findings joined back."""
+    out = secrets.scan_versions(_table(spark, sf_dir, "documents"), Scratch(spark).path("ledger"))
+    base = F.filter("_spans", lambda s: s["rank"] < len(secrets.BASE_RULES))
+
+    def count(kind: str):
+        return F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    n = [count(r.kind) for r in secrets.BASE_RULES]
+    return out.select("doc_id", *n, F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(F.col("_spans")).alias("spans"))
+
+
+def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages written as WARC archives and read back, one row per capture."""
+    path = Scratch(spark).path("warc")
+    warc.write_archive(_table(spark, sf_dir, "pages"), path)
+    c = F.col("capture")
+    kind = c["kind"]
+    out = warc.read_captures(spark, path, with_payload=False)
+    return out.select(warc.page_id_of(c["record_id"]).alias("page_id"), c["payload_bytes"].alias("payload_bytes"), c["payload_digest"].alias("payload_digest"), kind.alias("record_type"), warc.page_id_of(c["refers_to"]).alias("refers_to"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return token_count.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_cost_packing, op5_quality_votes, op6_secret_ledger, op9_warc_transactions, op10_token_counts)}

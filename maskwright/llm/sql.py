@@ -24,4 +24,43 @@ c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
 """
 
-ORACLES = {"op2_minhash_dedup": OP2, "op1_substring_dedup": OP1}
+
+
+def _op6() -> str:
+    """The spans of each rule from the text between its matches; DuckDB's patterns are the rules' own, without what only bounds backtracking."""
+    from .secrets import BASE_RULES, RULES
+
+    parts = []
+    for rank, r in enumerate(RULES):
+        pattern = r.pattern.replace("(?<![0-9a-f])", "").replace("}+", "}").replace(r"\b", "").replace("'", "''")
+        parts.append(
+            f"""SELECT doc_id, {rank} AS rank, '{r.kind}' AS kind, regexp_extract_all(x, '{pattern}', 0) AS hits, regexp_extract_all(x, '{pattern}', {r.group}) AS parts,
+            string_split_regex(x, '{pattern}') AS gaps, {r.least} AS least FROM t"""
+        )
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+g AS ({" UNION ALL ".join(parts)}),
+i AS (SELECT doc_id, rank, kind, unnest(range(1, len(hits) + 1)) AS i, hits, parts, gaps, least FROM g WHERE len(hits) > 0),
+s AS (SELECT doc_id, rank, kind, CAST(list_sum(list_transform(gaps[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda v: length(v))), 0) AS BIGINT) AS s, length(hits[i]) AS n, length(parts[i]) >= least AS ok FROM i),
+k AS (SELECT doc_id, rank, kind, s, kind || ':' || s || ':' || (s + n) AS span FROM s WHERE ok),
+a AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+  coalesce(string_agg(span, ',' ORDER BY s, rank) FILTER (rank < {len(BASE_RULES)}), '') AS base, string_agg(span, ',' ORDER BY s, rank) AS spans FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN a USING (doc_id)
+"""
+
+
+def _op9() -> str:
+    letters = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST({} AS INTEGER), 1)"
+    chars = [letters.format(f"(v[{k + 1}] >> {s}) & 31") for k in range(8) for s in (15, 10, 5, 0)]
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS n, sha1(html) AS x FROM p),
+v AS (SELECT page_id, n, list_transform(range(8), lambda k: CAST('0x' || substr(x, 1 + 5 * k, 5) AS BIGINT)) AS v FROM h),
+d AS (SELECT page_id, n, {" || ".join(chars)} AS digest FROM v),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS keeper FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < keeper THEN keeper END AS refers_to FROM m
+"""
+
+
+ORACLES = {"op1_substring_dedup": OP1, "op2_minhash_dedup": OP2, "op6_secret_ledger": _op6(), "op9_warc_transactions": _op9()}

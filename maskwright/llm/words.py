@@ -70,6 +70,29 @@ def as_array(column) -> pa.Array:
     return column
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each data[start:end]; starts and ends must not descend."""
+    out = np.empty(len(starts), np.uint64)
+    at, n = 0, len(starts)
+    while at < n:
+        lo = int(starts[at])
+        to = int(np.searchsorted(ends, lo + SEGMENT, side="right"))
+        if to <= at:  # one span longer than a segment
+            long = data[lo : ends[at]].tobytes()
+            out[at] = int.from_bytes(hashlib.blake2b(long, digest_size=8).digest(), "little")
+            at += 1
+            continue
+        hi = int(ends[to - 1])
+        up, down = _powers(_BASE_BYTES, hi - lo + 1)
+        sums = np.empty(hi - lo + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(_BYTE[data[lo:hi]] * up[: hi - lo], out=sums[1:])
+        s, e = starts[at:to] - lo, ends[at:to] - lo
+        out[at:to] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        at = to
+    return out
+
+
 class Words:
     """Words of the rows of a text column: data[start:end] each, in order; row i has words first[i]:first[i+1]."""
 
@@ -111,25 +134,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        out = np.empty(len(self.starts), np.uint64)
-        at, n = 0, len(self.starts)
-        while at < n:
-            lo = int(self.starts[at])
-            to = int(np.searchsorted(self.ends, lo + SEGMENT, side="right"))
-            if to <= at:  # one word longer than a segment
-                long = self.data[lo : self.ends[at]].tobytes()
-                out[at] = int.from_bytes(hashlib.blake2b(long, digest_size=8).digest(), "little")
-                at += 1
-                continue
-            hi = int(self.ends[to - 1])
-            up, down = _powers(_BASE_BYTES, hi - lo + 1)
-            sums = np.empty(hi - lo + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum(_BYTE[self.data[lo:hi]] * up[: hi - lo], out=sums[1:])
-            s, e = self.starts[at:to] - lo, self.ends[at:to] - lo
-            out[at:to] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
-            at = to
-        return out
+        return span_hashes(self.data, self.starts, self.ends)
 
     def windows(self, hashes: np.ndarray, k: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of every window of k words within a row, in order; short: a row of fewer words, but some, is one window."""
