@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, packing, quality, secrets, substring_dedup, token_count, warc
+from . import near_dedup, neighbours, packing, quality, sampling, secrets, substring_dedup, token_count, toxicity, warc
 from .scratch import Scratch
 
 
@@ -30,6 +30,14 @@ def op3_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of all documents, decoded again; digests of the pieces and of both texts."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    out = sampling.decode_pieces(sampling.encode_sampled(docs, keep=("text_sha256",)))
+    ids = F.coalesce("pieces", F.array().cast("array<int>"))
+    return out.select("doc_id", F.size(ids).cast("long").alias("n_pieces"), F.xxhash64(ids).alias("pieces_hash"), "text_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule votes weighed by expectation-maximisation over all documents."""
     out = quality.judge(_table(spark, sf_dir, "documents"))
@@ -48,6 +56,18 @@ def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *n, F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(F.col("_spans")).alias("spans"))
 
 
+def op7_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors nearest by inner product to each vector whose id is divisible by 20."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
+def op8_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages written as WARC archives and read back, one row per capture."""
     path = Scratch(spark).path("warc")
@@ -63,4 +83,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_cost_packing, op5_quality_votes, op6_secret_ledger, op9_warc_transactions, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_cost_packing, op4_sampled_pieces, op5_quality_votes, op6_secret_ledger, op7_prefix_forest, op8_toxicity_trees, op9_warc_transactions, op10_token_counts)}

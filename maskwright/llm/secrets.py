@@ -46,7 +46,10 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("rank", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("end", T.IntegerType())]))
-_EMPTY = F.array().cast(_SPAN)
+
+
+def _none() -> Column:
+    return F.array().cast(_SPAN)
 
 
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
@@ -55,7 +58,7 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     long = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda g: F.length(g) >= rule.least) if rule.group else F.transform(hits, lambda h: F.length(h) >= rule.least)
     gaps = F.split(text, rule.pattern, -1)
     # (position, spans): one step a match
-    step = F.struct(F.lit(0).alias("at"), _EMPTY.alias("spans"))
+    step = F.struct(F.lit(0).alias("at"), _none().alias("spans"))
     parts = F.arrays_zip(F.transform(gaps, lambda g: F.length(g)).alias("gap"), F.transform(hits, lambda h: F.length(h)).alias("hit"), long.alias("ok"))
 
     def add(s: Column, p: Column) -> Column:
@@ -65,7 +68,7 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
         return F.struct(end.alias("at"), F.when(F.coalesce(p["ok"], F.lit(False)), F.concat(s["spans"], one)).otherwise(s["spans"]).alias("spans"))
 
     found = F.aggregate(parts, step, add, lambda s: s["spans"])
-    return F.when(text.rlike(rule.needs or rule.pattern), found).otherwise(_EMPTY)
+    return F.when(text.rlike(rule.needs or rule.pattern), found).otherwise(_none())
 
 
 def rule_version(rules: tuple[Rule, ...] = RULES) -> DataFrame | str:
@@ -106,7 +109,7 @@ def scan_versions(versions: DataFrame, ledger: str, content_col: str = "text", r
     findings.select("blob", "rules").join(known, F.col("blob") == F.col("_known"), "left_anti").write.mode("append").parquet(f"{ledger}/blobs")
     once = findings.where(F.size("spans") > 0).groupBy(F.col("blob").alias("_found")).agg(F.first("spans").alias("_spans"))
     out = versions.withColumn("_blob", address)
-    return out.join(once, F.col("_blob") == F.col("_found"), "left").drop("_found").withColumn("_spans", F.coalesce("_spans", _EMPTY))
+    return out.join(once, F.col("_blob") == F.col("_found"), "left").drop("_found").withColumn("_spans", F.coalesce("_spans", _none()))
 
 
 def span_text(spans: Column) -> Column:

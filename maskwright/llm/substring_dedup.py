@@ -16,8 +16,11 @@ Two windows count as equal when their 64-bit hashes are equal.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +68,8 @@ def _send(window: int, n_buckets: int):
     return f
 
 
-def _count(table: pa.Table) -> pa.Table:
+def count_elsewhere(table: pa.Table) -> pa.Table:
+    """For each slice of a bucket, one bit a hash: whether another slice holds it too."""
     blobs = [unpack_sorted(b.as_py()) for b in table["hashes"]]
     if len(blobs) == 1:
         more = [np.zeros(len(blobs[0]), bool)]
@@ -83,7 +87,7 @@ def _count(table: pa.Table) -> pa.Table:
     return pa.table([table["block"], table["bucket"], pa.array([np.packbits(m).tobytes() for m in more], pa.binary()), pa.array([len(m) for m in more], pa.int32())], names=["block", "bucket", "bits", "n"])
 
 
-def _apply(window: int):
+def _apply(window: int, untouched: bool):
     def f(left: pa.Table, right: pa.Table) -> pa.Table:
         w, starts, h = _windows(as_array(left["_text"]), window)
         values, at, count = np.unique(h, return_inverse=True, return_counts=True)
@@ -112,27 +116,34 @@ def _apply(window: int):
         base = w.first[row[s]] if len(s) else s
         spans = pa.StructArray.from_arrays([pa.array(s - base, pa.int32()), pa.array(e - base, pa.int32())], ["start", "end"])
         lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(s, w.first), pa.int32()), spans)
-        return pa.table([left["_id"], pa.array(w.counts, pa.int64()), pa.array(removed[w.first[1:]] - removed[w.first[:-1]], pa.int64()), string_array(data, off), lists], names=["_id", "n_words", "n_removed", "kept_text", "removed"])
+        lost = pa.array(removed[w.first[1:]] - removed[w.first[:-1]], pa.int64())
+        text = string_array(data, off)
+        if untouched:
+            text = pc.if_else(pc.equal(lost, 0), as_array(left["_text"]), text)
+        return pa.table([left["_id"], left["_keep"], pa.array(w.counts, pa.int64()), lost, text, lists], names=["_id", "_keep", "n_words", "n_removed", "kept_text", "removed"])
 
     return f
 
 
-def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: Sequence[str] = (), untouched: bool = False) -> DataFrame:
     """Per row of docs: id, n_words, n_removed (long), kept_text (kept words joined by one space) and
     removed (maximal intervals [start, end) of word numbers).
 
     A window is `window` consecutive words of one row; it is repeated if the same words also start
     anywhere else, in the same row (overlaps included) or another.  Windows are judged on the input.
     Null and empty texts have no words and give an empty kept_text; equal rows, null ids included,
-    each stay a row; an empty table gives an empty result; other columns of docs are not looked at.
+    each stay a row; an empty table gives an empty result.  The columns of keep are carried along,
+    others of docs are not looked at.  untouched: rows that lose nothing keep their text as it is (null
+    too) instead of with its words joined.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // block_bytes))
     key = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = rows.select("_id", "_text", F.pmod(F.xxhash64("_id", "_text"), F.lit(n)).cast("int").alias("_block"))
+    kept = F.struct(*keep) if keep else F.lit(0)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), kept.alias("_keep"))
+    rows = rows.select("_id", "_text", "_keep", F.pmod(F.xxhash64("_id", "_text"), F.lit(n)).cast("int").alias("_block"))
     sent = rows.groupBy("_block").applyInArrow(_send(window, n), "block int, bucket int, hashes binary")
-    answers = sent.groupBy("bucket").applyInArrow(_count, "block int, bucket int, bits binary, n int")
-    out = rows.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(_apply(window), f"_id {key}, n_words long, n_removed long, kept_text string, removed array<struct<start:int,end:int>>")
-    return out.withColumnRenamed("_id", id_col)
+    answers = sent.groupBy("bucket").applyInArrow(count_elsewhere, "block int, bucket int, bits binary, n int")
+    out = rows.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(_apply(window, untouched), f"_id {key}, _keep {rows.schema['_keep'].dataType.simpleString()}, n_words long, n_removed long, kept_text string, removed array<struct<start:int,end:int>>")
+    return out.select(F.col("_id").alias(id_col), *(F.col("_keep")[c].alias(c) for c in keep), "n_words", "n_removed", "kept_text", "removed")
