@@ -6,11 +6,17 @@ Bands of 4 values (minimum and maximum of two permutations): two sets of similar
 of 32 bands with probability (1 - 0.8^4)^32 = 5e-8.
 
 Documents with equal sets first become one class (an aggregate, whatever the size of the group); only
-class representatives are banded.  Within a bucket, members are compared with pivots, never all with
-all: every round joins each unresolved bucket's members with a few of its members, confirms those
-pairs on full sets, contracts the components found so far, and takes the pivots, which have now been
-compared with every member of another component, out of the bucket.  A bucket is resolved when its
-members are in one component; rounds go on until all are, so that no link that a bucket holds is lost.
+class representatives are banded.  For those that share a bucket, private shingles (in no other such
+document) are told from the rest, and the rest is counted in GROUPS groups by hash: two documents have
+at most the sum of the smaller counts in common, which rules out most pairs of differently edited
+copies, and its private share alone rules out many a document.
+
+Within a bucket, members are compared with pivots, never all with all.  At first each document is
+compared with that of its buckets' members that has the smallest private share; that contracts most
+groups.  Every later round takes, in each bucket that still holds two components, members outside its
+largest component as pivots (at most PIVOTS), joins them with the members of other components that
+the bound allows (a pair in the first bucket that it shares, only), confirms on full sets, contracts,
+and takes the pivots, which have now been compared with everyone, out of the bucket.  Rounds go on until each bucket holds one component: no link in a bucket is lost.
 """
 
 from __future__ import annotations
@@ -22,15 +28,20 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .scratch import Scratch
+from .substring_dedup import bucket_bounds, count_elsewhere, pack_sorted
 from .words import Words, as_array, mix, row_slices
 
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
-#: Shingle hashes are kept with so many bytes for the comparison of two sets; two sets of 500 shingles agree in one by chance with probability 2e-7.
-KEPT = 5
+#: Shingle hashes are kept with so many bytes for the comparison of two sets; two sets of 500 shingles agree in one by chance with probability 1e-9.
+KEPT = 6
 #: Rows up to which ids are broadcast (8 bytes each); beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Pivots of a bucket in a round after the first.
-PIVOTS = 8
+#: Pivots of a bucket in a round.
+PIVOTS = 1024
+#: Groups in which a document's shared shingles are counted.
+GROUPS = 32
+#: Bytes of kept shingles in a block when private ones are counted.
+BLOCK_BYTES = 8 << 20
 
 _rng = np.random.default_rng(41)
 _A = _rng.integers(1, 2**63, size=PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,6 +99,34 @@ def _features(k: int):
     return f
 
 
+def _block_values(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.array([len(x.as_py()) // KEPT for x in table["shingles"]], np.int64)
+    values = np.concatenate([_kept(x.as_py()) for x in table["shingles"]]) << np.uint64(64 - 8 * KEPT)
+    return values, np.repeat(np.arange(len(sizes)), sizes), sizes
+
+
+def _send_shingles(n_buckets: int):
+    def f(table: pa.Table) -> pa.Table:
+        values = np.unique(_block_values(table)[0])
+        parts = [(i, p) for i, p in enumerate(np.split(values, np.searchsorted(values, bucket_bounds(n_buckets)))) if len(p)]
+        block = table["block"][0].as_py()
+        return pa.table([pa.array([block] * len(parts), pa.int32()), pa.array([i for i, _ in parts], pa.int32()), pa.array([pack_sorted(p) for _, p in parts], pa.binary())], names=["block", "bucket", "hashes"])
+
+    return f
+
+
+def _private(left: pa.Table, right: pa.Table) -> pa.Table:
+    values, row, sizes = _block_values(left)
+    _, at, count = np.unique(values, return_inverse=True, return_counts=True)
+    answers = right.sort_by("bucket")
+    shared = np.concatenate([np.unpackbits(np.frombuffer(b.as_py(), np.uint8), count=n.as_py()).astype(bool) for b, n in zip(answers["bits"], answers["n"], strict=True)])
+    alone = ~(shared | (count > 1))[at]
+    group = (values >> np.uint64(64 - 8 * KEPT)) % np.uint64(GROUPS)
+    counts = np.bincount((row * GROUPS + group.astype(np.int64))[~alone], minlength=len(sizes) * GROUPS)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * GROUPS, pa.int32()), pa.array(counts, pa.int32()))
+    return pa.table([left["doc"], pa.array(np.bincount(row[alone], minlength=len(sizes)), pa.int64()), lists], names=["doc", "private", "shared"])
+
+
 def _kept(blob: bytes) -> np.ndarray:
     wide = np.zeros((len(blob) // KEPT, 8), np.uint8)
     wide[:, :KEPT] = np.frombuffer(blob, np.uint8).reshape(-1, KEPT)
@@ -138,6 +177,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_wanted = wanted.count()
     wanted = F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted
     sets = scratch.save(made.select(F.col("rid").alias("doc"), "n", "shingles").join(wanted, "doc", "left_semi"), "sets")
+    total = sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_BYTES))
+    dealt = sets.select("doc", "shingles", F.pmod(F.xxhash64("doc"), F.lit(blocks)).cast("int").alias("block"))
+    answers = dealt.groupBy("block").applyInArrow(_send_shingles(blocks), "block int, bucket int, hashes binary").groupBy("bucket").applyInArrow(count_elsewhere, "block int, bucket int, bits binary, n int")
+    private = scratch.save(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_private, "doc long, private long, shared array<int>"), "private")
+    able = inside.select("key", "doc", "n").join(private.select("doc", "private"), "doc").where(f"100 * (n - private) >= {percent} * n")
+    held = able.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct((F.col("private") / F.col("n")).alias("share"), "doc")).alias("first")).where("members > 1")
+    inside = scratch.save(able.select("key", "doc", "n").join(held.select("key", "first"), "key"), "able")
+    own = inside.groupBy("doc", "n").agg(F.sort_array(F.collect_list("key")).alias("keys"), F.min("first").alias("first"))  # BANDS keys at most
+    facts = scratch.save(own.join(private, "doc"), "facts")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         a = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
@@ -145,31 +194,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = pairs.join(a, "a").join(b, "b").where(f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na")
         return scratch.save(both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long"), name)
 
-    # Round 0: each document with the smallest of its buckets' first members; this contracts most groups.
-    nearest = inside.groupBy("doc").agg(F.min("first").alias("b")).where("b < doc").select(F.col("doc").alias("a"), "b")
-    links = confirmed(nearest, "links")
-    labels = scratch.save(components(links, scratch), "labels")
-    left = inside.select("key", "doc", "n")
-    while n_wanted:
-        told = left.join(labels, left.doc == labels.node, "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("comp"))
-        open_keys = told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        left = scratch.save(told.join(open_keys, "key"), "open")
+    nearest = facts.select(F.col("doc").alias("a"), F.col("first.doc").alias("b")).where("a <> b")
+    labels = scratch.save(components(confirmed(nearest, "links"), scratch), "labels")
+    left, turn = inside.select("key", "doc"), 0
+    common = " + ".join(f"least(shared[{i}], p.shared[{i}])" for i in range(GROUPS))
+    while True:
+        turn += 1
+        told = left.join(labels, left.doc == labels.node, "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
+        # sizes of a bucket's components; one alone: the bucket is done
+        sizes = told.groupBy("key", "comp").agg(F.count("*").alias("size"))
+        most = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.sum("size").alias("all"), F.count("*").alias("comps")).where("comps > 1")
+        most = most.select("key", F.col("top.comp").alias("top"), F.expr(f"ceil((all - top.size) / {PIVOTS})").cast("long").alias("turns"))
+        left = scratch.save(told.join(most, "key"), "open")
         if left.isEmpty():
             break
-        sizes = left.groupBy("key", "comp").agg(F.count("*").alias("size"))
-        ranked = left.join(sizes, ["key", "comp"])
-        pivots = ranked.groupBy("key", F.pmod(F.xxhash64("doc"), F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct("size", "doc", "comp", "n")).alias("p"))
-        pivots = scratch.save(pivots.select("key", F.col("p.doc").alias("pivot"), F.col("p.comp").alias("pcomp"), F.col("p.n").alias("pn")), "pivots")
-        pairs = left.join(pivots, "key").where(f"comp <> pcomp and 100 * n >= {percent} * pn and 100 * pn >= {percent} * n")
-        pairs = pairs.select(F.greatest("doc", "pivot").alias("a"), F.least("doc", "pivot").alias("b")).distinct()
-        links = confirmed(pairs, "more")
+        is_pivot = (F.col("comp") != F.col("top")) & (F.pmod(F.xxhash64("doc", F.lit(turn)), F.col("turns")) == 0)
+        wide = left.join(facts.select("doc", "n", "shared", "keys"), "doc")
+        pivots = wide.where(is_pivot).select("key", F.struct("doc", "comp", "n", "shared", "keys").alias("p"))
+        bound = f"comp <> p.comp and 100 * ({common}) >= {percent} * (n + p.n - ({common})) and key = array_intersect(keys, p.keys)[0]"
+        pairs = wide.join(pivots, "key").where(bound).select(F.greatest("doc", "p.doc").alias("a"), F.least("doc", "p.doc").alias("b")).distinct()
+        links = confirmed(scratch.save(pairs, "pairs"), "more")
         # what the new links join: components of components
         named = links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        joined = components(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), scratch).select(F.col("node").alias("old"), F.col("component").alias("new"))
-        moved = labels.join(joined, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
-        fresh = joined.join(labels, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
-        labels = scratch.save(moved.union(fresh), "labels")
-        left = left.select("key", "doc", "n").join(pivots.select("key", F.col("pivot").alias("doc")), ["key", "doc"], "left_anti")
+        joined = scratch.save(components(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), scratch), "joined")
+        moved = labels.join(joined.select(F.col("node").alias("old"), F.col("component").alias("new")), F.col("component") == F.col("old"), "left")
+        fresh = joined.join(labels.select(F.col("node").alias("seen")), F.col("node") == F.col("seen"), "left_anti").select("node", "component")
+        labels = scratch.save(moved.select("node", F.coalesce("new", "component").alias("component")).union(fresh), "labels")
+        left = left.where(~is_pivot).select("key", "doc")
 
     named = classes.join(labels, F.col("doc") == F.col("node"), "left").select("d1", "d2", "n", "id", F.coalesce("component", "doc").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("id").alias("component_id"))
