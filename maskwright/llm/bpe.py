@@ -12,10 +12,13 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 
+from .words import claim
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
 
@@ -27,10 +30,16 @@ def vocabulary(name: str) -> str:
 
 
 class ChunkEncoder:
-    """Ids of UTF-8 texts by remembered chunks; one for each worker process and file."""
+    """Ids of UTF-8 texts by remembered chunks; one for each worker process and file.
+
+    A chunk is looked up as it stands.  One not met before is first reduced: to lower case, where the
+    file lower-cases anyway, and without full stops, commas and the like at its end, where a letter or
+    digit stands before them and the pre-tokenizer therefore cuts; only reduced forms not known either
+    go to the library.  (A chunk with `<` in it may hold a special string and is never reduced.)
+    """
 
-    #: Chunks remembered; then all are forgotten. About 150 bytes each.
-    MOST = 400_000
+    #: Chunks remembered; then those met in one batch only are forgotten. About 200 bytes each.
+    MOST = 800_000
     #: Longer chunks are not remembered.
     LONGEST = 200
 
@@ -38,6 +47,7 @@ class ChunkEncoder:
 
     @classmethod
     def of(cls, name: str) -> ChunkEncoder:
+        claim(f"chunks of {name}", cls._made.clear)
         if name not in cls._made:
             cls._made[name] = cls(name)
         return cls._made[name]
@@ -48,11 +58,73 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.known: dict[bytes, bytes] = {}
+        self.again: set[bytes] = set()
+        self.closes = self._closing()
+        self.ends = {c: self._ids([c.decode()])[0] for c in _ENDS} if self._reducible() else {}
+
+    def _closing(self) -> np.ndarray | None:
+        """Which tokens end a pre-token, for a model that marks word ends; null for others."""
+        import json
+
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        if not suffix:
+            return None
+        out = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        out[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        return out
+
+    def _reducible(self) -> bool:
+        """Whether this file lower-cases, and cuts letters and digits from signs."""
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        return ids("ABx") == ids("abx") and all(ids(f"a{e.decode()}") == ids("a") + ids(e.decode()) and ids(f"1{e.decode()}") == ids("1") + ids(e.decode()) for e in _ENDS)
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The same for words of letters only, each of which is one pre-token and so ends with the one token that ends it."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            ids = np.array(self.tokenizer.encode("\n".join(part), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(part):
+                out += self._ids(part)
+                continue
+            raw, width = ids.astype(np.uint16 if self.kind == "H" else np.uint32).tobytes(), 2 if self.kind == "H" else 4
+            cuts = [0, *(ends * width).tolist()]
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
+    def _add(self, chunks: list[bytes]) -> None:
+        """Chunks that are not known, as the library gives them."""
+        texts = [c.decode() for c in chunks]
+        if self.closes is None:
+            self.known.update(zip(chunks, self._ids(texts), strict=True))
+            return
+        words = [i for i, t in enumerate(texts) if t.isalpha()]
+        self.known.update(zip([chunks[i] for i in words], self._words([texts[i] for i in words]), strict=True))
+        rest = [i for i, t in enumerate(texts) if not t.isalpha()]
+        self.known.update(zip([chunks[i] for i in rest], self._ids([texts[i] for i in rest]), strict=True))
 
     def _learn(self, chunks: set[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        self.known.update((c, np.asarray(e.ids, "<u4").tobytes()) for c, e in zip(chunks, found, strict=True))
+        known = self.known
+        if not self.ends:
+            self._add(list(chunks))
+            return
+        plain = [c for c in chunks if c[-1] not in _LAST and c.islower()]
+        other = chunks.difference(plain)
+        reduced = []
+        for c in other:
+            low = c if b"<" in c else c.lower()
+            base = low if b"<" in c else low.rstrip(b".,;:!?")
+            end = low[len(base) :]
+            reduced.append((c, base, end) if end in self.ends and base[-1:].isalnum() else (c, low, b""))
+        self._add(list((set(plain) | {base for _, base, _ in reduced}) - known.keys()))
+        for c, base, end in reduced:
+            known[c] = known[base] + self.ends[end] if end else known[base]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
@@ -67,22 +139,31 @@ class ChunkEncoder:
             split = [p.split() for _, p in pieces[at:to]]
             needed = set().union(*split)
             unknown = needed - self.known.keys()
+            self.again |= needed - unknown
             if len(self.known) + len(unknown) > self.MOST:
-                self.known.clear()
-                unknown = needed
+                self.known = {c: self.known[c] for c in self.again if c in self.known} if len(self.again) < self.MOST // 2 else {}
+                self.again = set()
+                unknown = needed - self.known.keys()
             self._learn(unknown)
             get = self.known.__getitem__
             for (i, _), s in zip(pieces[at:to], split, strict=True):
                 out[i].append(b"".join(map(get, s)))
-            for c in unknown:
-                if len(c) > self.LONGEST:
-                    del self.known[c]
+            for c in [c for c in unknown if len(c) > self.LONGEST]:
+                del self.known[c]
             at = to
-        return [p[0] if len(p) == 1 else b"".join(p) for p in out]
+        joined = (p[0] if len(p) == 1 else b"".join(p) for p in out)
+        return [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in joined] if self.kind == "H" else list(joined)
+
+    def count(self, texts: list[bytes]) -> list[int]:
+        """The number of ids of each text."""
+        return [len(x) // 4 for x in self.encode(texts)]
 
 
+# Signs after a word that are cut off before it is looked up.
+_LAST = frozenset(b".,;:!?")
+_ENDS = (b".", b",", b";", b":", b"!", b"?", b"...", b"!!", b"??")
 #: Bytes split into chunks at once.
-SEGMENT = 1 << 20
+SEGMENT = 8 << 20
 _SPACE = re.compile(rb"[ \t\n\v\f\r]")
 
 

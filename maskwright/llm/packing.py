@@ -68,7 +68,7 @@ def _pack_shard(vocabulary: str, end_id: int, length: int, names: list[str]):
         text = as_array(table["_text"]).cast(pa.large_binary())
         ids: list[bytes] = []
         end = np.array([end_id], "<u4").tobytes()
-        for lo, hi in row_slices(text):
+        for lo, hi in row_slices(text, 8 << 20):
             ids += [x + end for x in encoder.encode([t or b"" for t in text[lo:hi].to_pylist()])]
         keys = table["_id"].to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (keys[i] is not None, keys[i] if keys[i] is not None else 0, ids[i]))

@@ -23,10 +23,10 @@ def _count(name: str, huge: int, chunk: int, overlap: int):
         splicer = Resynchroniser(encoder.tokenizer, chunk, overlap)
         for batch in batches:
             text = as_array(batch["_text"]).cast(pa.large_binary())
-            for lo, hi in row_slices(text):
+            for lo, hi in row_slices(text, 8 << 20):
                 raw = [x or b"" for x in text[lo:hi].to_pylist()]
-                small = encoder.encode([b"" if len(x) > huge else x for x in raw])
-                n = [len(ids) // 4 if len(x) <= huge else sum(map(len, splicer.encode(x.decode()))) for ids, x in zip(small, raw, strict=True)]
+                small = encoder.count([b"" if len(x) > huge else x for x in raw])
+                n = [k if len(x) <= huge else sum(map(len, splicer.encode(x.decode()))) for k, x in zip(small, raw, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch["_id"][lo:hi], pa.array(map(len, raw), pa.int64()), pa.array(n, pa.int64())], ["_id", "n_bytes", "n_tokens"])
 
     return f

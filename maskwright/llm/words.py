@@ -8,8 +8,10 @@ finished with a 64-bit mixer.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,33 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
+_owner = ""
+_forget: list[tuple[str, Callable[[], None]]] = []
+
+
+def claim(owner: str, forget: Callable[[], None] | None = None) -> None:
+    """Called by a task when it starts: a worker process serves many tasks, and what another operator has remembered in it goes.
+
+    forget: drops what this owner remembers, when another one claims the process.
+    """
+    global _owner
+    if owner == _owner:
+        return
+    for other, f in _forget:
+        if other != owner:
+            f()
+    _forget[:] = [(o, f) for o, f in _forget if o == owner]
+    _tables.clear()
+    _owner = owner
+    if forget:
+        _forget.append((owner, forget))
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)  # give freed memory back, where the C library can
+    except (OSError, AttributeError):
+        pass
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finisher on uint64 (splitmix64's)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
