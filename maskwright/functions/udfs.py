@@ -18,7 +18,12 @@ def _each(f, kind: str, default=None):
         return values.map(lambda v: default if v is None else known[v])
 
     apply.__annotations__ = {"values": pd.Series, "return": pd.Series}
-    return F.pandas_udf(apply, kind)
+    return lazy(apply, kind)
+
+
+def lazy(f, kind: str):
+    """f as a column function whose type is parsed when it is used: a module must load without a session."""
+    return lambda *columns: F.pandas_udf(f, kind)(*columns)
 
 
 normalize = _each(_fold.normalize, "string", "")
@@ -44,23 +49,25 @@ cyrillic_form = _each(_variants.cyrillic_form, "string")
 acronym_cyrillic = _each(_variants.acronym_cyrillic, "string")
 
 
-@F.pandas_udf("array<struct<surface:string,role:string>>")
-def person_fragments(names: pd.Series) -> pd.Series:
+def _person_fragments(names: pd.Series) -> pd.Series:
     return names.map(lambda n: [{"surface": s, "role": r} for s, r in _variants.person_fragments(n)] if n is not None else None)
 
 
-@F.pandas_udf("struct<ok:boolean,reason:string>")
-def admit_person(values: pd.Series) -> pd.DataFrame:
+def _admit_person(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_names.admit_person(v) for v in values], columns=["ok", "reason"])
 
 
-@F.pandas_udf("struct<text:string,starts:array<int>,ends:array<int>,raw_len:int>")
-def fold(values: pd.Series) -> pd.DataFrame:
-    """The folded text with its places, as `key` folds."""
+def _fold_haystack(values: pd.Series) -> pd.DataFrame:
     rows = [_fold.fold_haystack(v)[1] for v in values]
     return pd.DataFrame({"text": [r.text for r in rows], "starts": [list(r.starts) for r in rows], "ends": [list(r.ends) for r in rows], "raw_len": [r.raw_len for r in rows]})
 
 
-@F.pandas_udf("array<struct<term:string,at:int>>")
-def defined_terms(values: pd.Series) -> pd.Series:
+def _defined_terms(values: pd.Series) -> pd.Series:
     return values.map(lambda v: [{"term": t, "at": a} for t, a in _names.defined_terms(v)])
+
+
+person_fragments = lazy(_person_fragments, "array<struct<surface:string,role:string>>")
+admit_person = lazy(_admit_person, "struct<ok:boolean,reason:string>")
+#: The folded text with its places, as `key` folds.
+fold = lazy(_fold_haystack, "struct<text:string,starts:array<int>,ends:array<int>,raw_len:int>")
+defined_terms = lazy(_defined_terms, "array<struct<term:string,at:int>>")

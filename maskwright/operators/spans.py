@@ -43,7 +43,7 @@ def longest_prefix(paths: DataFrame, prefixes: DataFrame, path_col: str = "path"
     parts = F.split(p, f"\\Q{separator}\\E", -1)
     cuts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), separator))
     many = paths.select(path_col).distinct().select(path_col, F.explode(cuts).alias("_cut"))
-    told = many.join(prefixes.withColumn("_cut", F.rtrim(F.lit(separator), F.col(prefix_col)) if separator == "/" else F.col(prefix_col)), "_cut")
+    told = many.join(prefixes.withColumn("_cut", F.rtrim(F.col(prefix_col), F.lit(separator))), "_cut")
     w = Window.partitionBy(path_col).orderBy(F.desc(F.length("_cut")))
     best = told.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_cut")
     return paths.join(best, path_col, "left")

@@ -1,8 +1,415 @@
-"""Queries of the library's own operators."""
+"""Queries of the library's own operators over the driver's tables, each over its whole table.
+
+`documents.source` is the scope of a text, `conversations.conv_id` a request with its turns,
+`embeddings.label` the scope of a passage, `benchmark.text` a known surface.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import columns as C
+from .operators import cite, detect, disclosure, gateway, leak, reid, spans, usage
+from .plans import enrol, requests
+from .streaming import audit
+
+#: The salt of the queries; a deployment has a random one for each scope.
+SALT = b"\x11" * 32
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _patterns(spark: SparkSession, sf: str) -> DataFrame:
+    return detect.detect_patterns(_table(spark, sf, "documents"), patterns=(*detect.PATTERNS, *detect.MORE_PATTERNS))
+
+
+# -- detection ----------------------------------------------------------------------------------------
+
+
+@query
+def detect_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct detections by document, kind and rule."""
+    return _patterns(spark, sf).select("doc_id", "kind", "rule", F.lower("span").alias("span_key"))
+
+
+@query
+def detect_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Detections of each scope by kind."""
+    return _patterns(spark, sf).groupBy("scope_id", "kind").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query
+def mask_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """E-mail addresses and card numbers masked for good."""
+    out = detect.mask(_table(spark, sf, "documents"), tuple(p for p in detect.PATTERNS if p.kind in ("EMAIL", "CARD")))
+    return out.select("doc_id", "n_masked", F.sha2("masked", 256).alias("masked_sha256"))
+
+
+@query
+def detect_legal(spark: SparkSession, sf: str) -> DataFrame:
+    """The legal rules over the documents and the request turns."""
+    from .operators import legal
+
+    turns = _table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("role").alias("source"), "text")
+    docs = _table(spark, sf, "documents").select("doc_id", "source", "text")
+    return legal.detect_legal(docs.unionByName(turns)).groupBy("rule", "kind").agg(F.count("*").alias("n"))
+
+
+# -- text ---------------------------------------------------------------------------------------------
+
+
+@query
+def text_scripts(spark: SparkSession, sf: str) -> DataFrame:
+    """Script, language and content hash of each document."""
+    t = F.col("text")
+    return _table(spark, sf, "documents").select("doc_id", C.script_of(t).alias("script"), C.detect_language(t).alias("language"), C.content_hash(t).alias("content_sha256"))
+
+
+@query
+def echo_folding(spark: SparkSession, sf: str) -> DataFrame:
+    """customers' names as a model might echo them, with look-alike letters, folded back."""
+    odd = F.translate("c_name", "ACEOPT0123", "АСЕОРТ０１２３")
+    return _table(spark, sf, "customer").select("c_custkey", C.deconfuse_ascii(odd).alias("echoed"))
+
+
+@query
+def name_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of the names of parts, and whether the first two have one stem."""
+    p = C.name_parts(F.col("p_name"))
+    return _table(spark, sf, "part").select("p_partkey", F.size(p).alias("n_parts"), F.array_join(p, "|").alias("parts"), F.coalesce(C.stem_match(F.get(p, 0), F.get(p, 1)), F.lit(False)).alias("one_stem"))
+
+
+@query
+def party_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """The kind of each customer as a party by its role."""
+    roles = F.element_at(F.array(*map(F.lit, ("director", "vessel owner", "wife of the claimant", "bank", "", "trustee"))), (F.col("c_custkey") % 6 + 1).cast("int"))
+    kind = C.party_kind(roles, F.col("c_custkey") % 4 == 0)
+    return _table(spark, sf, "customer").select("c_custkey", kind["kind"].alias("kind"), kind["individual"].alias("individual"))
+
+
+@query
+def checksums(spark: SparkSession, sf: str) -> DataFrame:
+    """Account numbers made of order keys, with their check digits tested."""
+    k = F.lpad((F.col("o_orderkey") * 7919 % 100_000_000).cast("string"), 8, "0")
+    iban = F.concat(F.lit("DE"), F.lpad((F.col("o_orderkey") % 97).cast("string"), 2, "0"), F.lit("3704004405"), k)
+    card = F.concat(F.lit("41111111"), k)
+    imo = F.substring(k, 2, 7)
+    return _table(spark, sf, "orders").select("o_orderkey", C.iban_ok(iban).alias("iban_ok"), C.luhn_ok(card).alias("luhn_ok"), C.card_ok(card).alias("card_ok"), C.identifier_shaped(imo).alias("imo_ok"))
+
+
+# -- tokens and crossing ------------------------------------------------------------------------------
+
+
+def _detected(spark: SparkSession, sf: str) -> DataFrame:
+    return detect.detect_patterns(_table(spark, sf, "documents"), patterns=(*detect.PATTERNS, *detect.MORE_PATTERNS))
+
+
+@query
+def derive_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """The token of each distinct detection, by HMAC in expressions."""
+    found = _detected(spark, sf).select("kind", F.lower("span").alias("k")).distinct()
+    return found.select("kind", F.col("k").alias("span_key"), C.derive_token(F.lit(SALT), F.col("kind"), F.col("k")).alias("token"))
+
+
+def _vault(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tokens, aliases, salts) of every scope: suppliers as organisations, and what the patterns find."""
+    docs = _table(spark, sf, "documents")
+    scopes = docs.select(F.col("source").alias("scope_id")).where("source is not null").distinct()
+    salts = scopes.withColumn("salt", F.lit(SALT))
+    sup = _table(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.concat(F.lit("src"), (F.col("s_suppkey") % 20).cast("string")).alias("scope_id"), F.col("s_suppkey").alias("seq"))
+    seeds = sup.select("scope_id", F.lit("company").alias("type"), "name", *(F.lit(None).cast("string").alias(c) for c in ("identifier", "identifier_type", "jurisdiction_country", "role")), "seq")
+    found = _detected(spark, sf).withColumn("language", F.lit("en"))
+    tokens, aliases = enrol.enrol(salts=salts, entities=seeds, detections=found)
+    return tokens, aliases, salts
+
+
+@query
+def enrol_scopes(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens and aliases of every scope after seeding and absorbing."""
+    tokens, aliases, _ = _vault(spark, sf)
+    n = aliases.groupBy("scope_id", "token").agg(F.count("*").alias("n_aliases"))
+    return tokens.join(n, ["scope_id", "token"], "left").select("scope_id", "token", "kind", "normalized", "status", F.coalesce("n_aliases", F.lit(0)).alias("n_aliases"))
+
+
+@query
+def redact_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """M1-M3, GL1: every document as it may cross, with its counts and the digest of its text."""
+    tokens, aliases, salts = _vault(spark, sf)
+    out = enrol.redact(_table(spark, sf, "documents"), tokens, aliases, salts)
+    return out.select("doc_id", "scope_id", "redacted_count", F.array_join("entity_types", ",").alias("entity_types"), F.size("glossary").alias("n_glossary"), C.content_hash(F.col("text")).alias("content_sha256"))
+
+
+@query
+def restore_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """M5: redacted documents restored, and whether each is what it was but for spelling."""
+    tokens, aliases, salts = _vault(spark, sf)
+    docs = _table(spark, sf, "documents")
+    out = enrol.redact(docs, tokens, aliases, salts, glossary=False).select("doc_id", enrol.restored(F.col("text"), F.col("mapping")).alias("back"))
+    same = F.lower(F.coalesce(docs["text"], F.lit(""))) == F.lower("back")
+    return docs.join(out, "doc_id").select("doc_id", same.alias("same"))
+
+
+@query
+def residual_surfaces(spark: SparkSession, sf: str) -> DataFrame:
+    """M6: enrolled values that still stand in redacted documents: none may."""
+    tokens, aliases, salts = _vault(spark, sf)
+    red = enrol.redact(_table(spark, sf, "documents"), tokens, aliases, salts, glossary=False).select("doc_id", F.col("scope_id").alias("source"), "text")
+    return enrol.residual(red, tokens, aliases).select("doc_id", F.array_join("found", ",").alias("found"))
+
+
+@query
+def redact_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of requests redacted once for each distinct text; tokens of each request's one mapping."""
+    turns = _table(spark, sf, "conversations").withColumn("scope_id", F.lit("desk"))
+    salts = spark.createDataFrame([("desk", bytearray(SALT))], "scope_id string, salt binary")
+    found = detect.detect_patterns(turns.withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn")), scope_col="scope_id").withColumn("language", F.lit("en"))
+    tokens, aliases = enrol.enrol(salts=salts, detections=found)
+    _, mapping = requests.redact_requests(turns, tokens, aliases, salts)
+    return mapping.select("conv_id", "token", F.lower("value").alias("value"))
+
+
+def _sensitive(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a sensitivity from their labels."""
+    labels = _table(spark, sf, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    level = F.when(F.col("toxic") == 1, 3).when(F.col("quality") == 0, 2).when(F.col("quality") == 1, 1).otherwise(0)
+    docs = _table(spark, sf, "documents").select("doc_id", "source", "text", F.col("source").alias("actor_id"))
+    return docs.join(labels, "doc_id", "left").select("doc_id", "actor_id", "text", level.alias("sensitivity"), F.array(F.lit("EMAIL")).alias("entity_types"), F.lit(0).alias("redacted_count"))
+
+
+@query
+def gateway_crossings(spark: SparkSession, sf: str) -> DataFrame:
+    """The audit of what may cross."""
+    _, _, log = gateway.cross(_sensitive(spark, sf), "model", at=F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    return log.select("actor_id", "action", "plane", "sensitivity", "content_hash", F.col("detail.target").alias("target"))
+
+
+@query
+def gateway_refusals(spark: SparkSession, sf: str) -> DataFrame:
+    """What is refused, by sensitivity."""
+    _, refused, _ = gateway.cross(_sensitive(spark, sf), "model")
+    return refused.groupBy(gateway.label(F.col("sensitivity")).alias("sensitivity")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@query
+def leak_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Known surfaces (benchmark passages) in documents, standing alone or inside longer words."""
+    known = _table(spark, sf, "benchmark").select(F.col("text").alias("surface"))
+    found = leak.find_known(_table(spark, sf, "documents"), known)
+    return found.select("doc_id", F.sha2("surface", 256).alias("surface_sha256"), (F.col("standalone") + F.col("inside")).alias("n"))
+
+
+@query
+def leak_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Nation and region names in request turns and documents, by kind."""
+    known = _table(spark, sf, "nation").select(F.col("n_name").alias("surface"), F.lit("NATION").alias("kind")).union(_table(spark, sf, "region").select("r_name", F.lit("REGION")))
+    docs = _table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return leak.report(leak.find_known(docs, known), known)
+
+
+# -- probe --------------------------------------------------------------------------------------------
+
+
+def _passages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    e = _table(spark, sf, "embeddings")
+    passages = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("scope_id"), F.col("embedding").alias("vector"))
+    asked = e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("vec_id").alias("exclude"), F.col("label").alias("source"))
+    return passages, asked
+
+
+@query
+def probe_retrieval(spark: SparkSession, sf: str) -> DataFrame:
+    """V1-V4: whether a passage leads back to its scope, its own chunk left out."""
+    out = reid.probe(*_passages(spark, sf))
+    return out.select("query_id", F.col("source_rank").cast("int").alias("source_rank"), F.round("margin", 6).alias("margin"), "identifies", F.size("top").alias("n_scopes"))
+
+
+@query
+def nearest_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """V2: the five nearest passages of each query."""
+    out = reid.nearest(*_passages(spark, sf), k=5)
+    return out.select("query_id", "place", "chunk_id", F.round("distance", 6).alias("distance"))
+
+
+@query
+def judge_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """V6: the prompt of each benchmark excerpt."""
+    cards = F.array(F.struct(F.lit("A").alias("reference"), F.lit("first").alias("summary")), F.struct(F.lit("B").alias("reference"), F.lit("second").alias("summary")))
+    return _table(spark, sf, "benchmark").select("item_id", C.content_hash(reid.judge_prompt(F.col("text"), cards)).alias("prompt_sha256"))
+
+
+# -- usage --------------------------------------------------------------------------------------------
+
+
+def _requests(spark: SparkSession, sf: str) -> DataFrame:
+    e = _table(spark, sf, "events")
+    n = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0))
+    return e.select(F.col("user_id").alias("task_id"), F.concat(F.col("event_type"), F.when(F.col("event_id") % 3 == 0, "-2024").otherwise("")).alias("model"), n.alias("input"), (n % 7).alias("write_5m"), (n % 5).alias("write_1h"), (n * 3).alias("read"), (n % 11).alias("output"))
+
+
+def _prices(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("click", 4.0, 20.0, 0.25), ("view", 2.0, 10.0, 0.5), ("view-2024", 1.0, 5.0, 0.125), ("purchase", 8.0, 40.0, 1.0), ("signup", 0.5, 2.5, 0.0625)], "model string, input double, output double, read double")
+
+
+@query
+def price_models(spark: SparkSession, sf: str) -> DataFrame:
+    """The price of each model by the longest known id it begins with."""
+    return usage.price_of(_requests(spark, sf), _prices(spark)).select("model", "price_id", "input_price")
+
+
+@query
+def task_cost(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals and cost of each task; no cost where a model has no price."""
+    out = usage.task_cost(_requests(spark, sf).where(F.col("task_id") % 5 != 0), _prices(spark))
+    return out.select("task_id", "requests", F.array_join("models", ",").alias("models"), "input", "read", "output", "usd", "saved_usd")
+
+
+@query
+def usage_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Audit roll-up by hour and kind of event."""
+    return audit.tumbling(_table(spark, sf, "events")).select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query
+def user_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions of users with gaps of thirty minutes."""
+    return audit.sessions(_table(spark, sf, "events")).select("user_id", "start", "end", "n")
+
+
+# -- order, intervals, snapshots ----------------------------------------------------------------------
+
+
+@query
+def last_view_before_error(spark: SparkSession, sf: str) -> DataFrame:
+    """For each error the user's last view at or before it."""
+    e = _table(spark, sf, "events").where(F.col("event_type").isin("view", "error"))
+    out = spans.last_before(e, ["user_id"], [F.col("ts"), F.col("event_id")], F.col("event_type") == "view", F.col("event_id"), "view_id")
+    return out.where("event_type = 'error'").select("event_id", "user_id", "view_id")
+
+
+def _intervals(e: DataFrame, kind: str, id_name: str, s: str, t: str, hours: int) -> DataFrame:
+    start = F.unix_timestamp("ts")
+    return e.where(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(id_name), start.alias(s), (start + hours * 3600).alias(t))
+
+
+@query
+def overlapping_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Purchases and errors of a user whose windows overlap."""
+    e = _table(spark, sf, "events")
+    out = spans.overlap_join(_intervals(e, "purchase", "purchase_id", "ps", "pe", 24), _intervals(e, "error", "error_id", "es", "ee", 12), ["user_id"], "ps", "pe", "es", "ee", 86_400)
+    return out.select("user_id", "purchase_id", "error_id")
+
+
+@query
+def uncovered_purchases(spark: SparkSession, sf: str) -> DataFrame:
+    """Purchases whose window no error's window touches."""
+    e = _table(spark, sf, "events")
+    p, r = _intervals(e, "purchase", "purchase_id", "start", "end", 24), _intervals(e, "error", "error_id", "start", "end", 12)
+    return spans.uncovered(p, r.select("user_id", "start", "end"), ["user_id"], 86_400).select("purchase_id")
+
+
+@query
+def route_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """IO10, R16: the longest routed folder each page's address lies in."""
+    pages = _table(spark, sf, "pages").select("page_id", F.col("url").alias("path"))
+    parts = F.split("url", "/")
+    routes = _table(spark, sf, "pages").where(F.col("page_id") % 3 == 0).select(F.array_join(F.slice(parts, 1, F.when(F.col("page_id") % 2 == 0, 3).otherwise(4)), "/").alias("prefix")).distinct()
+    return spans.longest_prefix(pages, routes).select("page_id", F.col("prefix").alias("route"))
+
+
+@query
+def snapshot_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """H2, IO16: what was added, removed and changed between two snapshots of the orders."""
+    o = _table(spark, sf, "orders")
+    digest = lambda mark: F.sha2(F.concat_ws("|", F.col("o_orderstatus"), F.when(F.col("o_orderkey") % 13 == mark, "x").otherwise("y")), 256)
+    a = o.where("o_orderkey % 7 <> 0").select("o_orderkey", digest(1).alias("digest"))
+    b = o.where("o_orderkey % 11 <> 0").select("o_orderkey", digest(2).alias("digest"))
+    return spans.changes(a, b, "o_orderkey")
+
+
+@query
+def scan_documents_folder(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts that several documents share, by content hash."""
+    d = _table(spark, sf, "documents").select("doc_id", C.content_hash(F.coalesce("text", F.lit(""))).alias("digest"))
+    return d.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+
+
+# -- review and disclosure ----------------------------------------------------------------------------
+
+
+@query
+def review_view(spark: SparkSession, sf: str) -> DataFrame:
+    """Q10: notes with the state that the last decision gives them, in order."""
+    from .operators import review
+
+    e = _table(spark, sf, "events")
+    notes = e.where("event_type = 'view'").select(F.col("user_id").alias("doc"), F.col("event_id").alias("note_id"), F.when(F.col("event_id") % 9 != 0, F.col("event_id") % 97).alias("start"), (F.col("event_id") % 5 + 1).alias("importance"))
+    said = e.where("event_type in ('click', 'purchase')").select((F.col("event_id") - F.col("event_id") % 4).alias("note_id"), F.when(F.col("event_type") == "click", "rejected").otherwise("accepted").alias("verdict"), F.struct("ts", "event_id").alias("at"))
+    return review.view(notes, said).select("doc", "note_id", "state", "n_decisions", "position")
+
+
+@query
+def review_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Q12: decisions with the notes they are about."""
+    from .operators import review
+
+    e = _table(spark, sf, "events")
+    ann = e.where("event_type in ('view', 'click')").select(F.col("user_id").alias("doc"), F.col("event_id").alias("id"), F.when(F.col("event_type") == "click", "decision").otherwise("point").alias("kind"), (F.col("event_id") - 1).alias("about"), F.col("user_id").alias("creator"), F.col("event_type").alias("verdict"), F.col("ts").alias("at"))
+    ann = ann.withColumn("doc", F.lit(1))
+    return review.records(ann).select("id", "about", "about_kind", "about_creator", "verdict")
+
+
+@query
+def hidden_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Occurrences of each detection of a document, in the order they are met."""
+    found = _detected(spark, sf).select("doc_id", F.concat_ws("_", "kind", F.lit("0")).alias("token"), "start")
+    return disclosure.token_counts(found).select("doc_id", "token", "n", "place")
+
+
+@query
+def party_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges between scopes and the kinds of what their documents mention."""
+    found = _detected(spark, sf)
+    mentions = found.groupBy(F.col("scope_id").alias("doc"), F.concat_ws("_", F.when(F.col("kind") == "EMAIL", "PERSON").when(F.col("kind") == "IP", "ORG").otherwise(F.col("kind")), F.lit("1")).alias("token")).agg(F.count("*").alias("n"))
+    tokens = spark.createDataFrame([(k + "_1", k, k, None) for k in ("PERSON", "ORG", "CARD", "PHONE", "ID")], "token string, kind string, real_value string, attributes struct<entity_type:string,shared_by:array<string>>")
+    _, edges = disclosure.graph(mentions, tokens)
+    return edges.select("from", "to", "weight")
+
+
+@query
+def share_bands(spark: SparkSession, sf: str) -> DataFrame:
+    """GL6: each order's share of its customer's total, by band."""
+    o = _table(spark, sf, "orders")
+    pct = 100 * F.col("o_totalprice") / F.sum("o_totalprice").over(Window.partitionBy("o_custkey"))
+    return o.select(F.round(pct, 3).alias("pct")).groupBy(C.share_band(F.col("pct")).alias("band")).agg(F.count("*").alias("n"))
+
+
+@query
+def citation_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Citations in texts made of part numbers, canonical, with jurisdiction and folded."""
+    k = F.col("p_partkey")
+    text = F.concat(F.lit("see §§ "), (k % 900 + 100).cast("string"), F.lit(", "), (k % 900 + 101).cast("string"), F.lit(" BGB, Art. "), (k % 19 + 1).cast("string"), F.lit(" GG and "), (k % 50 + 1).cast("string"), F.lit(" U.S.C. § "), (k % 2000 + 1).cast("string"), F.lit(", CPR "), (k % 80 + 1).cast("string"), F.lit(".1"))
+    rows = _table(spark, sf, "part").select("p_partkey", F.explode(cite.mentions_of(text)).alias("m"))
+    c = F.col("m.citation")
+    return rows.select("p_partkey", c.alias("citation"), C.jurisdiction_of(c).alias("jurisdiction"), F.size(C.citation_variants(c)).alias("n_forms"), C.fold_citation(c).alias("folded"))
+
+
+@query
+def request_slots(spark: SparkSession, sf: str) -> DataFrame:
+    """The strings of request bodies made of conversations, by path."""
+    turns = _table(spark, sf, "conversations").where("turn < 3").select("conv_id", F.struct("role", F.col("text").alias("content")).alias("m"), "turn")
+    bodies = turns.groupBy("conv_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("turn", "m"))), lambda x: x["m"]).alias("messages"))).alias("body"))
+    return requests.slots(bodies, "conv_id").groupBy("path").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+from .oracles import ORACLES  # noqa: E402, F401

@@ -1,0 +1,98 @@
+from maskwright.operators import address, cite, disclosure, host, legal, review
+from maskwright.operators.vault import Vault, derive_token
+from tests.test_vault import ENTITIES, PARTIES, SALT
+
+
+def vault():
+    v = Vault(salt=SALT)
+    v.seed(ENTITIES, PARTIES)
+    return v
+
+
+def test_addresses():
+    found = lambda t: [t[s:e] for s, e, _ in address.find_addresses(t)]
+    assert found("wohnt Seeufer 4, 20095 Hamburg; Am Alten Markt 12a und Große Bergstraße 3-5") == ["Seeufer 4", "20095", "Am Alten Markt 12a", "Große Bergstraße 3-5"]
+    assert found("12 Old Mill Road, Flat 3B, SW1A 1AA and A-1010") == ["12 Old Mill Road", "Flat 3B", "SW1A 1AA", "A-1010"]
+    assert found("20000 Euro und § 12345 BGB") == []
+    known = {}
+    derive = lambda s, taken: derive_token(SALT, "ADDRESS", s, taken)
+    one = address.tokenize_addresses("Seeufer 4 und  Seeufer  4", derive, known)
+    assert one["text"].count("ADDRESS_") == 2 and len(one["mapping"]) == len(known) == 1
+    red = address.with_addresses(vault().redact("Ada Brenner, Seeufer 4"), derive, known)
+    assert "ADDRESS" in red["entity_types"] and "Seeufer" not in red["text"] and red["redacted_count"] == 2
+    assert address.tokenize_initials("signed A.B. or AB, ABC", {"PERSON_1": "Ada Brenner"}) == ("signed PERSON_1 or PERSON_1, ABC", {"PERSON_1": "Ada Brenner"})
+
+
+def test_legal_rules():
+    text = (
+        "Between Northwind Investments Ltd. and ООО «Ромашка», Mr Tobias Wren, our director Pieter van Dijk.\nSigned by Sanne de Groot\n(1) Tobias Wren of London\nPresent: Ada Brenner, Nils Brandvold and Max Ott\n"
+        "Иванов Иван Иванович; MV Sea Finder, IMO 9074729 (555) 123-4567 VAT no. GB123456789 SSN 123-45-6789 and 000-12-3456; passport AB1234567; Case No. HC-2020-001; HRB 12345; AB123456C\n"
+        "https://x.y/?name=Jo%20Lind&z=1 ИНН 7707083893 р/с 40702810900000000001 паспорт серии 45 04 № 123456"
+    )
+    found = {(s, k) for _, s, k in legal.legal_detections(text)}
+    for want in [("Northwind Investments Ltd", "ORG"), ("Ромашка", "ORG"), ("Mr Tobias Wren", "PERSON"), ("Pieter van Dijk", "PERSON"), ("Sanne de Groot", "PERSON"), ("Tobias Wren", "PERSON"), ("Nils Brandvold", "PERSON"), ("Max Ott", "PERSON"), ("Иванов Иван Иванович", "PERSON"), ("Sea Finder", "VESSEL"), ("9074729", "ID"), ("(555) 123-4567", "PHONE"), ("123-45-6789", "ID"), ("AB1234567", "ID"), ("HC-2020-001", "ID"), ("HRB 12345", "ID"), ("AB123456C", "ID"), ("Jo Lind", "PERSON"), ("7707083893", "ID"), ("40702810900000000001", "ACCOUNT"), ("45 04 123456", "ID")]:
+        assert want in found, want
+    assert ("000-12-3456", "ID") not in found
+    assert not any(k == "ORG" for _, _, k in legal.legal_detections("see Case C-311/18 Commissioner v Facebook Ireland Ltd on this"))
+    assert not legal.legal_detections("SUCH AS and Order Form, the Supplier Personnel")
+    assert {r for r, _, _ in legal.explain(text)} >= {"legal form", "title", "role before", "attendance"}
+
+
+def test_citations():
+    c = cite.citations
+    assert c("§§ 280 Abs. 1, 3, 281 BGB") == ["§ 280 BGB", "§ 281 BGB"] and c("§§ 133, 157 BGB") == ["§ 133 BGB", "§ 157 BGB"]
+    assert c("§ 823 Abs. 1, 2 sowie § 826 BGB") == ["§ 823 BGB", "§ 826 BGB"] and c("§§ 223 Abs. 1, 224 Abs. 1 Nr. 2, 5 StGB") == ["§ 223 StGB", "§ 224 StGB"]
+    assert c("Art. 2 Abs. 1 GG und § 5 SGB V, Art. 229 § 5 EGBGB, Nr. 3100 VV RVG, § 12 ГГУ") == ["Art. 229 § 5 EGBGB", "Nr. 3100 VV RVG", "§ 5 SGB V", "§ 12 BGB", "Art. 2 GG"] or set(c("Art. 2 Abs. 1 GG und § 5 SGB V, Art. 229 § 5 EGBGB, Nr. 3100 VV RVG, § 12 ГГУ")) >= {"Art. 2 GG", "§ 5 SGB V", "Art. 229 § 5 EGBGB", "Nr. 3100 VV RVG", "§ 12 BGB"}
+    assert c("ст. 10 СК РФ, ГК РФ ст. 5, CPR 3.4, s. 25(2) of the MCA 1973, 42 U.S.C. § 1983, 29 CFR § 1910.12, Cap. 113 s. 4A") == ["СК РФ ст. 10", "ГК РФ ст. 5", "CPR 3.4", "MCA 1973 s. 25", "42 U.S.C. § 1983", "29 CFR § 1910.12", "Cap. 113 s. 4A"]
+    text = "nach § 3 Nr. 26 EStG ﬁx und § 1 BGB"
+    m = cite.mentions(text)
+    assert [text[x["start"] : x["end"]] for x in m] == ["§ 3 Nr. 26 EStG", "§ 1 BGB"] and {x["jurisdiction"] for x in m} == {"DE"}
+    assert cite.pinpoints("§ 3 Nr. 26 EStG und § 5 Abs. 2 BGB") == {"3": (None, "26"), "5": ("2", None)}
+    assert [cite.jurisdiction(x) for x in ("42 U.S.C. § 1", "CPR 1", "Cap. 113 s. 1", "СК РФ ст. 1", "§ 1 BGB", "x")] == ["US", "GB", "CY", "RU", "DE", ""]
+
+
+DOC = "Clause one {#c1}\nThe buyer “pays” the price — in  full.\nClause two {#c2}\nAda Brenner signs for Quorvane Shipping Ltd here.\n"
+
+
+def test_quotes():
+    f = review.Folded.of(DOC)
+    at = lambda q, **k: DOC[slice(*f.find(q, **k))] if f.find(q, **k) else None
+    assert at("the price") == "the price" and at('"pays" the price - in full') == "“pays” the price — in  full"
+    assert at("The buyer ... in full.") == "The buyer “pays” the price — in  full." and at("pays nothing at all") is None and at("x…y") is None
+    assert f.find("Clause", near=60)[0] == DOC.index("Clause two")
+    v = vault()
+    hit = review.find_quotes(DOC, ["Brenner Ada signs for QUORVANE SHIPPING LIMITED", "nowhere to be found"], v)
+    assert DOC[slice(*hit[0])] == "Ada Brenner signs for Quorvane Shipping Ltd" and hit[1] is None
+    assert review.clause_at(DOC, DOC.index("buyer")) == "c1" and review.clause_at(DOC, 3) == "c1" and review.clause_at("x", 0) is None
+    red = v.redact(DOC)
+    assert [DOC[s["start"] : s["end"]] for s in review.deid_spans(red["spans"])] == ["Ada Brenner", "Quorvane Shipping Ltd"]
+
+
+def test_notes_annotations_and_places():
+    answer = 'I read it. ```{"notes": [{"quote": "the price", "kind": "Risk", "importance": 9, "note": "x"}, {"quote": 5}]}```'
+    notes, cut = review.notes_of(answer)
+    assert not cut and notes[0]["kind"] == "risk" and notes[0]["importance"] == 5 and notes[1]["quote"] == ""
+    whole, cut = review.notes_of('{"notes": [{"quote": "a"}, {"quote": "b"}, {"quo')
+    assert cut and [n["quote"] for n in whole] == ["a", "b"] and review.notes_of("nothing") == (None, False)
+    kept, refused = review.keep(DOC, notes, "d.md", {"name": "m"}, "2024")
+    assert len(kept) == 1 and refused == [{"quote": "", "why": "no quote"}] and kept[0]["motivation"] == "assessing"
+    f = review.Folded.of(DOC)
+    assert review.place(kept[0], f)[0] == "here" and review.place(kept[0], review.Folded.of("New line\n" + DOC))[0] == "moved" and review.place(kept[0], review.Folded.of("gone")) is None
+    s = review.suggestion("d.md", DOC, 5, 5, "X", {"name": "p"}, "2024")
+    assert review.apply_replacement(DOC, s, "X") == DOC[:5] + "X" + DOC[5:]
+    assert review.apply_replacement("ab " + DOC, kept[0], "COST") == "ab " + DOC.replace("the price", "COST")
+    h = review.hunks("one two three", "one 2 three four")
+    assert [(x["old"], x["new"]) for x in h] == [("two", "2"), ("", " four")]
+    assert review.revision("d", "a b", "a c", {}, "t")["markup"]["hunks"] == [{"at": 2, "old": "b", "new": "c"}]
+    assert "Brenner" not in str(review.dataset([{"note": "Ada Brenner", "n": 1}], vault()))
+
+
+def test_candidates_and_hosts():
+    text = "The Nils Brandvold met Ada Brenner of Silver Bay Holdings Ltd under the Purchase Agreement. Nils Brandvold left."
+    c = disclosure.candidates(text, [(text.index("Ada"), text.index("Ada") + 11)])
+    assert [(x["text"], x["kind"], len(x["at"])) for x in c] == [("Nils Brandvold", "person", 2), ("Silver Bay Holdings Ltd", "organization", 1)]
+    red = vault().redact(text)
+    s = disclosure.summary(text, red["spans"], red["mapping"])
+    assert s["hidden"] == {"PERSON": 1} and s["tokens"] == 1 and len(s["left_in_clear"]) == 2
+    assert host.inside("/m", "a/b") and not host.inside("/m", "../x") and host.outside_paths("/m", "cat /etc/passwd a.txt ../y") == ["/etc/passwd", "../y"]
+    assert host.rerouting('{"env": {"HTTPS_PROXY": "x"}}') == ["HTTPS_PROXY"] and host.rerouting("export OPENAI_BASE_URL=x") == ["OPENAI_BASE_URL"]
