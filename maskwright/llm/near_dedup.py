@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .graph import components
 from .scratch import Scratch
 from .substring_dedup import bucket_bounds, count_elsewhere, pack_sorted
-from .words import Words, as_array, mix, row_slices
+from .words import Words, as_array, claim, mix, row_slices
 
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
 #: Shingle hashes are kept with so many bytes for the comparison of two sets; two sets of 500 shingles agree in one by chance with probability 1e-9.
@@ -78,9 +78,10 @@ def _features(k: int):
     names = ["_id", "n", "d1", "d2", "bands", "shingles"]
 
     def f(batches):
+        claim("near duplicates")
         for batch in batches:
             text = as_array(batch["_text"])
-            for lo, hi in row_slices(text):
+            for lo, hi in row_slices(text, 2 << 20):
                 values, off = shingle_sets(text[lo:hi], k)
                 n = np.diff(off)
                 full = np.flatnonzero(n)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import as_array
+from .words import as_array, claim
 
 TREES, BITS, CELL_ROWS = 24, 64, 4096
 #: Candidates that all trees together give a query, repeats counted, before ascending stops.
@@ -50,6 +50,7 @@ def _vectors(column) -> np.ndarray:
 
 def _hash(longest: float, trees: int):
     def f(batches):
+        claim("neighbours")
         for batch in batches:
             for lo in range(0, len(batch), 2048):
                 part = batch.slice(lo, 2048)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import Words, as_array, mix, row_slices, span_hashes
+from .words import Words, as_array, claim, mix, row_slices, span_hashes
 
 # Frequent short words of the languages that the rules know.
 STOP_WORDS = {
@@ -66,6 +66,8 @@ def _lines(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts[full], ends[full], row[full]
 
 
+#: Bytes of text measured at once.
+SLICE = 1 << 20
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_alpha", "n_stop", "n_plain")
 
 
@@ -90,10 +92,11 @@ def counts_of(text: pa.Array, stop: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _measure(batches):
+    claim("quality")
     stop = _stop_hashes()
     for batch in batches:
         text = as_array(batch["_text"])
-        for lo, hi in row_slices(text):
+        for lo, hi in row_slices(text, SLICE):
             c = counts_of(text[lo:hi], stop)
             yield pa.RecordBatch.from_arrays([batch["_id"][lo:hi], *(pa.array(c[k].astype(np.int64)) for k in COUNTS)], ["_id", *COUNTS])
 

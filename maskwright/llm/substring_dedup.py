@@ -24,10 +24,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, as_array, string_array
+from .words import Words, as_array, claim, string_array
 
 #: Bytes of text in a block, about; a Python worker holds some twenty times as much while it works on one.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 WINDOW = 35
 
 
@@ -44,6 +44,7 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
 
 
 def _windows(text: pa.Array, window: int) -> tuple[Words, np.ndarray, np.ndarray]:
+    claim("windows")
     w = Words(text)
     starts, h = w.windows(w.hashes(), window)
     return w, starts, h

@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, as_array, row_slices, span_hashes, string_array
+from .words import Words, as_array, claim, row_slices, span_hashes, string_array
 
 SAMPLE, LEXICON = 5_000, 2_000
+#: Bytes of text measured at once; a worker holds about a hundred times as much.
+SLICE = 1 << 20
 #: Bytes of a word's beginning that the lexicon may hold instead of the word.
 BEGINNINGS = (4, 5, 6, 7)
 # Second person pronouns of the languages in view, and letters that digits and signs stand for.
@@ -149,10 +151,11 @@ def _terms(batches):
     """Distinct terms of each document, counted by class: (words or beginning, hash, toxic, documents)."""
     from collections import Counter
 
+    claim("toxicity")
     seen: Counter = Counter()
     for batch in batches:
         text, toxic = as_array(batch["_text"]), batch["toxic"].to_pylist()
-        for lo, hi in row_slices(text, 1 << 20):
+        for lo, hi in row_slices(text, SLICE):
             w = _compact(text[lo:hi], False)
             words, begins = term_hashes(w)
             row = w.rows()
@@ -302,9 +305,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     lex = Lexicon(*table(True), *table(False))
 
     def measure(batches):
+        claim("toxicity")
         for batch in batches:
             text = as_array(batch["_text"])
-            for lo, hi in row_slices(text):
+            for lo, hi in row_slices(text, SLICE):
                 x = features(text[lo:hi], lex)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * len(FEATURES), pa.int32()), pa.array(x.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch["_key"][lo:hi].cast(pa.int64()), batch["toxic"][lo:hi], lists], ["_key", "toxic", "x"])
@@ -334,9 +338,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
 
     def apply(batches):
+        claim("toxicity")
         for batch in batches:
             text = as_array(batch["_text"])
-            for lo, hi in row_slices(text):
+            for lo, hi in row_slices(text, SLICE):
                 yield pa.RecordBatch.from_arrays([batch["_id"][lo:hi], pa.array(model.score(text[lo:hi]))], ["_id", "score"])
 
     key = docs.schema[id_col].dataType.simpleString()
@@ -348,9 +353,10 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     """The rows of docs, with all columns, that are not predicted to be toxic (score below 0.5)."""
 
     def apply(batches):
+        claim("toxicity")
         for batch in batches:
             text = as_array(batch[text_col])
-            for lo, hi in row_slices(text):
+            for lo, hi in row_slices(text, SLICE):
                 yield batch.slice(lo, hi - lo).filter(pa.array(model.score(text[lo:hi]) < 0.5))
 
     return docs.mapInArrow(apply, docs.schema)
