@@ -48,6 +48,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 35 words that occur more than once; others stay as they are."""
+    release("pipeline")
     keep = [c for c in docs.columns if c not in ("doc_id", "text")]
     out = substring_dedup.remove_repeated_passages(docs, keep=keep, untouched=True)
     return _with_text(out.withColumn("text", F.col("kept_text")).withColumn("_changed", F.col("n_removed") > 0), docs.columns)
@@ -63,6 +64,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 2048 tokens; ids as little-endian uint32."""
+    release("pipeline")
     return packing.pack_documents(docs)
 
 
