@@ -41,3 +41,11 @@ def check_crossings(audit: DataFrame, sent: DataFrame, residual: DataFrame) -> D
     found = F.coalesce("found", F.array().cast("array<string>"))
     out = audit.join(sent, "id", "left").join(residual.select("id", "found"), "id", "left")
     return out.withColumn("sha256_matches", F.coalesce(F.col("content_hash") == C.content_hash(F.col("text")), F.lit(False))).withColumn("found", found).withColumn("clean", F.size("found") == 0)
+
+
+def observed(payloads: DataFrame, name: str) -> tuple[DataFrame, object]:
+    """(payloads, observation): how many cross, what they hide and how sensitive they are, counted as they pass, without another job."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return payloads.observe(seen, F.count("*").alias("n"), F.sum("redacted_count").alias("redacted"), F.max("sensitivity").alias("most_sensitive")), seen

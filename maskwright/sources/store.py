@@ -57,12 +57,22 @@ class VaultStore:
 
     def ensure_salts(self, scopes: DataFrame) -> DataFrame:
         """The salts of all scopes (scope_id), new ones of 32 random bytes for those without; a writing path only."""
-        known = self.load("salts")
-        missing = [r[0] for r in scopes.select("scope_id").distinct().join(known, "scope_id", "left_anti").where("scope_id is not null").collect()]
-        if missing:
-            self.commit("salts", self.spark.createDataFrame([(s, bytearray(secrets.token_bytes(32))) for s in missing], SALTS))
+        missing = scopes.select("scope_id").where("scope_id is not null").distinct().join(self.load("salts"), "scope_id", "left_anti")
+
+        def draw(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                salts = [secrets.token_bytes(32) for _ in range(len(batch))]
+                yield pa.RecordBatch.from_arrays([batch["scope_id"], pa.array(salts, pa.binary())], ["scope_id", "salt"])
+
+        # drawn once, as they are written; what is read afterwards is what is stored
+        self._append("salts", missing.mapInArrow(draw, SALTS))
         return self.load("salts")
 
+    def _append(self, name: str, rows: DataFrame) -> None:
+        rows.write.mode("append").partitionBy("scope_id").parquet(f"{self.path}/{name}")
+
 
 def merged(base: DataFrame, changed: DataFrame, keys: list[str]) -> DataFrame:
     """base with the rows of changed in place of those with the same keys, and behind them the new ones."""

@@ -88,6 +88,15 @@ def test_native_text_functions_equal_their_twins(spark):
         assert x.norm == (fold.normalize(x.t) if x.t.isascii() else None)
 
 
+def test_native_escapes_and_places(spark):
+    texts = ["a\\nb\\u0041 \\\\n x", "plain", "\\q\\t", "é\\n😀 12 34"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", columns.blank_escapes(F.col("t")).alias("b"), columns.match_spans(F.col("t"), "[0-9]+").alias("s")).collect()
+    for r in got:
+        assert r.b == fold.blank_escapes(r.t)
+        assert [r.t[x.start : x.end] for x in r.s] == __import__("re").findall("[0-9]+", r.t)
+
+
 def test_tokens_are_hmacs(spark):
     salt = b"\x11" * 32
     rows = [("PERSON", "Ada Brenner", 0), ("ORG", "Müller GmbH", 0), ("ID", "9074729", 3)]

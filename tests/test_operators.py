@@ -21,6 +21,8 @@ def test_gateway(spark):
     assert {r.id for r in allowed.collect()} == {1, 2} and {r.id for r in refused.collect()} == {3, 4}
     got = log.collect()
     assert [r.sensitivity for r in got] == ["public", "internal"] and got[0].detail.redacted_count == 2 and "text" not in log.columns
+    passing, seen = gateway.observed(allowed, "crossing")
+    assert passing.count() == 2 and seen.get == {"n": 2, "redacted": 2, "most_sensitive": 1}
     with pytest.raises(Exception, match="may not cross"):
         gateway.must_cross(df).collect()
     checked = gateway.check_crossings(log.withColumn("id", F.monotonically_increasing_id() * 0 + F.when(F.col("actor_id") == "a", 1).otherwise(2)), df.select("id", "text"), spark.createDataFrame([(2, ["y"])], "id long, found array<string>")).collect()
