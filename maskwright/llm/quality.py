@@ -2,8 +2,9 @@
 
 Every document gets counts; every rule turns some of them into a vote for (1) or against (-1) the
 document, or abstains (0).  The model: a document is good with probability `prior`; a rule that votes
-is right with probability `accuracy`, whatever the others say.  EM estimates these from how often each
-pattern of votes occurs over *all* documents: at most 3^rules rows reach the driver, whatever the
+is right with one probability on good documents and another on bad ones, whatever the others say: a
+rule may miss most bad documents and yet be never wrong about those it is against.  EM estimates these
+from how often each pattern of votes occurs over *all* documents: at most 3^rules rows reach the driver, whatever the
 corpus.  A document is kept if its posterior probability of being good is at least one half.
 """
 
@@ -118,27 +119,41 @@ RULES = {
 }
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """Accuracy of each rule and the prior, by EM over (patterns, rules) votes that occur so often.
+def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, np.ndarray, float]:
+    """How often each rule that votes is right on good and on bad documents, and the prior, by EM over (patterns, rules) votes that
+    occur so often.
 
-    A weak prior (as of 10 right and 2 wrong votes) keeps a rule that hardly votes near 0.8, and no
-    rule is taken to be worse than chance, so that "good" keeps its meaning.
+    It starts from the documents that no rule is against as the good ones.  Weak priors (of 20 right and
+    1 wrong votes on good documents, 2 and 2 on bad ones) stand in where a rule hardly votes, and no rule
+    is taken to be against good documents more often than against bad ones, so that "good" keeps its
+    meaning.
     """
-    accuracy, prior = np.full(patterns.shape[1], 0.8), 0.7
+    plus, minus = (patterns > 0).astype(float), (patterns < 0).astype(float)
+    p = np.where((patterns < 0).any(axis=1), 0.05, 0.95)
+    old = None
     for _ in range(rounds):
-        p = posterior(patterns, accuracy, prior)
-        right = ((patterns > 0) * p[:, None] + (patterns < 0) * (1 - p[:, None])) * counts[:, None]
-        voted = (patterns != 0) * counts[:, None]
-        new = np.clip((right.sum(0) + 10) / (voted.sum(0) + 12), 0.55, 0.99)
-        share = float(np.clip((p * counts).sum() / max(counts.sum(), 1), 0.05, 0.95))
-        if np.abs(new - accuracy).max() + abs(share - prior) < 1e-9:
+        good, bad = (p * counts)[:, None], ((1 - p) * counts)[:, None]
+        on_good = ((plus * good).sum(0) + 20) / (((plus + minus) * good).sum(0) + 21)
+        on_bad = ((minus * bad).sum(0) + 2) / (((plus + minus) * bad).sum(0) + 4)
+        on_good = np.clip(on_good, 0.5, 1 - 1e-4)
+        on_bad = np.clip(np.maximum(on_bad, 1 - on_good), 1e-4, 1 - 1e-4)
+        prior = float(np.clip((p * counts).sum() / max(counts.sum(), 1), 0.05, 0.99))
+        p = posterior(patterns, on_good, on_bad, prior)
+        new = np.concatenate([on_good, on_bad, [prior]])
+        if old is not None and np.abs(new - old).max() < 1e-9:
             break
-        accuracy, prior = new, share
-    return accuracy, prior
+        old = new
+    return on_good, on_bad, prior
 
 
-def posterior(votes: np.ndarray, accuracy: np.ndarray, prior: float) -> np.ndarray:
-    z = np.log(prior / (1 - prior)) + votes @ np.log(accuracy / (1 - accuracy))
+def weights(on_good: np.ndarray, on_bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a vote for and a vote against add to the log odds of a document."""
+    return np.log(on_good / (1 - on_bad)), np.log((1 - on_good) / on_bad)
+
+
+def posterior(votes: np.ndarray, on_good: np.ndarray, on_bad: np.ndarray, prior: float) -> np.ndarray:
+    up, down = weights(on_good, on_bad)
+    z = np.log(prior / (1 - prior)) + (votes > 0) @ up + (votes < 0) @ down
     return 1 / (1 + np.exp(-z))
 
 
@@ -157,10 +172,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scrat
     measured = scratch.save(measured.withColumn("votes", votes), "counts")
     seen = measured.groupBy("votes").count().collect()  # 3^8 rows at most
     patterns = np.array([r["votes"] for r in seen], float).reshape(-1, len(RULES))
-    accuracy, prior = fit(patterns, np.array([r["count"] for r in seen], float))
-    weights = np.log(accuracy / (1 - accuracy))
+    on_good, on_bad, prior = fit(patterns, np.array([r["count"] for r in seen], float))
     z = F.lit(float(np.log(prior / (1 - prior))))
-    for i, wt in enumerate(weights):
-        z = z + F.col("votes")[i] * F.lit(float(wt))
+    for i, (up, down) in enumerate(zip(*weights(on_good, on_bad), strict=True)):
+        z = z + F.when(F.col("votes")[i] > 0, float(up)).when(F.col("votes")[i] < 0, float(down)).otherwise(0.0)
     out = measured.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")).withColumn("quality", 1 / (1 + F.exp(-z)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5)).withColumnRenamed("_id", id_col)

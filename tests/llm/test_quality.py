@@ -33,17 +33,17 @@ def test_counts(spark):
         assert not (r.base_failed and r.kept)
 
 
-def test_em_finds_the_accuracies_that_made_the_votes():
+def test_em_finds_how_often_rules_are_right():
     rng = np.random.default_rng(3)
-    good = rng.random(40_000) < 0.7
-    true = np.array([0.95, 0.85, 0.75, 0.7, 0.9])
-    right = rng.random((len(good), 5)) < true
+    good = rng.random(60_000) < 0.7
+    on_good, on_bad = np.array([0.97, 0.9, 0.95, 0.85, 0.99]), np.array([0.9, 0.7, 0.6, 0.8, 0.5])
+    right = rng.random((len(good), 5)) < np.where(good[:, None], on_good, on_bad)
     votes = np.where(right == good[:, None], 1, -1) * (rng.random((len(good), 5)) < 0.8)
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    accuracy, prior = quality.fit(patterns.astype(float), counts.astype(float))
-    assert np.abs(accuracy - true).max() < 0.02 and abs(prior - 0.7) < 0.02
-    p = quality.posterior(votes, accuracy, prior)
-    assert ((p >= 0.5) == good).mean() > ((votes > 0).all(1) == good).mean() + 0.1
+    a, b, prior = quality.fit(patterns.astype(float), counts.astype(float))
+    assert np.abs(a - on_good).max() < 0.03 and np.abs(b - on_bad).max() < 0.04 and abs(prior - 0.7) < 0.02
+    p = quality.posterior(votes, a, b, prior)
+    assert ((p >= 0.5) == good).mean() > ((votes >= 0).all(1) == good).mean() + 0.02
 
 
 def test_clean_prose_is_kept_and_junk_is_not(spark):
