@@ -22,12 +22,18 @@ from pyspark.sql import functions as F
 from .words import Words, as_array, claim, row_slices, span_hashes, string_array
 
 SAMPLE, LEXICON = 5_000, 2_000
+#: Labelled rows of the rarer class from which on the lexicon and the trees learn from different halves.
+HALVES = 60
 #: Bytes of text measured at once; a worker holds about a hundred times as much.
 SLICE = 1 << 20
 #: Bytes of a word's beginning that the lexicon may hold instead of the word.
 BEGINNINGS = (4, 5, 6, 7)
-# Second person pronouns of the languages in view, and letters that digits and signs stand for.
+# Second person pronouns and insults of the languages in view, and letters that digits and signs stand for.
 SECOND_PERSON = "you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch ti usted ustedes vosotros tus su"
+INSULTS = """idiot idiots moron morons stupid loser losers scum worthless disgusting clown imbecile bastard trash pathetic dummkopf trottel abschaum arschloch widerlich idiote imbécile salaud débile
+idiota imbécil estúpido asqueroso payaso"""
+#: What an entry of INSULTS weighs where the labels say nothing of it.
+INSULT_WEIGHT = 3.0
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 
 _kind = np.zeros(256, np.uint8)  # 1 letter, 2 digit, 3 other sign
@@ -148,13 +154,13 @@ def features(text: pa.Array, lexicon: Lexicon) -> np.ndarray:
 
 
 def _terms(batches):
-    """Distinct terms of each document, counted by class: (words or beginning, hash, toxic, documents)."""
+    """Distinct terms of each document, counted by class and half: (words or beginning, hash, toxic, reads, documents)."""
     from collections import Counter
 
     claim("toxicity")
     seen: Counter = Counter()
     for batch in batches:
-        text, toxic = as_array(batch["_text"]), batch["toxic"].to_pylist()
+        text, toxic = as_array(batch["_text"]), list(zip(batch["toxic"].to_pylist(), batch["reads"].to_pylist(), strict=True))
         for lo, hi in row_slices(text, SLICE):
             w = _compact(text[lo:hi], False)
             words, begins = term_hashes(w)
@@ -163,10 +169,10 @@ def _terms(batches):
                 for r in range(hi - lo):
                     a, b = np.searchsorted(rows, [r, r + 1])
                     seen.update((is_word, x, toxic[lo + r]) for x in np.unique(h[a:b]).view(np.int64).tolist())
-    rows = [(k[0], k[1], k[2], v) for k, v in seen.items()]
+    rows = [(k[0], k[1], *k[2], v) for k, v in seen.items()]
     for at in range(0, len(rows), 100_000):
         part = list(zip(*rows[at : at + 100_000], strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.bool_()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int32()), pa.array(part[3], pa.int64())], ["is_word", "term", "toxic", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.bool_()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int32()), pa.array(part[3], pa.bool_()), pa.array(part[4], pa.int64())], ["is_word", "term", "toxic", "reads", "n"])
 
 
 class Trees:
@@ -291,29 +297,54 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     few = [told.where(F.col("toxic") == c).orderBy(F.xxhash64("_key"), "_key").limit(sample) for c in (0, 1)]
     chosen = F.broadcast(few[0].union(few[1]))  # 2 * sample rows at most
     rows = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).join(chosen, "_key")
-    counted = rows.mapInArrow(_terms, "is_word boolean, term long, toxic int, n long").groupBy("is_word", "term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
+    # one half teaches the lexicon that the other's trees are grown with: on what it was learned from, a lexicon looks better
+    # than it is; the lexicon that scores is learned from both
+    half = F.pmod(F.xxhash64("_key", F.lit(1)), F.lit(2)) == 0
+    apart = min(n1, n0, sample) >= HALVES
+    growers = rows.where(~half) if apart else rows
     m1, m0 = min(n1, sample), min(n0, sample)
-    odds = F.log((F.col("bad") + 0.5) / (m1 + 1)) - F.log((F.col("good") + 0.5) / (m0 + 1))
-    # a term must be found in several toxic documents, and mostly there
-    best = counted.where(F.col("bad") >= max(3, m1 // 400)).withColumn("w", odds).where("w > 2.5").orderBy(F.desc(F.col("w") * F.sqrt("bad")), "is_word", "term").limit(lexicon).collect()
-
-    def table(words: bool) -> tuple[np.ndarray, np.ndarray]:
-        mine = [(np.int64(r["term"]).view(np.uint64), r["w"]) for r in best if r["is_word"] == words]
-        mine.sort()
-        return np.array([t for t, _ in mine], np.uint64), np.array([w for _, w in mine], float)
-
-    lex = Lexicon(*table(True), *table(False))
+    part = 2 if apart else 1
+    tally = lambda toxic, some: F.sum(F.when((F.col("toxic") == toxic) & some, F.col("n")).otherwise(0))
+    reads = F.col("reads") if apart else F.lit(True)
+    rows = rows.withColumn("reads", half)
+    counted = rows.mapInArrow(_terms, "is_word boolean, term long, toxic int, reads boolean, n long").groupBy("is_word", "term")
+    counted = counted.agg(tally(1, F.lit(True)).alias("bad"), tally(0, F.lit(True)).alias("good"), tally(1, reads).alias("bad_read"), tally(0, reads).alias("good_read"))
+
+    def rank(bad: str, good: str, share: int) -> tuple[Column, Column]:
+        """A term's weight, and what it is chosen by: it must be found in several toxic documents, and mostly there."""
+        odds = F.log((F.col(bad) + 0.5) / (m1 / share + 1)) - F.log((F.col(good) + 0.5) / (m0 / share + 1))
+        fits = (F.col(bad) >= max(3, m1 // share // 400)) & (odds > 2.5)
+        return odds, F.when(fits, odds * F.sqrt(bad)).otherwise(0.0)
+
+    w, by = rank("bad", "good", 1)
+    w_read, by_read = rank("bad_read", "good_read", part)
+    told = counted.select("is_word", "term", w.alias("w"), by.alias("by"), w_read.alias("w_read"), by_read.alias("by_read")).where("by > 0 or by_read > 0")
+    best = told.orderBy(F.desc(F.greatest("by", "by_read")), "is_word", "term").limit(2 * lexicon).collect()
+    seeds = Words(pa.array([INSULTS])).hashes().tolist()
+
+    def entries(by: str, w: str) -> Lexicon:
+        chosen_terms = sorted((r for r in best if r[by] > 0), key=lambda r: (-r[by], r["is_word"], r["term"]))[:lexicon]
+
+        def table(words: bool) -> tuple[np.ndarray, np.ndarray]:
+            weights = dict.fromkeys(seeds, INSULT_WEIGHT) if words else {}
+            weights |= {int(np.int64(r["term"]).view(np.uint64)): r[w] for r in chosen_terms if r["is_word"] == words}
+            mine = sorted(weights.items())
+            return np.array([t for t, _ in mine], np.uint64), np.array([x for _, x in mine], float)
+
+        return Lexicon(*table(True), *table(False))
+
+    lex, lex_read = entries("by", "w"), entries("by_read", "w_read")
 
     def measure(batches):
         claim("toxicity")
         for batch in batches:
             text = as_array(batch["_text"])
             for lo, hi in row_slices(text, SLICE):
-                x = features(text[lo:hi], lex)
+                x = features(text[lo:hi], lex_read)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * len(FEATURES), pa.int32()), pa.array(x.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch["_key"][lo:hi].cast(pa.int64()), batch["toxic"][lo:hi], lists], ["_key", "toxic", "x"])
 
-    got = rows.mapInArrow(measure, "_key long, toxic int, x array<double>").toArrow().sort_by([("_key", "ascending"), ("toxic", "ascending")])
+    got = growers.mapInArrow(measure, "_key long, toxic int, x array<double>").toArrow().sort_by([("_key", "ascending"), ("toxic", "ascending")])
     if not got.num_rows:
         return Model(n1 / (n1 + n0))
     x = np.array(got["x"].combine_chunks().flatten(), float).reshape(-1, len(FEATURES))
@@ -322,7 +353,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model(float(y[0]))
     weight = np.where(y == 1, n1 / max((y == 1).sum(), 1), n0 / max((y == 0).sum(), 1)) / (n1 + n0) * len(y)
     fold = np.arange(len(y)) % 4 == 0  # a quarter calibrates
-    if len(y) < 40 or y[fold].min() == y[fold].max() or y[~fold].min() == y[~fold].max():
+    if not apart or y[fold].min() == y[fold].max() or y[~fold].min() == y[~fold].max():
         fold = np.zeros(len(y), bool)
     trees = Trees().fit(x[~fold], y[~fold], weight[~fold])
     use = fold if fold.any() else ~fold
