@@ -34,14 +34,13 @@ def segmentations(lattice, text):
     if not text:
         return {(): 1.0}
     out = {}
-    alone = text[0] in lattice.weight
     for j in range(1, len(text) + 1):
-        if text[:j] in lattice.weight:
-            i, w = lattice.weight[text[:j]]
+        if text[:j].encode() in lattice.weight:
+            i, w = lattice.weight[text[:j].encode()]
             out |= {(i, *rest): w * v for rest, v in segmentations(lattice, text[j:]).items()}
-    if not alone:
-        raw = tuple(lattice.bytes[b] for b in text[0].encode())
-        out |= {raw + rest: 1e-6 * 40.0 * v for rest, v in segmentations(lattice, text[1:]).items()}
+    if text[0].encode() not in lattice.weight:
+        raw = tuple(int(lattice.bytes[b]) for b in text[0].encode())
+        out |= {raw + rest: 1e-6 * v for rest, v in segmentations(lattice, text[1:]).items()}
     return out
 
 
