@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .graph import components
 from .scratch import Scratch
 from .substring_dedup import bucket_bounds, count_elsewhere, pack_sorted
-from .words import Words, as_array, claim, mix, row_slices
+from .words import Words, as_array, claim, lean, lean_stream, mix, row_slices
 
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
 #: Shingle hashes are kept with so many bytes for the comparison of two sets; two sets of 500 shingles agree in one by chance with probability 1e-9.
@@ -97,7 +97,7 @@ def _features(k: int):
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]), pa.int32()), pa.array(keys.reshape(-1), pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch["_id"][lo:hi], pa.array(n, pa.int64()), pa.array(d1), pa.array(d2), lists, blob], names)
 
-    return f
+    return lean_stream(f)
 
 
 def _block_values(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,9 +113,10 @@ def _send_shingles(n_buckets: int):
         block = table["block"][0].as_py()
         return pa.table([pa.array([block] * len(parts), pa.int32()), pa.array([i for i, _ in parts], pa.int32()), pa.array([pack_sorted(p) for _, p in parts], pa.binary())], names=["block", "bucket", "hashes"])
 
-    return f
+    return lean(f)
 
 
+@lean
 def _private(left: pa.Table, right: pa.Table) -> pa.Table:
     values, row, sizes = _block_values(left)
     _, at, count = np.unique(values, return_inverse=True, return_counts=True)
@@ -148,7 +149,7 @@ def _confirm(percent: int):
                 ok.append(100 * both >= percent * (na[i] + nb[i] - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in (batch["a"], batch["b"])], ["a", "b"])
 
-    return f
+    return lean_stream(f)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:

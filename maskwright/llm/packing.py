@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ChunkEncoder
-from .words import as_array, row_slices
+from .words import as_array, lean, row_slices
 
 #: Per token: the feed-forward and projection work; per pair of tokens: the attention, for a width of 1024.
 LINEAR, QUADRATIC = 1.0, 1.0 / 6144
@@ -88,7 +88,7 @@ def _pack_shard(vocabulary: str, end_id: int, length: int, names: list[str]):
             names=names,
         )
 
-    return f
+    return lean(f)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", length: int = 2048, end_id: int = 1, shard_bytes: int = SHARD_BYTES) -> DataFrame:

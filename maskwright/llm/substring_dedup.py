@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, as_array, claim, string_array
+from .words import Words, as_array, claim, lean, string_array
 
 #: Bytes of text in a block, about; a Python worker holds some twenty times as much while it works on one.
 BLOCK_BYTES = 5 << 20
@@ -66,9 +66,10 @@ def _send(window: int, n_buckets: int):
         block = table["_block"][0].as_py()
         return pa.table([pa.array([block] * len(parts), pa.int32()), pa.array([i for i, _ in parts], pa.int32()), pa.array([pack_sorted(p) for _, p in parts], pa.binary())], schema=schema)
 
-    return f
+    return lean(f)
 
 
+@lean
 def count_elsewhere(table: pa.Table) -> pa.Table:
     """For each slice of a bucket, one bit a hash: whether another slice holds it too."""
     blobs = [unpack_sorted(b.as_py()) for b in table["hashes"]]
@@ -123,7 +124,7 @@ def _apply(window: int, untouched: bool):
             text = pc.if_else(pc.equal(lost, 0), as_array(left["_text"]), text)
         return pa.table([left["_id"], left["_keep"], pa.array(w.counts, pa.int64()), lost, text, lists], names=["_id", "_keep", "n_words", "n_removed", "kept_text", "removed"])
 
-    return f
+    return lean(f)
 
 
 def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: Sequence[str] = (), untouched: bool = False) -> DataFrame:

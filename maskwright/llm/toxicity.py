@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, as_array, claim, row_slices, span_hashes, string_array
+from .words import Words, as_array, claim, lean_stream, row_slices, span_hashes, string_array
 
 SAMPLE, LEXICON = 5_000, 2_000
 #: Labelled rows of the rarer class from which on the lexicon and the trees learn from different halves.
@@ -153,6 +153,7 @@ def features(text: pa.Array, lexicon: Lexicon) -> np.ndarray:
     return out
 
 
+@lean_stream
 def _terms(batches):
     """Distinct terms of each document, counted by class and half: (words or beginning, hash, toxic, reads, documents)."""
     from collections import Counter
@@ -335,6 +336,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     lex, lex_read = entries("by", "w"), entries("by_read", "w_read")
 
+    @lean_stream
     def measure(batches):
         claim("toxicity")
         for batch in batches:
@@ -368,6 +370,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     a null id are not held out; each row stays a row and an empty table gives an empty result.
     """
 
+    @lean_stream
     def apply(batches):
         claim("toxicity")
         for batch in batches:
@@ -383,6 +386,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all columns, that are not predicted to be toxic (score below 0.5)."""
 
+    @lean_stream
     def apply(batches):
         claim("toxicity")
         for batch in batches:

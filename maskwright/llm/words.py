@@ -63,12 +63,44 @@ def claim(owner: str, forget: Callable[[], None] | None = None) -> None:
     if forget:
         _forget.append((owner, forget))
     gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the machine, where the C library can: idle workers wait beside other operators' tasks."""
+    pa.default_memory_pool().release_unused()
     try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)  # give freed memory back, where the C library can
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):
         pass
 
 
+def lean(f):
+    """A function of one group, or of two (as Spark tells them apart by their parameters), after which memory is given back."""
+
+    def one(table: pa.Table) -> pa.Table:
+        out = f(table)
+        give_back()
+        return out
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = f(left, right)
+        give_back()
+        return out
+
+    return two if f.__code__.co_argcount == 2 else one
+
+
+def lean_stream(f):
+    """The same for a function of a partition's batches."""
+
+    def run(batches):
+        yield from f(batches)
+        give_back()
+
+    return run
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finisher on uint64 (splitmix64's)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
