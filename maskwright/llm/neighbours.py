@@ -2,14 +2,19 @@
 
 Every tree gives a vector a string of 64 bits, the signs of random projections, kept in sorted arrays.
 A query descends each tree to its longest matching prefix, and then ascends all trees in step: the
-level is lowered until the trees together hold enough candidates below it.  Candidates are scored
-exactly, in double precision, on the original vectors.  Inner products become angles by one further
-component, which brings every stored vector to the largest length.
+level is lowered until the trees together hold enough candidates below it, or all there are.
+Candidates are scored exactly, in double precision, on the original vectors.  Inner products become
+angles by one further component, which brings a stored vector to the largest length of its band;
+bands are vectors of similar length (norm ranging), each with a forest of its own that every query
+searches, so the further component stays small and leaves the strings apart.  A band of at most
+cell_rows vectors is searched whole.
 
 In Spark: a tree's array is cut into cells by the first bits of its strings, about cell_rows vectors
 each; a crowded cell is cut by further bits, and what still has equal bits is dealt to shards that each
-get the cell's queries.  A query meets one cell of each tree.  Two passes over the same shuffle: the
-first counts candidates by level, the second scores those from the level chosen for each query.
+get the cell's queries.  Two passes over the same shuffle: the first counts candidates by level in the
+query's own cells, the second scores those from the level chosen for each query.  Levels above a cell
+are counted on the table of cells, for queries whose own cells hold too few, and such a query is sent
+to all cells below its level.
 """
 
 from __future__ import annotations
@@ -29,15 +34,18 @@ CANDIDATES = 72_000
 LEVELS = 24
 #: Further bits by which a crowded cell is cut.
 FURTHER = 12
+#: Bands of length, each down to 1/sqrt(2) of the one before; the last holds all that is shorter.
+BANDS = 40
 
 
 def planes(dim: int, trees: int = TREES, seed: int = 7) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim + 1, trees * BITS)).astype(np.float32)
 
 
-def codes(vectors: np.ndarray, longest: float, trees: int = TREES) -> np.ndarray:
-    """(rows, trees) bit strings as uint64, the first projection highest; longest: 0 for queries, which get no further component."""
-    more = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(1, keepdims=True), 0)) if longest else np.zeros((len(vectors), 1))
+def codes(vectors: np.ndarray, longest: float | np.ndarray, trees: int = TREES) -> np.ndarray:
+    """(rows, trees) bit strings as uint64, the first projection highest; longest: of all rows or each row's, 0 for queries, which get no further component."""
+    longest = np.asarray(longest, np.float64).reshape(-1, 1)
+    more = np.broadcast_to(np.sqrt(np.maximum(longest**2 - (vectors**2).sum(1, keepdims=True), 0)), (len(vectors), 1))
     full = np.hstack([vectors, more]).astype(np.float32)
     bits = (full @ planes(vectors.shape[1], trees)) > 0
     return np.packbits(bits.reshape(len(full), trees, BITS), axis=2).view(">u8")[:, :, 0].astype(np.uint64)
@@ -48,16 +56,18 @@ def _vectors(column) -> np.ndarray:
     return np.asarray(array.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(len(array), -1) if len(array) else np.empty((0, 1), np.float32)
 
 
-def _hash(longest: float, trees: int):
+def _hash(longest: np.ndarray, trees: int):
+    """longest: of each band."""
+
     def f(batches):
         claim("neighbours")
         for batch in batches:
             for lo in range(0, len(batch), 2048):
                 part = batch.slice(lo, 2048)
                 v = _vectors(part["_vec"])
-                c = codes(v.astype(np.float64), longest, trees)
+                c = codes(v.astype(np.float64), longest[part["band"].to_numpy()], trees)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * trees, pa.int32()), pa.array(c.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part["_id"], pa.array([x.tobytes() for x in v.astype("<f4")], pa.binary()), lists], ["_id", "vec", "codes"])
+                yield pa.RecordBatch.from_arrays([part["_id"], part["band"], pa.array([x.tobytes() for x in v.astype("<f4")], pa.binary()), lists], ["_id", "band", "vec", "codes"])
 
     return f
 
@@ -73,19 +83,18 @@ def _ranges(sorted_codes: np.ndarray, wanted: np.ndarray, level: np.ndarray | in
     return np.searchsorted(sorted_codes, wanted & ~mask), np.searchsorted(sorted_codes, wanted | mask, side="right")
 
 
-def _count(first: int):
-    def f(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int32()))], names=["q", "n"])
-        stored = np.sort(left["code"].to_numpy().view(np.uint64))
-        wanted = right["code"].to_numpy().view(np.uint64)
-        n = np.empty((len(wanted), LEVELS), np.int32)
-        for i in range(LEVELS):
-            lo, hi = _ranges(stored, wanted, min(first + i, BITS))
-            n[:, i] = hi - lo
-        return pa.table([right["q"], pa.ListArray.from_arrays(pa.array(np.arange(len(wanted) + 1) * LEVELS, pa.int32()), pa.array(n.reshape(-1)))], names=["q", "n"])
-
-    return f
+def _count(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Candidates of each query in its own cell, at LEVELS levels from the band's first on; none at levels above the cell."""
+    if not len(left) or not len(right):
+        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.list_(pa.int64()))], names=["q", "band", "n"])
+    stored = np.sort(left["code"].to_numpy().view(np.uint64))
+    wanted = right["code"].to_numpy().view(np.uint64)
+    first, depth = right["first"][0].as_py(), right["depth"][0].as_py()
+    n = np.zeros((len(wanted), LEVELS), np.int64)
+    for i in range(depth - first, LEVELS):
+        lo, hi = _ranges(stored, wanted, min(first + i, BITS))
+        n[:, i] = hi - lo
+    return pa.table([right["q"], right["band"], pa.ListArray.from_arrays(pa.array(np.arange(len(wanted) + 1) * LEVELS, pa.int32()), pa.array(n.reshape(-1)))], names=["q", "band", "n"])
 
 
 def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -138,6 +147,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     the smaller id; rows that repeat an id count once.  Vectors that are null, zero, or hold a null or a
     non-finite component, rows with a null id, and vectors of another length than the most frequent
     take no part.  Fewer candidates than k give fewer rows; empty tables give none.
+    Each band gives a query `candidates` candidates at least, repeats over trees counted, or all its rows.
     """
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark)
@@ -154,34 +164,76 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     schema = "query_id long, rank int, vec_id long, score double"
     if not shapes:
         return spark.createDataFrame([], schema)
-    dim, total, longest = shapes[0]["dim"], shapes[0]["n"], float(shapes[0]["sq"]) ** 0.5
-    first = max(0, (-(-total // cell_rows) - 1).bit_length())  # bits that cut total into cells
-    hashed = "_id long, vec binary, codes array<long>"
-    split = lambda df: df.select("_id", "vec", F.posexplode("codes").alias("tree", "code"))
-    index = split(stored.where(F.size("_vec") == dim).mapInArrow(_hash(longest, trees), hashed))
-    asked = split(usable(queries).where(F.size("_vec") == dim).mapInArrow(_hash(0.0, trees), hashed)).withColumnRenamed("_id", "q")
-    top = F.shiftrightunsigned("code", BITS - first) if first else F.lit(0).cast("long")
+    dim = shapes[0]["dim"]
+    stored = stored.where(F.size("_vec") == dim).withColumn("band", F.least(F.floor(F.log2(F.lit(shapes[0]["sq"]) / square)), F.lit(BANDS - 1)).cast("int"))
+    bands = {r["band"]: r for r in stored.groupBy("band").agg(F.count("*").alias("n"), F.max(square).alias("sq")).collect()}
+    longest = np.zeros(BANDS)
+    for i, r in bands.items():
+        longest[i] = r["sq"] ** 0.5
+    firsts = {i: max(0, (-(-r["n"] // cell_rows) - 1).bit_length()) for i, r in bands.items()}  # bits that cut a band into cells
+    of_band = lambda d: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col("band"))
+    wanted = max(candidates, trees * (k + 1))  # so some tree alone has k besides the query
+    hashed = "_id long, band int, vec binary, codes array<long>"
+    # a band of one cell is searched whole, in one tree
+    split = lambda df: df.select("_id", "band", of_band(firsts).alias("first"), "vec", F.posexplode(F.slice("codes", F.lit(1), of_band({i: trees if firsts[i] else 1 for i in firsts}))).alias("tree", "code"))
+    index = split(stored.select("_id", "_vec", "band").mapInArrow(_hash(longest, trees), hashed))
+    asked = usable(queries).where(F.size("_vec") == dim).dropDuplicates(["_id", "_vec"]).withColumn("band", F.lit(0)).mapInArrow(_hash(np.zeros(1), trees), hashed)
+    asked = split(asked.withColumn("band", F.explode(F.array(*map(F.lit, sorted(bands)))))).withColumnRenamed("_id", "q")
+    prefix = lambda level: F.expr(f"case when {level} = 0 then 0L else shiftrightunsigned(code, {BITS} - {level}) end")
     # crowded cells get further bits, and where those are equal too, shards
-    cells = index.groupBy("tree", top.alias("cell")).agg(F.count("*").alias("rows"))
+    cells = scratch.save(index.groupBy("band", "tree", "first", prefix("first").alias("cell")).agg(F.count("*").alias("rows")), "cells")
     bits = F.least(F.lit(FURTHER), F.ceil(F.log2(F.col("rows") / cell_rows)).cast("int"))
-    crowded = scratch.save(cells.where(F.col("rows") > 2 * cell_rows).select("tree", "cell", bits.alias("bits")), "crowded")
+    crowded = cells.where(F.col("rows") > 2 * cell_rows).select("band", "tree", "cell", bits.alias("bits"))
+    cut = not crowded.isEmpty()
 
     def placed(df: DataFrame) -> DataFrame:
-        full = df.withColumn("cell", top).join(crowded, ["tree", "cell"], "left").withColumn("bits", F.coalesce("bits", F.lit(0)))
-        return full.withColumn("sub", F.expr(f"case when bits = 0 then 0L else shiftrightunsigned(shiftleft(code, {first}), {BITS} - bits) end"))
-
-    parts = placed(index.select("tree", "code")).where("bits > 0").groupBy("tree", "cell", "sub").agg(F.count("*").alias("rows")).where(F.col("rows") > 2 * cell_rows)
-    parts = scratch.save(parts.select("tree", "cell", "sub", F.ceil(F.col("rows") / cell_rows).cast("int").alias("shards")), "parts")
-    sharded = lambda df: placed(df).join(parts, ["tree", "cell", "sub"], "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
-    index = sharded(index).withColumn("shard", F.pmod(F.xxhash64("_id"), F.col("shards")).cast("int")).select("tree", "cell", "sub", "shard", "_id", "code", "vec")
-    asked = sharded(asked).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select("tree", "cell", "sub", "shard", "q", "code", "vec")
-    where = ["tree", "cell", "sub", "shard"]
-    counts = index.groupBy(*where).cogroup(asked.groupBy(*where)).applyInArrow(_count(first), "q long, n array<int>")
-    levels = counts.groupBy("q").agg(*(F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(LEVELS)))
-    deep = F.greatest(F.lit(first), *(F.when(F.col(f"n{i}") >= candidates, first + i).otherwise(first) for i in range(LEVELS)))
-    levels = scratch.save(levels.select(F.col("q").alias("lq"), deep.cast("int").alias("level")), "levels")
-    chosen = asked.join(levels, F.col("q") == F.col("lq")).select(*where, "q", "code", "vec", "level")
-    found = index.groupBy(*where).cogroup(chosen.groupBy(*where)).applyInArrow(_score(k), "query_id long, vec_id long, score double").distinct()
+        full = df.withColumn("cell", prefix("first"))
+        full = full.join(crowded, ["band", "tree", "cell"], "left") if cut else full.withColumn("bits", F.lit(0))
+        return full.withColumn("depth", F.col("first") + F.coalesce("bits", F.lit(0))).withColumn("leaf", prefix("depth")).drop("cell", "bits")
+
+    leaves = cells.where(F.col("rows") <= 2 * cell_rows).select("band", "tree", F.col("first").alias("depth"), F.col("cell").alias("leaf"), "rows")
+    if cut:
+        leaves = leaves.union(placed(index.select("band", "tree", "first", "code")).where("depth > first").groupBy("band", "tree", "depth", "leaf").agg(F.count("*").alias("rows")))
+    shards = F.when(F.col("rows") > 2 * cell_rows, F.ceil(F.col("rows") / cell_rows)).otherwise(1).cast("int")
+    leaves = scratch.save(leaves.withColumn("shards", shards), "leaves")
+    where = ["band", "tree", "depth", "leaf"]
+    parts = leaves.where("shards > 1").select(*where, "shards")
+    sharded = lambda df: df.join(parts, where, "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
+    each = lambda df: df.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
+    index = sharded(placed(index)).withColumn("shard", F.pmod(F.xxhash64("_id"), F.col("shards")).cast("int")).select(*where, "shard", "first", "_id", "code", "vec")
+    asked = placed(asked)
+    # the levels above the leaves, by the leaves below each prefix
+    above = leaves.where("depth > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("depth") - 1)).alias("level"))
+    above = above.withColumn("prefix", F.expr("shiftrightunsigned(leaf, depth - level)"))
+    sums = above.groupBy("band", "tree", "level", "prefix").agg(F.sum("rows").alias("rows"))
+
+    def held(df: DataFrame, low, high) -> DataFrame:
+        """Candidates of each query below its prefixes of the levels from low to high, in the trees of df."""
+        at = df.select("q", "band", "tree", "first", "code", F.explode(F.sequence(low, high)).alias("level"))
+        return at.withColumn("prefix", prefix("level")).join(sums, ["band", "tree", "level", "prefix"])
+
+    levels = spark.createDataFrame([], "q long, band int, level int")
+    if any(firsts.values()):
+        several, of = asked.where("first > 0").drop("vec"), [*where, "shard"]
+        counts = index.where("first > 0").drop("vec").groupBy(*of).cogroup(each(sharded(several)).groupBy(*of)).applyInArrow(_count, "q long, band int, n array<long>")
+        if cut:  # levels between a cell and its further bits
+            inner = held(several.where("depth > first"), F.col("first"), F.col("depth") - 1)
+            spread = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda i: F.when(i == F.col("level") - F.col("first"), F.col("rows")).otherwise(F.lit(0).cast("long")))
+            counts = counts.union(inner.select("q", "band", spread.alias("n")))
+        counts = counts.groupBy("q", "band").agg(*(F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(LEVELS)))
+        deep = F.greatest(F.lit(-1), *(F.when(F.col(f"n{i}") >= wanted, i).otherwise(-1) for i in range(LEVELS)))
+        enough = scratch.save(counts.select("q", "band", (of_band(firsts) + deep).cast("int").alias("level"), deep.alias("deep")).where("deep >= 0").drop("deep"), "enough")
+        short = held(several.where("first > 1").join(enough, ["q", "band"], "left_anti"), F.lit(1), F.col("first") - 1)
+        short = short.groupBy("q", "band", "level").agg(F.sum("rows").alias("rows")).where(F.col("rows") >= wanted).groupBy("q", "band").agg(F.max("level").alias("level"))
+        levels = scratch.save(enough.union(short.select("q", "band", "level")), "levels")
+    at = asked.join(levels, ["q", "band"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    own = each(sharded(at.where("level >= depth")))
+    # level 0 is the whole band, which one tree holds
+    wide = at.where("level < depth and (level > 0 or tree = 0)").drop("depth", "leaf").withColumn("prefix", prefix("level"))
+    wide = each(wide.join(above.drop("rows"), ["band", "tree", "level", "prefix"]))
+    where, columns = [*where, "shard"], [*where, "shard", "q", "code", "vec", "level"]
+    chosen = own.select(*columns).union(wide.select(*columns))
+    found = index.drop("first").groupBy(*where).cogroup(chosen.groupBy(*where)).applyInArrow(_score(k), "query_id long, vec_id long, score double").distinct()
     from pyspark.sql import Window
 
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))

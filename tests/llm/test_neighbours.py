@@ -55,6 +55,26 @@ def test_crowded_cells_recall_and_few_candidates(spark):
     assert nearest(df.limit(0), df.limit(0)).collect() == []
 
 
+def recall(found, want):
+    return sum(sum(s >= want[q][-1][1] - 1e-9 for _, s in found.get(q, [])) for q in want) / sum(map(len, want.values()))
+
+
+def test_queries_ascend_past_thin_cells_and_skewed_lengths(spark):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((4000, 16)) * rng.lognormal(0, 1.5, (4000, 1))
+    for name in ("lengths", "one side"):
+        rows = list(enumerate(v.tolist()))
+        df = frame(spark, rows)
+        ask = df.where("vec_id % 20 = 0")
+        found, want = got(nearest(df, ask, 20, cell_rows=64, candidates=24 * 400)), brute(rows, range(0, 4000, 20), 20)
+        assert all(len(found.get(q, [])) == 20 for q in want), name
+        assert recall(found, want) >= 0.95, name
+        # stored vectors of one length in a few directions, queries in all directions: most cells of a query are empty
+        v = rng.standard_normal((4000, 16))
+        v[np.arange(4000) % 20 != 0] = rng.standard_normal((3, 16))[rng.integers(0, 3, 3800)] + rng.standard_normal((3800, 16)) * 0.05
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def test_repeated_rows_and_clashing_columns(spark):
     df = frame(spark, [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (2, [0.5, 0.5]), (None, [1.0, 1.0])]).selectExpr("*", "1 as code", "2 as cell", "3 as query_id")
     assert got(nearest(df, df)) == {1: [(2, 0.5)], 2: [(1, 0.5)]}
