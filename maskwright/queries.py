@@ -214,8 +214,9 @@ def leak_check(spark: SparkSession, sf: str) -> DataFrame:
 def leak_report(spark: SparkSession, sf: str) -> DataFrame:
     """Nation and region names in request turns and documents, by kind."""
     known = _table(spark, sf, "nation").select(F.col("n_name").alias("surface"), F.lit("NATION").alias("kind")).union(_table(spark, sf, "region").select("r_name", F.lit("REGION")))
-    docs = _table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    return leak.report(leak.find_known(docs, known), known)
+    turns = _table(spark, sf, "conversations").select((-1 - F.col("conv_id") * 1000 - F.col("turn")).alias("doc_id"), "text")  # below every document's id
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return leak.report(leak.find_known(docs.unionByName(turns), known), known)
 
 
 # -- probe --------------------------------------------------------------------------------------------
