@@ -28,3 +28,8 @@ def test_leak_report_searches_documents_and_turns(spark, write):
     sf = documents(write, ["to Kenya and Kenya", "all of Asia", "nothing"])
     got = {r.kind: (r.standalone, r.leak) for r in entry.queries()["leak_report"](spark, sf).collect()}
     assert got == {"NATION": (3, True), "REGION": (1, True)}
+
+
+def test_mask_documents_masks_every_default_kind(spark, write):
+    sf = documents(write, ["a@b.org", "call +49 30 1234567", "DE89 3704 0044 0532 0130 00", "4111 1111 1111 1111", "none"])
+    assert {r.doc_id: r.n_masked for r in entry.queries()["mask_documents"](spark, sf).collect()} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0}
