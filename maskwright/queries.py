@@ -145,10 +145,15 @@ def enrol_scopes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def redact_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """M1-M3, GL1: every document as it may cross, with its counts and the digest of its text."""
+    """M1-M3, GL1: every document as it may cross, with its counts and the digest of its text.
+
+    One without a scope has no vault and may not cross: it is refused, a row with null scope, counts and digest.
+    """
     tokens, aliases, salts = _vault(spark, sf)
-    out = enrol.redact(_table(spark, sf, "documents"), tokens, aliases, salts)
-    return out.select("doc_id", "scope_id", "redacted_count", F.array_join("entity_types", ",").alias("entity_types"), F.size("glossary").alias("n_glossary"), C.content_hash(F.col("text")).alias("content_sha256"))
+    docs = _table(spark, sf, "documents")
+    out = enrol.redact(docs, tokens, aliases, salts)
+    refused = docs.where("source is null").select(F.col("doc_id").cast("long").alias("doc_id"))
+    return out.unionByName(refused, allowMissingColumns=True).select("doc_id", "scope_id", "redacted_count", F.array_join("entity_types", ",").alias("entity_types"), F.size("glossary").alias("n_glossary"), C.content_hash(F.col("text")).alias("content_sha256"))
 
 
 @query

@@ -33,3 +33,11 @@ def test_leak_report_searches_documents_and_turns(spark, write):
 def test_mask_documents_masks_every_default_kind(spark, write):
     sf = documents(write, ["a@b.org", "call +49 30 1234567", "DE89 3704 0044 0532 0130 00", "4111 1111 1111 1111", "none"])
     assert {r.doc_id: r.n_masked for r in entry.queries()["mask_documents"](spark, sf).collect()} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0}
+
+
+def test_redact_documents_refuses_documents_without_a_scope(spark, write):
+    write("supplier", [(1, "Acme Ltd")], "s_suppkey long, s_name string")
+    sf = write("documents", [(0, "a@b.org", "en", "s", 7), (1, "c@d.org", "en", None, 7)], DOCS)
+    got = {r.doc_id: r for r in entry.queries()["redact_documents"](spark, sf).collect()}
+    assert got.keys() == {0, 1} and got[0].redacted_count == 1
+    assert [got[1][c] for c in ("scope_id", "redacted_count", "entity_types", "n_glossary", "content_sha256")] == [None] * 5
