@@ -1,240 +1,271 @@
 """Approximate nearest neighbours by a forest of hash prefixes.
 
-Every tree gives a vector a string of 64 bits, the signs of random projections, kept in sorted arrays.
-A query descends each tree to its longest matching prefix, and then ascends all trees in step: the
-level is lowered until the trees together hold enough candidates below it, or all there are.
-Candidates are scored exactly, in double precision, on the original vectors.  Inner products become
-angles by one further component, which brings a stored vector to the largest length of its band;
-bands are vectors of similar length (norm ranging), each with a forest of its own that every query
-searches, so the further component stays small and leaves the strings apart.  A band of at most
-cell_rows vectors is searched whole.
-
-In Spark: a tree's array is cut into cells by the first bits of its strings, about cell_rows vectors
-each; a crowded cell is cut by further bits, and what still has equal bits is dealt to shards that each
-get the cell's queries.  Two passes over the same shuffle: the first counts candidates by level in the
-query's own cells, the second scores those from the level chosen for each query.  Levels above a cell
-are counted on the table of cells, for queries whose own cells hold too few, and such a query is sent
-to all cells below its level.
+Every tree gives a vector a string of 64 bits: first the number of that of SYMBOLS random directions it
+is closest to, then the signs of random projections.  A tree is the sorted array of its strings.  A
+query descends each tree to its longest matching prefix and then all trees ascend in step, to shorter
+prefixes, and at the root of the first symbol to the symbols next closest to the query, until the
+trees together have met `touch` of all rows, repeats counted.  Rows met in at least two trees are the
+candidates, and are scored exactly, in double precision, on the original vectors.  All bounds are shares of
+the rows searched, so recall does not fall as a table grows.
+
+Inner products are not angles: the rows of a forest are cut into bands of similar length (norm
+ranging), each with trees of its own, searched from the longest on; a band whose longest vector cannot
+reach a query's k-th score so far is passed over, which loses nothing.  Bands of at most `whole` rows are
+searched whole.  Equal vectors are one entry with its k + 1 smallest ids: no larger one can be among
+the k nearest, as ties go to the smaller id.
+
+In Spark: rows are dealt to blocks of BLOCK_BYTES by a hash of the row, each block has its own forest,
+built in the task, and every query of the stated set visits all blocks; the blocks' best are merged.
+Stored vectors are shuffled once; a query is sent once to each block.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
-from .words import as_array, claim
-
-TREES, BITS, CELL_ROWS = 24, 64, 4096
-#: Candidates that all trees together give a query, repeats counted, before ascending stops.
-CANDIDATES = 72_000
-#: Levels below the first bits that the trees ascend through.
-LEVELS = 24
-#: Further bits by which a crowded cell is cut.
-FURTHER = 12
+from .words import as_array, claim, lean
+
+TREES, SYMBOLS, BITS = 64, 1024, 64
+#: Share of a band's rows that all trees together meet, repeats counted, before ascending stops.
+TOUCH = 0.3
+#: Symbols of a tree that a query enters at most; beyond, it searches the band whole.
+SIBLINGS = 16
+#: Rows of a band that are searched whole.
+WHOLE = 512
+#: Bytes of vectors in a block, least rows of one, and bytes of queries that meet a block at once.
+BLOCK_BYTES, BLOCK_ROWS, QUERY_BYTES = 32 << 20, 16_384, 64 << 20
+#: Queries searched at once.
+AT_ONCE = 512
+#: Prefixes that the trees ascend through below the first symbol.
+LEVELS = (64, 48, 40, 34, 30, 27, 24, 22, 20, 18, 17, 16, 15, 14, 13, 12, 11)
 #: Bands of length, each down to 1/sqrt(2) of the one before; the last holds all that is shorter.
 BANDS = 40
+#: Rows hashed at once.
+STEP = 2048
+
+_FIRST = SYMBOLS.bit_length() - 1
+
+
+def directions(dim: int, tree: int, seed: int = 7) -> np.ndarray:
+    """A tree's directions: SYMBOLS of length 1, then those of the signs."""
+    r = np.random.default_rng([seed, dim, tree]).standard_normal((SYMBOLS + BITS - _FIRST, dim)).astype(np.float32)
+    return r / np.linalg.norm(r, axis=1, keepdims=True)
+
+
+def unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length 1 in single precision, and the binary logarithms of the lengths; none may be zero."""
+    v = vectors.astype(np.float64)
+    top = np.abs(v).max(axis=1, keepdims=True)
+    v = v / top
+    n = np.sqrt((v * v).sum(axis=1))
+    return (v / n[:, None]).astype(np.float32), np.log2(top[:, 0]) + np.log2(n)
+
+
+def strings(units: np.ndarray, tree: int, siblings: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A tree's strings as uint64, and for siblings > 0 the symbols closest to each row, closest first."""
+    r = directions(units.shape[1], tree).T
+    codes, near = np.empty(len(units), np.uint64), np.empty((len(units), siblings), np.int32)
+    for lo in range(0, len(units), STEP):
+        p = units[lo : lo + STEP] @ r
+        symbol = p[:, :SYMBOLS].argmax(axis=1).astype(np.uint64)
+        signs = np.packbits(np.pad(p[:, SYMBOLS:] > 0, ((0, 0), (_FIRST, 0))), axis=1).view(">u8")[:, 0].astype(np.uint64)
+        codes[lo : lo + STEP] = (symbol << np.uint64(BITS - _FIRST)) | signs
+        if siblings:
+            some = np.argpartition(-p[:, :SYMBOLS], siblings, axis=1)[:, :siblings]
+            order = np.argsort(-np.take_along_axis(p, some, 1), axis=1, kind="stable")
+            near[lo : lo + STEP] = np.take_along_axis(some, order, 1)
+    return codes, near
+
+
+class Forest:
+    """The trees of one band's distinct vectors."""
+
+    def __init__(self, units: np.ndarray, trees: int):
+        self.n, self.trees = len(units), trees
+        self.order = np.empty(trees * self.n, np.int32)
+        self.codes = np.empty(trees * self.n, np.uint64)
+        self.starts = np.empty((trees, SYMBOLS + 1), np.int64)
+        for t in range(trees):
+            codes, _ = strings(units, t)
+            order = np.argsort(codes, kind="stable")
+            self.order[t * self.n : (t + 1) * self.n] = order
+            mine = self.codes[t * self.n : (t + 1) * self.n] = codes[order]
+            self.starts[t] = np.searchsorted(mine >> np.uint64(BITS - _FIRST), np.arange(SYMBOLS + 1, dtype=np.uint64)) + t * self.n
+
+    def meets(self, codes: np.ndarray, near: np.ndarray, wanted: float):
+        """For each query (its strings and closest symbols by tree), in how many trees it meets each row; None where all rows are to be searched."""
+        q = codes.shape[0]
+        t = np.arange(self.trees)[None, :, None]
+        sizes = (self.starts[t, near + 1] - self.starts[t, near]).sum(axis=1).cumsum(axis=1)  # (queries, siblings)
+        lo, hi = np.empty((q, self.trees), np.int64), np.empty((q, self.trees), np.int64)
+        open_ = np.flatnonzero(sizes[:, 0] >= wanted)  # their first symbols hold enough: a longer prefix may
+        for level in LEVELS:
+            if not len(open_):
+                break
+            mask = np.uint64((1 << (BITS - level)) - 1)
+            for i in range(self.trees):
+                mine, c = self.codes[i * self.n : (i + 1) * self.n], codes[open_, i]
+                lo[open_, i] = np.searchsorted(mine, c & ~mask) + i * self.n
+                hi[open_, i] = np.searchsorted(mine, c | mask, side="right") + i * self.n
+            open_ = open_[(hi[open_] - lo[open_]).sum(axis=1) < wanted]
+        deep = sizes[:, 0] >= wanted
+        deep[open_] = False
+        for i in range(q):
+            if deep[i]:
+                a, b = lo[i], hi[i]
+            else:
+                r = int(np.searchsorted(sizes[i], wanted)) + 1
+                if r > near.shape[2]:
+                    yield None
+                    continue
+                a, b = self.starts[t[0], near[i, :, :r]].ravel(), self.starts[t[0], near[i, :, :r] + 1].ravel()
+            yield np.bincount(np.concatenate([self.order[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]), minlength=self.n)
 
 
-def planes(dim: int, trees: int = TREES, seed: int = 7) -> np.ndarray:
-    return np.random.default_rng([seed, dim]).standard_normal((dim + 1, trees * BITS)).astype(np.float32)
-
-
-def codes(vectors: np.ndarray, longest: float | np.ndarray, trees: int = TREES) -> np.ndarray:
-    """(rows, trees) bit strings as uint64, the first projection highest; longest: of all rows or each row's, 0 for queries, which get no further component."""
-    longest = np.asarray(longest, np.float64).reshape(-1, 1)
-    more = np.broadcast_to(np.sqrt(np.maximum(longest**2 - (vectors**2).sum(1, keepdims=True), 0)), (len(vectors), 1))
-    full = np.hstack([vectors, more]).astype(np.float32)
-    bits = (full @ planes(vectors.shape[1], trees)) > 0
-    return np.packbits(bits.reshape(len(full), trees, BITS), axis=2).view(">u8")[:, :, 0].astype(np.uint64)
-
-
-def _vectors(column) -> np.ndarray:
-    array = as_array(column)
-    return np.asarray(array.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(len(array), -1) if len(array) else np.empty((0, 1), np.float32)
-
-
-def _hash(longest: np.ndarray, trees: int):
-    """longest: of each band."""
-
-    def f(batches):
-        claim("neighbours")
-        for batch in batches:
-            for lo in range(0, len(batch), 2048):
-                part = batch.slice(lo, 2048)
-                v = _vectors(part["_vec"])
-                c = codes(v.astype(np.float64), longest[part["band"].to_numpy()], trees)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * trees, pa.int32()), pa.array(c.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part["_id"], part["band"], pa.array([x.tobytes() for x in v.astype("<f4")], pa.binary()), lists], ["_id", "band", "vec", "codes"])
-
-    return f
+def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products in double precision; the same two vectors give the same number anywhere."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return (vectors.astype(np.float64) * query.astype(np.float64)).sum(axis=1)
 
 
-def _floats(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(len(column), -1)
+def merged(lists: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of lists of ids and scores, ties to the smaller id; an id counts once, with its best score."""
+    ids, s = np.concatenate([x for x, _ in lists]), np.concatenate([x for _, x in lists])
+    order = np.lexsort([ids, -s])
+    _, one = np.unique(ids[order], return_index=True)
+    order = order[np.sort(one)][:k]
+    return ids[order], s[order]
 
 
-def _ranges(sorted_codes: np.ndarray, wanted: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the strings lie that share so many first bits with each wanted one."""
-    free = np.asarray(BITS - level, np.uint64)
-    mask = np.where(free >= BITS, np.uint64(2**64 - 1), (np.uint64(1) << np.minimum(free, np.uint64(63))) - np.uint64(1))
-    return np.searchsorted(sorted_codes, wanted & ~mask), np.searchsorted(sorted_codes, wanted | mask, side="right")
+def best(ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the k nearest of these rows, whose ids are given; ties to the smaller id, an id once."""
+    if len(ids) > 2 * k:
+        with np.errstate(over="ignore", invalid="ignore"):
+            rough = vectors[rows] @ query
+        if np.isfinite(rough).all():
+            edge = np.partition(rough, len(ids) - k)[len(ids) - k]
+            near = np.flatnonzero(rough >= edge - 1e-5 * (1 + abs(float(edge))))
+            out = merged([(ids[near], exact_scores(vectors[rows[near]], query))], k)
+            if len(out[0]) == k:  # fewer: ids repeat among the best
+                return out
+    return merged([(ids, exact_scores(vectors[rows], query))], k)
 
 
-def _count(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Candidates of each query in its own cell, at LEVELS levels from the band's first on; none at levels above the cell."""
-    if not len(left) or not len(right):
-        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.list_(pa.int64()))], names=["q", "band", "n"])
-    stored = np.sort(left["code"].to_numpy().view(np.uint64))
-    wanted = right["code"].to_numpy().view(np.uint64)
-    first, depth = right["first"][0].as_py(), right["depth"][0].as_py()
-    n = np.zeros((len(wanted), LEVELS), np.int64)
-    for i in range(depth - first, LEVELS):
-        lo, hi = _ranges(stored, wanted, min(first + i, BITS))
-        n[:, i] = hi - lo
-    return pa.table([right["q"], right["band"], pa.ListArray.from_arrays(pa.array(np.arange(len(wanted) + 1) * LEVELS, pa.int32()), pa.array(n.reshape(-1)))], names=["q", "band", "n"])
+def _matrix(column, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products in double precision; the same two vectors give the same number anywhere."""
-    return (vectors.astype(np.float64) * query.astype(np.float64)).sum(axis=1)
-
-
-def best(ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the k nearest, ties to the smaller id."""
-    rough = vectors @ query
-    if len(ids) > k:
-        edge = np.partition(rough, len(ids) - k)[len(ids) - k]
-        near = np.flatnonzero(rough >= edge - 1e-5 * (1 + abs(float(edge))))
-    else:
-        near = np.arange(len(ids))
-    s = exact_scores(vectors[near], query)
-    order = np.lexsort([ids[near], -s])
-    _, one = np.unique(ids[near][order], return_index=True)  # rows that repeat an id
-    order = order[np.sort(one)][:k]
-    return ids[near][order], s[order]
+def _distinct(ids: np.ndarray, raw: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the distinct vectors' first rows, and by them (first, ids) the k + 1 smallest distinct ids of each."""
+    held: dict[bytes, list[int]] = {}
+    for i, v in enumerate(raw):
+        held.setdefault(v, []).append(i)
+    rows = np.array([r[0] for r in held.values()], np.int64)
+    few = [np.unique(ids[r])[: k + 1] if len(r) > 1 else ids[r] for r in held.values()]
+    return rows, np.concatenate([[0], np.cumsum([len(f) for f in few])]), np.concatenate(few)
 
 
-def _score(k: int):
-    names = ["query_id", "vec_id", "score"]
+def _search(k: int, trees: int, touch: float, whole: int, kind: str):
+    names = ["query_id", "vec_id", "score", "scored"]
+    empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.int64())], names=names)
 
     def f(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        claim("neighbours")
         if not len(left) or not len(right):
             return empty
-        stored = left["code"].to_numpy().view(np.uint64)
-        order = np.argsort(stored, kind="stable")
-        stored, ids = stored[order], left["_id"].to_numpy()[order]
-        vectors = _floats(left["vec"])[order]
-        queries, who = _floats(right["vec"]), right["q"].to_numpy()
-        lo, hi = _ranges(stored, right["code"].to_numpy().view(np.uint64), right["level"].to_numpy())
+        rows, first, ids = _distinct(left["_id"].to_numpy(), left["vec"].to_pylist(), k)
+        vectors = _matrix(left["vec"], kind)[rows]
+        units, length = unit(vectors)
+        band = np.minimum(2 * (length.max() - length), BANDS - 1).astype(int)
+        bands = [(np.flatnonzero(band == b), length[band == b].max()) for b in np.unique(band)]
+        forests = [Forest(units[mine], trees) if len(mine) > whole else None for mine, _ in bands]
         out = []
-        for i, q in enumerate(who):
-            own = ids[lo[i] : hi[i]] != q
-            found, s = best(ids[lo[i] : hi[i]][own], vectors[lo[i] : hi[i]][own], queries[i], k)
-            out.append((np.full(len(found), q), found, s))
-        return pa.table([pa.array(np.concatenate([o[j] for o in out])) for j in range(3)], names=names) if out else empty
+        for lo in range(0, len(right), AT_ONCE):
+            part = right.slice(lo, AT_ONCE)
+            who, asked = part["q"].to_numpy(), _matrix(part["vec"], kind)
+            q_units, q_length = unit(asked)
+            found = [(np.empty(0, np.int64), np.empty(0))] * len(who)
+            scored = np.zeros(len(who), np.int64)
+            if any(forests):
+                each = [strings(q_units, t, SIBLINGS) for t in range(trees)]
+                codes, near = np.stack([c for c, _ in each], 1), np.stack([n for _, n in each], 1)
+            for (mine, longest), forest in zip(bands, forests, strict=True):
+                reach = np.exp2(np.minimum(q_length + longest, 1000.0)) * (1 + 1e-6)
+                kth = np.array([s[k - 1] if len(s) >= k else -np.inf for _, s in found])
+                some = np.flatnonzero(reach >= kth)
+                met = forest.meets(codes[some], near[some], max(touch * len(mine), trees * (k + 1))) if forest else [None] * len(some)
+                for i, times in zip(some, met, strict=True):
+                    chosen = mine
+                    if times is not None:
+                        chosen = next((c for c in (mine[times >= 2], mine[times >= 1]) if len(c) > k), mine)
+                    scored[i] += len(chosen)
+                    sizes = first[chosen + 1] - first[chosen]
+                    row = np.repeat(chosen, sizes)
+                    of = ids[np.repeat(first[chosen] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(row))]
+                    own = of != who[i]
+                    if not own.all():
+                        of, row = of[own], row[own]
+                    got, s = best(of, vectors, row, asked[i], k)
+                    found[i] = merged([found[i], (got, s)], k) if len(found[i][0]) else (got, s)
+            sizes = [len(x) for x, _ in found]
+            counted = np.zeros(sum(sizes), np.int64)  # once for each query
+            firsts = np.cumsum(sizes) - sizes
+            counted[firsts[np.array(sizes) > 0]] = scored[np.array(sizes) > 0]
+            out.append([np.repeat(who, sizes), np.concatenate([x for x, _ in found]), np.concatenate([s for _, s in found]), counted])
+        return pa.table([pa.array(np.concatenate([o[i] for o in out])) for i in range(4)], names=names)
+
+    return lean(f)
+
+
+def _pack(kind: str):
+    def f(batches):
+        for batch in batches:
+            array = as_array(batch["_vec"])
+            v = np.asarray(array.flatten().to_numpy(zero_copy_only=False), kind)
+            ends = np.concatenate([[0], np.cumsum(np.asarray(batch["dim"]))])
+            packed = [v[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["_id"], batch["dim"], pa.array(packed, pa.binary())], ["_id", "dim", "vec"])
 
     return f
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = TREES, cell_rows: int = CELL_ROWS, candidates: int = CANDIDATES, scratch: Scratch | None = None) -> DataFrame:
-    """(query_id, rank from 1, vec_id, score): for each row of queries, the k rows of vectors found nearest by inner product.
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = TREES, touch: float = TOUCH, whole: int = WHOLE, block_bytes: int = BLOCK_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, rank from 1, vec_id, score, n_scored): for each row of queries, the k rows of vectors found nearest by inner product.
 
-    Both tables have an integer id and an array of floats.  A query's own id is no candidate; ties go to
-    the smaller id; rows that repeat an id count once.  Vectors that are null, zero, or hold a null or a
-    non-finite component, rows with a null id, and vectors of another length than the most frequent
-    take no part.  Fewer candidates than k give fewer rows; empty tables give none.
-    Each band gives a query `candidates` candidates at least, repeats over trees counted, or all its rows.
+    Both tables have an integer id and an array of numbers, doubles kept as doubles.  A query's own id is
+    no candidate; ties go to the smaller id; an id that repeats counts once, with its best score, among
+    queries too.  Vectors that are null, zero, or hold a null or a non-finite
+    component, and rows with a null id take no part; vectors are compared with those of their own length
+    only.  Fewer candidates than k give fewer rows; empty tables give none.  n_scored: distinct vectors
+    scored for the query.
     """
     spark = vectors.sparkSession
-    scratch = scratch or Scratch(spark)
+    element = vectors.schema[vec_col].dataType.elementType.simpleString()
+    kind = "<f4" if element == "float" else "<f8"
+    width = 4 if element == "float" else 8
 
     def usable(df: DataFrame) -> DataFrame:
-        v = F.col(vec_col).cast("array<float>")
+        v = F.col(vec_col).cast("array<float>" if element == "float" else "array<double>")
         rows = df.select(F.col(id_col).cast("long").alias("_id"), v.alias("_vec"))
         finite = F.forall("_vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        return rows.where(F.col("_id").isNotNull() & F.col("_vec").isNotNull()).where(finite & F.exists("_vec", lambda x: x != 0))
-
-    stored = usable(vectors)
-    square = F.aggregate("_vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    shapes = stored.groupBy(F.size("_vec").alias("dim")).agg(F.count("*").alias("n"), F.max(square).alias("sq")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not shapes:
-        return spark.createDataFrame([], schema)
-    dim = shapes[0]["dim"]
-    stored = stored.where(F.size("_vec") == dim).withColumn("band", F.least(F.floor(F.log2(F.lit(shapes[0]["sq"]) / square)), F.lit(BANDS - 1)).cast("int"))
-    bands = {r["band"]: r for r in stored.groupBy("band").agg(F.count("*").alias("n"), F.max(square).alias("sq")).collect()}
-    longest = np.zeros(BANDS)
-    for i, r in bands.items():
-        longest[i] = r["sq"] ** 0.5
-    firsts = {i: max(0, (-(-r["n"] // cell_rows) - 1).bit_length()) for i, r in bands.items()}  # bits that cut a band into cells
-    of_band = lambda d: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col("band"))
-    wanted = max(candidates, trees * (k + 1))  # so some tree alone has k besides the query
-    hashed = "_id long, band int, vec binary, codes array<long>"
-    # a band of one cell is searched whole, in one tree
-    split = lambda df: df.select("_id", "band", of_band(firsts).alias("first"), "vec", F.posexplode(F.slice("codes", F.lit(1), of_band({i: trees if firsts[i] else 1 for i in firsts}))).alias("tree", "code"))
-    index = split(stored.select("_id", "_vec", "band").mapInArrow(_hash(longest, trees), hashed))
-    asked = usable(queries).where(F.size("_vec") == dim).dropDuplicates(["_id", "_vec"]).withColumn("band", F.lit(0)).mapInArrow(_hash(np.zeros(1), trees), hashed)
-    asked = split(asked.withColumn("band", F.explode(F.array(*map(F.lit, sorted(bands)))))).withColumnRenamed("_id", "q")
-    prefix = lambda level: F.expr(f"case when {level} = 0 then 0L else shiftrightunsigned(code, {BITS} - {level}) end")
-    # crowded cells get further bits, and where those are equal too, shards
-    cells = scratch.save(index.groupBy("band", "tree", "first", prefix("first").alias("cell")).agg(F.count("*").alias("rows")), "cells")
-    bits = F.least(F.lit(FURTHER), F.ceil(F.log2(F.col("rows") / cell_rows)).cast("int"))
-    crowded = cells.where(F.col("rows") > 2 * cell_rows).select("band", "tree", "cell", bits.alias("bits"))
-    cut = not crowded.isEmpty()
-
-    def placed(df: DataFrame) -> DataFrame:
-        full = df.withColumn("cell", prefix("first"))
-        full = full.join(crowded, ["band", "tree", "cell"], "left") if cut else full.withColumn("bits", F.lit(0))
-        return full.withColumn("depth", F.col("first") + F.coalesce("bits", F.lit(0))).withColumn("leaf", prefix("depth")).drop("cell", "bits")
-
-    leaves = cells.where(F.col("rows") <= 2 * cell_rows).select("band", "tree", F.col("first").alias("depth"), F.col("cell").alias("leaf"), "rows")
-    if cut:
-        leaves = leaves.union(placed(index.select("band", "tree", "first", "code")).where("depth > first").groupBy("band", "tree", "depth", "leaf").agg(F.count("*").alias("rows")))
-    shards = F.when(F.col("rows") > 2 * cell_rows, F.ceil(F.col("rows") / cell_rows)).otherwise(1).cast("int")
-    leaves = scratch.save(leaves.withColumn("shards", shards), "leaves")
-    where = ["band", "tree", "depth", "leaf"]
-    parts = leaves.where("shards > 1").select(*where, "shards")
-    sharded = lambda df: df.join(parts, where, "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
-    each = lambda df: df.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
-    index = sharded(placed(index)).withColumn("shard", F.pmod(F.xxhash64("_id"), F.col("shards")).cast("int")).select(*where, "shard", "first", "_id", "code", "vec")
-    asked = placed(asked)
-    # the levels above the leaves, by the leaves below each prefix
-    above = leaves.where("depth > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("depth") - 1)).alias("level"))
-    above = above.withColumn("prefix", F.expr("shiftrightunsigned(leaf, depth - level)"))
-    sums = above.groupBy("band", "tree", "level", "prefix").agg(F.sum("rows").alias("rows"))
-
-    def held(df: DataFrame, low, high) -> DataFrame:
-        """Candidates of each query below its prefixes of the levels from low to high, in the trees of df."""
-        at = df.select("q", "band", "tree", "first", "code", F.explode(F.sequence(low, high)).alias("level"))
-        return at.withColumn("prefix", prefix("level")).join(sums, ["band", "tree", "level", "prefix"])
-
-    levels = spark.createDataFrame([], "q long, band int, level int")
-    if any(firsts.values()):
-        several, of = asked.where("first > 0").drop("vec"), [*where, "shard"]
-        counts = index.where("first > 0").drop("vec").groupBy(*of).cogroup(each(sharded(several)).groupBy(*of)).applyInArrow(_count, "q long, band int, n array<long>")
-        if cut:  # levels between a cell and its further bits
-            inner = held(several.where("depth > first"), F.col("first"), F.col("depth") - 1)
-            spread = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda i: F.when(i == F.col("level") - F.col("first"), F.col("rows")).otherwise(F.lit(0).cast("long")))
-            counts = counts.union(inner.select("q", "band", spread.alias("n")))
-        counts = counts.groupBy("q", "band").agg(*(F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(LEVELS)))
-        deep = F.greatest(F.lit(-1), *(F.when(F.col(f"n{i}") >= wanted, i).otherwise(-1) for i in range(LEVELS)))
-        enough = scratch.save(counts.select("q", "band", (of_band(firsts) + deep).cast("int").alias("level"), deep.alias("deep")).where("deep >= 0").drop("deep"), "enough")
-        short = held(several.where("first > 1").join(enough, ["q", "band"], "left_anti"), F.lit(1), F.col("first") - 1)
-        short = short.groupBy("q", "band", "level").agg(F.sum("rows").alias("rows")).where(F.col("rows") >= wanted).groupBy("q", "band").agg(F.max("level").alias("level"))
-        levels = scratch.save(enough.union(short.select("q", "band", "level")), "levels")
-    at = asked.join(levels, ["q", "band"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
-    own = each(sharded(at.where("level >= depth")))
-    # level 0 is the whole band, which one tree holds
-    wide = at.where("level < depth and (level > 0 or tree = 0)").drop("depth", "leaf").withColumn("prefix", prefix("level"))
-    wide = each(wide.join(above.drop("rows"), ["band", "tree", "level", "prefix"]))
-    where, columns = [*where, "shard"], [*where, "shard", "q", "code", "vec", "level"]
-    chosen = own.select(*columns).union(wide.select(*columns))
-    found = index.drop("first").groupBy(*where).cogroup(chosen.groupBy(*where)).applyInArrow(_score(k), "query_id long, vec_id long, score double").distinct()
-    from pyspark.sql import Window
-
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        rows = rows.where(F.col("_id").isNotNull() & F.col("_vec").isNotNull()).where(finite & F.exists("_vec", lambda x: x != 0))
+        return rows.select("_id", F.size("_vec").alias("dim"), "_vec").mapInArrow(_pack(kind), "_id long, dim int, vec binary")
+
+    size = vectors.agg(F.count("*").alias("n"), F.sum(F.when(F.size(vec_col) > 0, F.size(vec_col))).alias("numbers")).first()
+    parallel = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["n"] // block_rows))
+    blocks = max(1, parallel, -(-(size["numbers"] or 0) * width // block_bytes))
+    asked = usable(queries).distinct()
+    turns = max(1, -(-(queries.agg(F.sum(F.when(F.size(vec_col) > 0, F.size(vec_col)))).first()[0] or 0) * width // QUERY_BYTES))
+    # (the row's number spreads rows that are equal in id and vector)
+    stored = usable(vectors).withColumn("block", F.pmod(F.xxhash64("_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+    stored = stored.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))) if turns > 1 else F.lit(0))
+    asked = asked.select(F.col("_id").alias("q"), "dim", "vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("_id"), F.lit(turns)).cast("int").alias("turn"))
+    of = ["dim", "block", "turn"]
+    found = stored.groupBy(*of).cogroup(asked.groupBy(*of)).applyInArrow(_search(k, trees, touch, whole, kind), "query_id long, vec_id long, score double, scored long")
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.sum("scored").alias("scored"))
+    w = Window.partitionBy("query_id")
+    ranked = once.withColumn("n_scored", F.sum("scored").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "vec_id")).cast("int"))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "n_scored")

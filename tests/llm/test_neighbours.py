@@ -1,7 +1,8 @@
 import numpy as np
+import pandas as pd
 
 from maskwright.llm.graph import components
-from maskwright.llm.neighbours import best, exact_scores, nearest
+from maskwright.llm.neighbours import best, exact_scores, nearest, strings, unit
 from maskwright.llm.scratch import Scratch
 
 SCHEMA = "vec_id long, embedding array<float>"
@@ -25,6 +26,7 @@ def brute(rows, queries, k):
 def got(df):
     out = {}
     for r in df.orderBy("query_id", "rank").collect():
+        assert r.n_scored > 0
         out.setdefault(r.query_id, []).append((r.vec_id, r.score))
         assert r.rank == len(out[r.query_id])
     return out
@@ -48,9 +50,8 @@ def test_crowded_cells_recall_and_few_candidates(spark):
     rows = list(enumerate(v.tolist()))
     df = frame(spark, rows)
     ask = df.where("vec_id % 20 = 0")
-    found, want = got(nearest(df, ask, 20, cell_rows=512, candidates=18000)), brute(rows, range(0, 3000, 20), 20)
-    hits = sum(sum(s >= want[q][-1][1] - 1e-9 for _, s in found[q]) for q in want)
-    assert hits / sum(map(len, want.values())) >= 0.9
+    found, want = got(nearest(df, ask, 20, whole=200, block_rows=10**6)), brute(rows, range(0, 3000, 20), 20)
+    assert recall(found, want) >= 0.9
     assert got(nearest(df.limit(5), df.limit(5), 20)).keys() == {0, 1, 2, 3, 4}
     assert nearest(df.limit(0), df.limit(0)).collect() == []
 
@@ -66,7 +67,7 @@ def test_queries_ascend_past_thin_cells_and_skewed_lengths(spark):
         rows = list(enumerate(v.tolist()))
         df = frame(spark, rows)
         ask = df.where("vec_id % 20 = 0")
-        found, want = got(nearest(df, ask, 20, cell_rows=64, candidates=24 * 400)), brute(rows, range(0, 4000, 20), 20)
+        found, want = got(nearest(df, ask, 20, whole=200, block_rows=1000)), brute(rows, range(0, 4000, 20), 20)
         assert all(len(found.get(q, [])) == 20 for q in want), name
         assert recall(found, want) >= 0.95, name
         # stored vectors of one length in a few directions, queries in all directions: most cells of a query are empty
@@ -81,10 +82,50 @@ def test_repeated_rows_and_clashing_columns(spark):
 
 
 def test_best_breaks_ties_by_id():
-    ids, s = best(np.array([5, 3, 9, 1]), np.array([[1, 0], [1, 0], [2, 0], [1, 0]], np.float32), np.array([1, 0], np.float32), 3)
+    vectors = np.array([[1, 0], [1, 0], [2, 0], [1, 0]], np.float32)
+    ids, s = best(np.array([5, 3, 9, 1]), vectors, np.arange(4), np.array([1, 0], np.float32), 3)
     assert ids.tolist() == [9, 1, 3] and s.tolist() == [2.0, 1.0, 1.0]
 
 
+def test_a_third_of_the_rows_are_one_row(spark):
+    df = frame(spark, [(i, [1.0, 0.5]) for i in range(4000)] + [(4000 + i, [0.5, i / 1e4]) for i in range(40)])
+    want = {q: [(i, 1.25) for i in range(22) if i != q][:20] for q in (0, 20, 3980)}
+    assert got(nearest(df, df.where("vec_id in (0, 20, 3980)"), whole=8, block_rows=500)) == want
+    same = spark.createDataFrame([(7, [1.0, 0.5])] * 3000 + [(8, [1.0, 0.0])], SCHEMA)
+    assert got(nearest(same, same, block_rows=500)) == {7: [(8, 1.0)], 8: [(7, 1.0)]}
+
+
+def test_doubles_stay_doubles_and_lengths_are_kept_apart(spark):
+    rows = [(1, [1.0, 1e-12]), (2, [1.0, 2e-12]), (3, [1.0, 1.0, 1.0]), (4, [2.0, 1.0, 1.0]), (5, [1e300, 1.0]), (6, [1e-300, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = got(nearest(df, df))
+    assert found[3] == [(4, 4.0)] and [i for i, _ in found[1]] == [5, 2, 6] and found[1][1] == (2, 1.0 + 2e-24)
+    assert found[5][0] == (1, 1e300) or found[5][0] == (2, 1e300)
+
+
+def test_strings_are_symbols_then_signs():
+    v = np.random.default_rng(6).standard_normal((50, 12))
+    u, n = unit(v)
+    assert np.allclose(u, v / np.linalg.norm(v, axis=1, keepdims=True), atol=1e-6) and np.allclose(n, np.log2(np.linalg.norm(v, axis=1)))
+    codes, near = strings(u, 3, 5)
+    assert ((codes >> np.uint64(54)).astype(int) == near[:, 0]).all()
+    assert (strings(-u, 3)[0] & np.uint64(2**54 - 1) == ~codes & np.uint64(2**54 - 1)).all()
+
+
+def test_recall_at_fifty_thousand_rows(spark):
+    """Random directions, the hardest case: a tenth of the queries against brute force, with few candidates."""
+    v = np.random.default_rng(8).standard_normal((50_000, 64)).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": list(v)}), SCHEMA)
+    ask = list(range(0, 50_000, 500))
+    out = nearest(df, df.where("vec_id % 500 = 0")).toPandas()
+    scores = v.astype(np.float64) @ v[ask].T.astype(np.float64)
+    scores[ask, np.arange(len(ask))] = -np.inf
+    edge = dict(zip(ask, np.partition(scores, len(v) - 20, axis=0)[len(v) - 20], strict=True))
+    hits = sum(s >= edge[q] - 1e-9 for q, s in zip(out.query_id, out.score, strict=True))
+    assert hits / (20 * len(ask)) >= 0.9
+    assert out.n_scored.max() < 0.1 * len(v)
+
+
 def test_components_by_stars_and_at_once(spark):
     rng = np.random.default_rng(3)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (250, 2))] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, i) for i in range(2001, 2100)] + [(7, 7), (None, 3)]
