@@ -16,7 +16,9 @@ compared with that of its buckets' members that has the smallest private share;
 groups.  Every later round takes, in each bucket that still holds two components, members outside its
 largest component as pivots (at most PIVOTS), joins them with the members of other components that
 the bound allows (a pair in the first bucket that it shares, only), confirms on full sets, contracts,
-and takes the pivots, which have now been compared with everyone, out of the bucket.  Rounds go on until each bucket holds one component: no link in a bucket is lost.
+and takes the pivots, which have now been compared with everyone, out of the bucket.  A large bucket's
+members are dealt to parts of about SALTED, each of which gets the bucket's pivots, and the join is cut into
+tasks by the number of pairs.  Rounds go on until each bucket holds one component: no link in a bucket is lost.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .scratch import Scratch
-from .substring_dedup import bucket_bounds, count_elsewhere, pack_sorted
+from .substring_dedup import elsewhere, known_elsewhere
 from .words import Words, as_array, claim, lean, lean_stream, mix, row_slices
 
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
@@ -38,6 +40,8 @@ KEPT = 6
 BROADCAST_IDS = 1_000_000
 #: Pivots of a bucket in a round.
 PIVOTS = 1024
+#: Members of a bucket that meet its pivots in one place, and pairs that a task is to look at, about.
+SALTED, PAIRS = 512, 4_000_000
 #: Groups in which a document's shared shingles are counted.
 GROUPS = 32
 #: Bytes of kept shingles in a block when private ones are counted.
@@ -106,23 +110,11 @@ def _block_values(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values, np.repeat(np.arange(len(sizes)), sizes), sizes
 
 
-def _send_shingles(n_buckets: int):
-    def f(table: pa.Table) -> pa.Table:
-        values = np.unique(_block_values(table)[0])
-        parts = [(i, p) for i, p in enumerate(np.split(values, np.searchsorted(values, bucket_bounds(n_buckets)))) if len(p)]
-        block = table["block"][0].as_py()
-        return pa.table([pa.array([block] * len(parts), pa.int32()), pa.array([i for i, _ in parts], pa.int32()), pa.array([pack_sorted(p) for _, p in parts], pa.binary())], names=["block", "bucket", "hashes"])
-
-    return lean(f)
-
-
 @lean
 def _private(left: pa.Table, right: pa.Table) -> pa.Table:
     values, row, sizes = _block_values(left)
-    _, at, count = np.unique(values, return_inverse=True, return_counts=True)
-    answers = right.sort_by("bucket")
-    shared = np.concatenate([np.unpackbits(np.frombuffer(b.as_py(), np.uint8), count=n.as_py()).astype(bool) for b, n in zip(answers["bits"], answers["n"], strict=True)])
-    alone = ~(shared | (count > 1))[at]
+    distinct, at, count = np.unique(values, return_inverse=True, return_counts=True)
+    alone = ~(known_elsewhere(distinct, right) | (count > 1))[at]
     group = (values >> np.uint64(64 - 8 * KEPT)) % np.uint64(GROUPS)
     counts = np.bincount((row * GROUPS + group.astype(np.int64))[~alone], minlength=len(sizes) * GROUPS)
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * GROUPS, pa.int32()), pa.array(counts, pa.int32()))
@@ -182,7 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_BYTES))
     dealt = sets.select("doc", "shingles", F.pmod(F.xxhash64("doc"), F.lit(blocks)).cast("int").alias("block"))
-    answers = dealt.groupBy("block").applyInArrow(_send_shingles(blocks), "block int, bucket int, hashes binary").groupBy("bucket").applyInArrow(count_elsewhere, "block int, bucket int, bits binary, n int")
+    answers = elsewhere(dealt, "block", lambda table: np.unique(_block_values(table)[0]), total * 8 // KEPT)
     private = scratch.save(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_private, "doc long, private long, shared array<int>"), "private")
     able = inside.select("key", "doc", "n").join(private.select("doc", "private"), "doc").where(f"100 * (n - private) >= {percent} * n")
     held = able.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct((F.col("private") / F.col("n")).alias("share"), "doc")).alias("first")).where("members > 1")
@@ -206,15 +198,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # sizes of a bucket's components; one alone: the bucket is done
         sizes = told.groupBy("key", "comp").agg(F.count("*").alias("size"))
         most = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.sum("size").alias("all"), F.count("*").alias("comps")).where("comps > 1")
-        most = most.select("key", F.col("top.comp").alias("top"), F.expr(f"ceil((all - top.size) / {PIVOTS})").cast("long").alias("turns"))
-        left = scratch.save(told.join(most, "key"), "open")
-        if left.isEmpty():
+        most = most.select("key", F.col("top.comp").alias("top"), F.expr(f"ceil((all - top.size) / {PIVOTS})").cast("long").alias("turns"), F.expr(f"ceil(all / {SALTED})").cast("int").alias("parts"), F.expr(f"all * least(all - top.size, {PIVOTS})").alias("work"))
+        most = scratch.save(most, "most")
+        work = most.agg(F.sum("work")).first()[0]
+        if not work:
             break
+        left = scratch.save(told.join(most.drop("work"), "key"), "open")
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-work // PAIRS))
         is_pivot = (F.col("comp") != F.col("top")) & (F.pmod(F.xxhash64("doc", F.lit(turn)), F.col("turns")) == 0)
         wide = left.join(facts.select("doc", "n", "shared", "keys"), "doc")
-        pivots = wide.where(is_pivot).select("key", F.struct("doc", "comp", "n", "shared", "keys").alias("p"))
+        pivots = wide.where(is_pivot).select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.struct("doc", "comp", "n", "shared", "keys").alias("p")).repartition(tasks, "key", "part")
+        members = wide.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")).repartition(tasks, "key", "part")
         bound = f"comp <> p.comp and 100 * ({common}) >= {percent} * (n + p.n - ({common})) and key = array_intersect(keys, p.keys)[0]"
-        pairs = wide.join(pivots, "key").where(bound).select(F.greatest("doc", "p.doc").alias("a"), F.least("doc", "p.doc").alias("b")).distinct()
+        pairs = members.join(pivots, ["key", "part"]).where(bound).select(F.greatest("doc", "p.doc").alias("a"), F.least("doc", "p.doc").alias("b")).distinct()
         links = confirmed(scratch.save(pairs, "pairs"), "more")
         # what the new links join: components of components
         named = links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")

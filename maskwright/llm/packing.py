@@ -97,8 +97,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A document's ids are the vocabulary's for its text, without special tokens, then end_id; a null or
     empty text gives end_id alone.  Each id lies in exactly one piece; a sequence's pieces follow one
     another without gaps from offset 0 and hold `length` tokens or a smaller power of two.  Equal rows
-    and rows with a null id are documents of their own; an empty table gives an empty result; other
-    columns are not looked at.  Length must be a power of two.
+    and rows with a null id are documents of their own, spread over the shards by their places in docs; an empty
+    table gives an empty result; other columns are not looked at.  Length must be a power of two.
     """
     if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
@@ -107,7 +107,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_bytes))
     key = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = rows.select("_id", "_text", F.pmod(F.xxhash64("_id", "_text"), F.lit(n)).cast("int").alias("_shard"))
+    rows = rows.select("_id", "_text", F.pmod(F.xxhash64("_id", F.monotonically_increasing_id()), F.lit(n)).cast("int").alias("_shard"))
     names = ["_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     out = rows.groupBy("_shard").applyInArrow(_pack_shard(vocabulary, end_id, length, names), f"_id {key}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("_id", id_col)

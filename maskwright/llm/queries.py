@@ -45,15 +45,24 @@ def op5_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in the documents: each distinct content is scanned once and its findings joined back."""
-    out = secrets.scan_versions(_table(spark, sf_dir, "documents"), Scratch(spark).path("ledger"))
+    """Secrets in the documents: each distinct content is scanned once for each rule and its findings joined back.
+
+    A first scan knows the base rules only; the second, with all rules, scans the new ones alone
+    (second_pairs counts its blobs and rules) and has the rest from the ledger.
+    """
+    docs, ledger = _table(spark, sf_dir, "documents"), Scratch(spark).path("ledger")
+    secrets.scan_versions(docs, ledger, rules=secrets.BASE_RULES)
+    first = secrets.pairs_scanned(spark, ledger)
+    out = secrets.scan_versions(docs, ledger)
+    second = secrets.pairs_scanned(spark, ledger) - first
     base = F.filter("_spans", lambda s: s["rank"] < len(secrets.BASE_RULES))
 
     def count(kind: str):
         return F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     n = [count(r.kind) for r in secrets.BASE_RULES]
-    return out.select("doc_id", *n, F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(F.col("_spans")).alias("spans"))
+    pairs = [F.lit(first).cast("long").alias("first_pairs"), F.lit(second).cast("long").alias("second_pairs")]
+    return out.select("doc_id", *n, F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(F.col("_spans")).alias("spans"), *pairs)
 
 
 def op7_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,13 +78,18 @@ def op8_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages written as WARC archives and read back, one row per capture."""
+    """The pages written as WARC archives and read back, one row per capture with what its request and metadata records say."""
     path = Scratch(spark).path("warc")
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
     c = F.col("capture")
     kind = c["kind"]
     out = warc.read_captures(spark, path, with_payload=False)
-    return out.select(warc.page_id_of(c["record_id"]).alias("page_id"), c["payload_bytes"].alias("payload_bytes"), c["payload_digest"].alias("payload_digest"), kind.alias("record_type"), warc.page_id_of(c["refers_to"]).alias("refers_to"))
+    told = F.col("metadata.fields")
+    return out.select(
+        warc.page_id_of(c["record_id"]).alias("page_id"), c["payload_bytes"].alias("payload_bytes"), c["payload_digest"].alias("payload_digest"), kind.alias("record_type"),
+        warc.page_id_of(c["refers_to"]).alias("refers_to"), F.sha2(F.substring_index(F.col("request.fields")["message"], "\r\n", 1), 256).alias("request_line_sha256"),
+        told["page-id"].cast("long").alias("metadata_page_id"), told["payload-length"].cast("long").alias("metadata_payload_bytes"),
+    )
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,12 @@
 """Secret scans over an incremental ledger of content-addressed blobs, in DataFrame functions only.
 
-Every version of every path is addressed by the SHA-256 of its content.  Only blobs that the ledger
-does not hold for a rule's version are scanned, once each, however many paths share them; findings
-are then joined back to all paths.  Ledger and findings are Parquet below one folder.
+Every version of every path is addressed by the SHA-256 of its content.  The ledger holds which blob has
+been scanned for which version of which rule; only pairs that it does not hold are scanned, once each,
+however many paths share a blob, so a new rule is run alone over known blobs.  Findings are then joined
+back to all paths.  Ledger and findings are Parquet below one folder.
+
+One row of each unseen blob is elected on addresses alone; texts are not shuffled while the elected fit
+MOST_ELECTED.  Beyond, each map task's first row of a blob is sent, and one is scanned.
 
 Places are code points: with m1, m2, … the matches of a pattern and p0, p1, … the text between them,
 match i begins at |p0| + |m1| + p1 … + |p(i-1)|, whatever the width of the characters.
@@ -10,6 +14,8 @@ match i begins at |p0| + |m1| + p1 … + |p(i-1)|, whatever the width of the cha
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +35,11 @@ class Rule:
     #: A cheap pattern without which the rule cannot match.
     needs: str = ""
 
+    @property
+    def id(self) -> str:
+        """A name for this version of the rule: it changes when its pattern, bound or version does."""
+        return f"{self.kind}@{hashlib.sha256(repr((self.pattern, self.least, self.group, self.version)).encode()).hexdigest()[:12]}"
+
 
 #: The base rules; spans of the same start are ordered as their rules are listed.
 BASE_RULES = (
@@ -71,45 +82,75 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(text.rlike(rule.needs or rule.pattern), found).otherwise(_none())
 
 
-def rule_version(rules: tuple[Rule, ...] = RULES) -> DataFrame | str:
-    """A name for this set of rules: it changes when any pattern, bound or version does."""
-    import hashlib
-
-    return hashlib.sha256(repr([(r.kind, r.pattern, r.least, r.group, r.version) for r in rules]).encode()).hexdigest()[:16]
-
-
 def _ledger(spark, folder: str, name: str, schema: str) -> DataFrame:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
     there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
     return spark.read.schema(schema).parquet(f"{folder}/{name}") if there else spark.createDataFrame([], schema)
 
 
-LEDGER = "blob string, rules string"
-FINDINGS = "blob string, rules string, spans array<struct<start:int,rank:int,kind:string,end:int>>"
+#: The pairs that have been scanned, and what was found: one row for each blob of a scan.
+LEDGER = "blob string, rules array<string>"
+FINDINGS = "blob string, rules array<string>, spans array<struct<start:int,end:int,kind:string,rule:string>>"
+#: Elected rows (16 bytes each) and spans (some 60 bytes each) up to which they are broadcast.
+MOST_ELECTED, MOST_SPANS = 1_000_000, 300_000
+
+
+def pairs_scanned(spark, ledger: str) -> int:
+    """How many (blob, rule version) pairs a ledger holds."""
+    pairs = _ledger(spark, ledger, "blobs", LEDGER).select("blob", F.explode("rules").alias("rule")).distinct()
+    return pairs.count()
+
+
+def _scan(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """FINDINGS of rows (blob, content, todo: a bit for each rule)."""
+    found, ids = [], []
+    for i, r in enumerate(rules):
+        due = F.col("todo").bitwiseAND(1 << i) != 0
+        named = F.transform(spans_of(F.col("content"), r, i), lambda s: F.struct(s["start"], s["end"], s["kind"], F.lit(r.id).alias("rule")))  # noqa: B023
+        found.append(F.when(due, named).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string,rule:string>>")))
+        ids.append(F.when(due, F.lit(r.id)))
+    return rows.select("blob", F.array_compact(F.array(*ids)).alias("rules"), F.concat(*found).alias("spans"))
 
 
-def scan_versions(versions: DataFrame, ledger: str, content_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan_versions(versions: DataFrame, ledger: str, content_col: str = "text", rules: tuple[Rule, ...] = RULES, most_elected: int = MOST_ELECTED) -> DataFrame:
     """Every row of versions with _blob, its content's SHA-256, and _spans, its findings (start, rank, kind, end), by start, then rank.
 
-    ledger: a folder in shared storage; blobs it already holds for these rules are not scanned, the
-    others are scanned once each and added to it.  Null content counts as empty; no row is lost; rows
+    ledger: a folder in shared storage; (blob, rule version) pairs that it already holds are not scanned,
+    the others are scanned once each and added to it.  Null content counts as empty; no row is lost; rows
     with equal content share their findings; an empty table gives an empty result.
     """
     spark = versions.sparkSession
-    version = rule_version(rules)
-    address = F.sha2(F.coalesce(F.col(content_col), F.lit("")).cast("binary"), 256)
-    known = _ledger(spark, ledger, "blobs", LEDGER).where(F.col("rules") == version).select(F.col("blob").alias("_known"))
-    content = versions.select(address.alias("blob"), F.coalesce(F.col(content_col), F.lit("")).alias("content"))
-    fresh = content.join(known, F.col("blob") == F.col("_known"), "left_anti").groupBy("blob").agg(F.first("content").alias("content"))
-    spans = F.array_sort(F.concat(*(spans_of(F.col("content"), r, i) for i, r in enumerate(rules))))
-    scanned = fresh.select("blob", F.lit(version).alias("rules"), spans.alias("spans"))
-    scanned.write.mode("append").parquet(f"{ledger}/findings")
-    findings = spark.read.schema(FINDINGS).parquet(f"{ledger}/findings").where(F.col("rules") == version)
+    content = F.coalesce(F.col(content_col), F.lit(""))
+    address = F.sha2(content.cast("binary"), 256)
+    known = _ledger(spark, ledger, "blobs", LEDGER).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("held"))
+    held = F.coalesce("held", F.array().cast("array<string>"))
+    todo = sum((F.when(F.array_contains(held, r.id), 0).otherwise(1 << i) for i, r in enumerate(rules)), F.lit(0))
+    rows = versions.select(F.monotonically_increasing_id().alias("rid"), address.alias("blob"), content.alias("content"))
+    elected = rows.groupBy("blob").agg(F.min("rid").alias("rid")).join(known, "blob", "left").select("blob", "rid", todo.alias("todo")).where("todo <> 0")
+    pending = f"{ledger}/pending/{uuid.uuid4().hex}"
+    elected.write.parquet(pending)
+    elected = spark.read.schema("blob string, rid long, todo int").parquet(pending)
+    if elected.count() <= most_elected:
+        _scan(rows.join(F.broadcast(elected.select("rid", "todo")), "rid"), rules).write.mode("append").parquet(f"{ledger}/findings")
+    # what has not been scanned yet: all of it beyond MOST_ELECTED, else rows that were numbered otherwise at the second reading
+    done = _ledger(spark, ledger, "findings", FINDINGS).select(F.col("blob").alias("b"), F.explode("rules").alias("r")).where(F.col("r").isin(*(r.id for r in rules)))
+    done = done.groupBy("b").agg(sum((F.max(F.when(F.col("r") == r.id, 1 << i).otherwise(0)) for i, r in enumerate(rules)), F.lit(0)).alias("done"))
+    left = elected.join(done, F.col("blob") == F.col("b"), "left").select("blob", F.col("todo").bitwiseAND(F.bitwise_not(F.coalesce("done", F.lit(0)))).alias("todo")).where("todo <> 0")
+    if not left.isEmpty():
+        one = rows.groupBy("blob").agg(F.first("content").alias("content"))
+        _scan(one.join(left, "blob"), rules).write.mode("append").parquet(f"{ledger}/findings")
     # recorded last: a scan that was cut short is done again, and a blob scanned twice counts once
-    findings.select("blob", "rules").join(known, F.col("blob") == F.col("_known"), "left_anti").write.mode("append").parquet(f"{ledger}/blobs")
-    once = findings.where(F.size("spans") > 0).groupBy(F.col("blob").alias("_found")).agg(F.first("spans").alias("_spans"))
+    findings = _ledger(spark, ledger, "findings", FINDINGS)
+    findings.join(elected.select("blob"), "blob", "left_semi").select("blob", "rules").write.mode("append").parquet(f"{ledger}/blobs")
+    ranks = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.id, i)])
+    current = F.filter("spans", lambda s: s["rule"].isin(*(r.id for r in rules)))
+    some = findings.select("blob", current.alias("spans")).where(F.size("spans") > 0)
+    total = some.agg(F.sum(F.size("spans"))).first()[0] or 0
+    ranked = F.transform(F.flatten(F.collect_list("spans")), lambda s: F.struct(s["start"], ranks[s["rule"]].alias("rank"), s["kind"], s["end"]))
+    once = some.groupBy(F.col("blob").alias("_found")).agg(F.array_sort(F.array_distinct(ranked)).cast(_SPAN).alias("_spans"))
     out = versions.withColumn("_blob", address)
-    return out.join(once, F.col("_blob") == F.col("_found"), "left").drop("_found").withColumn("_spans", F.coalesce("_spans", _none()))
+    out = out.join(F.broadcast(once) if total <= MOST_SPANS else once, F.col("_blob") == F.col("_found"), "left")
+    return out.drop("_found").withColumn("_spans", F.coalesce("_spans", _none()))
 
 
 def span_text(spans: Column) -> Column:

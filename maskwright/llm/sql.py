@@ -45,7 +45,8 @@ s AS (SELECT doc_id, rank, kind, CAST(list_sum(list_transform(gaps[1:i], lambda
 k AS (SELECT doc_id, rank, kind, s, kind || ':' || s || ':' || (s + n) AS span FROM s WHERE ok),
 a AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
   coalesce(string_agg(span, ',' ORDER BY s, rank) FILTER (rank < {len(BASE_RULES)}), '') AS base, string_agg(span, ',' ORDER BY s, rank) AS spans FROM k GROUP BY doc_id)
-SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  (SELECT count(DISTINCT x) * {len(BASE_RULES)} FROM t) AS first_pairs, (SELECT count(DISTINCT x) * {len(RULES) - len(BASE_RULES)} FROM t) AS second_pairs
 FROM t LEFT JOIN a USING (doc_id)
 """
 
@@ -54,12 +55,13 @@ def _op9() -> str:
     letters = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST({} AS INTEGER), 1)"
     chars = [letters.format(f"(v[{k + 1}] >> {s}) & 31") for k in range(8) for s in (15, 10, 5, 0)]
     return f"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-h AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS n, sha1(html) AS x FROM p),
-v AS (SELECT page_id, n, list_transform(range(8), lambda k: CAST('0x' || substr(x, 1 + 5 * k, 5) AS BIGINT)) AS v FROM h),
-d AS (SELECT page_id, n, {" || ".join(chars)} AS digest FROM v),
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, regexp_replace(coalesce(url, 'urn:page:' || page_id), '[\\x00-\\x20\\x7f]', '%20', 'g') AS uri FROM pages),
+h AS (SELECT page_id, uri, CAST(octet_length(encode(html)) AS BIGINT) AS n, sha1(html) AS x FROM p),
+v AS (SELECT page_id, uri, n, list_transform(range(8), lambda k: CAST('0x' || substr(x, 1 + 5 * k, 5) AS BIGINT)) AS v FROM h),
+d AS (SELECT page_id, uri, n, {" || ".join(chars)} AS digest FROM v),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS keeper FROM d)
-SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < keeper THEN keeper END AS refers_to FROM m
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < keeper THEN keeper END AS refers_to,
+  sha256('GET ' || uri || ' HTTP/1.1') AS request_line_sha256, page_id AS metadata_page_id, n AS metadata_payload_bytes FROM m
 """
 
 

@@ -8,6 +8,8 @@ Plan, with one shuffle of the texts and one of 8 bytes (before compression) a di
    slices of byte-transposed deltas, one slice a bucket of the hash range.  A passage that a third of
    all rows share is thus one number a block.
 3. Every bucket counts in how many blocks each hash occurs and answers each slice with one bit a hash.
+   Buckets are of bounded size and at most MOST_BUCKETS; where that many do not hold all hashes,
+   hashes travel as rows instead, and Spark counts them.
 4. The answers meet their block again; windows with a hash seen elsewhere, or twice in the block, are
    repeated, and their union gives the maximal removal intervals.
 
@@ -28,6 +30,8 @@ from .words import Words, as_array, claim, lean, string_array
 
 #: Bytes of text in a block, about; a Python worker holds some twenty times as much while it works on one.
 BLOCK_BYTES = 5 << 20
+#: Bytes of hashes in a bucket, about, and buckets into which a block cuts its hashes at most.
+BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 4096
 WINDOW = 35
 
 
@@ -55,20 +59,57 @@ def bucket_bounds(n: int) -> np.ndarray:
     return np.array([(i << 64) // n for i in range(1, n)], dtype=np.uint64)
 
 
-def _send(window: int, n_buckets: int):
-    schema = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary())])
+def _send(values_of, block: str, n_buckets: int):
+    """Slices of the distinct values of a block, one a bucket."""
+    bounds = bucket_bounds(n_buckets)
 
     def f(table: pa.Table) -> pa.Table:
-        _, _, h = _windows(as_array(table["_text"]), window)
-        h = np.unique(h)
-        cuts = np.searchsorted(h, bucket_bounds(n_buckets))
-        parts = [(i, p) for i, p in enumerate(np.split(h, cuts)) if len(p)]
-        block = table["_block"][0].as_py()
-        return pa.table([pa.array([block] * len(parts), pa.int32()), pa.array([i for i, _ in parts], pa.int32()), pa.array([pack_sorted(p) for _, p in parts], pa.binary())], schema=schema)
+        v = values_of(table)
+        cuts = np.searchsorted(v, bounds)
+        ends = np.concatenate([[0], cuts, [len(v)]])
+        some = np.flatnonzero(ends[1:] > ends[:-1])
+        packed = [pack_sorted(v[ends[i] : ends[i + 1]]) for i in some]
+        return pa.table([pa.array([table[block][0].as_py()] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=["block", "bucket", "hashes"])
 
     return lean(f)
 
 
+def _send_rows(values_of, block: str):
+    """The distinct values of a block, a row each."""
+
+    def f(table: pa.Table) -> pa.Table:
+        v = values_of(table)
+        return pa.table([pa.array(np.full(len(v), table[block][0].as_py(), np.int32)), pa.array(v.view(np.int64))], names=["block", "hash"])
+
+    return lean(f)
+
+
+def elsewhere(dealt: DataFrame, block: str, values_of, hash_bytes: int, bucket_bytes: int = BUCKET_BYTES, most_buckets: int = MOST_BUCKETS) -> DataFrame:
+    """Answers (block, …) to what `known_elsewhere` asks: which of a block's distinct values other blocks hold.
+
+    values_of: the sorted distinct uint64 of a block's table; hash_bytes: of all blocks' values, about.
+    """
+    n = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-hash_bytes // bucket_bytes))
+    if n <= most_buckets:
+        sent = dealt.groupBy(block).applyInArrow(_send(values_of, block, n), "block int, bucket int, hashes binary")
+        return sent.groupBy("bucket").applyInArrow(count_elsewhere, "block int, bucket int, bits binary, n int")
+    sent = dealt.groupBy(block).applyInArrow(_send_rows(values_of, block), "block int, hash long")
+    twice = sent.groupBy("hash").agg(F.count("*").alias("blocks")).where("blocks > 1").select("hash")
+    return sent.join(twice, "hash").select("block", "hash")
+
+
+def known_elsewhere(values: np.ndarray, answers: pa.Table) -> np.ndarray:
+    """One truth value for each of a block's sorted distinct values."""
+    if "hash" in answers.column_names:
+        return np.isin(values, answers["hash"].to_numpy().view(np.uint64))
+    answers = answers.sort_by("bucket")
+    bits = [np.unpackbits(np.frombuffer(b.as_py(), np.uint8), count=n.as_py()).astype(bool) for b, n in zip(answers["bits"], answers["n"], strict=True)]
+    out = np.concatenate(bits) if bits else np.zeros(0, bool)
+    if len(out) != len(values):
+        raise ValueError("the block's values differ between two readings of it")
+    return out
+
+
 @lean
 def count_elsewhere(table: pa.Table) -> pa.Table:
     """For each slice of a bucket, one bit a hash: whether another slice holds it too."""
@@ -93,12 +134,7 @@ def _apply(window: int, untouched: bool):
     def f(left: pa.Table, right: pa.Table) -> pa.Table:
         w, starts, h = _windows(as_array(left["_text"]), window)
         values, at, count = np.unique(h, return_inverse=True, return_counts=True)
-        answers = right.sort_by("bucket")
-        elsewhere = [np.unpackbits(np.frombuffer(b.as_py(), np.uint8), count=n.as_py()).astype(bool) for b, n in zip(answers["bits"], answers["n"], strict=True)]
-        known = np.concatenate(elsewhere) if elsewhere else np.zeros(0, bool)
-        if len(known) != len(values):
-            raise ValueError("the block's windows differ between two readings of it")
-        repeated = (known | (count > 1))[at]
+        repeated = (known_elsewhere(values, right) | (count > 1))[at]
         n = len(w.starts)
         seen = np.zeros(n + 1, np.int64)
         flag = np.zeros(n, np.int64)
@@ -127,14 +163,15 @@ def _apply(window: int, untouched: bool):
     return lean(f)
 
 
-def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: Sequence[str] = (), untouched: bool = False) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: Sequence[str] = (), untouched: bool = False, most_buckets: int = MOST_BUCKETS) -> DataFrame:
     """Per row of docs: id, n_words, n_removed (long), kept_text (kept words joined by one space) and
     removed (maximal intervals [start, end) of word numbers).
 
     A window is `window` consecutive words of one row; it is repeated if the same words also start
     anywhere else, in the same row (overlaps included) or another.  Windows are judged on the input.
     Null and empty texts have no words and give an empty kept_text; equal rows, null ids included,
-    each stay a row; an empty table gives an empty result.  The columns of keep are carried along,
+    each stay a row and are spread over the blocks by their places in docs, which must come in the same order
+    whenever it is read (as files do); an empty table gives an empty result.  The columns of keep are carried along,
     others of docs are not looked at.  untouched: rows that lose nothing keep their text as it is (null
     too) instead of with its words joined.
     """
@@ -144,8 +181,7 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     key = docs.schema[id_col].dataType.simpleString()
     kept = F.struct(*keep) if keep else F.lit(0)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), kept.alias("_keep"))
-    rows = rows.select("_id", "_text", "_keep", F.pmod(F.xxhash64("_id", "_text"), F.lit(n)).cast("int").alias("_block"))
-    sent = rows.groupBy("_block").applyInArrow(_send(window, n), "block int, bucket int, hashes binary")
-    answers = sent.groupBy("bucket").applyInArrow(count_elsewhere, "block int, bucket int, bits binary, n int")
+    rows = rows.select("_id", "_text", "_keep", F.pmod(F.xxhash64("_id", F.monotonically_increasing_id()), F.lit(n)).cast("int").alias("_block"))
+    answers = elsewhere(rows, "_block", lambda table: np.unique(_windows(as_array(table["_text"]), window)[2]), total * 4 // 3, most_buckets=most_buckets)
     out = rows.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(_apply(window, untouched), f"_id {key}, _keep {rows.schema['_keep'].dataType.simpleString()}, n_words long, n_removed long, kept_text string, removed array<struct<start:int,end:int>>")
     return out.select(F.col("_id").alias(id_col), *(F.col("_keep")[c].alias(c) for c in keep), "n_words", "n_removed", "kept_text", "removed")

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from maskwright.llm import secrets
@@ -38,18 +39,33 @@ def test_base_spans_and_order(spark):
     assert {"pem", "github"} <= kinds
 
 
-def test_ledger_scans_only_what_it_has_not_seen(spark):
+def ledger_rows(spark, ledger):
+    return sorted((r.blob, tuple(sorted(r.rules))) for r in spark.read.parquet(f"{ledger}/findings").collect())
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_ledger_scans_only_pairs_it_has_not_seen(spark, most):
     ledger = Scratch(spark).path("ledger")
+    n = len(set(TEXTS[14:]))
     first = docs_frame(spark, TEXTS[14:] + TEXTS[14:])
-    one = secrets.scan_versions(first, ledger).collect()
-    assert spark.read.parquet(f"{ledger}/blobs").count() == len(set(TEXTS[14:]))
+    one = secrets.scan_versions(first, ledger, most_elected=most).collect()
+    assert secrets.pairs_scanned(spark, ledger) == n * len(secrets.RULES) and len(ledger_rows(spark, ledger)) == n
     more = docs_frame(spark, [*TEXTS[14:], "token=brandnew1"], range(100, 101 + len(TEXTS[14:])))
-    two = secrets.scan_versions(more, ledger).collect()
-    assert spark.read.parquet(f"{ledger}/blobs").count() == len(set(TEXTS[14:])) + 1
-    assert spark.read.parquet(f"{ledger}/findings").count() == len(set(TEXTS[14:])) + 1
+    two = secrets.scan_versions(more, ledger, most_elected=most).collect()
+    assert len(ledger_rows(spark, ledger)) == n + 1
     assert {r.text: r._spans for r in one}.items() <= {r.text: r._spans for r in two}.items()
-    other = (secrets.Rule("word", "brandnew", 1),)
-    assert sum(len(r._spans) for r in secrets.scan_versions(more, ledger, rules=other).collect()) == 1
+    # a new rule runs alone, a changed one again, and the ledger answers for the others
+    word = secrets.Rule("word", "brandnew", 1)
+    three = secrets.scan_versions(more, ledger, rules=(*secrets.RULES, word), most_elected=most).collect()
+    assert sum(s["kind"] == "word" for r in three for s in r._spans) == 1
+    assert sum(rules == (word.id,) for _, rules in ledger_rows(spark, ledger)) == n + 1
+    assert [[s for s in r._spans if s["kind"] != "word"] for r in sorted(three, key=lambda r: r.doc_id)] == [r._spans for r in sorted(two, key=lambda r: r.doc_id)]
+    newer = secrets.Rule("word", "brandnew1?", 1, version=2)
+    four = secrets.scan_versions(more, ledger, rules=(newer,), most_elected=most).collect()
+    assert [s["end"] for r in four for s in r._spans] == [15]
+    before = len(ledger_rows(spark, ledger))
+    secrets.scan_versions(more, ledger, rules=(newer, *secrets.RULES), most_elected=most).collect()
+    assert len(ledger_rows(spark, ledger)) == before
 
 
 def test_empty_tables_null_ids_and_clashing_columns(spark):

@@ -4,9 +4,10 @@ from collections import Counter
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from maskwright.llm.substring_dedup import pack_sorted, remove_repeated_passages, unpack_sorted
-from tests.llm.helpers import AWKWARD, docs_frame
+from tests.llm.helpers import AWKWARD, PASSAGE, docs_frame
 
 
 def brute(rows, k):
@@ -32,6 +33,7 @@ def check(spark, rows, k, **more):
 def test_awkward_texts(spark, k):
     check(spark, list(enumerate(AWKWARD)), k)
     check(spark, list(enumerate(AWKWARD)), k, block_bytes=4000)
+    check(spark, list(enumerate(AWKWARD)), k, block_bytes=4000, most_buckets=0)  # hashes as rows
 
 
 def test_null_and_repeated_ids_and_rows(spark):
@@ -58,3 +60,15 @@ def test_few_letters_many_windows(spark):
 
     r = random.Random(3)
     check(spark, [(i, " ".join(r.choice("abc") for _ in range(r.randrange(60)))) for i in range(120)], 6)
+
+
+def test_equal_rows_are_spread(spark):
+    rows = [(None, None)] * 3000 + [(None, PASSAGE)] * 3000
+    assert {(r.n_words, r.n_removed) for r in remove_repeated_passages(docs_frame(spark, [t for _, t in rows], [i for i, _ in rows])).collect()} == {(0, 0), (60, 60)}
+    dealt = docs_frame(spark, [None] * 100_000, [None] * 100_000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = remove_repeated_passages(dealt).withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in out) == 100_000 and max(r["count"] for r in out) <= 80_000
