@@ -7,6 +7,8 @@ all but the last return the columns of documents.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +19,15 @@ from maskwright.llm.scratch import Scratch, release
 ORACLE_SQL = None
 
 
+def _tag() -> str:
+    """Of this thread's pipeline: one that runs in another thread keeps its tables."""
+    return f"pipeline-{threading.get_ident()}"
+
+
 def _scratch(spark: SparkSession) -> Scratch:
-    """A stage's folder; what earlier stages kept in theirs has been written elsewhere by now."""
-    release("pipeline")
-    return Scratch(spark, "pipeline")
+    """A stage's folder.  What earlier stages of this thread kept in theirs goes: a stage's result is to be written before the next stage is called."""
+    release(_tag())
+    return Scratch(spark, _tag())
 
 
 def _with_text(docs: DataFrame, columns: list[str], changed: str = "_changed") -> DataFrame:
@@ -35,20 +42,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8): that with the smallest id.
+    """One row of each group of near duplicates (five words, 0.8): that with the smallest id, null last, then the first in docs.
 
-    Rows that repeat an id are one document, of which one row stays; rows without an id all stay.
+    Rows are told by their places in docs, not by their ids: rows that repeat an id, or have none, go only as near
+    duplicates of a row that stays.  docs must come in the same order whenever it is read, as files do.
     """
-    groups = near_dedup.near_duplicates(docs, scratch=_scratch(spark))
-    out = docs.join(groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
-    if docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1).isEmpty():
-        return out
-    return out.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(out.where(F.col("doc_id").isNull()))
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    groups = near_dedup.near_duplicates(rows, id_col="_row", scratch=_scratch(spark)).select("_row", "component_id")
+    told = rows.select("_row", "doc_id").join(groups, "_row")
+    best = told.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_row"))["_row"].alias("stays"), F.count("*").alias("n")).where("n > 1")
+    gone = told.join(best, "component_id").where("_row <> stays").select("_row")
+    return rows.join(gone, "_row", "left_anti").drop("_row").select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 35 words that occur more than once; others stay as they are."""
-    release("pipeline")
+    release(_tag())
     keep = [c for c in docs.columns if c not in ("doc_id", "text")]
     out = substring_dedup.remove_repeated_passages(docs, keep=keep, untouched=True)
     return _with_text(out.withColumn("text", F.col("kept_text")).withColumn("_changed", F.col("n_removed") > 0), docs.columns)
@@ -64,7 +73,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 2048 tokens; ids as little-endian uint32."""
-    release("pipeline")
+    release(_tag())
     return packing.pack_documents(docs)
 
 
@@ -80,7 +89,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir; the rows of the last."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    between = Scratch(spark, "pipeline-run")
+    between = Scratch(spark, f"{_tag()}-run")
     for name, stage in STAGES[:-1]:
         docs = between.save(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
