@@ -131,7 +131,11 @@ def scan_versions(versions: DataFrame, ledger: str, content_col: str = "text", r
     elected.write.parquet(pending)
     elected = spark.read.schema("blob string, rid long, todo int").parquet(pending)
     if elected.count() <= most_elected:
-        _scan(rows.join(F.broadcast(elected.select("rid", "todo")), "rid"), rules).write.mode("append").parquet(f"{ledger}/findings")
+        chosen = rows.join(F.broadcast(elected.select("rid", "todo")), "rid")
+        cores = spark.sparkContext.defaultParallelism
+        if versions._jdf.rdd().getNumPartitions() < cores:  # a table of few files
+            chosen = chosen.repartition(cores, "rid")
+        _scan(chosen, rules).write.mode("append").parquet(f"{ledger}/findings")
     # what has not been scanned yet: all of it beyond MOST_ELECTED, else rows that were numbered otherwise at the second reading
     done = _ledger(spark, ledger, "findings", FINDINGS).select(F.col("blob").alias("b"), F.explode("rules").alias("r")).where(F.col("r").isin(*(r.id for r in rules)))
     done = done.groupBy("b").agg(sum((F.max(F.when(F.col("r") == r.id, 1 << i).otherwise(0)) for i, r in enumerate(rules)), F.lit(0)).alias("done"))

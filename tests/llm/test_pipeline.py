@@ -1,10 +1,12 @@
 import random
 import re
+import struct
+import threading
 
 import corpus_pipeline
-from maskwright.llm.scratch import Scratch
+from maskwright.llm import scratch
 from tests.llm import test_near_dedup, test_substring_dedup
-from tests.llm.helpers import AWKWARD, docs_frame
+from tests.llm.helpers import AWKWARD, PASSAGE, docs_frame
 from tests.llm.test_secrets import brute as brute_spans
 
 SF = "/root/testdata/sf0.001"
@@ -61,11 +63,35 @@ def test_run(spark):
     assert hits.sum() <= 1
 
 
-def test_scratch_of_stages_is_released(spark):
-    from maskwright.llm import scratch
+def test_repeated_and_missing_ids_lose_no_distinct_text(spark):
+    other = " ".join(f"other{i}" for i in range(50))
+    third = " ".join(f"third{i}" for i in range(50))
+    docs = docs_frame(spark, [other, PASSAGE, PASSAGE, third, PASSAGE, third, "one", "one"], [5, 5, 5, 7, 4, None, None, None])
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("5", other), ("4", PASSAGE), ("7", third), ("None", "one")])
 
-    scratch.release("pipeline")
-    Scratch(spark, "pipeline")
-    assert len(scratch._open["pipeline"]) == 1
-    scratch.release("pipeline")
-    assert "pipeline" not in scratch._open
+
+def test_pipelines_of_two_threads_keep_their_tables(spark):
+    docs = sample(spark)
+    mine = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    other = threading.Thread(target=lambda: corpus_pipeline.cut_repeated_passages(spark, docs, SF).count())
+    other.start()
+    other.join()
+    assert mine.count() > 0
+    held = [t for t in scratch._open if t == corpus_pipeline._tag()]
+    assert len(held) == 1
+    corpus_pipeline.cut_repeated_passages(spark, docs, SF)
+    assert corpus_pipeline._tag() not in scratch._open
+
+
+def test_pack_against_the_encoder(spark):
+    from maskwright.llm.bpe import vocabulary
+    from tokenizers import Tokenizer
+
+    docs = sample(spark)
+    library = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    ids = {}
+    for r in corpus_pipeline.pack(spark, docs, SF).orderBy("doc_id", "start").collect():
+        assert r.start == len(ids.setdefault(r.doc_id, [])) and r.length == len(r.ids) // 4
+        ids[r.doc_id] += struct.unpack(f"<{r.length}I", r.ids)
+    assert ids == {i: [*library.encode(r.text or "", add_special_tokens=False).ids, 1] for i, r in rows(docs).items()}
