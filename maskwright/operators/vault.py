@@ -13,17 +13,18 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from collections.abc import Iterable
+from collections.abc import Container, Iterable
 from dataclasses import dataclass, field
 
 from ..functions import checks
 from ..functions import names as N
 from ..functions import variants as V
 from ..functions.columns import TOKEN_FLOOR, TOKEN_SPAN
-from ..functions.fold import TOKEN, deconfuse_ascii, fold_haystack, find_all, has_token, key
+from ..functions.fold import TOKEN, after_escape, deconfuse_ascii, find_all, fold_haystack, has_token, is_word_char, key
 from ..functions.lexicon import ENTITY_KINDS, ORG_ROLES, PERSON_ROLES
 from ..schemas import ATTRIBUTE_NAMES
 from .detect import PLACE, STRUCTURAL
+from .people import People
 
 LEAST_KEY, LONGEST_KEY = 3, 500
 COMPANY_LIKE = ("ORG", "VESSEL", "ACCOUNT")
@@ -62,9 +63,8 @@ def _number(token: str) -> int:
     return int(tail) if tail.isdigit() else 0
 
 
-def derive_token(salt: bytes, kind: str, surface: str, taken: Iterable[str] = ()) -> str:
+def derive_token(salt: bytes, kind: str, surface: str, taken: Container[str] = ()) -> str:
     """The token of a referent; a number that is taken is derived again with the attempt's number, up to 64 times."""
-    taken = set(taken)
     base = f"{kind}\0{key(surface)}".encode()
     for attempt in range(64):
         message = base + (b"\0%d" % attempt if attempt else b"")
@@ -85,31 +85,36 @@ def party_kind(role: str | None, name: str) -> tuple[str, bool]:
     return ("ORG" if N.has_legal_form(name) else "PERSON"), False
 
 
-def referent_score(known: tuple[str, ...], other: tuple[str, ...]) -> int:
-    """How many parts of one skeleton line up with parts of another, full parts before initials, each used once."""
-    free, score = list(known), 0
-    for part in sorted(other, key=lambda p: len(p) <= 1):
-        hit = next((k for k in free if (k.startswith(part) if len(part) <= 1 else N.stem_match(k, part))), None)
-        if hit is not None:
-            free.remove(hit)
-            score += 1
-    return score
-
-
-def same_person(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
-    return referent_score(a, b) >= 2 or referent_score(b, a) >= 2
-
-
 # What an identifier record says, and how identifiers and domains are written.
 ID_LITERAL = re.compile(r"(?<![0-9A-Za-z])(\d{9}|\d{7})(?![0-9A-Za-z])")
 CALL_SIGN = re.compile(r"(?<![0-9A-Za-z])(?=[A-Z0-9]*[A-Z])(?=[A-Z0-9]*[0-9])([A-Z0-9]{4,7})(?![0-9A-Za-z])")
 ID_CONTEXT = re.compile(r"\b(imo|mmsi|call\s*sign|callsign|позывн|ммси|номер\s+имо|flag|флаг)\b", re.I)
 DOMAIN = re.compile(r"(?<![0-9A-Za-z@.])((?:[a-zA-Z0-9-]+\.)+[a-zA-Z]{2,})(?![0-9A-Za-z])")
 ID_FIELDS = ("imo", "mmsi", "callsign", "iban", "registration_number")
+#: Characters of an enrolled identifier that records are searched for.
+LONGEST_ID = 40
 #: How far before a definition the party may stand that it is about.
 REACH = 240
 
 
+_RUN = re.compile(r"[^\W_]+")
+
+
+def standalone_parts(hay: str, longest: int) -> Iterable[str]:
+    """What may stand alone in a folded text: parts that cut no word, of so many characters at most."""
+    word = [is_word_char(c) for c in hay]
+    cuts = [i for i in range(len(hay) + 1) if not (0 < i < len(hay) and word[i - 1] and word[i]) or after_escape(hay, i)]
+    for n, i in enumerate(cuts):
+        for j in cuts[n + 1 :]:
+            if j - i > longest:
+                break
+            yield hay[i:j]
+
+
+def company_bones(name: str) -> list[str]:
+    return [b for b in map(N.skeleton_part, N.strip_legal_form(name)) if b]
+
+
 def identifier_records(text: str) -> Iterable[str]:
     """Three lines in a row of 400 characters at most; of longer ones their table cells of as many."""
     lines = text.splitlines()
@@ -153,14 +158,44 @@ class Vault:
             else:
                 self.keys[a.normalized] = a.token
                 self.by_value_only.discard(a.normalized)
-        self._people: list[Row] | None = None
         self._automaton = None
+        self._people = People()
+        self._numbers: dict[str, int] = {}
+        self._companies: dict[str, list[Row]] = {}  # by the first part of the name
+        self._company_keys: dict[str, set[str]] = {}  # by each of their words
+        self._surfaces: dict[str, list[Alias]] = {}
+        self._longest = 0
+        for r in self.rows:
+            self._file(r)
+        for a in self.aliases:
+            self._surfaces.setdefault(a.token, []).append(a)
+        for k, token in self.keys.items():
+            self._file_key(k, token)
+
+    def _file(self, row: Row) -> None:
+        """A row that is new or has changed, in the indexes by what it says."""
+        kind, _, number = row.token.rpartition("_")
+        if number.isdigit():
+            self._numbers[kind] = max(self._numbers.get(kind, 0), int(number))
+        if row.kind in COMPANY_LIKE:
+            first = next(iter(company_bones(row.real_value)), "")
+            if row not in self._companies.setdefault(first, []):
+                self._companies[first].append(row)
+        elif row.kind == "PERSON":
+            one = row.active and not row.attributes.get("shared_by") and len(N.name_parts(row.real_value)) >= 2 and N.admit_person(row.real_value)[0]
+            self._people.put(row.token, row.real_value if one else None, bool(row.attributes.get("entity_type")), row.number)
+
+    def _file_key(self, k: str, token: str) -> None:
+        if token in self.by_token and self.by_token[token].kind in COMPANY_LIKE:
+            self._longest = max(self._longest, len(k))
+            for word in _RUN.findall(k):
+                self._company_keys.setdefault(word, set()).add(k)
 
     def _holds(self, token: str) -> bool:
         return token in self.by_token and self.by_token[token].active
 
     def _changed(self) -> None:
-        self._people = self._automaton = None
+        self._automaton = None
 
     def token_for(self, surface: str) -> str | None:
         return self.keys.get(key(surface))
@@ -176,7 +211,7 @@ class Vault:
 
         def propose(surface: str, token: str) -> str | None:
             k = key(surface)
-            return k if len(k) >= LEAST_KEY and k not in self.keys and extra.setdefault(k, token) == token else None
+            return k if len(k) >= LEAST_KEY and k not in self.keys and not N.is_common_word(k) and extra.setdefault(k, token) == token else None
 
         for surface, row in held:
             if row is None or not row.active or row.kind not in ("PERSON", "ORG", "ENTITY"):
@@ -212,36 +247,22 @@ class Vault:
 
     def people(self) -> list[Row]:
         """A row for each distinct person: seeded ones first, then fuller names, then smaller numbers."""
-        if self._people is None:
-            some = [r for r in self.rows if r.active and r.kind == "PERSON" and not r.attributes.get("shared_by")]
-            some = [r for r in some if len(N.name_parts(r.real_value)) >= 2 and N.admit_person(r.real_value)[0]]
-            some.sort(key=lambda r: (not r.attributes.get("entity_type"), -len(N.skeleton(r.real_value)), r.number))
-            self._people, known = [], []
-            for r in some:
-                bones = N.skeleton(r.real_value)
-                if not any(same_person(k, bones) for k in known):
-                    self._people.append(r)
-                    known.append(bones)
-        return self._people
+        return [self.by_token[t] for t in self._people.ranked()]
 
     def resolve_person(self, surface: str) -> tuple[str | None, bool]:
         """(the one person a name of two parts fits, whether it fits several)."""
-        bones = N.skeleton(surface)
-        hits = [r.token for r in self.people() if bones and referent_score(N.skeleton(r.real_value), bones) >= 2]
+        hits = self._people.fitting(N.skeleton(surface))
         return (hits[0] if len(hits) == 1 else None), len(hits) > 1
 
     def fragment_owners(self, part: str) -> list[str]:
-        bone = N.skeleton_part(part)
-        hits = {r.token for r in self.people() if bone and any(N.stem_match(p, bone) for p in N.skeleton(r.real_value))}
-        return sorted(hits, key=_number)
+        return sorted(self._people.with_part(N.skeleton_part(part)), key=_number)
 
     # -- enrolment -------------------------------------------------------------------------------
 
     def mint(self, kind: str, surface: str) -> str:
         if self.salt:
             return derive_token(self.salt, kind, surface, self.by_token)
-        used = [_number(t) for t in self.by_token if t.rpartition("_")[0] == kind]
-        return f"{kind}_{max(used, default=0) + 1}"
+        return f"{kind}_{self._numbers.get(kind, 0) + 1}"
 
     def add_row(self, surface: str, kind: str, source: str, attributes: dict | None = None) -> str | None:
         """A new row; a value that holds a token is refused."""
@@ -255,6 +276,7 @@ class Vault:
         row = Row(token, kind, surface.strip(), k, attributes=dict(attributes or {}))
         self.rows.append(row)
         self.by_token[token] = row
+        self._file(row)
         self._changed()
         self.add_alias(surface, token, source)
         return token
@@ -274,8 +296,11 @@ class Vault:
             self.aliases.append(known)
             self.alias_rows[stored] = known
         else:
+            self._surfaces[known.token].remove(known)
             known.token, known.surface, known.source = token, surface.strip(), source
+        self._surfaces.setdefault(token, []).append(known)
         self.keys[k] = token
+        self._file_key(k, token)
         self.by_value_only.discard(k)
         self._changed()
         return True
@@ -288,6 +313,7 @@ class Vault:
             return False
         alias = Alias(token, surface, stored, "defined")
         self.aliases.append(alias)
+        self._surfaces.setdefault(token, []).append(alias)
         self.alias_rows[stored] = alias
         self.defined[surface] = token
         self._changed()
@@ -306,6 +332,7 @@ class Vault:
             row.attributes = attributes | row.attributes
             if row.kind != kind:
                 row.attributes.setdefault("also_kind", kind)
+            self._file(row)
         if variants and token:
             for v in self._variants(surface, kind):
                 self._propose(pending, v, token)
@@ -370,6 +397,7 @@ class Vault:
                 self.add_alias(part, target, "fragment")
             elif current is not None and current.kind == "PERSON" and key(current.real_value) == k and not current.attributes.get("entity_type"):
                 current.attributes = current.attributes | {"fragment": role, "shared_by": [t for t in owners if t != current.token]}
+                self._file(current)
                 self._changed()
                 target = shared[group] = current.token
             elif k not in self.keys or k in self.by_value_only:
@@ -383,17 +411,14 @@ class Vault:
 
     def merge_org(self, name: str, pending: dict) -> str | None:
         """A short name without a legal form as the one organisation whose name begins with its parts."""
-        bones = lambda n: [b for b in map(N.skeleton_part, N.strip_legal_form(n)) if b]
-        parts = bones(name)
+        parts = company_bones(name)
         if not parts or N.has_legal_form(name):
             return None
         hits = set()
-        for r in self.rows:
-            if r.active and r.kind in COMPANY_LIKE:
-                other = bones(r.real_value)
-                longer = len(other) > len(parts) and other[: len(parts)] == parts
-                if longer or (other == parts and key(r.real_value) != key(name)):
-                    hits.add(r.token)
+        for r in self._companies.get(parts[0], ()):
+            other = company_bones(r.real_value)
+            if r.active and other[: len(parts)] == parts and (len(other) > len(parts) or key(r.real_value) != key(name)):
+                hits.add(r.token)
         if len(hits) != 1:
             return None
         token = hits.pop()
@@ -452,13 +477,11 @@ class Vault:
         hay = key(surface)
         if len(hay) < 4:
             return None
-        for k, token in self.keys.items():
-            row = self.by_token.get(token)
-            if row is None or row.kind not in COMPANY_LIKE or k == hay:
-                continue
-            if (len(k) >= 5 and any(find_all(hay, k))) or (len(k) > len(hay) and any(find_all(k, hay))):
-                return token
-        return None
+        company = lambda k: self.keys.get(k) in self.by_token and self.by_token[self.keys[k]].kind in COMPANY_LIKE
+        inside = {k for k in standalone_parts(hay, self._longest) if len(k) >= 5 and k != hay and company(k) and any(find_all(hay, k))}
+        around = min((self._company_keys.get(w, set()) for w in _RUN.findall(hay)), key=len, default=set())
+        around = {k for k in around if len(k) > len(hay) and company(k) and any(find_all(k, hay))}
+        return self.keys[max(inside | around, key=lambda k: (len(k), k))] if inside | around else None
 
     def admit(self, surface: str, kind: str, language: str | None = None, places: frozenset[str] = frozenset()) -> tuple[bool, str]:
         """Whether a detection may be enrolled, and why not."""
@@ -535,14 +558,14 @@ class Vault:
 
     def recall_identifiers(self, text: str) -> bool:
         """Identifiers beside an enrolled one, where exactly one referent's stand in a record that says what they are."""
-        known = [(k, self.by_token[t].attributes.get("identifier_of_name")) for k, t in self.keys.items() if len(k) >= 4 and t in self.by_token and self.by_token[t].kind == "ID"]
         before = len(self.rows)
-        for record in identifier_records(text) if known else ():
-            if not re.search(r"\d", record):
+        for record in identifier_records(text) if "ID" in self._numbers else ():
+            if not re.search(r"\d", record) or not ID_CONTEXT.search(record):
                 continue
             hay = key(record)
-            owners = {owner for k, owner in known if owner and k in hay and any(find_all(hay, k))}
-            if len(owners) != 1 or not ID_CONTEXT.search(record):
+            named = {self.keys[k] for k in standalone_parts(hay, LONGEST_ID) if len(k) >= 4 and k in self.keys and any(find_all(hay, k))}
+            owners = {self.by_token[t].attributes.get("identifier_of_name") for t in named if t in self.by_token and self.by_token[t].kind == "ID"} - {None, ""}
+            if len(owners) != 1:
                 continue
             literals = [m[1] for m in ID_LITERAL.finditer(record) if checks.identifier_shaped(m[1])]
             literals += [m[1] for m in CALL_SIGN.finditer(record) if not N.is_common_word(m[1])]
@@ -563,7 +586,7 @@ class Vault:
             owner = self.token_for(label) or self.token_for(re.sub("[^0-9A-Za-z]", "", label))
             if owner is None and ({".".join(labels[-2:]).casefold(), domain.casefold()} & hosts):
                 bone = N.skeleton_part(label)
-                owner = next((r.token for r in self.rows if r.active and r.kind in ("ORG", "VESSEL") and bone and bone in map(N.skeleton_part, N.strip_legal_form(r.real_value))), None)
+                owner = next((r.token for r in self.rows if r.active and r.kind in ("ORG", "VESSEL") and bone and bone in company_bones(r.real_value)), None)
             if owner is None or owner not in self.by_token or self.by_token[owner].kind not in COMPANY_LIKE:
                 continue
             grew |= self.add_alias(domain, owner, "residual")
@@ -582,7 +605,7 @@ class Vault:
             row = self.by_token.get(self.canonical(named[-1])) if named else None
             if row is None or not row.active or row.kind not in ("PERSON", "ORG", "ENTITY"):
                 continue
-            known = {row.real_value} | {a.surface for a in self.aliases if a.token == row.token and a.source != "defined"}
+            known = {row.real_value} | {a.surface for a in self._surfaces.get(row.token, ()) if a.source != "defined"}
             if any(N.defines_alias(term, n) for n in known):
                 grew |= self.add_defined(term, row.token)
         return grew
@@ -625,6 +648,9 @@ class Vault:
 
     def apply(self, text: str) -> Applied:
         """The text with every enrolled surface as its token; neighbouring surfaces of one referent become one."""
+        machine = self._matcher()
+        if not self.defined and not (len(machine) and next(machine.iter(key(text)), None)):
+            return Applied(text, {}, [])  # places cost more than the search, and most texts hold nothing
         hay, folded = fold_haystack(text)
         found = [(*folded.raw_span(s, e), t) for s, e, t in self.hits(hay)] if text.strip() else []
         taken = getattr(self, "_taken", bytearray(len(hay)))
@@ -712,6 +738,9 @@ class Vault:
         """Seed again, then merge duplicates into their referents and retire what is none; nothing is deleted."""
         self.seed(entities, parties)
         report = {"kept": 0, "merged": 0, "retired": 0, "shared_rewritten": 0, "shared_collapsed": 0}
+        self._twins: dict[tuple[str, str], list[Row]] = {}
+        for row in self.rows:
+            self._twins.setdefault((row.kind, key(row.real_value)), []).append(row)
         for row in sorted((r for r in self.rows if r.active), key=lambda r: r.number):
             a = row.attributes
             if a.get("entity_type") or a.get("shared_by") or a.get("identifier_of_name") or row.kind in STRUCTURAL:
@@ -748,12 +777,12 @@ class Vault:
 
     def _owner_of(self, row: Row) -> str | None:
         """Another active row that this one duplicates."""
-        for other in self.rows:
-            if other.active and other is not row and key(other.real_value) == key(row.real_value) and other.kind == row.kind and other.number < row.number:
-                return other.token
+        twins = [t for t in self._twins.get((row.kind, key(row.real_value)), ()) if t.active and t.number < row.number]
+        if twins:
+            return twins[0].token
         if row.kind == "PERSON":
             bones = N.skeleton(row.real_value)
-            hits = [p.token for p in self.people() if p is not row and referent_score(N.skeleton(p.real_value), bones) >= 2]
+            hits = [t for t in self._people.fitting(bones) if t != row.token]
             if len(hits) == 1:
                 return hits[0]
             owners = [t for t in self.fragment_owners(row.real_value) if t != row.token] if len(N.name_parts(row.real_value)) == 1 else []

@@ -39,6 +39,13 @@ def _token() -> str:
     return f"kind || '_' || (CAST('0x' || substr({outer}, 1, 10) AS BIGINT) % 90000000 + 10000000)"
 
 
+def _made(number: str, digits: int) -> str:
+    """A capitalised word for a number, a syllable a digit."""
+    syllables = "['ba', 'de', 'fa', 'go', 'lu', 'ma', 'ne', 'ro', 'sa', 'tu']"
+    word = f"list_aggregate(list_transform(range(1, {digits + 1}), lambda i: {syllables}[CAST(substr(lpad(CAST({number} AS VARCHAR), {digits}, '0'), i, 1) AS INTEGER) + 1]), 'string_agg', '')"
+    return f"(upper({word}[1:1]) || {word}[2:])"
+
+
 _SENSITIVE = "(SELECT d.doc_id, d.source, d.text, CASE WHEN toxic = 1 THEN 3 WHEN quality = 0 THEN 2 WHEN quality = 1 THEN 1 ELSE 0 END AS level FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY 1) l USING (doc_id))"
 _NAME = "(['public', 'internal', 'confidential', 'restricted'])[level + 1]"
 _REQ = "(SELECT user_id AS task_id, event_type || CASE WHEN event_id % 3 = 0 THEN '-2024' ELSE '' END AS model, k AS input, k % 7 AS w5, k % 5 AS w1, k * 3 AS read, k % 11 AS output FROM (SELECT *, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events))"
@@ -76,8 +83,20 @@ WITH k AS (SELECT o_orderkey, lpad(CAST(o_orderkey * 7919 % 100000000 AS VARCHAR
 n AS (SELECT *, CAST('3704004405' || k || '1314' || lpad(CAST(o_orderkey % 97 AS VARCHAR), 2, '0') AS HUGEINT) AS iban, '41111111' || k AS d, substr(k, 2, 7) AS m FROM k)
 SELECT o_orderkey, iban % 97 = 1 AS iban_ok, {_LUHN.format(d="d")} AS luhn_ok, {_LUHN.format(d="d")} AS card_ok, (7 * CAST(m[1:1] AS INT) + 6 * CAST(m[2:2] AS INT) + 5 * CAST(m[3:3] AS INT) + 4 * CAST(m[4:4] AS INT) + 3 * CAST(m[5:5] AS INT) + 2 * CAST(m[6:6] AS INT)) % 10 = CAST(m[7:7] AS INT) AS imo_ok FROM n""",
     "derive_tokens": f"{_detections()} SELECT kind, k AS span_key, {_token()} AS token FROM (SELECT DISTINCT kind, lower(s) AS k FROM det)",
-    "restore_documents": "SELECT doc_id, true AS same FROM documents WHERE source IS NOT NULL",
-    "residual_surfaces": "SELECT CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS VARCHAR) AS found WHERE false",
+    "absorb_people": f"""
+WITH n AS (SELECT 'desk' || (c_custkey // 2 % 4) AS scope_id, {_made("c_custkey + 100000000", 9)} AS given, {_made("c_custkey // 2 + 1000000", 7)} AS family FROM customer),
+p AS (SELECT scope_id, family, 'PERSON' AS kind, given || ' ' || family AS v, lower(given || ' ' || family) AS k FROM n),
+t AS (SELECT *, {_token()} AS token FROM p),
+f AS (SELECT scope_id, 'PERSON' AS kind, family AS v, lower(family) AS k, string_agg(token, ',' ORDER BY token) AS shared_by FROM t GROUP BY scope_id, family HAVING count(*) > 1)
+SELECT scope_id, token, kind, v AS real_value, k AS normalized, CAST(NULL AS VARCHAR) AS shared_by FROM t UNION ALL SELECT scope_id, {_token()}, kind, v, k, shared_by FROM f""",
+    "restore_documents": f"{_detections()} SELECT doc_id, sha256(lower(coalesce(text, ''))) AS restored_sha256, doc_id IN (SELECT doc_id FROM det) AS hidden FROM documents WHERE source IS NOT NULL",
+    "residual_surfaces": f"{_detections()} SELECT doc_id, min(s) AS found FROM det WHERE kind = 'EMAIL' AND source IS NOT NULL GROUP BY doc_id",
+    "enrol_scopes": f"""{_detections()},
+seeds AS (SELECT DISTINCT 'src' || (s_suppkey % 20) AS scope_id, 'ORG' AS kind, lower(s_name) AS k FROM supplier),
+found AS (SELECT DISTINCT source AS scope_id, kind, lower(s) AS k FROM det WHERE source IS NOT NULL),
+mail AS (SELECT DISTINCT scope_id, string_split(k, '@')[1] AS box FROM found WHERE kind = 'EMAIL'),
+a AS (SELECT * FROM seeds UNION SELECT * FROM found)
+SELECT scope_id, {_token()} AS token, kind, k AS normalized, 'active' AS status, CAST(1 AS BIGINT) AS n_surfaces FROM a""",
     "gateway_crossings": f"SELECT source AS actor_id, 'send' AS action, 'cloud' AS plane, {_NAME} AS sensitivity, sha256(text) AS content_hash, 'model' AS target FROM {_SENSITIVE} WHERE level <= 1",
     "gateway_refusals": f"SELECT {_NAME} AS sensitivity, count(*) AS n, min(doc_id) AS first_doc FROM {_SENSITIVE} WHERE level > 1 GROUP BY 1",
     "leak_check": "SELECT doc_id, sha256(b.t) AS surface_sha256, CAST((length(d.t) - length(replace(d.t, b.t, ''))) / length(b.t) AS BIGINT) AS n FROM (SELECT doc_id, replace(lower(text), 'ß', 'ss') AS t FROM documents) d, (SELECT DISTINCT replace(lower(text), 'ß', 'ss') AS t FROM benchmark) b WHERE contains(d.t, b.t)",
@@ -93,7 +112,7 @@ SELECT qid AS query_id, CAST(source_rank AS INTEGER) AS source_rank, round(margi
     "judge_prompts": "SELECT item_id, sha256('Records:' || chr(10) || '- A: first' || chr(10) || '- B: second' || chr(10) || chr(10) || 'Excerpt:' || chr(10) || substr(text, 1, 6000)) AS prompt_sha256 FROM benchmark",
     "price_models": f"SELECT model, id AS price_id, pin::DOUBLE AS input_price FROM {_PRICED}",
     "task_cost": f"""
-WITH r AS (SELECT * FROM {_REQ} WHERE task_id % 5 <> 0), c AS (SELECT r.*, pin::DOUBLE AS pin, (input * pin + w5 * pin * 1.25 + w1 * pin * 2 + read * pread + output * pout)::DOUBLE / 1e6 AS a, ((input + w5 + w1 + read) * pin + output * pout)::DOUBLE / 1e6 AS b FROM r LEFT JOIN {_PRICED} USING (model))
+WITH r AS (SELECT * FROM {_REQ}), c AS (SELECT r.*, pin::DOUBLE AS pin, (input * pin + w5 * pin * 1.25 + w1 * pin * 2 + read * pread + output * pout)::DOUBLE / 1e6 AS a, ((input + w5 + w1 + read) * pin + output * pout)::DOUBLE / 1e6 AS b FROM r LEFT JOIN {_PRICED} USING (model))
 SELECT task_id, count(*) AS requests, array_to_string(list_sort(list(DISTINCT model)), ',') AS models, CAST(sum(input) AS BIGINT) AS input, CAST(sum(read) AS BIGINT) AS read, CAST(sum(output) AS BIGINT) AS output, CASE WHEN bool_and(pin IS NOT NULL) THEN round(sum(a), 4) END AS usd, CASE WHEN bool_and(pin IS NOT NULL) THEN round(sum(b) - sum(a), 4) END AS saved_usd FROM c GROUP BY task_id""",
     "usage_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "user_sessions": """
@@ -123,5 +142,5 @@ SELECT doc, note_id, coalesce(state, '') AS state, coalesce(n_decisions, 0) AS n
     "citation_forms": """
 WITH c AS (SELECT p_partkey, unnest(['§ ' || (p_partkey % 900 + 100) || ' BGB', '§ ' || (p_partkey % 900 + 101) || ' BGB', 'Art. ' || (p_partkey % 19 + 1) || ' GG', (p_partkey % 50 + 1) || ' U.S.C. § ' || (p_partkey % 2000 + 1), 'CPR ' || (p_partkey % 80 + 1) || '.1']) AS citation FROM part)
 SELECT p_partkey, citation, CASE WHEN contains(citation, 'U.S.C.') THEN 'US' WHEN starts_with(citation, 'CPR') THEN 'GB' ELSE 'DE' END AS jurisdiction, CAST(CASE WHEN regexp_matches(citation, '[ABEZHIKMNOPTYX]') THEN 2 ELSE 1 END AS INTEGER) AS n_forms, citation AS folded FROM c""",
-    "request_slots": "WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, role, text FROM conversations WHERE turn < 3), s AS (SELECT 'messages/' || i || '/role' AS path, role AS s FROM t UNION ALL SELECT 'messages/' || i || '/content', text FROM t) SELECT path, count(*) AS n, CAST(sum(length(s)) AS BIGINT) AS chars FROM s GROUP BY path",
+    "request_slots": "WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, role, text FROM conversations), s AS (SELECT 'messages/' || i || '/role' AS path, role AS s FROM t UNION ALL SELECT 'messages/' || i || '/content', text FROM t) SELECT path, count(*) AS n, CAST(sum(length(s)) AS BIGINT) AS chars FROM s GROUP BY path",
 }

@@ -1,14 +1,18 @@
 """Enrolment and redaction of whole tables: two phases, legal because a token is a function of its referent.
 
-Phase 1 builds each scope's vault from seeds and from the *distinct* detections of all its documents;
-phase 2 applies the vault to every document.  A scope's vault is one group (its size is that of the
-distinct names, not of the texts).  Documents of a scope are dealt to slices of bounded size, each of
-which meets its own copy of the scope's vault, so a scope with a third of all rows is many tasks.
+Phase 1 builds each scope's vault from seeds and from the *distinct* detections of all its documents,
+once: the result is written to the shared folder.  A scope's vault is one group (its size is that of the
+distinct names, not of the texts).  Phase 2 applies the vaults to every document.  Vaults of up to
+VAULT_BYTES together are broadcast, and documents are redacted where they lie; each worker builds a
+scope's vault once.  Larger ones are joined: documents of a scope are dealt to slices by bytes, each
+of which meets its own copy of the scope's vault, so a scope with a third of all rows is many tasks.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -18,9 +22,12 @@ from ..functions import columns as C
 from ..functions.fold import deconfuse_ascii
 from ..operators.vault import Alias, Row, Vault, attributes_row, restore
 from ..schemas import ALIASES, REDACTION, TOKENS
+from ..sources.held import hold
 
-#: Documents of a scope in a slice, about.
-SLICE = 1000
+#: Bytes of the texts of a slice, about, and documents of one at most.
+SLICE_BYTES, SLICE_ROWS = 64 << 20, 50_000
+#: Bytes of all scopes' tokens and aliases together up to which they are broadcast.
+VAULT_BYTES = 32 << 20
 
 
 def _vault(parts: dict[str, list[dict]]) -> Vault:
@@ -36,8 +43,8 @@ def _tagged(df: DataFrame | None, tag: str) -> DataFrame | None:
     """(scope_id, tag, seq, row as JSON) of a table of a scope."""
     if df is None:
         return None
-    seq = F.col("seq") if "seq" in df.columns else F.lit(0).cast("long")
-    return df.select("scope_id", F.lit(tag).alias("tag"), seq.alias("seq"), F.to_json(F.struct(*df.columns)).alias("row"))
+    seq = F.col("seq") if "seq" in df.columns else F.lit(0)
+    return df.select("scope_id", F.lit(tag).alias("tag"), seq.cast("decimal(38,0)").alias("seq"), F.to_json(F.struct(*df.columns)).alias("row"))
 
 
 def _union(frames: list[DataFrame | None]) -> DataFrame:
@@ -93,6 +100,10 @@ def _reconcile(table: pa.Table) -> pa.Table:
 
 
 def _split(out: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return _parted(hold(out))
+
+
+def _parted(out: DataFrame) -> tuple[DataFrame, DataFrame]:
     def part(tag: str, ddl: str) -> DataFrame:
         fields = ", ".join(f for f in _fields(ddl) if f.split()[0] not in ("scope_id", "seq"))
         return out.where(F.col("tag") == tag).select("scope_id", "seq", F.from_json("row", fields).alias("r")).select("scope_id", "r.*", "seq")
@@ -116,7 +127,7 @@ def distinct_detections(detections: DataFrame, docs: DataFrame | None = None) ->
     """The first detection of each (scope, span, kind), in the order of documents; bounds what a scope's group holds."""
     w = Window.partitionBy("scope_id", "kind", F.lower("span")).orderBy("doc_id", "ord")
     firsts = detections.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    seq = F.col("doc_id") * 100_000 + F.col("ord")
+    seq = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32) + F.col("ord")
     keep = [c for c in ("language",) if c in detections.columns]
     return firsts.select("scope_id", seq.alias("seq"), "span", "kind", *keep)
 
@@ -134,9 +145,9 @@ def enrol(tokens: DataFrame | None = None, aliases: DataFrame | None = None, sal
 def reconcile(tokens: DataFrame, aliases: DataFrame, salts: DataFrame | None = None, entities: DataFrame | None = None, parties: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tokens, aliases, report) after merging duplicates and retiring what is no referent; the inputs stay as they are."""
     every = _union([_tagged(tokens, "token"), _tagged(aliases, "alias"), _tagged(_salts(salts), "salt"), _tagged(entities, "entity"), _tagged(parties, "party")])
-    out = every.groupBy("scope_id").applyInArrow(_reconcile, _OUT)
+    out = hold(every.groupBy("scope_id").applyInArrow(_reconcile, _OUT))
     report = out.where("tag = 'report'").select("scope_id", F.from_json("row", "kept int, merged int, retired int, shared_rewritten int, shared_collapsed int").alias("r")).select("scope_id", "r.*")
-    return (*_split(out), report)
+    return (*_parted(out), report)
 
 
 # -- phase 2 ----------------------------------------------------------------------------------------
@@ -145,13 +156,79 @@ def reconcile(tokens: DataFrame, aliases: DataFrame, salts: DataFrame | None = N
 def _sliced(docs: DataFrame, id_col: str, scope_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Documents with their slice, and the slices of each scope."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(scope_col).alias("scope_id"), F.col(text_col).alias("text")).where(F.col(scope_col).isNotNull())
-    sizes = base.groupBy("scope_id").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
-    dealt = base.join(sizes, "scope_id").withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.col("slices")).cast("int")).drop("slices")
+    slices = F.ceil(F.greatest(F.sum(F.octet_length("text")) / SLICE_BYTES, F.count("*") / SLICE_ROWS, F.lit(1))).cast("int")
+    sizes = base.groupBy("scope_id").agg(slices.alias("slices"))
+    # (the row's number spreads rows that are equal)
+    dealt = base.join(sizes, "scope_id").withColumn("slice", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.col("slices")).cast("int")).drop("slices")
     return dealt, sizes.select("scope_id", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
 
 
-def _meet(docs: DataFrame, tokens: DataFrame, aliases: DataFrame, salts: DataFrame | None, f, ddl: str, id_col: str, scope_col: str, text_col: str) -> DataFrame:
-    """f(documents of a slice, the scope's vault) over all slices; scopes without a vault have an empty one."""
+#: Vaults that a worker has built of the last broadcast.
+_built: dict = {}
+
+
+def _vault_of(held, scope: str) -> Vault:
+    if _built.get("of") != held.id:
+        _built.clear()
+        _built["of"] = held.id
+    if scope not in _built:
+        rows, aliases, salt = held.value["vaults"].get(scope, ((), (), None))
+        _built[scope] = Vault([Row(**r) for r in rows], [Alias(**a) for a in aliases], salt)
+    return _built[scope]
+
+
+class _Held:
+    """Collected vaults, broadcast under a name that workers know them by."""
+
+    def __init__(self, vaults: dict, spark):
+        self.id = uuid.uuid4().hex
+        self.sent = spark.sparkContext.broadcast({"vaults": vaults})
+
+    @property
+    def value(self) -> dict:
+        return self.sent.value
+
+
+def _collected(tokens: DataFrame, aliases: DataFrame, salts: DataFrame | None) -> dict:
+    out: dict[str, tuple[list, list, bytes | None]] = {}
+    for r in tokens.orderBy("scope_id", "seq").toArrow().to_pylist():
+        known = {k: v for k, v in (r["attributes"] or {}).items() if v is not None}
+        out.setdefault(r["scope_id"], ([], [], None))[0].append({"token": r["token"], "kind": r["kind"], "real_value": r["real_value"], "normalized": r["normalized"], "status": r["status"] or "active", "canonical_token": r["canonical_token"], "attributes": known})
+    for r in aliases.orderBy("scope_id", "seq").toArrow().to_pylist():
+        out.setdefault(r["scope_id"], ([], [], None))[1].append({k: r[k] for k in ("token", "surface", "normalized", "source")})
+    if salts is not None:
+        salt = {r["scope_id"]: bytes(r["salt"]) for r in salts.join(tokens.select("scope_id").distinct(), "scope_id", "left_semi").collect()}
+        out = {s: (rows, more, salt.get(s)) for s, (rows, more, _) in out.items()}
+    return out
+
+
+def _bytes_of(df: DataFrame) -> int:
+    return df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+
+
+def _meet(docs: DataFrame, tokens: DataFrame, aliases: DataFrame, salts: DataFrame | None, f, ddl: str, id_col: str, scope_col: str, text_col: str, vault_bytes: int | None = None) -> DataFrame:
+    """f(documents of one scope, the scope's vault) over all documents that have a scope; scopes without a vault have an empty one."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = to_arrow_schema(_parse_datatype_string(ddl))
+    spark = docs.sparkSession
+    if _bytes_of(tokens) + _bytes_of(aliases) <= (VAULT_BYTES if vault_bytes is None else vault_bytes):
+        held = _Held(_collected(tokens, aliases, salts), spark)
+        base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(scope_col).alias("scope_id"), F.col(text_col).alias("text")).where(F.col(scope_col).isNotNull())
+        cores = spark.sparkContext.defaultParallelism
+        if base._jdf.rdd().getNumPartitions() < cores:  # a table of few files
+            base = base.repartition(cores)
+
+        def here(batches):
+            for batch in batches:
+                by_scope: dict[str, list[dict]] = {}
+                for r in batch.to_pylist():
+                    by_scope.setdefault(r["scope_id"], []).append(r)
+                for scope, rows in by_scope.items():
+                    yield pa.RecordBatch.from_pylist(f(rows, _vault_of(held, scope)), schema=schema)
+
+        return base.mapInArrow(here, ddl)
     dealt, slices = _sliced(docs, id_col, scope_col, text_col)
     vaults = _union([_tagged(tokens, "token"), _tagged(aliases, "alias"), _tagged(_salts(salts), "salt")])
     right = slices.join(vaults, "scope_id").select(F.col("scope_id").alias("v_scope"), F.col("slice").alias("v_slice"), "tag", "seq", "row")
@@ -160,15 +237,11 @@ def _meet(docs: DataFrame, tokens: DataFrame, aliases: DataFrame, salts: DataFra
         rows = f(left.to_pylist(), _vault(_parts(other)))
         return pa.Table.from_pylist(rows, schema=schema)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    schema = to_arrow_schema(_parse_datatype_string(ddl))
     return dealt.groupBy("scope_id", "slice").cogroup(right.groupBy("v_scope", "v_slice")).applyInArrow(run, ddl)
 
 
-def redact(docs: DataFrame, tokens: DataFrame, aliases: DataFrame, salts: DataFrame | None = None, glossary: bool = True, id_col: str = "doc_id", scope_col: str = "source", text_col: str = "text") -> DataFrame:
-    """A redaction (schemas.REDACTION) for each document that has a scope; equal texts of a slice are matched once."""
+def redact(docs: DataFrame, tokens: DataFrame, aliases: DataFrame, salts: DataFrame | None = None, glossary: bool = True, id_col: str = "doc_id", scope_col: str = "source", text_col: str = "text", vault_bytes: int | None = None) -> DataFrame:
+    """A redaction (schemas.REDACTION) for each document that has a scope; equal texts of a batch are matched once."""
 
     def f(rows: list[dict], v: Vault) -> list[dict]:
         known: dict[str | None, dict] = {}
@@ -181,7 +254,7 @@ def redact(docs: DataFrame, tokens: DataFrame, aliases: DataFrame, salts: DataFr
             out.append({"doc_id": r["doc_id"], "scope_id": r["scope_id"], **known[r["text"]]})
         return out
 
-    return _meet(docs, tokens, aliases, salts, f, REDACTION, id_col, scope_col, text_col)
+    return _meet(docs, tokens, aliases, salts, f, REDACTION, id_col, scope_col, text_col, vault_bytes)
 
 
 RECALLED = "scope_id string, seq long, what string, surface string, owner string"
@@ -194,6 +267,7 @@ def recall(docs: DataFrame, tokens: DataFrame, aliases: DataFrame, salts: DataFr
     """
 
     def f(rows: list[dict], v: Vault) -> list[dict]:
+        v = Vault([replace(r, attributes=dict(r.attributes)) for r in v.rows], [replace(a) for a in v.aliases], v.salt)
         before = {r.token for r in v.rows}, {id(a) for a in v.aliases}
         first: dict[str, int] = {}
         for r in sorted(rows, key=lambda r: r["doc_id"]):
@@ -255,11 +329,16 @@ def restored(text: Column, mapping: Column) -> Column:
 
 
 def vault_mapping(tokens: DataFrame) -> DataFrame:
-    """(scope_id, token, value) of every token, retired ones as the row that carries their referent today (followed up to eight times)."""
+    """(scope_id, token, value) of every token, retired ones as the row that carries their referent today."""
     at = tokens.select("scope_id", "token", F.col("token").alias("now"))
-    step = tokens.select("scope_id", F.col("token").alias("now"), F.when((F.col("status") != "active") & F.col("canonical_token").isNotNull(), F.col("canonical_token")).alias("next"))
-    for _ in range(8):
-        at = at.join(step, ["scope_id", "now"], "left").select("scope_id", "token", F.coalesce("next", "now").alias("now"))
+    step = hold(tokens.select("scope_id", F.col("token").alias("now"), F.when((F.col("status") != "active") & F.col("canonical_token").isNotNull(), F.col("canonical_token")).alias("next")))
+    chains = step.where("next is not null")
+    turns = chains.count()  # no chain is longer
+    while turns > 0:  # each turn doubles what a step spans, so a chain of n rows takes log2(n) turns
+        at = hold(at.join(step, ["scope_id", "now"], "left").select("scope_id", "token", F.coalesce("next", "now").alias("now")))
+        on = step.select("scope_id", F.col("now").alias("next"), F.col("next").alias("then"))
+        step = hold(step.join(on, ["scope_id", "next"], "left").select("scope_id", "now", F.coalesce("then", "next").alias("next")))
+        turns //= 2
     return at.join(tokens.select("scope_id", F.col("token").alias("now"), F.col("real_value").alias("value")), ["scope_id", "now"]).select("scope_id", "token", "value")
 
 

@@ -135,12 +135,36 @@ def _vault(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
     return tokens, aliases, salts
 
 
+#: A part of a made name: each digit a syllable.  No two are spelled alike, and no other romanisation is known of any.
+SYLLABLES = ("ba", "de", "fa", "go", "lu", "ma", "ne", "ro", "sa", "tu")
+
+
+def _made_name(number, digits: int):
+    """A capitalised word for a number, a syllable a digit."""
+    d = F.lpad(number.cast("string"), digits, "0")
+    parts = [F.element_at(F.array(*map(F.lit, SYLLABLES)), F.substring(d, i + 1, 1).cast("int") + 1) for i in range(digits)]
+    return F.initcap(F.concat(*parts))
+
+
+@query
+def absorb_people(spark: SparkSession, sf: str) -> DataFrame:
+    """A name for each customer, surnames shared by twos, as a detector might find them: the rows that
+    the vaults get.  Two who share a surname have a row of that surname, shared by both."""
+    k = F.col("c_custkey")
+    pair = F.floor(k / 2).cast("long")
+    name = F.concat_ws(" ", _made_name(k + 100_000_000, 9), _made_name(pair + 1_000_000, 7))
+    found = _table(spark, sf, "customer").select(k.alias("doc_id"), F.concat(F.lit("desk"), (pair % 4).cast("string")).alias("scope_id"), F.lit(0).alias("ord"), name.alias("span"), F.lit("PERSON").alias("kind"), F.lit("en").alias("language"))
+    salts = found.select("scope_id").distinct().withColumn("salt", F.lit(SALT))
+    tokens, _ = enrol.enrol(salts=salts, detections=found)
+    return tokens.select("scope_id", "token", "kind", "real_value", "normalized", F.array_join(F.array_sort("attributes.shared_by"), ",").alias("shared_by"))
+
+
 @query
 def enrol_scopes(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens and aliases of every scope after seeding and absorbing."""
     tokens, aliases, _ = _vault(spark, sf)
-    n = aliases.groupBy("scope_id", "token").agg(F.count("*").alias("n_aliases"))
-    return tokens.join(n, ["scope_id", "token"], "left").select("scope_id", "token", "kind", "normalized", "status", F.coalesce("n_aliases", F.lit(0)).alias("n_aliases"))
+    own = aliases.where("source in ('entity', 'residual')").groupBy("scope_id", "token").agg(F.count("*").alias("n_surfaces"))
+    return tokens.join(own, ["scope_id", "token"], "left").select("scope_id", "token", "kind", "normalized", "status", F.coalesce("n_surfaces", F.lit(0)).alias("n_surfaces"))
 
 
 @query
@@ -158,20 +182,23 @@ def redact_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def restore_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """M5: redacted documents restored, and whether each is what it was but for spelling."""
+    """M5: redacted documents restored: digests of the texts but for capitals, and whether the redaction held tokens in their place."""
     tokens, aliases, salts = _vault(spark, sf)
     docs = _table(spark, sf, "documents")
-    out = enrol.redact(docs, tokens, aliases, salts, glossary=False).select("doc_id", enrol.restored(F.col("text"), F.col("mapping")).alias("back"))
-    same = F.lower(F.coalesce(docs["text"], F.lit(""))) == F.lower("back")
-    return docs.join(out, "doc_id").select("doc_id", same.alias("same"))
+    out = enrol.redact(docs, tokens, aliases, salts, glossary=False).select("doc_id", enrol.restored(F.col("text"), F.col("mapping")).alias("back"), C.has_token(F.col("text")).alias("hidden"))
+    return out.select("doc_id", F.sha2(F.lower("back"), 256).alias("restored_sha256"), F.col("hidden").alias("hidden"))
 
 
 @query
 def residual_surfaces(spark: SparkSession, sf: str) -> DataFrame:
-    """M6: enrolled values that still stand in redacted documents: none may."""
+    """M6: enrolled values that stand in redacted documents.  None may; so one is put back at the end of those that held an
+    e-mail address, the first in the alphabet, and is found there and nothing else anywhere."""
     tokens, aliases, salts = _vault(spark, sf)
-    red = enrol.redact(_table(spark, sf, "documents"), tokens, aliases, salts, glossary=False).select("doc_id", F.col("scope_id").alias("source"), "text")
-    return enrol.residual(red, tokens, aliases).select("doc_id", F.array_join("found", ",").alias("found"))
+    docs = _table(spark, sf, "documents")
+    red = enrol.redact(docs, tokens, aliases, salts, glossary=False)
+    mails = _detected(spark, sf).where("kind = 'EMAIL' and scope_id is not null").groupBy("doc_id").agg(F.min("span").alias("mail"))
+    planted = red.join(mails, "doc_id", "left").select("doc_id", F.col("scope_id").alias("source"), F.concat("text", F.coalesce(F.concat(F.lit("\n\nfrom "), "mail"), F.lit(""))).alias("text"))
+    return enrol.residual(planted, tokens, aliases).select("doc_id", F.array_join("found", ",").alias("found"))
 
 
 @query
@@ -277,7 +304,7 @@ def price_models(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def task_cost(spark: SparkSession, sf: str) -> DataFrame:
     """Totals and cost of each task; no cost where a model has no price."""
-    out = usage.task_cost(_requests(spark, sf).where(F.col("task_id") % 5 != 0), _prices(spark))
+    out = usage.task_cost(_requests(spark, sf), _prices(spark))
     return out.select("task_id", "requests", F.array_join("models", ",").alias("models"), "input", "read", "output", "usd", "saved_usd")
 
 
@@ -414,7 +441,7 @@ def citation_forms(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def request_slots(spark: SparkSession, sf: str) -> DataFrame:
     """The strings of request bodies made of conversations, by path."""
-    turns = _table(spark, sf, "conversations").where("turn < 3").select("conv_id", F.struct("role", F.col("text").alias("content")).alias("m"), "turn")
+    turns = _table(spark, sf, "conversations").select("conv_id", F.struct("role", F.col("text").alias("content")).alias("m"), "turn")
     bodies = turns.groupBy("conv_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("turn", "m"))), lambda x: x["m"]).alias("messages"))).alias("body"))
     return requests.slots(bodies, "conv_id").groupBy("path").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 

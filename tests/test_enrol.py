@@ -89,3 +89,27 @@ def test_patterns(spark):
     assert detect_patterns(df, ("IBAN",)).count() == 1
     masked = {r.doc_id: r.m for r in mask(df).select("doc_id", F.col("masked").alias("m")).collect()}
     assert masked[2] == "IBAN <IBAN> EUR and <CARD> or 1234 5678 9012 3456" and masked[5] == "é😀 <EMAIL>" and masked[4] is None
+
+
+def test_broadcast_and_joined_vaults_redact_alike(spark, tables):
+    docs, salts, entities, parties = tables
+    found = held(spark, detect_patterns(docs).withColumn("language", F.lit("en")))
+    tokens, aliases = enrol.enrol(salts=salts, entities=entities, parties=parties, detections=found)
+    one = {r.doc_id: r for r in enrol.redact(docs, tokens, aliases, salts).collect()}
+    two = {r.doc_id: r for r in enrol.redact(docs, tokens, aliases, salts, vault_bytes=0).collect()}
+    assert one == two and len(one) == 5
+
+
+def test_ids_of_any_size_keep_their_order(spark):
+    rows = [(i, "s", o, "Ada Brenner", "PERSON", "en") for i, o in ((2**62, 0), (-5, 6_000_001), (-5, 1))]
+    df = spark.createDataFrame(rows, "doc_id long, scope_id string, ord int, span string, kind string, language string")
+    got = enrol.distinct_detections(df).collect()
+    assert len(got) == 1 and int(got[0].seq) == -5 * 2**32 + 1
+    many = enrol.distinct_detections(df.withColumn("span", F.col("doc_id").cast("string")).withColumn("kind", F.col("ord").cast("string")))
+    assert [int(r.seq) // 2**32 for r in many.orderBy("seq").collect()] == [-5, -5, 2**62]
+
+
+def test_retired_tokens_lead_to_the_row_of_today(spark):
+    chain = [("s", f"ORG_{i}", "ORG", f"v{i}", f"v{i}", "retired" if i < 12 else "active", f"ORG_{i + 1}" if i < 12 else None, None, i) for i in range(13)]
+    tokens = spark.createDataFrame(chain, schemas.TOKENS)
+    assert {r.value for r in enrol.vault_mapping(tokens).collect()} == {"v12"}

@@ -1,9 +1,13 @@
 import random
+import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from maskwright.functions.fold import TOKEN, key
-from maskwright.operators import glossary
+from maskwright.functions import names
+from maskwright.operators import glossary, people
 from maskwright.operators.vault import Vault, derive_token, merge_mappings, party_kind, restore
 
 SALT = bytes(range(32))
@@ -129,3 +133,59 @@ def test_merge_mappings(vault):
     c = vault.redact("Brenner there")
     t = vault.token_for("Ada Brenner")
     assert merge_mappings([a, b])[t] == "Ada Brenner" and merge_mappings([a, c])[t] == "Ada Brenner" and merge_mappings([c])[t] == "Brenner"
+
+
+def people_by_all_pairs(v):
+    """As `Vault.people`, comparing all with all."""
+    some = [r for r in v.rows if r.active and r.kind == "PERSON" and not r.attributes.get("shared_by") and len(names.name_parts(r.real_value)) >= 2 and names.admit_person(r.real_value)[0]]
+    kept = []
+    for r in sorted(some, key=lambda r: (not r.attributes.get("entity_type"), -len(names.skeleton(r.real_value)), r.number)):
+        if not any(people.same_person(names.skeleton(k.real_value), names.skeleton(r.real_value)) for k in kept):
+            kept.append(r)
+    return [r.token for r in kept]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["Anna", "Annabel", "A.", "Bo", "Boris", "B.", "Carl", "Carla"]), st.sampled_from(["Dorn", "Dornow", "Dornowa", "D.", "Egger", "Carl"]), st.sampled_from(["", "Fink", "E."]), st.booleans()), max_size=14))
+def test_people_are_those_of_all_pairs(rows):
+    v = Vault(salt=SALT)
+    for first, last, more, seeded in rows:
+        v.register(" ".join(filter(None, (first, more, last))), "PERSON", "entity", {"entity_type": "individual"} if seeded else {"source": "residual"}, variants=False)
+        assert [r.token for r in v.people()] == people_by_all_pairs(v)
+    for r in v.rows[::2]:
+        r.attributes["shared_by"] = ["PERSON_1"]
+        v._file(r)
+        assert [r.token for r in v.people()] == people_by_all_pairs(v)
+    for part in ("Anna", "Dorn", "Carl", "E"):
+        bone = names.skeleton_part(part)
+        assert v.fragment_owners(part) == sorted((r.token for r in v.people() if any(names.stem_match(p, bone) for p in names.skeleton(r.real_value))), key=lambda t: int(t.split("_")[1]))
+    for surface in ("A. Dorn", "Carl Dornow", "B. E.", "Boris Egger Fink"):
+        bones = names.skeleton(surface)
+        assert v._people.fitting(bones) == [r.token for r in v.people() if people.referent_score(names.skeleton(r.real_value), bones) >= 2]
+
+
+def test_names_inside_company_names_are_no_people():
+    v = Vault(salt=SALT)
+    v.register("Henrik Solberg Maritime Ltd", "ORG", "entity")
+    v.register("Corvida", "ORG", "entity")
+    assert not v.admit("Henrik Solberg", "PERSON")[0] and not v.admit("Anton Corvida", "PERSON")[0]
+    assert v.admit("Henrik Solbergen", "PERSON")[0] and v.admit("Anton Corvidaxen", "PERSON")[0]
+
+
+def test_frame_words_are_no_match_keys():
+    v = Vault(salt=SALT)
+    v.register("Tätle", "PERSON", "entity", variants=False)
+    assert not any(names.is_common_word(k) for k in v.match_keys()[0])
+
+
+def test_a_thousand_names_take_about_ten_times_as_long_as_a_hundred():
+    syllables = "ba de fa go lu ma ne ro sa tu".split()
+    word = lambda n: "".join(syllables[int(c)] for c in str(n).zfill(6)).capitalize()
+
+    def took(n):
+        v, start = Vault(salt=SALT), time.perf_counter()
+        v.absorb([(f"{word(i * 7919 % 10**6)} {word(i * 104729 % 10**6)}", "PERSON") for i in range(1, n + 1)], "en")
+        return time.perf_counter() - start
+
+    took(20)
+    assert took(1000) < 40 * took(100)
