@@ -1,7 +1,8 @@
 """Known values in text that has crossed: how often each stands alone, and inside which longer words.
 
-Surfaces become one automaton, sent to the executors only up to MOST_SURFACES; beyond that, both sides
-are cut into words and joined on the first words of a surface, so neither grows into a broadcast.
+Texts and surfaces are compared casefolded, as Python folds them.  Surfaces become one automaton, sent to
+the executors only up to MOST_BYTES; beyond that, each is looked for in the texts that hold its rarest
+three characters, so neither side grows into a broadcast.  Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -13,10 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fold import after_escape
+from ..functions.udfs import _each
+from ..sources.held import hold
 
-MOST_SURFACES = 200_000
+#: Bytes of all surfaces together up to which they are broadcast, and surfaces looked for in a text at once beyond.
+MOST_BYTES, CHUNK = 16 << 20, 1000
 LEAST = 3
 
+_casefold = _each(str.casefold, "string")
+
 
 def _word_char(c: str, more: str = "_") -> bool:
     return c.isalnum() or c in more
@@ -61,17 +67,17 @@ def automaton(surfaces):
 FOUND = "doc_id long, surface string, standalone long, inside long, shapes array<string>"
 
 
-def find_known(docs: DataFrame, surfaces: DataFrame, id_col: str = "doc_id", text_col: str = "text", surface_col: str = "surface") -> DataFrame:
-    """(doc_id, surface in lower case, standalone, inside, shapes): known surfaces of three or more characters in texts.
+def find_known(docs: DataFrame, surfaces: DataFrame, id_col: str = "doc_id", text_col: str = "text", surface_col: str = "surface", most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(doc_id, surface casefolded, standalone, inside, shapes): known surfaces of three or more characters in texts.
 
     A surface stands alone where no letter, digit or underscore touches it (an escape before it is a
     boundary); inside a longer word its shape is shown with the surface masked.  Null texts hold none.
     """
-    known = surfaces.select(F.col(surface_col).alias("s")).where(F.length("s") >= LEAST).distinct()
-    some = [r["s"] for r in known.limit(MOST_SURFACES + 1).collect()]
+    known = surfaces.select(_casefold(F.col(surface_col)).alias("s")).where(F.length("s") >= LEAST).distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
-    if len(some) > MOST_SURFACES:
+    if (known.agg(F.sum(F.octet_length("s"))).first()[0] or 0) > most_bytes:
         return _find_joined(rows, known)
+    some = [r["s"] for r in known.collect()]
 
     def scan(batches):
         machine = automaton(some)
@@ -97,14 +103,20 @@ def _rows(doc_id, alone, inside) -> list[dict]:
 
 
 def _find_joined(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """The same by candidates: (document, surface) pairs that share the surface's rarest three characters' place are checked apart.
+    """The same by candidates: a surface can only stand in texts that hold all its runs of three characters; its rarest is looked up.
 
-    Every surface holds its first three characters, so the pairs of a document and a surface with equal
-    three characters in it hold every occurrence.
+    A text's candidates are dealt to chunks of about CHUNK, so no row grows with the number of surfaces.
     """
-    low = F.lower("text")
-    grams = rows.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substr(low, i, F.lit(3))))).alias("g"))
-    pairs = grams.join(known.select(F.substring(F.lower("s"), 1, 3).alias("g"), "s"), "g").groupBy("doc_id").agg(F.collect_set("s").alias("some"))
+    rows = hold(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("low", _casefold("text")))
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(c, i, F.lit(3))))
+    held = rows.select("row", F.explode(grams(F.col("low"))).alias("g"))
+    common = held.groupBy("g").agg(F.count("*").alias("n"))
+    # (a run of no text has no row here: such a surface stands nowhere)
+    every = known.select("s", F.size(grams(F.col("s"))).alias("of"), F.explode(grams(F.col("s"))).alias("g")).join(common, "g")
+    anchors = every.groupBy("s", "of").agg(F.min(F.struct("n", "g"))["g"].alias("g"), F.count("*").alias("here")).where("here = of").select("s", "g")
+    pairs = hold(held.join(anchors, "g").select("row", "s"))
+    chunks = pairs.groupBy("row").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    dealt = pairs.join(chunks, "row").groupBy("row", F.pmod(F.xxhash64("s"), F.col("chunks")).alias("chunk")).agg(F.collect_list("s").alias("some"))
 
     def scan(batches):
         for batch in batches:
@@ -113,12 +125,12 @@ def _find_joined(rows: DataFrame, known: DataFrame) -> DataFrame:
                 out += _rows(i, *occurrences(text, automaton(some)))
             yield pa.RecordBatch.from_pylist(out, _SCHEMA)
 
-    return rows.join(pairs, "doc_id").mapInArrow(scan, FOUND)
+    return rows.select("row", "doc_id", "text").join(dealt, "row").select("doc_id", "text", "some").mapInArrow(scan, FOUND)
 
 
 def report(found: DataFrame, surfaces: DataFrame) -> DataFrame:
     """Per kind: values looked for, values too short to look for, and occurrences; a leak is an occurrence that stands alone."""
-    known = surfaces.select(F.lower("surface").alias("surface"), "kind").dropDuplicates(["surface"])
+    known = surfaces.select(_casefold("surface").alias("surface"), "kind").where("surface is not null").dropDuplicates(["surface"])
     sums = found.groupBy("surface").agg(F.sum("standalone").alias("standalone"), F.sum("inside").alias("inside"))
     per = known.join(sums, "surface", "left").groupBy("kind").agg(
         F.sum((F.length("surface") >= LEAST).cast("long")).alias("n_values"), F.sum((F.length("surface") < LEAST).cast("long")).alias("skipped"),

@@ -100,6 +100,12 @@ SELECT scope_id, {_token()} AS token, kind, k AS normalized, 'active' AS status,
     "gateway_crossings": f"SELECT source AS actor_id, 'send' AS action, 'cloud' AS plane, {_NAME} AS sensitivity, sha256(text) AS content_hash, 'model' AS target FROM {_SENSITIVE} WHERE level <= 1",
     "gateway_refusals": f"SELECT {_NAME} AS sensitivity, count(*) AS n, min(doc_id) AS first_doc FROM {_SENSITIVE} WHERE level > 1 GROUP BY 1",
     "leak_check": "SELECT doc_id, sha256(b.t) AS surface_sha256, CAST((length(d.t) - length(replace(d.t, b.t, ''))) / length(b.t) AS BIGINT) AS n FROM (SELECT doc_id, replace(lower(text), 'ß', 'ss') AS t FROM documents) d, (SELECT DISTINCT replace(lower(text), 'ß', 'ss') AS t FROM benchmark) b WHERE contains(d.t, b.t)",
+    "leak_report": r"""
+WITH k AS (SELECT lower(n_name) AS s, 'NATION' AS kind FROM nation UNION ALL SELECT lower(r_name), 'REGION' FROM region),
+t AS (SELECT replace(lower(text), 'ß', 'ss') AS x FROM documents UNION ALL SELECT replace(lower(text), 'ß', 'ss') FROM conversations UNION ALL SELECT lower(n_name || ': see ' || n_name || ', pre' || n_name || '; post' || r_name || 'ish') FROM nation JOIN region ON n_regionkey = r_regionkey),
+f AS (SELECT s, kind, CAST((length(x) - length(replace(x, s, ''))) / length(s) AS BIGINT) AS n, len(regexp_extract_all(regexp_replace(x, '([^\pL\pN_])', '\1\1', 'g'), '(?:^|[^\pL\pN_])' || regexp_replace(s, '([^\pL\pN_])', '\1\1', 'g') || '(?:$|[^\pL\pN_])')) AS alone FROM t JOIN k ON contains(x, s))
+SELECT kind, count(*) AS n_values, CAST(0 AS BIGINT) AS skipped, CAST(coalesce(sum(alone), 0) AS BIGINT) AS standalone, CAST(coalesce(sum(n - alone), 0) AS BIGINT) AS inside, coalesce(sum(alone), 0) > 0 AS leak
+FROM (SELECT s, kind, sum(alone) AS alone, sum(n) AS n FROM k LEFT JOIN f USING (s, kind) GROUP BY s, kind) GROUP BY kind""".replace("\\\\", "\\"),
     "probe_retrieval": f"""
 WITH top AS (SELECT * FROM {_PAIRS} QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d, cid) <= 20),
 best AS (SELECT qid, src, scope, min(d) AS d FROM top GROUP BY ALL),

@@ -244,11 +244,16 @@ def leak_check(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def leak_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Nation and region names in request turns and documents, by kind."""
+    """Nation and region names in request turns, documents and a note on each nation, by kind.
+
+    A note has its nation twice on its own, in capitals and not, and once inside a longer word; its region inside one.
+    """
     known = _table(spark, sf, "nation").select(F.col("n_name").alias("surface"), F.lit("NATION").alias("kind")).union(_table(spark, sf, "region").select("r_name", F.lit("REGION")))
     turns = _table(spark, sf, "conversations").select((-1 - F.col("conv_id") * 1000 - F.col("turn")).alias("doc_id"), "text")  # below every document's id
     docs = _table(spark, sf, "documents").select("doc_id", "text")
-    return leak.report(leak.find_known(docs.unionByName(turns), known), known)
+    both = _table(spark, sf, "nation").join(_table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    notes = both.select((-(10**15) - F.col("n_nationkey")).cast("long").alias("doc_id"), F.concat("n_name", F.lit(": see "), F.lower("n_name"), F.lit(", pre"), "n_name", F.lit("; post"), "r_name", F.lit("ish")).alias("text"))
+    return leak.report(leak.find_known(docs.unionByName(turns).unionByName(notes), known), known)
 
 
 # -- probe --------------------------------------------------------------------------------------------

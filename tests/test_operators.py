@@ -1,6 +1,8 @@
 import json
 import os
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,13 +38,46 @@ def test_leaks(spark):
     assert small[1, "ada brenner"] == (2, 1, ("x***********",)) and small[1, "brenner"][1] == 1 and small[4, "strasse"][0] == 1
     rep = {r.kind: r for r in leak.report(leak.find_known(docs, known), known).collect()}
     assert rep["PERSON"].leak and rep["PERSON"].skipped == 1 and rep["PERSON"].n_values == 2
-    joined = {(r.doc_id, r.surface): (r.standalone, r.inside, tuple(r.shapes)) for r in leak._find_joined(docs.where("text is not null"), known.select(F.col("surface").alias("s")).where("length(s) >= 3")).collect()}
-    assert {k: v for k, v in small.items() if k[0] != 4} == {k: v for k, v in joined.items() if k[0] != 4}
+    joined = {(r.doc_id, r.surface): (r.standalone, r.inside, tuple(r.shapes)) for r in leak.find_known(docs, known, most_bytes=0).collect()}
+    assert joined == small
     tokens = spark.createDataFrame([("s", "PERSON_1", "PERSON", "Ada", "ada", "active", None, None, 0)], schemas.TOKENS)
     aliases = spark.createDataFrame([("s", "PERSON_1", "Brenner", "brenner", "fragment", 0), ("s", "PERSON_1", "Ada", "ada", "entity", 1)], schemas.ALIASES)
     assert {(r.surface, r.kind) for r in leak.known_surfaces(tokens, aliases).collect()} == {("Ada", "PERSON"), ("Brenner", "PERSON")}
 
 
+def test_leaks_of_any_number_of_surfaces_are_the_same(spark):
+    r = random.Random(3)
+    letters = ["ß", "ss", "İ", "i", "ı", "e\u0301", "é", "ﬁ", "fi", "K", "\u212a", "Σ", "ς", "x", " ", "_", "\n", "1"]
+    word = lambda n: "".join(r.choice(letters) for _ in range(n))
+    surfaces = ["Fuß", *(word(r.randrange(2, 6)) for _ in range(60))]
+    texts = ["Der FUSS", "mein Fuß", "", None, *(" ".join([word(12), r.choice(surfaces), word(9), r.choice(surfaces).upper()]) for _ in range(60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = spark.createDataFrame([(s,) for s in [*surfaces, None]], "surface string")
+    a, b = (sorted(map(tuple, leak.find_known(docs, known, most_bytes=m).collect())) for m in (0, 10**6))
+    assert a == b and {i for i, s, *_ in a if s == "fuss"} >= {0, 1}
+
+
+def test_nearest_in_blocks_is_that_of_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((900, 5)).round(1)
+    v[:300], v[7] = v[0], 0  # a third is one vector, and one has no length
+    rows = [(i, int(i % 3), x.tolist()) for i, x in enumerate(v)] + [(1000, 0, None), (1001, 1, [1.0]), (1002, None, [1.0, 2.0, 3.0, 4.0, 5.0])]
+    p = spark.createDataFrame(rows, "chunk_id long, scope_id int, vector array<double>")
+    q = p.where("chunk_id % 50 = 0 or chunk_id >= 1000").selectExpr("chunk_id as query_id", "vector", "chunk_id as exclude", "scope_id as source")
+    got = {}
+    for r in reid.nearest(p, q, k=4).orderBy("query_id", "place").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.distance))
+    own = {r.query_id: r.own for r in reid.nearest_in_scope(p, q).collect()}
+    usable = {i: (s, np.array(x)) for i, s, x in rows if x and len(x) == 5}
+    for i in got:
+        d = {j: 1 - (x * usable[i][1]).sum() / (np.sqrt((x * x).sum()) * np.sqrt((usable[i][1] ** 2).sum())) for j, (_, x) in usable.items() if j != i and x.any()}
+        want = sorted(d.items(), key=lambda t: (t[1], t[0]))[:4]
+        assert [j for j, _ in got[i]] == [j for j, _ in want] and np.allclose([x for _, x in got[i]], [x for _, x in want])
+        mine = [x for j, x in d.items() if usable[j][0] == usable[i][0] and usable[i][0] is not None]
+        assert np.isclose(own[i], min(mine)) if mine else i not in own
+    assert set(got) == {i for i, _, x in rows if (i % 50 == 0 or i >= 1000) and x and len(x) == 5}
+
+
 def test_probe(spark):
     p = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [0.9, 0.1]), (3, "b", [0.0, 1.0]), (4, "c", None), (5, "d", [0.0, 0.0])], "chunk_id long, scope_id string, vector array<float>")
     q = spark.createDataFrame([(1, [1.0, 0.0], 1, "a"), (2, [1.0, 0.0], None, "b"), (3, [1.0, 0.0], None, "zz")], "query_id long, vector array<float>, exclude long, source string")
