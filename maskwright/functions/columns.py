@@ -34,7 +34,7 @@ def is_ascii(text: Column) -> Column:
 
 
 def _letters(text: Column, pattern: str) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+    return F.regexp_count(text, F.lit(pattern))
 
 
 def script_of(text: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.held import spread
 
 DETECTIONS = "doc_id long, scope_id string, ord int, span string, kind string, rule string, start int, end int"
 #: The kind of a span that is known to be a place: no detection, but a veto.
@@ -69,7 +70,7 @@ def detect_patterns(docs: DataFrame, kinds: tuple[str, ...] | None = None, patte
     """
     rules = [p for p in patterns if kinds is None or p.kind in kinds]
     text = F.col(text_col)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(scope_col).alias("scope_id"), text.alias("_raw"), C.blank_escapes(text).alias("_text")).where(text.isNotNull())
+    base = spread(docs.select(id_col, scope_col, text_col)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(scope_col).alias("scope_id"), text.alias("_raw"), C.blank_escapes(text).alias("_text")).where(text.isNotNull())
     none = F.array().cast("array<struct<start:int,end:int>>")
     places = [F.struct(F.lit(i).alias("rule"), F.when(F.col("_text").rlike(p.needs), C.match_spans(F.col("_text"), p.pattern)).otherwise(none).alias("spans")) for i, p in enumerate(rules)]
     some = base.select("*", F.explode(F.array(*places)).alias("r")).where(F.size("r.spans") > 0)

@@ -22,7 +22,7 @@ from ..functions import columns as C
 from ..functions.fold import deconfuse_ascii
 from ..operators.vault import Alias, Row, Vault, attributes_row, restore
 from ..schemas import ALIASES, REDACTION, TOKENS
-from ..sources.held import hold
+from ..sources.held import hold, spread
 
 #: Bytes of the texts of a slice, about, and documents of one at most.
 SLICE_BYTES, SLICE_ROWS = 64 << 20, 50_000
@@ -216,9 +216,6 @@ def _meet(docs: DataFrame, tokens: DataFrame, aliases: DataFrame, salts: DataFra
     if _bytes_of(tokens) + _bytes_of(aliases) <= (VAULT_BYTES if vault_bytes is None else vault_bytes):
         held = _Held(_collected(tokens, aliases, salts), spark)
         base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(scope_col).alias("scope_id"), F.col(text_col).alias("text")).where(F.col(scope_col).isNotNull())
-        cores = spark.sparkContext.defaultParallelism
-        if base._jdf.rdd().getNumPartitions() < cores:  # a table of few files
-            base = base.repartition(cores)
 
         def here(batches):
             for batch in batches:
@@ -228,7 +225,7 @@ def _meet(docs: DataFrame, tokens: DataFrame, aliases: DataFrame, salts: DataFra
                 for scope, rows in by_scope.items():
                     yield pa.RecordBatch.from_pylist(f(rows, _vault_of(held, scope)), schema=schema)
 
-        return base.mapInArrow(here, ddl)
+        return spread(base).mapInArrow(here, ddl)
     dealt, slices = _sliced(docs, id_col, scope_col, text_col)
     vaults = _union([_tagged(tokens, "token"), _tagged(aliases, "alias"), _tagged(_salts(salts), "salt")])
     right = slices.join(vaults, "scope_id").select(F.col("scope_id").alias("v_scope"), F.col("slice").alias("v_slice"), "tag", "seq", "row")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import columns as C
 from .operators import cite, detect, disclosure, gateway, leak, reid, spans, usage
 from .plans import enrol, requests
+from .sources.held import spread
 from .streaming import audit
 
 #: The salt of the queries; a deployment has a random one for each scope.
@@ -74,7 +75,7 @@ def detect_legal(spark: SparkSession, sf: str) -> DataFrame:
 def text_scripts(spark: SparkSession, sf: str) -> DataFrame:
     """Script, language and content hash of each document."""
     t = F.col("text")
-    return _table(spark, sf, "documents").select("doc_id", C.script_of(t).alias("script"), C.detect_language(t).alias("language"), C.content_hash(t).alias("content_sha256"))
+    return spread(_table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", C.script_of(t).alias("script"), C.detect_language(t).alias("language"), C.content_hash(t).alias("content_sha256"))
 
 
 @query

@@ -45,3 +45,11 @@ def _at_end() -> None:
         drop_held()
     except Exception:  # the session may be gone already; its folder is then the cluster's to clean
         _made.clear()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to as many partitions as there are cores where it is a plain reading of fewer: a table of few files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():  # has a shuffle of its own; its partitions are not known yet
+        return df
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
