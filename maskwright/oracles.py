@@ -100,6 +100,19 @@ SELECT scope_id, {_token()} AS token, kind, k AS normalized, 'active' AS status,
     "gateway_crossings": f"SELECT source AS actor_id, 'send' AS action, 'cloud' AS plane, {_NAME} AS sensitivity, sha256(text) AS content_hash, 'model' AS target FROM {_SENSITIVE} WHERE level <= 1",
     "gateway_refusals": f"SELECT {_NAME} AS sensitivity, count(*) AS n, min(doc_id) AS first_doc FROM {_SENSITIVE} WHERE level > 1 GROUP BY 1",
     "leak_check": "SELECT doc_id, sha256(b.t) AS surface_sha256, CAST((length(d.t) - length(replace(d.t, b.t, ''))) / length(b.t) AS BIGINT) AS n FROM (SELECT doc_id, replace(lower(text), 'ß', 'ss') AS t FROM documents) d, (SELECT DISTINCT replace(lower(text), 'ß', 'ss') AS t FROM benchmark) b WHERE contains(d.t, b.t)",
+    "detect_legal": r"""
+WITH n AS (SELECT count(*) AS a, count(*) FILTER (s_suppkey % 2 = 0) AS even, count(*) FILTER (s_suppkey % 2 = 1) AS odd, count(*) FILTER (s_suppkey % 3 = 0) AS third FROM supplier),
+t AS (SELECT text FROM documents UNION ALL SELECT text FROM conversations),
+p AS (SELECT coalesce(sum(len(list_distinct(regexp_extract_all(text, '\([0-9]{3}\)[ \t]?[0-9]{3}-[0-9]{4}')))), 0) AS phones FROM t),
+l AS (SELECT unnest([
+  {'rule': 'legal form', 'kind': 'ORG', 'n': a}, {'rule': 'title', 'kind': 'PERSON', 'n': a}, {'rule': 'role before', 'kind': 'PERSON', 'n': a}, {'rule': 'role after', 'kind': 'PERSON', 'n': a}, {'rule': 'cue', 'kind': 'PERSON', 'n': a},
+  {'rule': 'Esq.', 'kind': 'PERSON', 'n': a}, {'rule': 'numbered party', 'kind': 'PERSON', 'n': a}, {'rule': 'mail header', 'kind': 'PERSON', 'n': a}, {'rule': 'valediction', 'kind': 'PERSON', 'n': a}, {'rule': 'attendance', 'kind': 'PERSON', 'n': 2 * a},
+  {'rule': 'link', 'kind': 'PERSON', 'n': a}, {'rule': 'Russian full name', 'kind': 'PERSON', 'n': a}, {'rule': 'Russian name and patronymic', 'kind': 'PERSON', 'n': a}, {'rule': 'Russian initials', 'kind': 'PERSON', 'n': a},
+  {'rule': 'Russian legal form', 'kind': 'ORG', 'n': a}, {'rule': 'vessel', 'kind': 'VESSEL', 'n': a}, {'rule': 'IMO number', 'kind': 'ID', 'n': even}, {'rule': 'US phone', 'kind': 'PHONE', 'n': a + phones}, {'rule': 'company number', 'kind': 'ID', 'n': a},
+  {'rule': 'VAT number', 'kind': 'ID', 'n': a}, {'rule': 'VAT format', 'kind': 'ID', 'n': a}, {'rule': 'EIN', 'kind': 'ID', 'n': a}, {'rule': 'Russian registration', 'kind': 'ID', 'n': a}, {'rule': 'passport', 'kind': 'ID', 'n': a},
+  {'rule': 'case number', 'kind': 'ID', 'n': a}, {'rule': 'register number', 'kind': 'ID', 'n': a}, {'rule': 'bar number', 'kind': 'ID', 'n': a}, {'rule': 'Russian account', 'kind': 'ACCOUNT', 'n': a}, {'rule': 'Handelsregister', 'kind': 'ID', 'n': a},
+  {'rule': 'National Insurance number', 'kind': 'ID', 'n': third}, {'rule': 'SSN', 'kind': 'ID', 'n': odd}, {'rule': 'Russian passport', 'kind': 'ID', 'n': a}]) AS x FROM n, p)
+SELECT x.rule AS rule, x.kind AS kind, CAST(x.n AS BIGINT) AS n FROM l WHERE x.n > 0""".replace("\\\\", "\\"),
     "leak_report": r"""
 WITH k AS (SELECT lower(n_name) AS s, 'NATION' AS kind FROM nation UNION ALL SELECT lower(r_name), 'REGION' FROM region),
 t AS (SELECT replace(lower(text), 'ß', 'ss') AS x FROM documents UNION ALL SELECT replace(lower(text), 'ß', 'ss') FROM conversations UNION ALL SELECT lower(n_name || ': see ' || n_name || ', pre' || n_name || '; post' || r_name || 'ish') FROM nation JOIN region ON n_regionkey = r_regionkey),

@@ -38,6 +38,32 @@ def test_legal_rules():
     assert {r for r, _, _ in legal.explain(text)} >= {"legal form", "title", "role before", "attendance"}
 
 
+LEGAL = [
+    "Red Harbour & Sons GmbH & Co. KG met Acme Holdings, Inc. and Bolt AG. SALE NOTICE Blue Anchor Foods B.V.",
+    "Ada Falk, the senior auditor, and Max Ott, Esq. came.\nFrom: Nils Brandvold <n@b.no>\nKind regards,\n\nLena Voss\nI, Oskar Lind, say; see statement of Ivo Reng",
+    "https://x.y/?name=Jo%20Lind&z=1 and ?name=jo+lind Mr+Tobias+Wren",
+    "Петров А.Б. и А. Б. Петров, passport ABCDEF; IMO 9074728; BG123456C; 666-12-3456; KvK nr 12345678, EIN: 12-3456789",
+    "Case No. 5 Smith Holdings Ltd v Jones Holdings Ltd", "", None, "nothing of the kind", "Messrs. The Purchase Agreement Ltd",
+]
+
+
+def test_legal_rules_by_surroundings():
+    found = [{(s, k) for _, s, k in legal.legal_detections(t)} for t in LEGAL]
+    assert found[0] == {("Red Harbour & Sons GmbH & Co. KG", "ORG"), ("Acme Holdings, Inc", "ORG"), ("Bolt AG", "ORG"), ("Blue Anchor Foods B.V.", "ORG")}
+    assert found[1] == {(s, "PERSON") for s in ("Ada Falk", "Max Ott", "Nils Brandvold", "Lena Voss", "Oskar Lind", "Ivo Reng")}
+    assert found[2] == {("Jo Lind", "PERSON"), ("Mr Tobias Wren", "PERSON")}
+    assert found[3] == {("Петров А.Б.", "PERSON"), ("А. Б. Петров", "PERSON"), ("12345678", "ID"), ("12-3456789", "ID")}
+    assert found[4] == found[5] == found[6] == found[7] == set()
+
+
+def test_legal_expressions_equal_their_twins(spark):
+    rows = [(i, "s", t) for i, t in enumerate([*LEGAL, *LEGAL])] + [(0, None, "MV Sea Finder"), (None, "s", "Mr Tobias Wren")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "1 as row", "2 as turn", "3 as n")
+    got = sorted((str(r.doc_id), r.rule, r.span, r.kind) for r in legal.detect_legal(df).collect())
+    assert got == sorted((str(i), rule, s, k) for i, _, t in rows for rule, s, k in legal.legal_detections(t))
+    assert legal.detect_legal(df.limit(0)).collect() == []
+
+
 def test_citations():
     c = cite.citations
     assert c("§§ 280 Abs. 1, 3, 281 BGB") == ["§ 280 BGB", "§ 281 BGB"] and c("§§ 133, 157 BGB") == ["§ 133 BGB", "§ 157 BGB"]
