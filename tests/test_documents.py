@@ -81,11 +81,11 @@ DOC = "Clause one {#c1}\nThe buyer “pays” the price — in  full.\nClause tw
 
 
 def test_quotes():
-    f = review.Folded.of(DOC)
-    at = lambda q, **k: DOC[slice(*f.find(q, **k))] if f.find(q, **k) else None
+    f = review.Quotable(DOC)
+    at = lambda q, **k: DOC[slice(*f.locate(q, **k))] if f.locate(q, **k) else None
     assert at("the price") == "the price" and at('"pays" the price - in full') == "“pays” the price — in  full"
     assert at("The buyer ... in full.") == "The buyer “pays” the price — in  full." and at("pays nothing at all") is None and at("x…y") is None
-    assert f.find("Clause", near=60)[0] == DOC.index("Clause two")
+    assert f.locate("Clause", near=60)[0] == DOC.index("Clause two")
     v = vault()
     hit = review.find_quotes(DOC, ["Brenner Ada signs for QUORVANE SHIPPING LIMITED", "nowhere to be found"], v)
     assert DOC[slice(*hit[0])] == "Ada Brenner signs for Quorvane Shipping Ltd" and hit[1] is None
@@ -102,8 +102,8 @@ def test_notes_annotations_and_places():
     assert cut and [n["quote"] for n in whole] == ["a", "b"] and review.notes_of("nothing") == (None, False)
     kept, refused = review.keep(DOC, notes, "d.md", {"name": "m"}, "2024")
     assert len(kept) == 1 and refused == [{"quote": "", "why": "no quote"}] and kept[0]["motivation"] == "assessing"
-    f = review.Folded.of(DOC)
-    assert review.place(kept[0], f)[0] == "here" and review.place(kept[0], review.Folded.of("New line\n" + DOC))[0] == "moved" and review.place(kept[0], review.Folded.of("gone")) is None
+    f = review.Quotable(DOC)
+    assert review.place(kept[0], f)[0] == "here" and review.place(kept[0], review.Quotable("New line\n" + DOC))[0] == "moved" and review.place(kept[0], review.Quotable("gone")) is None
     s = review.suggestion("d.md", DOC, 5, 5, "X", {"name": "p"}, "2024")
     assert review.apply_replacement(DOC, s, "X") == DOC[:5] + "X" + DOC[5:]
     assert review.apply_replacement("ab " + DOC, kept[0], "COST") == "ab " + DOC.replace("the price", "COST")
