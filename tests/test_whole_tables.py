@@ -22,8 +22,8 @@ def documents(write, texts, source="s"):
 
 
 def test_leak_report_searches_documents_and_turns(spark, write):
-    write("nation", [("PERU",), ("KENYA",)], "n_name string")
-    write("region", [("ASIA",)], "r_name string")
+    write("nation", [(1, "PERU", 9), (2, "KENYA", 9)], "n_nationkey int, n_name string, n_regionkey int")  # of no region in view: no notes on them
+    write("region", [("ASIA", 0)], "r_name string, r_regionkey int")
     write("conversations", [(0, 0, "user", "from Peru")], "conv_id long, turn long, role string, text string")
     sf = documents(write, ["to Kenya and Kenya", "all of Asia", "nothing"])
     got = {r.kind: (r.standalone, r.leak) for r in entry.queries()["leak_report"](spark, sf).collect()}
