@@ -46,10 +46,12 @@ class ChunkEncoder:
     _made: dict[str, ChunkEncoder] = {}
 
     @classmethod
-    def of(cls, name: str) -> ChunkEncoder:
+    def of(cls, name: str, most: int = MOST) -> ChunkEncoder:
+        """This process's encoder of the file; most: chunks it remembers from now on, which changes its speed and memory, not its ids."""
         claim(f"chunks of {name}", cls._made.clear)
         if name not in cls._made:
             cls._made[name] = cls(name)
+        cls._made[name].MOST = most
         return cls._made[name]
 
     def __init__(self, name: str):

@@ -23,6 +23,8 @@ from .words import as_array, lean, row_slices
 #: Per token: the feed-forward and projection work; per pair of tokens: the attention, for a width of 1024.
 LINEAR, QUADRATIC = 1.0, 1.0 / 6144
 SHARD_BYTES = 8 << 20
+#: Bytes of a shard tokenised at once.
+SLICE_BYTES = 8 << 20
 
 
 def capacities(total: int, length: int) -> list[int]:
@@ -62,13 +64,13 @@ def pack(sizes: list[int], length: int, linear: float = LINEAR, quadratic: float
     return out
 
 
-def _pack_shard(vocabulary: str, end_id: int, length: int, names: list[str]):
+def _pack_shard(vocabulary: str, end_id: int, length: int, names: list[str], slice_bytes: int, remembered: int):
     def f(table: pa.Table) -> pa.Table:
-        encoder = ChunkEncoder.of(vocabulary)
+        encoder = ChunkEncoder.of(vocabulary, remembered)
         text = as_array(table["_text"]).cast(pa.large_binary())
         ids: list[bytes] = []
         end = np.array([end_id], "<u4").tobytes()
-        for lo, hi in row_slices(text, 8 << 20):
+        for lo, hi in row_slices(text, slice_bytes):
             ids += [x + end for x in encoder.encode([t or b"" for t in text[lo:hi].to_pylist()])]
         keys = table["_id"].to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (keys[i] is not None, keys[i] if keys[i] is not None else 0, ids[i]))
@@ -91,7 +93,7 @@ def _pack_shard(vocabulary: str, end_id: int, length: int, names: list[str]):
     return lean(f)
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", length: int = 2048, end_id: int = 1, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", length: int = 2048, end_id: int = 1, shard_bytes: int = SHARD_BYTES, slice_bytes: int = SLICE_BYTES, remembered: int = ChunkEncoder.MOST) -> DataFrame:
     """Pieces of tokenised documents: id, start, length, ids (binary, little-endian uint32), doc_tokens, sequence_id, offset.
 
     A document's ids are the vocabulary's for its text, without special tokens, then end_id; a null or
@@ -109,5 +111,5 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     rows = rows.select("_id", "_text", F.pmod(F.xxhash64("_id", F.monotonically_increasing_id()), F.lit(n)).cast("int").alias("_shard"))
     names = ["_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-    out = rows.groupBy("_shard").applyInArrow(_pack_shard(vocabulary, end_id, length, names), f"_id {key}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    out = rows.groupBy("_shard").applyInArrow(_pack_shard(vocabulary, end_id, length, names, slice_bytes, remembered), f"_id {key}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("_id", id_col)

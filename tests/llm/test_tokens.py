@@ -112,3 +112,9 @@ def test_costs_are_balanced():
         cost[b] += n + n * n / 6144
     full = sorted(cost.values())[10:]
     assert full[-1] <= (2048 + 2048**2 / 6144) and sum(full) / len(full) > 0.75 * full[-1]
+
+
+def test_packing_does_not_depend_on_what_a_worker_holds(spark):
+    texts = AWKWARD + SPECIAL + [" ".join(f"w{random.Random(i).randrange(900)}" for _ in range(300)) for i in range(30)]
+    rows = [sorted(map(tuple, pack_documents(docs_frame(spark, texts), **few).collect()), key=repr) for few in ({}, {"slice_bytes": 100, "remembered": 40})]
+    assert rows[0] == rows[1] and len(rows[0]) >= len(texts)
