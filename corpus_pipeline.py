@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from maskwright.llm import near_dedup, packing, secrets, substring_dedup, toxicity
 from maskwright.llm.scratch import Scratch, release
 
+#: A worker serves beside a JVM that four stages have filled, so it takes less at once than the operators' defaults allow.
+PACKING_SLICE_BYTES, PACKING_REMEMBERED = 2 << 20, 200_000
+
 #: SQL cannot express the trees of the first stage or the tokenizer of the last.
 ORACLE_SQL = None
 
@@ -74,7 +77,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 2048 tokens; ids as little-endian uint32."""
     release(_tag())
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, slice_bytes=PACKING_SLICE_BYTES, remembered=PACKING_REMEMBERED)
 
 
 STAGES = [
