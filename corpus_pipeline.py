@@ -16,6 +16,7 @@ from maskwright.llm import near_dedup, packing, secrets, substring_dedup, toxici
 from maskwright.llm.scratch import Scratch, release
 
 #: A worker serves beside a JVM that four stages have filled, so it takes less at once than the operators' defaults allow.
+PASSAGE_BLOCK_BYTES = substring_dedup.BLOCK_BYTES // 2
 PACKING_SLICE_BYTES, PACKING_REMEMBERED = 2 << 20, 200_000
 
 #: SQL cannot express the trees of the first stage or the tokenizer of the last.
@@ -62,7 +63,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents without the passages of 35 words that occur more than once; others stay as they are."""
     release(_tag())
     keep = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = substring_dedup.remove_repeated_passages(docs, keep=keep, untouched=True)
+    out = substring_dedup.remove_repeated_passages(docs, keep=keep, untouched=True, block_bytes=PASSAGE_BLOCK_BYTES)
     return _with_text(out.withColumn("text", F.col("kept_text")).withColumn("_changed", F.col("n_removed") > 0), docs.columns)
 
 
