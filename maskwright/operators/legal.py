@@ -146,6 +146,11 @@ class Words:
         """Whether word i stands on the line of the one before it, with blanks between them at most."""
         return 0 < i < len(self.all) and not self.text[self.all[i - 1].end : self.all[i].start].strip(" \t")
 
+    def whole(self, i: int) -> bool:
+        """Whether word i is no tail of a longer run of letters, digits and underscores, as of a key."""
+        start = self.all[i].start
+        return not start or not (self.text[start - 1].isalnum() or self.text[start - 1] == "_")
+
     def starts_line(self, i: int) -> bool:
         return not self.text[self.text.rfind("\n", 0, self.all[i].start) + 1 : self.all[i].start].strip(" \t")
 
@@ -218,7 +223,7 @@ def _named(words: Words, i: int, j: int) -> str | None:
 
 def _titles(words: Words) -> Iterator[str]:
     for i, w in enumerate(words.all):
-        if w.capital and w.bare.casefold() in TITLES:
+        if w.capital and w.bare.casefold() in TITLES and w.text != "M" and words.whole(i):  # "M." has its full stop
             j = i + 1
             while j < len(words.all) and words.beside(j) and words.all[j].bare in SECOND_TITLES:
                 j += 1
@@ -234,7 +239,7 @@ def _is_role(word: str) -> bool:
 
 def _after_roles(words: Words) -> Iterator[str | None]:
     for i, w in enumerate(words.all):
-        if _is_role(w.text):
+        if _is_role(w.text) and words.whole(i):
             j = i + 1
             j += words.at(j) in (",", ":")
             j += words.at(j).rstrip(".").casefold() in TITLES and words.beside(j + 1)
@@ -256,7 +261,7 @@ def _before_roles(words: Words) -> Iterator[str | None]:
 def _signings(words: Words) -> Iterator[str | None]:
     for i in range(len(words.all)):
         n = next((n for phrase in SIGNING if (n := words.says(i, phrase))), 0)
-        if n and words.all[i].text != "i":
+        if n and words.all[i].text != "i" and words.whole(i):
             j = i + n + (words.at(i + n) == "the")
             if words.beside(j) and (end := words.name(j, 2, 4)) > j:
                 yield _named(words, j, end)
