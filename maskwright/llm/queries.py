@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, neighbours, packing, quality, sampling, secrets, substring_dedup, token_count, toxicity, warc
+from . import language_id, near_dedup, neighbours, packing, quality, sampling, secrets, substring_dedup, token_count, toxicity, warc
 from .scratch import Scratch
 
 
@@ -97,4 +97,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_cost_packing, op4_sampled_pieces, op5_quality_votes, op6_secret_ledger, op7_prefix_forest, op8_toxicity_trees, op9_warc_transactions, op10_token_counts)}
+def op11_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by the dictionaries learned from the rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.learn(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_cost_packing, op4_sampled_pieces, op5_quality_votes, op6_secret_ledger, op7_prefix_forest, op8_toxicity_trees, op9_warc_transactions, op10_token_counts, op11_compression_language)}
