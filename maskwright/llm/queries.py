@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, near_dedup, neighbours, packing, quality, sampling, secrets, substring_dedup, token_count, toxicity, warc
+from . import alignment, language_id, near_dedup, neighbours, packing, quality, sampling, secrets, substring_dedup, token_count, toxicity, warc
 from .scratch import Scratch
 
 
@@ -103,4 +103,9 @@ def op11_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.learn(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_cost_packing, op4_sampled_pieces, op5_quality_votes, op6_secret_ledger, op7_prefix_forest, op8_toxicity_trees, op9_warc_transactions, op10_token_counts, op11_compression_language)}
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizers aligned over all documents, with the corpus-wide counts of each document's links."""
+    return alignment.Alignment(_table(spark, sf_dir, "documents")).documents
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_cost_packing, op4_sampled_pieces, op5_quality_votes, op6_secret_ledger, op7_prefix_forest, op8_toxicity_trees, op9_warc_transactions, op10_token_counts, op11_compression_language, op12_token_alignment)}
