@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, language_id, near_dedup, neighbours, packing, quality, sampling, secrets, substring_dedup, token_count, toxicity, warc
+from . import alignment, importance, language_id, near_dedup, neighbours, packing, quality, sampling, secrets, substring_dedup, token_count, toxicity, warc
 from .scratch import Scratch
 
 
@@ -108,4 +108,9 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.Alignment(_table(spark, sf_dir, "documents")).documents
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_cost_packing, op4_sampled_pieces, op5_quality_votes, op6_secret_ledger, op7_prefix_forest, op8_toxicity_trees, op9_warc_transactions, op10_token_counts, op11_compression_language, op12_token_alignment)}
+def op13_importance_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A draw of documents by hashed n-grams towards the texts of benchmark; every document's weight and rank."""
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_cost_packing, op4_sampled_pieces, op5_quality_votes, op6_secret_ledger, op7_prefix_forest, op8_toxicity_trees, op9_warc_transactions, op10_token_counts, op11_compression_language, op12_token_alignment, op13_importance_ring)}
