@@ -39,8 +39,8 @@ A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 20_000
 #: Chunks a worker remembers between blocks, about 300 bytes each.
 REMEMBERED = 300_000
-#: Characters cut into chunks at once, and chunks encoded at once.
-SEGMENT, AT_ONCE = 1 << 20, 4096
+#: Characters cut into chunks at once, and characters of new chunks encoded at once.
+SEGMENT, AT_ONCE = 1 << 20, 1 << 15
 #: Ids of the second tokenizer are below this; a pair of ids is one number.
 WIDTH = 1 << 31
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -54,17 +54,23 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
-def merge(a_ends: list[int], b_ends: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Links (i, j) of two covers of one range, and the numbers of tokens of both after which a group ends."""
-    links, cuts, i, j = [], [], 0, 0
-    while i < len(a_ends):
-        links.append((i, j))
+def merge(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int], list[tuple[int, int, int]]]:
+    """Links of two covers of one range (places in a and in b), and (tokens of a, tokens of b, links) after which a group ends."""
+    of_a, of_b, cuts, i, j = [], [], [], 0, 0
+    n = len(a_ends)
+    while i < n:
+        of_a.append(i)
+        of_b.append(j)
         x, y = a_ends[i], b_ends[j]
-        i += x <= y
-        j += y <= x
-        if x == y:
-            cuts.append((i, j))
-    return links, cuts
+        if x < y:
+            i += 1
+        elif y < x:
+            j += 1
+        else:
+            i += 1
+            j += 1
+            cuts.append((i, j, len(of_a)))
+    return of_a, of_b, cuts
 
 
 class Chunks:
@@ -96,6 +102,7 @@ class Chunks:
         pieces = self.b.id_to_piece(list(range(n)))
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.apart = self._separable(pieces)
+        self.names = [*map(str, range(max(n, len(self.a_bytes))))]
         self.forget()
 
     def _separable(self, pieces: list[str]) -> bool:
@@ -119,32 +126,56 @@ class Chunks:
         self.fits, self.n_a, self.n_b, self.n_groups = bytearray(), array("q"), array("q"), array("q")
         self.pairs, self.ends = array("q"), array("q", [0])
 
-    def _learn(self, bodies: list[str]) -> None:
-        texts = [f" {b}" for b in bodies]
-        both = zip(bodies, texts, self.a.encode_batch_fast(texts, add_special_tokens=False), self.b.encode(bodies, num_threads=1), strict=True)
-        for body, text, e, b in both:
-            a = e.ids
-            a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            raw = text.encode()
-            self.known[body] = len(self.groups)
-            if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
-                self._add(False, "", 0, 0, 0, ())
-                continue
-            links, cuts = merge(np.cumsum([*map(len, a_parts)]).tolist(), np.cumsum([*map(len, b_parts)]).tolist())
-            told, i, j = [], 0, 0
-            for x, y in cuts:
-                told.append(f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
-                i, j = x, y
-            self._add(True, ";".join(told), len(a), len(b), len(cuts), [a[i] * WIDTH + b[j] for i, j in links])
-
-    def _add(self, fits: bool, groups: str, n_a: int, n_b: int, n_groups: int, pairs) -> None:
-        self.fits.append(fits)
-        self.groups.append(groups)
-        self.n_a.append(n_a)
-        self.n_b.append(n_b)
-        self.n_groups.append(n_groups)
-        self.pairs.extend(pairs)
-        self.ends.append(len(self.pairs))
+    def learn(self, bodies: set[str]) -> None:
+        """Chunks that are not known yet, many encoded as one text: no token crosses the spaces between them."""
+        new = [b for b in bodies if b not in self.known]
+        alone = [b for b in new if b[0].isspace() or b[-1].isspace()] if self.apart else new
+        together = [b for b in new if not (b[0].isspace() or b[-1].isspace())] if self.apart else []
+        at = 0
+        while at < len(together):
+            to, size = at, 0
+            while to < len(together) and size < AT_ONCE:
+                size += len(together[to])
+                to += 1
+            if not self._align(together[at:to]):
+                alone += together[at:to]
+            at = to
+        for b in alone:
+            if not self._align([b]):
+                self.known[b] = len(self.fits)
+                self._add([False], [""], [0], [0], [0], np.empty(0, np.int64), [0])
+
+    def _align(self, bodies: list[str]) -> bool:
+        """Remembers these chunks, encoded as one text; False where the tokens do not give it back."""
+        text = " ".join(bodies)
+        a = self.a.encode_batch_fast([f" {text}"], add_special_tokens=False)[0].ids
+        b = self.b.encode(text)
+        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
+        raw = f" {text}".encode()
+        if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
+            return False
+        a_ends, b_ends = (np.cumsum([*map(len, parts)]) for parts in (a_parts, b_parts))
+        of_a, of_b, cuts = merge(a_ends.tolist(), b_ends.tolist())
+        a_names, b_names, told, i, j = [self.names[x] for x in a], [self.names[x] for x in b], [], 0, 0
+        for x, y, _ in cuts:
+            told.append(f"{a_names[i] if x == i + 1 else ','.join(a_names[i:x])}|{b_names[j] if y == j + 1 else ','.join(b_names[j:y])}")
+            i, j = x, y
+        # the groups after which a chunk ends
+        cut = np.array(cuts, np.int64).reshape(-1, 3)
+        ends = np.searchsorted(a_ends[cut[:, 0] - 1], np.cumsum([len(x.encode()) + 1 for x in bodies])) + 1
+        groups = [";".join(told[x:y]) for x, y in zip([0, *ends.tolist()], ends.tolist())]
+        pairs = np.array(a, np.int64)[of_a] * WIDTH + np.array(b, np.int64)[of_b]
+        at = np.concatenate([np.zeros((1, 3), np.int64), cut[ends - 1]])
+        self.known.update(zip(bodies, range(len(self.fits), len(self.fits) + len(bodies))))
+        self._add([True] * len(bodies), groups, *np.diff(at[:, :2], axis=0).T, np.diff(ends, prepend=0), pairs, at[1:, 2])
+        return True
+
+    def _add(self, fits, groups, n_a, n_b, n_groups, pairs: np.ndarray, ends) -> None:
+        before = len(self.pairs)
+        self.fits.extend(fits)
+        self.groups += groups
+        for held, more in ((self.n_a, n_a), (self.n_b, n_b), (self.n_groups, n_groups), (self.pairs, pairs), (self.ends, np.asarray(ends, np.int64) + before)):
+            held.frombytes(np.ascontiguousarray(more, np.int64).tobytes())
 
     def bodies(self, text: str) -> Iterator[list[str]]:
         """The text's chunks, each without the space in front of it, a segment at once."""
@@ -154,17 +185,9 @@ class Chunks:
             at = cut.end()
         yield _SAFE.split(text[at:]) if self.apart else [text]
 
-    def numbers(self, bodies: list[str]) -> list[int]:
-        new = list(dict.fromkeys(b for b in bodies if b not in self.known))
-        at = 0
-        while at < len(new):
-            to, size = at, 0
-            while to < len(new) and to - at < AT_ONCE and size < SEGMENT:
-                size += len(new[to])
-                to += 1
-            self._learn(new[at:to])
-            at = to
-        return [self.known[b] for b in bodies]
+    def numbers(self, bodies: list[str]) -> np.ndarray:
+        """The numbers of these chunks, all of them learned."""
+        return np.fromiter(map(self.known.__getitem__, bodies), np.int64, len(bodies))
 
 
 _DOC = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, chunks binary"
@@ -175,24 +198,27 @@ def _encode(a: str, b: str, block_bytes: int, block_rows: int, with_groups: bool
     def row(block: int, id_, **more):
         return {"block": block, "_id": id_, "is_doc": True, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": "", "chunks": b"", "groups": "" if with_groups else None, "pairs": None, "times": None, "links": None, "ends": None} | more
 
-    def document(chunks: Chunks, block: int, id_, text: str | None) -> tuple[dict, np.ndarray | None]:
-        if not text or _SPACE in text:
+    def document(chunks: Chunks, block: int, id_, text: str | None, parts) -> tuple[dict, np.ndarray | None]:
+        if not parts:
             return row(block, id_), None
         told, digest, first, kept = [], hashlib.sha256(), True, []
-        for bodies in chunks.bodies(text):
+        fits = chunks.fits
+        for bodies in parts:
+            if len(text) > SEGMENT:
+                chunks.learn(set(bodies))
             n = chunks.numbers(bodies)
-            if not all(map(chunks.fits.__getitem__, n)):
+            if not np.frombuffer(fits, np.uint8)[n].all():
                 return row(block, id_), None
-            groups = ";".join(map(chunks.groups.__getitem__, n))
+            groups = ";".join([chunks.groups[i] for i in n.tolist()])
             digest.update((groups if first else f";{groups}").encode())
             if with_groups:
                 kept.append(groups)
-            told.append(np.array(n, np.int64))
+            told.append(n)
             first = False
         n = np.concatenate(told)
-        sums = {k: int(np.frombuffer(v, np.int64)[n].sum()) for k, v in (("n_a", chunks.n_a), ("n_b", chunks.n_b), ("n_groups", chunks.n_groups))}
+        n_a, n_b, n_groups = (int(np.frombuffer(v, np.int64)[n].sum()) for v in (chunks.n_a, chunks.n_b, chunks.n_groups))
         ends = np.frombuffer(chunks.ends, np.int64)
-        return row(block, id_, **sums, n_links=int((ends[n + 1] - ends[n]).sum()), groups_sha256=digest.hexdigest(), groups=";".join(kept) if with_groups else None), n
+        return row(block, id_, n_a=n_a, n_b=n_b, n_groups=n_groups, n_links=int((ends[n + 1] - ends[n]).sum()), groups_sha256=digest.hexdigest(), groups=";".join(kept) if with_groups else None), n
 
     def dictionary(chunks: Chunks, block: int, docs: list[tuple[dict, np.ndarray | None]]) -> dict:
         """The block's row of distinct chunks and pairs; the documents' chunks are numbered by it."""
@@ -221,21 +247,31 @@ def _encode(a: str, b: str, block_bytes: int, block_rows: int, with_groups: bool
         docs: list[tuple[dict, np.ndarray | None]] = []
         block, size = part, 0
 
-        def close() -> pd.DataFrame:
-            rows = [dictionary(chunks, block, docs), *(d for d, _ in docs)]
-            if len(chunks.known) > REMEMBERED or len(chunks.pairs) > 20 * REMEMBERED:
-                chunks.forget()
-            return pd.DataFrame(rows)
+        def dictionary_and(docs, block) -> pd.DataFrame:
+            return pd.DataFrame([dictionary(chunks, block, docs), *(d for d, _ in docs)])
 
         for frame in frames:
-            for id_, text in zip(frame["_id"].tolist() if frame["_id"].dtype != object else frame["_id"], frame["_text"], strict=True):
-                docs.append(document(chunks, block, id_, text))
-                size += len(text or "") + 100
-                if size >= block_bytes or len(docs) >= block_rows:
-                    yield close()
-                    block, size, docs = block + 1, 0, []
+            texts = [t if t and _SPACE not in t else "" for t in frame["_text"]]
+            sizes = np.cumsum([*map(len, texts)])
+            at = 0
+            while at < len(texts):  # some short texts at once, so that many new chunks meet the libraries together
+                to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + SEGMENT)))
+                parts = [None if not t else [*chunks.bodies(t)] if len(t) <= SEGMENT else chunks.bodies(t) for t in texts[at:to]]
+                chunks.learn({b for p in parts if isinstance(p, list) for bodies in p for b in bodies})
+                for id_, text, p in zip(frame["_id"][at:to], texts[at:to], parts, strict=True):
+                    docs.append(document(chunks, block, id_, text, p))
+                    size += len(text) + 100
+                    if size >= block_bytes or len(docs) >= block_rows:
+                        yield dictionary_and(docs, block)
+                        block, size, docs = block + 1, 0, []
+                at = to
+                if len(chunks.known) > REMEMBERED or len(chunks.pairs) > 20 * REMEMBERED:
+                    if docs:
+                        yield dictionary_and(docs, block)
+                        block, size, docs = block + 1, 0, []
+                    chunks.forget()
         if docs:
-            yield close()
+            yield dictionary_and(docs, block)
 
     return f
 

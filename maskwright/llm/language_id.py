@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .toxicity import is_held_out
 from .words import as_array, claim, lean_stream, row_slices
 
-DICTIONARIES, SIZE, SHARE = 4, 1 << 16, 4000
+DICTIONARIES, SIZE, SHARE = 2, 1 << 17, 4000
 LEVEL, BLOCK = 9, 4096
 #: A prediction is rejected where the second language's bytes exceed the first's by less than this share.
 NARROW = 0.01

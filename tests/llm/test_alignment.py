@@ -98,6 +98,8 @@ def test_awkward_texts_equal_brute_force(spark, whole):
 
 def test_random_texts_in_small_blocks(spark, whole, monkeypatch):
     monkeypatch.setattr(alignment, "SEGMENT", 40)
+    monkeypatch.setattr(alignment, "AT_ONCE", 100)
+    monkeypatch.setattr(alignment, "REMEMBERED", 500)
     r = random.Random(3)
     letters = ["a", "b", "the", " ", " ", " ", "  ", "\n", "é", " ", "1", ".", "'s", " ", "漢", "\x1d", "-", "XY"]
     texts = ["".join(r.choice(letters) for _ in range(r.randrange(1, 120))) for _ in range(300)]
@@ -110,8 +112,8 @@ def test_random_texts_in_small_blocks(spark, whole, monkeypatch):
 
 
 def test_merge_is_two_pointers():
-    assert alignment.merge([1, 3, 6], [3, 4, 6]) == ([(0, 0), (1, 0), (2, 1), (2, 2)], [(2, 1), (3, 3)])
-    assert alignment.merge([], []) == ([], [])
+    assert alignment.merge([1, 3, 6], [3, 4, 6]) == ([0, 1, 2, 2], [0, 0, 1, 2], [(2, 1, 2), (3, 3, 4)])
+    assert alignment.merge([], []) == ([], [], [])
 
 
 def test_repeated_and_null_ids_clashing_columns_and_empty_tables(spark):
