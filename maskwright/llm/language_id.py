@@ -28,7 +28,7 @@ from .toxicity import is_held_out
 from .words import as_array, claim, lean_stream, row_slices
 
 DICTIONARIES, SIZE, SHARE = 2, 1 << 17, 4000
-LEVEL, BLOCK = 9, 4096
+LEVEL, BLOCK = 8, 4096
 #: A prediction is rejected where the second language's bytes exceed the first's by less than this share.
 NARROW = 0.01
 #: Bytes of difference, of one dictionary, that make a language e times likelier.

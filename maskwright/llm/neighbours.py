@@ -1,21 +1,23 @@
 """Approximate nearest neighbours by a forest of hash prefixes.
 
-Every tree gives a vector a string of 64 bits: first the number of that of SYMBOLS random directions it
-is closest to, then the signs of random projections.  A tree is the sorted array of its strings.  A
-query descends each tree to its longest matching prefix and then all trees ascend in step, to shorter
-prefixes, and at the root of the first symbol to the symbols next closest to the query, until the
-trees together have met `touch` of all rows, repeats counted.  Rows met in at least two trees are the
-candidates, and are scored exactly, in double precision, on the original vectors.  All bounds are shares of
-the rows searched, so recall does not fall as a table grows.
+Every tree gives a vector a string of SYMBOLS symbols: each is the one of WAYS random directions and their opposites that
+the vector is closest to.  A tree is the sorted array of its strings.  A query descends each tree to its longest
+matching prefix; then all trees ascend in step, a symbol at a time and tree by tree, and what shares the shorter prefixes is
+scored, until a vector as near as the worst of the wanted ones found so far would have been missed by all trees
+with probability `miss` at most.  That probability follows from the angle (two vectors at an angle have equal symbols with a known chance), so
+close neighbours end a search at long prefixes and few rows, and far ones, as in random data, at shorter prefixes; as a table
+grows the neighbours come closer and the share of its rows that is scored falls.  Scores are exact, in double
+precision, on the original vectors.
 
 Inner products are not angles: the rows of a forest are cut into bands of similar length (norm
-ranging), each with trees of its own, searched from the longest on; a band whose longest vector cannot
-reach a query's k-th score so far is passed over, which loses nothing.  Bands of at most `whole` rows are
-searched whole.  Equal vectors are one entry with its k + 1 smallest ids: no larger one can be among
-the k nearest, as ties go to the smaller id.
+ranging), each with trees of its own, searched from the longest on; the angle that counts in a band is that at
+which its longest vector would reach the wanted score, and a band that cannot reach it is passed over, which loses nothing.
+Bands of at most `whole` rows are searched whole.  Equal vectors are one entry with its k + 1 smallest ids: no larger
+one can be among the k nearest, as ties go to the smaller id.
 
 In Spark: rows are dealt to blocks of BLOCK_BYTES by a hash of the row, each block has its own forest,
-built in the task, and every query of the stated set visits all blocks; the blocks' best are merged.
+built in the task, and every query of the stated set visits all blocks; the blocks' best are merged.  As a block is a random
+share of the rows, it need not look for k neighbours of its own but for as many of the k as may lie in it.
 Stored vectors are shuffled once; a query is sent once to each block.
 """
 
@@ -28,33 +30,51 @@ from pyspark.sql import functions as F
 
 from .words import as_array, claim, lean
 
-TREES, SYMBOLS, BITS = 64, 1024, 64
-#: Share of a band's rows that all trees together meet, repeats counted, before ascending stops.
-TOUCH = 0.3
-#: Symbols of a tree that a query enters at most; beyond, it searches the band whole.
-SIBLINGS = 16
+#: Trees; symbols of a string; directions of a symbol, which has 2 * WAYS values.
+TREES, SYMBOLS, WAYS = 128, 21, 4
+#: Chance that a vector as near as the wanted ones is met by no tree, at which ascending stops.
+MISS = 0.1
 #: Rows of a band that are searched whole.
 WHOLE = 512
 #: Bytes of vectors in a block, least rows of one, and bytes of queries that meet a block at once.
-BLOCK_BYTES, BLOCK_ROWS, QUERY_BYTES = 32 << 20, 16_384, 64 << 20
+BLOCK_BYTES, BLOCK_ROWS, QUERY_BYTES = 16 << 20, 16_384, 64 << 20
 #: Queries searched at once.
 AT_ONCE = 512
-#: Prefixes that the trees ascend through below the first symbol.
-LEVELS = (64, 48, 40, 34, 30, 27, 24, 22, 20, 18, 17, 16, 15, 14, 13, 12, 11)
 #: Bands of length, each down to 1/sqrt(2) of the one before; the last holds all that is shorter.
 BANDS = 40
 #: Rows hashed at once.
-STEP = 2048
+STEP = 4096
 
-_FIRST = SYMBOLS.bit_length() - 1
+_BITS = (2 * WAYS).bit_length() - 1
+_alike: list[np.ndarray] = []
 
 
 def directions(dim: int, tree: int, seed: int = 7) -> np.ndarray:
-    """A tree's directions: SYMBOLS of length 1, then those of the signs."""
-    r = np.random.default_rng([seed, dim, tree]).standard_normal((SYMBOLS + BITS - _FIRST, dim)).astype(np.float32)
+    """A tree's directions, WAYS for each symbol in order, of length 1."""
+    r = np.random.default_rng([seed, dim, tree]).standard_normal((SYMBOLS * WAYS, dim)).astype(np.float32)
     return r / np.linalg.norm(r, axis=1, keepdims=True)
 
 
+def alike(cosine: float) -> float:
+    """The chance that two vectors at this cosine have the same symbol, by trial on a grid of angles."""
+    if not _alike:
+        rng = np.random.default_rng(5)
+        x, y = rng.standard_normal((2, 60_000, WAYS))
+        angles, rows, told = np.linspace(0, np.pi / 2, 65), np.arange(len(x)), []
+        for a in angles:
+            z = np.cos(a) * x + np.sin(a) * y
+            i, j = np.abs(x).argmax(axis=1), np.abs(z).argmax(axis=1)
+            told.append(((i == j) & ((x[rows, i] > 0) == (z[rows, j] > 0))).mean())
+        _alike.append(np.array([angles, np.minimum.accumulate(told)]))
+    return float(np.interp(np.arccos(min(max(cosine, 0.0), 1.0)), *_alike[0]))
+
+
+def share_of(k: int, blocks: int) -> int:
+    """As many of the k nearest as lie in one of these blocks, but for rare cases."""
+    mean = k / blocks
+    return min(k, int(np.ceil(mean + 3 * np.sqrt(mean) + 1)))
+
+
 def unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of length 1 in single precision, and the binary logarithms of the lengths; none may be zero."""
     v = vectors.astype(np.float64)
@@ -64,20 +84,19 @@ def unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (v / n[:, None]).astype(np.float32), np.log2(top[:, 0]) + np.log2(n)
 
 
-def strings(units: np.ndarray, tree: int, siblings: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """A tree's strings as uint64, and for siblings > 0 the symbols closest to each row, closest first."""
+def strings(units: np.ndarray, tree: int) -> np.ndarray:
+    """A tree's strings as uint64, the first symbol in the highest bits."""
     r = directions(units.shape[1], tree).T
-    codes, near = np.empty(len(units), np.uint64), np.empty((len(units), siblings), np.int32)
+    codes = np.empty(len(units), np.uint64)
     for lo in range(0, len(units), STEP):
-        p = units[lo : lo + STEP] @ r
-        symbol = p[:, :SYMBOLS].argmax(axis=1).astype(np.uint64)
-        signs = np.packbits(np.pad(p[:, SYMBOLS:] > 0, ((0, 0), (_FIRST, 0))), axis=1).view(">u8")[:, 0].astype(np.uint64)
-        codes[lo : lo + STEP] = (symbol << np.uint64(BITS - _FIRST)) | signs
-        if siblings:
-            some = np.argpartition(-p[:, :SYMBOLS], siblings, axis=1)[:, :siblings]
-            order = np.argsort(-np.take_along_axis(p, some, 1), axis=1, kind="stable")
-            near[lo : lo + STEP] = np.take_along_axis(some, order, 1)
-    return codes, near
+        p = (units[lo : lo + STEP] @ r).reshape(-1, SYMBOLS, WAYS)
+        way = np.abs(p).argmax(axis=2)
+        up = np.take_along_axis(p, way[:, :, None], 2)[:, :, 0] > 0
+        code = np.zeros(len(p), np.uint64)
+        for symbol in (2 * way + up).astype(np.uint64).T:
+            code = (code << np.uint64(_BITS)) | symbol
+        codes[lo : lo + STEP] = code
+    return codes
 
 
 class Forest:
@@ -85,44 +104,71 @@ class Forest:
 
     def __init__(self, units: np.ndarray, trees: int):
         self.n, self.trees = len(units), trees
-        self.order = np.empty(trees * self.n, np.int32)
-        self.codes = np.empty(trees * self.n, np.uint64)
-        self.starts = np.empty((trees, SYMBOLS + 1), np.int64)
+        self.order = np.empty((trees, self.n), np.int32)
+        self.codes = np.empty((trees, self.n), np.uint64)
         for t in range(trees):
-            codes, _ = strings(units, t)
+            codes = strings(units, t)
             order = np.argsort(codes, kind="stable")
-            self.order[t * self.n : (t + 1) * self.n] = order
-            mine = self.codes[t * self.n : (t + 1) * self.n] = codes[order]
-            self.starts[t] = np.searchsorted(mine >> np.uint64(BITS - _FIRST), np.arange(SYMBOLS + 1, dtype=np.uint64)) + t * self.n
-
-    def meets(self, codes: np.ndarray, near: np.ndarray, wanted: float):
-        """For each query (its strings and closest symbols by tree), in how many trees it meets each row; None where all rows are to be searched."""
-        q = codes.shape[0]
-        t = np.arange(self.trees)[None, :, None]
-        sizes = (self.starts[t, near + 1] - self.starts[t, near]).sum(axis=1).cumsum(axis=1)  # (queries, siblings)
-        lo, hi = np.empty((q, self.trees), np.int64), np.empty((q, self.trees), np.int64)
-        open_ = np.flatnonzero(sizes[:, 0] >= wanted)  # their first symbols hold enough: a longer prefix may
-        for level in LEVELS:
-            if not len(open_):
+            self.order[t], self.codes[t] = order, codes[order]
+
+    def ranges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each query (its strings by tree), tree and length of a prefix, from none on: where the rows that share it begin and end."""
+        lo = np.zeros((len(codes), self.trees, SYMBOLS + 1), np.int32)
+        hi = np.full_like(lo, self.n)
+        for t in range(self.trees):
+            for length in range(1, SYMBOLS + 1):
+                open_ = np.flatnonzero(hi[:, t, length - 1] > lo[:, t, length - 1])  # nothing shares what is longer
+                if not len(open_):
+                    hi[:, t, length:] = 0
+                    break
+                rest = np.uint64((1 << (_BITS * (SYMBOLS - length))) - 1)
+                first = codes[open_, t] & ~rest
+                hi[:, t, length] = 0
+                lo[open_, t, length] = np.searchsorted(self.codes[t], first)
+                hi[open_, t, length] = np.searchsorted(self.codes[t], first | rest, side="right")
+        return lo, hi
+
+    def search(self, lo: np.ndarray, hi: np.ndarray, score, wanted: int, least: float, miss: float) -> tuple[np.ndarray, int]:
+        """Rows met for a query (its ranges), and the length of the shortest prefix that was needed.
+
+        score(rows): their scores in any unit, and cosines.  The farthest of the `wanted` best rows decides when to stop, but no
+        farther than the cosine `least`, below which nothing here counts.
+        """
+        seen, got, near = np.zeros(self.n, bool), np.empty(0, np.float32), np.empty(0, np.float32)
+        length = int((hi > lo).sum(axis=1).max()) - 1  # the longest prefix that any tree matches
+        at, low = 0, np.log(miss)
+        while length > 0:
+            # trees before `at` have ascended to this length, the others share one symbol more
+            farthest = max(float(near.min()), least) if len(got) >= wanted else max(least, 0.0)
+            chance = min(alike(farthest), 0.999) if farthest > 0 else 0.0
+            here, longer = np.log1p(-(chance**length)), np.log1p(-(chance ** (length + 1))) if length < SYMBOLS else 0.0
+            if at * here + (self.trees - at) * longer <= low:
                 break
-            mask = np.uint64((1 << (BITS - level)) - 1)
-            for i in range(self.trees):
-                mine, c = self.codes[i * self.n : (i + 1) * self.n], codes[open_, i]
-                lo[open_, i] = np.searchsorted(mine, c & ~mask) + i * self.n
-                hi[open_, i] = np.searchsorted(mine, c | mask, side="right") + i * self.n
-            open_ = open_[(hi[open_] - lo[open_]).sum(axis=1) < wanted]
-        deep = sizes[:, 0] >= wanted
-        deep[open_] = False
-        for i in range(q):
-            if deep[i]:
-                a, b = lo[i], hi[i]
+            if at == self.trees:
+                length, at = length - 1, 0
+                continue
+            if not chance:
+                to = min(self.trees, max(2 * at, 1))
+            elif self.trees * here > low:
+                to = self.trees
             else:
-                r = int(np.searchsorted(sizes[i], wanted)) + 1
-                if r > near.shape[2]:
-                    yield None
-                    continue
-                a, b = self.starts[t[0], near[i, :, :r]].ravel(), self.starts[t[0], near[i, :, :r] + 1].ravel()
-            yield np.bincount(np.concatenate([self.order[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]), minlength=self.n)
+                to = max(at + 1, min(self.trees, int(np.ceil((low - self.trees * longer) / (here - longer)))))
+            met = np.zeros(self.n, bool)
+            for t in range(at, to):
+                if hi[t, length] > lo[t, length]:
+                    met[self.order[t, lo[t, length] : hi[t, length]]] = True
+            new = np.flatnonzero(met & ~seen)
+            if len(new):
+                seen |= met
+                s, c = score(new)
+                got, near = np.concatenate([got, s]), np.concatenate([near, c])
+                if len(got) > wanted:
+                    best_ = np.argpartition(-got, wanted)[:wanted]
+                    got, near = got[best_], near[best_]
+            at = to
+        if length == 0:
+            return np.arange(self.n), 0
+        return np.flatnonzero(seen), length
 
 
 def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -168,9 +214,10 @@ def _distinct(ids: np.ndarray, raw: list[bytes], k: int) -> tuple[np.ndarray, np
     return rows, np.concatenate([[0], np.cumsum([len(f) for f in few])]), np.concatenate(few)
 
 
-def _search(k: int, trees: int, touch: float, whole: int, kind: str):
-    names = ["query_id", "vec_id", "score", "scored"]
-    empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.int64())], names=names)
+def _search(k: int, wanted: int, trees: int, miss: float, whole: int, kind: str):
+    names = ["query_id", "vec_id", "score", "scored", "depth"]
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32()]
+    empty = pa.table([pa.array([], t) for t in types], names=names)
 
     def f(left: pa.Table, right: pa.Table) -> pa.Table:
         claim("neighbours")
@@ -188,19 +235,29 @@ def _search(k: int, trees: int, touch: float, whole: int, kind: str):
             who, asked = part["q"].to_numpy(), _matrix(part["vec"], kind)
             q_units, q_length = unit(asked)
             found = [(np.empty(0, np.int64), np.empty(0))] * len(who)
-            scored = np.zeros(len(who), np.int64)
+            scored, depth = np.zeros(len(who), np.int64), np.full(len(who), SYMBOLS, np.int32)
             if any(forests):
-                each = [strings(q_units, t, SIBLINGS) for t in range(trees)]
-                codes, near = np.stack([c for c, _ in each], 1), np.stack([n for _, n in each], 1)
+                codes = np.stack([strings(q_units, t) for t in range(trees)], 1)
             for (mine, longest), forest in zip(bands, forests, strict=True):
                 reach = np.exp2(np.minimum(q_length + longest, 1000.0)) * (1 + 1e-6)
                 kth = np.array([s[k - 1] if len(s) >= k else -np.inf for _, s in found])
                 some = np.flatnonzero(reach >= kth)
-                met = forest.meets(codes[some], near[some], max(touch * len(mine), trees * (k + 1))) if forest else [None] * len(some)
-                for i, times in zip(some, met, strict=True):
+                if forest:
+                    starts, ends = forest.ranges(codes[some])
+                    band_units, scale = units[mine] if len(bands) > 1 else units, np.exp2(length[mine] - longest).astype(np.float32)
+                for n, i in enumerate(some.tolist()):
                     chosen = mine
-                    if times is not None:
-                        chosen = next((c for c in (mine[times >= 2], mine[times >= 1]) if len(c) > k), mine)
+                    if forest:
+                        # in units of the band's longest vector times the query's length
+                        least = found[i][1][wanted - 1] / reach[i] if len(found[i][1]) >= wanted else -1.0
+
+                        def score(r, q=q_units[i], u=band_units, x=scale):
+                            c = u[r] @ q
+                            return c * x[r], c
+
+                        met, told = forest.search(starts[n], ends[n], score, wanted + 1, least, miss)  # (one more: the query itself may lie here)
+                        chosen = mine[met]
+                        depth[i] = min(depth[i], told)
                     scored[i] += len(chosen)
                     sizes = first[chosen + 1] - first[chosen]
                     row = np.repeat(chosen, sizes)
@@ -214,8 +271,8 @@ def _search(k: int, trees: int, touch: float, whole: int, kind: str):
             counted = np.zeros(sum(sizes), np.int64)  # once for each query
             firsts = np.cumsum(sizes) - sizes
             counted[firsts[np.array(sizes) > 0]] = scored[np.array(sizes) > 0]
-            out.append([np.repeat(who, sizes), np.concatenate([x for x, _ in found]), np.concatenate([s for _, s in found]), counted])
-        return pa.table([pa.array(np.concatenate([o[i] for o in out])) for i in range(4)], names=names)
+            out.append([np.repeat(who, sizes), np.concatenate([x for x, _ in found]), np.concatenate([s for _, s in found]), counted, np.repeat(depth, sizes)])
+        return pa.table([pa.array(np.concatenate([o[i] for o in out])) for i in range(5)], names=names)
 
     return lean(f)
 
@@ -232,15 +289,16 @@ def _pack(kind: str):
     return f
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = TREES, touch: float = TOUCH, whole: int = WHOLE, block_bytes: int = BLOCK_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, rank from 1, vec_id, score, n_scored): for each row of queries, the k rows of vectors found nearest by inner product.
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = TREES, miss: float = MISS, whole: int = WHOLE, block_bytes: int = BLOCK_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, rank from 1, vec_id, score, n_scored, shortest_prefix): for each row of queries, the k rows of vectors found nearest by inner product.
 
     Both tables have an integer id and an array of numbers, doubles kept as doubles.  A query's own id is
     no candidate; ties go to the smaller id; an id that repeats counts once, with its best score, among
     queries too.  Vectors that are null, zero, or hold a null or a non-finite
     component, and rows with a null id take no part; vectors are compared with those of their own length
     only.  Fewer candidates than k give fewer rows; empty tables give none.  n_scored: distinct vectors
-    scored for the query.
+    scored for the query; shortest_prefix: symbols that all rows met share with it in some tree (0: a band was searched to its
+    roots; all symbols: bands of few rows only).
     """
     spark = vectors.sparkSession
     element = vectors.schema[vec_col].dataType.elementType.simpleString()
@@ -264,8 +322,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     stored = stored.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))) if turns > 1 else F.lit(0))
     asked = asked.select(F.col("_id").alias("q"), "dim", "vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("_id"), F.lit(turns)).cast("int").alias("turn"))
     of = ["dim", "block", "turn"]
-    found = stored.groupBy(*of).cogroup(asked.groupBy(*of)).applyInArrow(_search(k, trees, touch, whole, kind), "query_id long, vec_id long, score double, scored long")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.sum("scored").alias("scored"))
+    found = stored.groupBy(*of).cogroup(asked.groupBy(*of)).applyInArrow(_search(k, share_of(k, blocks), trees, miss, whole, kind), "query_id long, vec_id long, score double, scored long, depth int")
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.sum("scored").alias("scored"), F.min("depth").alias("depth"))
     w = Window.partitionBy("query_id")
-    ranked = once.withColumn("n_scored", F.sum("scored").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "vec_id")).cast("int"))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "n_scored")
+    ranked = once.withColumn("n_scored", F.sum("scored").over(w)).withColumn("shortest_prefix", F.min("depth").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "vec_id")).cast("int"))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "n_scored", "shortest_prefix")
