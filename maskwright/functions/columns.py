@@ -5,6 +5,8 @@ Each has a Python twin in `fold`, `names` or `checks`; tests hold the two agains
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -200,6 +202,31 @@ def jurisdiction_of(citation: Column) -> Column:
     )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, whatever its uses within body."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, start: int = 0, step: Callable[[Column, Column], Column] = lambda s, x: s + x) -> Column:
+    """What `step` has made of start and all values before each value of an int array (sums by default), for an associative step.
+
+    An aggregate that grows a list copies it at each value; here the array is cut into pieces of its
+    size's square root, so n values cost n * sqrt(n) short copies.
+    """
+    none = F.array().cast("array<int>")
+
+    def within(piece: Column) -> Column:
+        first = F.struct(F.lit(start).alias("at"), none.alias("told"))
+        return F.aggregate(piece, first, lambda s, x: F.struct(step(s["at"], x).alias("at"), F.concat(s["told"], F.array(s["at"])).alias("told")))
+
+    def pieces(a: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(a))).cast("int")
+        cut = F.transform(F.sequence(F.lit(1), F.size(a), size), lambda i: F.slice(a, i, size))
+        return let(F.transform(cut, within), lambda t: F.flatten(F.zip_with(t, within(F.transform(t, lambda p: p["at"]))["told"], lambda p, o: F.transform(p["told"], lambda x: step(o, x)))))
+
+    return let(values, lambda a: F.when(F.size(a) > 0, pieces(a)).otherwise(none))
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """Places [start, end) of a pattern's matches, in code points; no match may be empty.
 
@@ -208,15 +235,36 @@ def match_spans(text: Column, pattern: str) -> Column:
     """
     hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda h: F.length(h))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
-    def add(s: Column, p: Column) -> Column:
-        begin = s["at"] + p["gap"]
-        end = begin + p["hit"]
-        return F.struct(end.alias("at"), F.concat(s["spans"], F.array(F.struct(begin.alias("start"), end.alias("end")))).alias("spans"))
+    def spans(p: Column) -> Column:
+        both = F.zip_with(F.slice(p["gaps"], 1, F.size(p["hits"])), p["hits"], lambda g, h: g + h)
+        rows = F.arrays_zip(running(both).alias("at"), F.slice(p["gaps"], 1, F.size(p["hits"])).alias("gap"), p["hits"].alias("hit"))
+        return F.transform(rows, lambda r: F.struct((r["at"] + r["gap"]).alias("start"), (r["at"] + r["gap"] + r["hit"]).alias("end")))
 
-    parts = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda p: p["hit"].isNotNull())
-    return F.aggregate(parts, start, add, lambda s: s["spans"])
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return let(F.struct(gaps.alias("gaps"), hits.alias("hits")), lambda p: F.when(F.size(p["hits"]) > 0, spans(p)).otherwise(none))
+
+
+def sliced(text: Column, spans: Column) -> Column:
+    """The pieces of a text at spans (start, end), as an array; see `replaced` for the detour."""
+    return let(F.encode(text, "UTF-32"), lambda raw: F.transform(spans, lambda s: F.decode(F.substring(raw, 4 * s["start"] + 1, 4 * (s["end"] - s["start"])), "UTF-32")))
+
+
+def replaced(text: Column, cuts: Column) -> Column:
+    """The text with each of cuts (start, end, value: ascending, apart, in code points) replaced by its value.
+
+    Slices are taken from four bytes a character, where a place is found at once: in UTF-8 it is counted from the text's beginning.
+    """
+    wide = F.encode(text, "UTF-32")
+
+    def parts(p: Column) -> Column:
+        c, raw = p["cuts"], p["raw"]
+        piece = lambda a, b: F.decode(F.substring(raw, 4 * a + 1, 4 * (b - a)), "UTF-32")
+        before = F.concat(F.array(F.lit(0)), F.slice(F.transform(c, lambda x: x["end"]), 1, F.size(c) - 1))
+        told = F.zip_with(c, before, lambda x, a: F.concat(piece(a, x["start"]), x["value"]))
+        return F.concat(F.array_join(told, ""), piece(F.element_at(c, -1)["end"], F.length(raw) / 4))
+
+    return let(F.struct(cuts.alias("cuts"), wide.alias("raw")), lambda p: F.when(F.size(p["cuts"]) > 0, parts(p)).otherwise(text))
 
 
 def blank_escapes(text: Column) -> Column:
@@ -224,7 +272,3 @@ def blank_escapes(text: Column) -> Column:
     held = F.regexp_replace(text, r"\\\\", "\x01\x02")
     held = F.regexp_replace(F.regexp_replace(held, r"\\[uU][0-9a-fA-F]{4}", " " * 6), r"\\[ntrfbv]", "  ")
     return F.when(F.contains(text, F.lit("\\")), F.regexp_replace(held, "\x01\x02", r"\\\\")).otherwise(text)
-
-
-def slice_of(text: Column, span: Column) -> Column:
-    return F.substr(text, span["start"] + 1, span["end"] - span["start"])

@@ -74,8 +74,9 @@ def detect_patterns(docs: DataFrame, kinds: tuple[str, ...] | None = None, patte
     none = F.array().cast("array<struct<start:int,end:int>>")
     places = [F.struct(F.lit(i).alias("rule"), F.when(F.col("_text").rlike(p.needs), C.match_spans(F.col("_text"), p.pattern)).otherwise(none).alias("spans")) for i, p in enumerate(rules)]
     some = base.select("*", F.explode(F.array(*places)).alias("r")).where(F.size("r.spans") > 0)
-    hits = some.select("doc_id", "scope_id", "_raw", F.col("r.rule").alias("_rule"), F.posexplode("r.spans").alias("_pos", "_span"))
-    hits = hits.select("doc_id", "scope_id", "_rule", "_pos", F.col("_span.start").alias("start"), C.slice_of(F.col("_raw"), F.col("_span")).alias("_match"))
+    cut = F.arrays_zip(F.col("r.spans").alias("span"), C.sliced(F.col("_raw"), F.col("r.spans")).alias("match"))
+    hits = some.select("doc_id", "scope_id", F.col("r.rule").alias("_rule"), F.posexplode(cut).alias("_pos", "_hit"))
+    hits = hits.select("doc_id", "scope_id", "_rule", "_pos", F.col("_hit.span.start").alias("start"), F.col("_hit.match").alias("_match"))
     pick = lambda f: F.coalesce(*(F.when(F.col("_rule") == i, f(p)) for i, p in enumerate(rules)))
     hits = hits.withColumn("span", pick(lambda p: p.keep(F.col("_match")))).where(F.col("span").isNotNull())
     hits = hits.withColumn("kind", pick(lambda p: F.lit(p.kind))).withColumn("rule", pick(lambda p: F.lit(p.rule)))

@@ -7,7 +7,7 @@ import hashlib
 from .functions.fold import ECHO_FROM, ECHO_TO
 
 SALT = b"\x11" * 32
-# A look-around becomes a character that is matched beside the span; neighbours that share one are told apart by doubling white space.
+# A look-around becomes a character that is matched beside the span; as neighbours may share one, those beside matches are doubled first.
 _RULES = (
     ("EMAIL", "e-mail", r"(?:^|[^A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24})(?:$|[^A-Za-z0-9-])", "lower(split_part(s, '@', 1)) NOT IN ('noreply', 'no-reply', 'donotreply', 'do-not-reply', 'mailer-daemon', 'postmaster')"),
     ("CARD", "card", r"(?:^|[^0-9-])([0-9](?:[ -]?[0-9]){12,18})(?:$|[^0-9-])", "card"),
@@ -26,15 +26,19 @@ def _detections() -> str:
     for i, (kind, rule, pattern, keep) in enumerate(_RULES):
         digits = "regexp_replace(s, '[^0-9]', '', 'g')"
         test = f"({_LUHN.format(d=digits)}) AND {_NETWORK.format(d=digits)}" if keep == "card" else keep
-        q = pattern.replace("'", "''")
-        parts.append(f"SELECT doc_id, source, '{kind}' AS kind, '{rule}' AS rule, {i} AS r, n, s, strpos(text, s) AS pos FROM (SELECT doc_id, source, text, unnest(regexp_extract_all(text, '{q}', 1)) AS s, generate_subscripts(regexp_extract_all(text, '{q}', 1), 1) AS n FROM documents) WHERE {test}")
+        q, read = pattern.replace("'", "''"), "text"
+        if q.startswith("(?:^|"):
+            wide = "(" + q[3:].replace("(?:$|", "($|")  # the characters beside a match as groups 1 and 3
+            read = f"regexp_replace(text, '{wide}', '\\1\\1\\2\\3\\3', 'g')"
+        parts.append(f"SELECT doc_id, source, '{kind}' AS kind, '{rule}' AS rule, {i} AS r, n, s, strpos(text, s) AS pos FROM (SELECT doc_id, source, text, unnest(regexp_extract_all(x, '{q}', 1)) AS s, generate_subscripts(regexp_extract_all(x, '{q}', 1), 1) AS n FROM (SELECT doc_id, source, text, {read} AS x FROM documents)) WHERE {test}")
     return f"WITH hits AS ({' UNION ALL '.join(parts)}), det AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, lower(s) ORDER BY r, n) AS first FROM hits) WHERE first = 1)"
 
 
-def _token() -> str:
-    """The token of (kind, k): HMAC-SHA-256 with the pads as constants."""
+def _token(attempt: int = 0) -> str:
+    """The token of (kind, k), or what it is derived as again: HMAC-SHA-256 with the pads as constants."""
+    again = f" || '\\x00{attempt}'::BLOB" if attempt else ""
     hexed = lambda byte: "".join(f"\\x{b ^ byte:02X}" for b in SALT.ljust(64, b"\0"))
-    inner = f"unhex(sha256('{hexed(0x36)}'::BLOB || encode(kind) || '\\x00'::BLOB || encode(k)))"
+    inner = f"unhex(sha256('{hexed(0x36)}'::BLOB || encode(kind) || '\\x00'::BLOB || encode(k){again}))"
     outer = f"sha256('{hexed(0x5C)}'::BLOB || {inner})"
     return f"kind || '_' || (CAST('0x' || substr({outer}, 1, 10) AS BIGINT) % 90000000 + 10000000)"
 
@@ -84,11 +88,13 @@ n AS (SELECT *, CAST('3704004405' || k || '1314' || lpad(CAST(o_orderkey % 97 AS
 SELECT o_orderkey, iban % 97 = 1 AS iban_ok, {_LUHN.format(d="d")} AS luhn_ok, {_LUHN.format(d="d")} AS card_ok, (7 * CAST(m[1:1] AS INT) + 6 * CAST(m[2:2] AS INT) + 5 * CAST(m[3:3] AS INT) + 4 * CAST(m[4:4] AS INT) + 3 * CAST(m[5:5] AS INT) + 2 * CAST(m[6:6] AS INT)) % 10 = CAST(m[7:7] AS INT) AS imo_ok FROM n""",
     "derive_tokens": f"{_detections()} SELECT kind, k AS span_key, {_token()} AS token FROM (SELECT DISTINCT kind, lower(s) AS k FROM det)",
     "absorb_people": f"""
-WITH n AS (SELECT 'desk' || (c_custkey // 2 % 4) AS scope_id, {_made("c_custkey + 100000000", 9)} AS given, {_made("c_custkey // 2 + 1000000", 7)} AS family FROM customer),
-p AS (SELECT scope_id, family, 'PERSON' AS kind, given || ' ' || family AS v, lower(given || ' ' || family) AS k FROM n),
-t AS (SELECT *, {_token()} AS token FROM p),
-f AS (SELECT scope_id, 'PERSON' AS kind, family AS v, lower(family) AS k, string_agg(token, ',' ORDER BY token) AS shared_by FROM t GROUP BY scope_id, family HAVING count(*) > 1)
-SELECT scope_id, token, kind, v AS real_value, k AS normalized, CAST(NULL AS VARCHAR) AS shared_by FROM t UNION ALL SELECT scope_id, {_token()}, kind, v, k, shared_by FROM f""",
+WITH n AS (SELECT 'desk' || (c_custkey // 2 % 4) AS scope_id, {_made("c_custkey + 100000000", 9)} AS given, {_made("c_custkey // 2 + 1000000", 7)} AS family, c_custkey FROM customer),
+p AS (SELECT scope_id, family, 'PERSON' AS kind, given || ' ' || family AS v, lower(given || ' ' || family) AS k, 1 AS wave, c_custkey AS place FROM n),
+f AS (SELECT scope_id, family, 'PERSON' AS kind, family AS v, lower(family) AS k, 2 AS wave, row_number() OVER (ORDER BY lower(family)) AS place FROM p GROUP BY scope_id, family HAVING count(*) > 1),
+a AS (SELECT *, {_token()} AS first FROM (SELECT * FROM p UNION ALL SELECT * FROM f)),
+t AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY scope_id, first ORDER BY wave, place) = 1 THEN first ELSE {_token(1)} END AS token FROM a),
+g AS (SELECT scope_id, family, string_agg(token, ',' ORDER BY token) AS shared_by FROM t WHERE wave = 1 GROUP BY scope_id, family)
+SELECT t.scope_id, token, kind, v AS real_value, k AS normalized, CASE WHEN wave = 2 THEN shared_by END AS shared_by FROM t JOIN g USING (scope_id, family)""",
     "restore_documents": f"{_detections()} SELECT doc_id, sha256(lower(coalesce(text, ''))) AS restored_sha256, doc_id IN (SELECT doc_id FROM det) AS hidden FROM documents WHERE source IS NOT NULL",
     "residual_surfaces": f"{_detections()} SELECT doc_id, min(s) AS found FROM det WHERE kind = 'EMAIL' AND source IS NOT NULL GROUP BY doc_id",
     "enrol_scopes": f"""{_detections()},

@@ -315,13 +315,13 @@ def restored(text: Column, mapping: Column) -> Column:
     small = F.map_from_entries(F.transform(F.map_entries(mapping), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v"))))
     spans = C.match_spans(probe, C.TOKEN_PATTERN)
 
-    def put(s: Column, x: Column) -> Column:
-        value = F.try_element_at(small, F.lower(C.slice_of(probe, x)))
-        piece = F.concat(s["out"], F.substr(text, s["at"] + 1, x["start"] - s["at"]), value)
-        return F.when(value.isNull(), s).otherwise(F.struct(x["end"].alias("at"), piece.alias("out")))
+    def cuts(p: Column) -> Column:
+        told = F.transform(C.sliced(p["probe"], p["spans"]), lambda t: F.try_element_at(p["small"], F.lower(t)))
+        rows = F.zip_with(p["spans"], told, lambda s, v: F.struct(s["start"].alias("start"), s["end"].alias("end"), v.alias("value")))
+        return F.filter(rows, lambda r: r["value"].isNotNull())
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(spans, start, put, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))))
+    found = C.let(F.struct(probe.alias("probe"), spans.alias("spans"), small.alias("small")), cuts)
+    done = C.replaced(text, found)
     return F.when(F.contains(probe, F.lit("_")) & (F.size(mapping) > 0), done).otherwise(text)
 
 

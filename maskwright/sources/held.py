@@ -3,12 +3,32 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[tuple[SparkSession, str]] = []
+_made: dict[str, list[tuple[SparkSession, str]]] = {}
+_named: contextvars.ContextVar[str | None] = contextvars.ContextVar("owner", default=None)
+
+
+def owner() -> str:
+    """Whose tables `hold` writes here: the name that `owned` gives, else this thread."""
+    return _named.get() or f"thread {threading.get_ident()}"
+
+
+@contextlib.contextmanager
+def owned(name: str) -> Iterator[None]:
+    """Within it, `hold` writes for this name, so that `drop_held(name)` deletes just that."""
+    before = _named.set(name)
+    try:
+        yield
+    finally:
+        _named.reset(before)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,14 +46,13 @@ def hold(df: DataFrame) -> DataFrame:
     """df as written and read back: a lost executor costs a re-read.  The files go when Python ends, or by `drop_held`."""
     path = f"{shared_folder(df.sparkSession)}/maskwright-held-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _made.append((df.sparkSession, path))
+    _made.setdefault(owner(), []).append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_held() -> None:
-    """Delete all that `hold` has written; to be called when what was built from it is stored elsewhere."""
-    while _made:
-        spark, folder = _made.pop()
+def drop_held(name: str | None = None) -> None:
+    """Delete what `hold` has written for this owner (by default the one here); to be called when what was built from it is stored elsewhere."""
+    for spark, folder in _made.pop(name or owner(), []):
         if spark.sparkContext._jsc is not None:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -42,7 +61,8 @@ def drop_held() -> None:
 @atexit.register
 def _at_end() -> None:
     try:
-        drop_held()
+        for name in list(_made):
+            drop_held(name)
     except Exception:  # the session may be gone already; its folder is then the cluster's to clean
         _made.clear()
 
