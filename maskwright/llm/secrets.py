@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import columns as C
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -65,21 +67,14 @@ def _none() -> Column:
 
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     """The rule's spans of a text, in order; the text must not be null."""
-    hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    long = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda g: F.length(g) >= rule.least) if rule.group else F.transform(hits, lambda h: F.length(h) >= rule.least)
-    gaps = F.split(text, rule.pattern, -1)
-    # (position, spans): one step a match
-    step = F.struct(F.lit(0).alias("at"), _none().alias("spans"))
-    parts = F.arrays_zip(F.transform(gaps, lambda g: F.length(g)).alias("gap"), F.transform(hits, lambda h: F.length(h)).alias("hit"), long.alias("ok"))
+    told = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda g: F.length(g))
 
-    def add(s: Column, p: Column) -> Column:
-        start = s["at"] + p["gap"]
-        end = start + F.coalesce(p["hit"], F.lit(0))
-        one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))).cast(_SPAN)
-        return F.struct(end.alias("at"), F.when(F.coalesce(p["ok"], F.lit(False)), F.concat(s["spans"], one)).otherwise(s["spans"]).alias("spans"))
+    def found(p: Column) -> Column:
+        one = lambda r: F.struct(r["s"]["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), r["s"]["end"].alias("end"))
+        return F.transform(F.filter(p, lambda r: r["n"] >= rule.least), one).cast(_SPAN)
 
-    found = F.aggregate(parts, step, add, lambda s: s["spans"])
-    return F.when(text.rlike(rule.needs or rule.pattern), found).otherwise(_none())
+    pairs = F.arrays_zip(C.match_spans(text, rule.pattern).alias("s"), told.alias("n"))
+    return F.when(text.rlike(rule.needs or rule.pattern), C.let(pairs, found)).otherwise(_none())
 
 
 def _ledger(spark, folder: str, name: str, schema: str) -> DataFrame:
@@ -91,8 +86,10 @@ def _ledger(spark, folder: str, name: str, schema: str) -> DataFrame:
 #: The pairs that have been scanned, and what was found: one row for each blob of a scan.
 LEDGER = "blob string, rules array<string>"
 FINDINGS = "blob string, rules array<string>, spans array<struct<start:int,end:int,kind:string,rule:string>>"
-#: Elected rows (16 bytes each) and spans (some 60 bytes each) up to which they are broadcast.
+#: Elected rows (some 60 bytes each) and spans (some 60 bytes each) up to which they are broadcast.
 MOST_ELECTED, MOST_SPANS = 1_000_000, 300_000
+#: What is to be scanned of a blob: the numbers of the rules.
+TODO = "array<smallint>"
 
 
 def pairs_scanned(spark, ledger: str) -> int:
@@ -102,10 +99,10 @@ def pairs_scanned(spark, ledger: str) -> int:
 
 
 def _scan(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """FINDINGS of rows (blob, content, todo: a bit for each rule)."""
+    """FINDINGS of rows (blob, content, todo: the numbers of the rules)."""
     found, ids = [], []
     for i, r in enumerate(rules):
-        due = F.col("todo").bitwiseAND(1 << i) != 0
+        due = F.array_contains("todo", F.lit(i).cast("smallint"))
         named = F.transform(spans_of(F.col("content"), r, i), lambda s: F.struct(s["start"], s["end"], s["kind"], F.lit(r.id).alias("rule")))  # noqa: B023
         found.append(F.when(due, named).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string,rule:string>>")))
         ids.append(F.when(due, F.lit(r.id)))
@@ -124,12 +121,15 @@ def scan_versions(versions: DataFrame, ledger: str, content_col: str = "text", r
     address = F.sha2(content.cast("binary"), 256)
     known = _ledger(spark, ledger, "blobs", LEDGER).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("held"))
     held = F.coalesce("held", F.array().cast("array<string>"))
-    todo = sum((F.when(F.array_contains(held, r.id), 0).otherwise(1 << i) for i, r in enumerate(rules)), F.lit(0))
+    numbers = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.id, i)])
+    of = lambda ids: F.transform(ids, lambda r: numbers[r].cast("smallint"))
+    every = F.array(*(F.lit(i).cast("smallint") for i in range(len(rules))))
+    todo = F.array_except(every, of(held))
     rows = versions.select(F.monotonically_increasing_id().alias("rid"), address.alias("blob"), content.alias("content"))
-    elected = rows.groupBy("blob").agg(F.min("rid").alias("rid")).join(known, "blob", "left").select("blob", "rid", todo.alias("todo")).where("todo <> 0")
+    elected = rows.groupBy("blob").agg(F.min("rid").alias("rid")).join(known, "blob", "left").select("blob", "rid", todo.alias("todo")).where("size(todo) > 0")
     pending = f"{ledger}/pending/{uuid.uuid4().hex}"
     elected.write.parquet(pending)
-    elected = spark.read.schema("blob string, rid long, todo int").parquet(pending)
+    elected = spark.read.schema(f"blob string, rid long, todo {TODO}").parquet(pending)
     if elected.count() <= most_elected:
         chosen = rows.join(F.broadcast(elected.select("rid", "todo")), "rid")
         cores = spark.sparkContext.defaultParallelism
@@ -138,20 +138,21 @@ def scan_versions(versions: DataFrame, ledger: str, content_col: str = "text", r
         _scan(chosen, rules).write.mode("append").parquet(f"{ledger}/findings")
     # what has not been scanned yet: all of it beyond MOST_ELECTED, else rows that were numbered otherwise at the second reading
     done = _ledger(spark, ledger, "findings", FINDINGS).select(F.col("blob").alias("b"), F.explode("rules").alias("r")).where(F.col("r").isin(*(r.id for r in rules)))
-    done = done.groupBy("b").agg(sum((F.max(F.when(F.col("r") == r.id, 1 << i).otherwise(0)) for i, r in enumerate(rules)), F.lit(0)).alias("done"))
-    left = elected.join(done, F.col("blob") == F.col("b"), "left").select("blob", F.col("todo").bitwiseAND(F.bitwise_not(F.coalesce("done", F.lit(0)))).alias("todo")).where("todo <> 0")
+    done = done.groupBy("b").agg(F.collect_set("r").alias("done"))
+    left = elected.join(done, F.col("blob") == F.col("b"), "left").select("blob", F.array_except("todo", F.coalesce(of(F.col("done")), F.array().cast(TODO))).alias("todo")).where("size(todo) > 0")
     if not left.isEmpty():
         one = rows.groupBy("blob").agg(F.first("content").alias("content"))
         _scan(one.join(left, "blob"), rules).write.mode("append").parquet(f"{ledger}/findings")
     # recorded last: a scan that was cut short is done again, and a blob scanned twice counts once
     findings = _ledger(spark, ledger, "findings", FINDINGS)
     findings.join(elected.select("blob"), "blob", "left_semi").select("blob", "rules").write.mode("append").parquet(f"{ledger}/blobs")
-    ranks = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.id, i)])
     current = F.filter("spans", lambda s: s["rule"].isin(*(r.id for r in rules)))
     some = findings.select("blob", current.alias("spans")).where(F.size("spans") > 0)
     total = some.agg(F.sum(F.size("spans"))).first()[0] or 0
-    ranked = F.transform(F.flatten(F.collect_list("spans")), lambda s: F.struct(s["start"], ranks[s["rule"]].alias("rank"), s["kind"], s["end"]))
-    once = some.groupBy(F.col("blob").alias("_found")).agg(F.array_sort(F.array_distinct(ranked)).cast(_SPAN).alias("_spans"))
+    ranked = F.transform(F.flatten(F.collect_list("spans")), lambda s: F.struct(s["start"], numbers[s["rule"]].alias("rank"), s["kind"], s["end"]))
+    # equal neighbours of the sorted spans (array_distinct compares all with all)
+    unlike = C.let(F.array_sort(ranked), lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1))))
+    once = some.groupBy(F.col("blob").alias("_found")).agg(unlike.cast(_SPAN).alias("_spans"))
     out = versions.withColumn("_blob", address)
     out = out.join(F.broadcast(once) if total <= MOST_SPANS else once, F.col("_blob") == F.col("_found"), "left")
     return out.drop("_found").withColumn("_spans", F.coalesce("_spans", _none()))
@@ -163,13 +164,13 @@ def span_text(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span (overlapping ones together) replaced by [kind]."""
+    """The text with each span (one that begins within another before it goes with that) replaced by [kind]."""
 
-    def cut(s: Column, x: Column) -> Column:
-        skip = x["start"] < s["at"]
-        piece = F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit("["), x["kind"], F.lit("]"))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(skip, s["out"]).otherwise(piece).alias("out"))
+    def apart(s: Column) -> Column:
+        before = C.running(F.transform(s, lambda x: x["end"]), 0, lambda top, end: F.greatest(top, end))  # where all spans before it end
+        rows = F.filter(F.arrays_zip(s.alias("s"), before.alias("at")), lambda r: r["s"]["start"] >= r["at"])
+        ends = F.concat(F.slice(F.transform(rows, lambda r: r["at"]), 2, F.size(rows)), F.array(F.array_max(F.transform(s, lambda x: x["end"]))))
+        return F.zip_with(rows, ends, lambda r, end: F.struct(r["s"]["start"].alias("start"), end.alias("end"), F.concat(F.lit("["), r["s"]["kind"], F.lit("]")).alias("value")))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(spans, start, cut, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(done)
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    return C.replaced(text, C.let(spans, lambda s: F.when(F.size(s) > 0, apart(s)).otherwise(none)))

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +86,39 @@ def test_redaction(spark):
     n = len(AWKWARD)
     assert by[n] == "[assign] and Secret : 'abc' then [assign]\" api-key=123456 [assign]"
     assert by[n + 5] == "[assign]"
+
+
+def cut(text, spans):
+    out, at = "", 0
+    for start, _, kind, end in spans:
+        if start >= at:
+            out += text[at:start] + f"[{kind}]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_redaction_of_spans_that_overlap(spark):
+    text = "0123456789é😀abcdefgh" * 3
+    cases = [[(0, 0, "a", 5), (2, 1, "b", 9), (9, 0, "c", 9), (9, 1, "d", 12), (20, 0, "e", 63)], [(3, 0, "a", 60), (4, 0, "b", 5), (5, 1, "c", 62)], [], [(10, 0, "a", 12)]]
+    df = spark.createDataFrame([(i, text, c) for i, c in enumerate(cases)], "i int, t string, s array<struct<start:int,rank:int,kind:string,end:int>>")
+    for r in df.select("i", secrets.redacted(F.col("t"), F.col("s")).alias("x")).collect():
+        assert r.x == cut(text, cases[r.i])
+
+
+def test_half_a_million_matches_in_one_text(spark):
+    n = 500_000
+    text = "\n".join(f"{i:040x}" for i in range(n))
+    before = time.time()
+    rows = secrets.scan_versions(docs_frame(spark, [text]), Scratch(spark).path("ledger"))
+    got = rows.select(F.size("_spans").alias("n"), F.element_at("_spans", -1).alias("last"), secrets.redacted(F.col("text"), F.col("_spans")).alias("x")).first()
+    assert time.time() - before < 60
+    assert got.n == n and (got.last.start, got.last.end) == (41 * (n - 1), 41 * n - 1) and got.x == "\n".join(["[hex]"] * n)
+
+
+def test_forty_rules(spark):
+    more = tuple(secrets.Rule(f"word{i}", f"needle{i}x", 1) for i in range(40))
+    ledger = Scratch(spark).path("ledger")
+    docs = docs_frame(spark, ["needle0x needle31x needle39x", "needle33x"])
+    secrets.scan_versions(docs, ledger, rules=more[:5])
+    got = {r.doc_id: [s["kind"] for s in r._spans] for r in secrets.scan_versions(docs, ledger, rules=more).collect()}
+    assert got == {0: ["word0", "word31", "word39"], 1: ["word33"]} and secrets.pairs_scanned(spark, ledger) == 80
