@@ -38,6 +38,8 @@ PERMUTATIONS, BANDS, ROWS = 64, 32, 4
 KEPT = 6
 #: Rows up to which ids are broadcast (8 bytes each); beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: A set that more than one in so many rows has is looked up where its rows are.
+HOT = 1000
 #: Pivots of a bucket in a round.
 PIVOTS = 1024
 #: Members of a bucket that meet its pivots in one place, and pairs that a task is to look at, about.
@@ -160,8 +162,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     made = rows.mapInArrow(_features(shingle), "_id long, n long, d1 long, d2 long, bands array<long>, shingles binary")
     made = scratch.save(made.withColumn("rid", F.monotonically_increasing_id()), "features")
     some = made.where("n > 0 and _id is not null")
-    heads = some.groupBy("d1", "d2", "n").agg(F.min(F.struct("_id", "rid")).alias("head"))
-    classes = scratch.save(heads.select("d1", "d2", "n", F.col("head._id").alias("id"), F.col("head.rid").alias("doc")), "classes")
+    heads = some.groupBy("d1", "d2", "n").agg(F.min(F.struct("_id", "rid")).alias("head"), F.count("*").alias("copies"))
+    classes = scratch.save(heads.select("d1", "d2", "n", F.col("head._id").alias("id"), F.col("head.rid").alias("doc"), "copies"), "classes")
     banded = made.select(F.col("rid").alias("doc"), "bands").join(classes.select("doc", "n"), "doc")
     banded = banded.select("doc", "n", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("members"), F.min("doc").alias("first")).where("members > 1")
@@ -220,9 +222,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = scratch.save(moved.select("node", F.coalesce("new", "component").alias("component")).union(fresh), "labels")
         left = left.where(~is_pivot).select("key", "doc")
 
-    named = classes.join(labels, F.col("doc") == F.col("node"), "left").select("d1", "d2", "n", "id", F.coalesce("component", "doc").alias("comp"))
+    named = classes.join(labels, F.col("doc") == F.col("node"), "left").select("d1", "d2", "n", "id", "copies", F.coalesce("component", "doc").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-    told = made.select("_id", "n", "d1", "d2").join(named.join(smallest, "comp").select("d1", "d2", "n", "component_id"), ["d1", "d2", "n"], "left")
+    named = scratch.save(named.join(smallest, "comp").select("d1", "d2", "n", "copies", "component_id"), "named")
+    # sets that more than one in HOT rows has are fewer than HOT; their many rows stay where they are
+    least = some.count() / HOT
+    hot = F.broadcast(named.where(F.col("copies") > least).drop("copies"))
+    every, key = made.select("_id", "n", "d1", "d2"), ["d1", "d2", "n"]
+    mine = every.where("n > 0 and _id is not null")
+    rest = mine.join(hot, key, "left_anti").join(named.where(F.col("copies") <= least).drop("copies"), key)
+    told = mine.join(hot, key).unionByName(rest).unionByName(every.where("n = 0 or _id is null").withColumn("component_id", F.lit(None).cast("long")))
     own = F.when(F.col("_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "_id"))
     out = told.select("_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
     return out.select(F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("_id") == F.col("component_id"), F.lit(True)).alias("kept"))

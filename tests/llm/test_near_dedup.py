@@ -1,6 +1,7 @@
 import random
 import re
 
+from maskwright.llm import near_dedup
 from maskwright.llm.near_dedup import near_duplicates
 from tests.llm.helpers import AWKWARD, docs_frame
 
@@ -76,3 +77,17 @@ def test_repeated_rows_null_ids_empty_tables_and_clashing_columns(spark):
     assert near_duplicates(docs_frame(spark, [])).collect() == []
     df = docs_frame(spark, AWKWARD[:8]).selectExpr("*", "1 as n", "2 as key", "'x' as bands", "3 as rid", "4 as component_id")
     assert near_duplicates(df).count() == 8
+
+
+def test_a_third_of_the_rows_are_copies_and_a_third_have_no_words_or_ids(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT", 10)
+    same = " ".join(f"w{i}" for i in range(30))
+    texts = [same] * 120 + [None, " "] * 60 + [f"{same} more{i}" if i % 2 else " ".join(f"x{i}y{j}" for j in range(25)) for i in range(60)] + [same] * 60
+    ids = [*range(500, 800), *[None] * 60]
+    got = near_dedup.near_duplicates(docs_frame(spark, texts, ids)).collect()
+    assert len(got) == 360
+    by = {r.doc_id: r for r in got if r.doc_id is not None}
+    for i, t in zip(ids[:300], texts[:300]):
+        linked = bool(t) and t.startswith("w0 ")
+        assert (by[i].component_id, by[i].kept) == ((500, i == 500) if linked else (i, True))
+    assert [(r.component_id, r.kept, r.n_shingles) for r in got if r.doc_id is None] == [(None, True, 26)] * 60
