@@ -54,8 +54,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
     groups = near_dedup.near_duplicates(rows, id_col="_row", scratch=_scratch(spark)).select("_row", "component_id")
     told = rows.select("_row", "doc_id").join(groups, "_row")
-    best = told.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_row"))["_row"].alias("stays"), F.count("*").alias("n")).where("n > 1")
-    gone = told.join(best, "component_id").where("_row <> stays").select("_row")
+    # who stays is aggregated by group, but joined by row: a group of any size is no task
+    stays = told.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_row"))["_row"].alias("stays"))
+    gone = told.select("_row").join(stays, F.col("_row") == F.col("stays"), "left_anti")
     return rows.join(gone, "_row", "left_anti").drop("_row").select(*docs.columns)
 
 
