@@ -95,6 +95,14 @@ a AS (SELECT *, {_token()} AS first FROM (SELECT * FROM p UNION ALL SELECT * FRO
 t AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY scope_id, first ORDER BY wave, place) = 1 THEN first ELSE {_token(1)} END AS token FROM a),
 g AS (SELECT scope_id, family, string_agg(token, ',' ORDER BY token) AS shared_by FROM t WHERE wave = 1 GROUP BY scope_id, family)
 SELECT t.scope_id, token, kind, v AS real_value, k AS normalized, CASE WHEN wave = 2 THEN shared_by END AS shared_by FROM t JOIN g USING (scope_id, family)""",
+    "distinct_people": """
+WITH n AS (SELECT c_custkey AS k, 'desk' || (c_custkey % 4) AS scope_id, unnest([0, 1]) AS n FROM customer)
+SELECT scope_id, 'PERSON_' || (10000000 + 2 * k + n) AS token, (n = 1) = (k % 3 = 2) AS kept, 'PERSON_' || (10000000 + 2 * k + CASE WHEN k % 3 = 2 THEN 1 ELSE 0 END) AS person, false AS several FROM n""",
+    "variant_claims": f"""
+WITH n AS (SELECT 'desk' || (c_custkey // 2 % 4) AS scope_id, 'PERSON_' || (10000000 + c_custkey) AS token, {_made("c_custkey + 100000000", 9)} AS g, {_made("c_custkey // 2 + 1000000", 7)} AS f FROM customer),
+v AS (SELECT scope_id, token, unnest([f || ' ' || g, g[1:1] || '. ' || f, f || ' ' || g[1:1] || '.', g[1:1] || '.' || f]) AS latin, g || ' ' || f AS own FROM n),
+c AS (SELECT scope_id, token, latin AS surface FROM v UNION SELECT scope_id, token, translate(x, 'bdfglmnrstaeouD', 'бдфглмнрстаеоуД') FROM (SELECT scope_id, token, latin AS x FROM v UNION SELECT scope_id, token, own FROM v))
+SELECT scope_id, surface, CASE WHEN count(DISTINCT token) = 1 THEN min(token) END AS owner, count(DISTINCT token) > 1 AS several FROM c GROUP BY scope_id, surface""",
     "restore_documents": f"{_detections()} SELECT doc_id, sha256(lower(coalesce(text, ''))) AS restored_sha256, doc_id IN (SELECT doc_id FROM det) AS hidden FROM documents WHERE source IS NOT NULL",
     "residual_surfaces": f"{_detections()} SELECT doc_id, min(s) AS found FROM det WHERE kind = 'EMAIL' AND source IS NOT NULL GROUP BY doc_id",
     "enrol_scopes": f"""{_detections()},

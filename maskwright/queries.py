@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import columns as C
+from .functions import udfs
 from .operators import cite, detect, disclosure, gateway, leak, reid, spans, usage
-from .plans import enrol, requests
-from .sources.held import spread
+from .plans import enrol, people, requests
+from .sources.held import hold, spread
 from .streaming import audit
 
 #: The salt of the queries; a deployment has a random one for each scope.
@@ -171,6 +172,33 @@ def absorb_people(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.select("scope_id", "token", "kind", "real_value", "normalized", F.array_join(F.array_sort("attributes.shared_by"), ",").alias("shared_by"))
 
 
+def _people_of_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """Two names for each customer, of one person: the second turned round, with an initial, or with a middle name."""
+    k = F.col("c_custkey")
+    given, family, middle = _made_name(k + 100_000_000, 9), _made_name(k + 1_000_000, 7), _made_name(k % 1000 + 5000, 4)
+    second = F.when(k % 3 == 0, F.concat_ws(", ", family, given)).when(k % 3 == 1, F.concat(F.substring(given, 1, 1), F.lit(". "), family)).otherwise(F.concat_ws(" ", given, middle, family))
+    rows = _table(spark, sf, "customer").select(k, F.concat(F.lit("desk"), (k % 4).cast("string")).alias("scope_id"), F.posexplode(F.array(F.concat_ws(" ", given, family), second)).alias("n", "name"))
+    number = 10_000_000 + 2 * F.col("c_custkey") + F.col("n")
+    return rows.select("scope_id", F.concat(F.lit("PERSON_"), number.cast("string")).alias("token"), "name", F.lit(False).alias("seeded"), number.alias("number"))
+
+
+@query
+def distinct_people(spark: SparkSession, sf: str) -> DataFrame:
+    """Which of two names for each customer represents the person, and whom every name resolves to."""
+    found = hold(people.distinct_people(_people_of_customers(spark, sf)))
+    return people.resolved(found, found).select("scope_id", "token", "kept", "person", "several")
+
+
+@query
+def variant_claims(spark: SparkSession, sf: str) -> DataFrame:
+    """Every variant of a name for each customer, surnames shared by twos, with the one person who claims it or none."""
+    k = F.col("c_custkey")
+    pair = F.floor(k / 2).cast("long")
+    name = F.concat_ws(" ", _made_name(k + 100_000_000, 9), _made_name(pair + 1_000_000, 7))
+    rows = _table(spark, sf, "customer").select(F.concat(F.lit("desk"), (pair % 4).cast("string")).alias("scope_id"), F.concat(F.lit("PERSON_"), (k + 10_000_000).cast("string")).alias("token"), F.explode(udfs.person_variants(name)).alias("surface"))
+    return people.claims(rows.withColumn("key", udfs.key("surface"))).select("scope_id", "surface", "owner", "several")
+
+
 @query
 def enrol_scopes(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens and aliases of every scope after seeding and absorbing."""
