@@ -18,6 +18,8 @@ from maskwright.llm.scratch import Scratch, release
 #: A worker serves beside a JVM that four stages have filled, so it takes less at once than the operators' defaults allow.
 PASSAGE_BLOCK_BYTES = substring_dedup.BLOCK_BYTES // 2
 PACKING_SLICE_BYTES, PACKING_REMEMBERED = 2 << 20, 200_000
+#: Rows that JVM and worker exchange at once while a stage runs: both hold a batch of texts, and the JVM does not give its buffers back.
+BATCH_ROWS = 1000
 
 #: SQL cannot express the trees of the first stage or the tokenizer of the last.
 ORACLE_SQL = None
@@ -34,6 +36,13 @@ def _scratch(spark: SparkSession) -> Scratch:
     return Scratch(spark, _tag())
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Batches of BATCH_ROWS for what is run from here on, unless the session asks for smaller ones."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def _with_text(docs: DataFrame, columns: list[str], changed: str = "_changed") -> DataFrame:
     """The columns of documents; n_chars is counted again where the text has changed."""
     n = F.when(F.col(changed), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -42,6 +51,7 @@ def _with_text(docs: DataFrame, columns: list[str], changed: str = "_changed") -
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the trees, learned from the labels of sf_dir, do not predict to be toxic."""
+    _small_batches(spark)
     return toxicity.keep_clean(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -51,6 +61,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are told by their places in docs, not by their ids: rows that repeat an id, or have none, go only as near
     duplicates of a row that stays.  docs must come in the same order whenever it is read, as files do.
     """
+    _small_batches(spark)
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
     groups = near_dedup.near_duplicates(rows, id_col="_row", scratch=_scratch(spark)).select("_row", "component_id")
     told = rows.select("_row", "doc_id").join(groups, "_row")
@@ -62,6 +73,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 35 words that occur more than once; others stay as they are."""
+    _small_batches(spark)
     release(_tag())
     keep = [c for c in docs.columns if c not in ("doc_id", "text")]
     out = substring_dedup.remove_repeated_passages(docs, keep=keep, untouched=True, block_bytes=PASSAGE_BLOCK_BYTES)
@@ -78,6 +90,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 2048 tokens; ids as little-endian uint32."""
+    _small_batches(spark)
     release(_tag())
     return packing.pack_documents(docs, slice_bytes=PACKING_SLICE_BYTES, remembered=PACKING_REMEMBERED)
 
