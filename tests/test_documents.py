@@ -128,3 +128,19 @@ def test_candidates_and_hosts():
     assert s["hidden"] == {"PERSON": 1} and s["tokens"] == 1 and len(s["left_in_clear"]) == 2
     assert host.inside("/m", "a/b") and not host.inside("/m", "../x") and host.outside_paths("/m", "cat /etc/passwd a.txt ../y") == ["/etc/passwd", "../y"]
     assert host.rerouting('{"env": {"HTTPS_PROXY": "x"}}') == ["HTTPS_PROXY"] and host.rerouting("export OPENAI_BASE_URL=x") == ["OPENAI_BASE_URL"]
+
+
+def test_addresses_of_every_rule():
+    cases = {
+        "Sie wohnt Hauptstraße 12a, 10115 Berlin.": ["Hauptstraße 12a", "10115"],
+        "Am Alten Markt 5-7; An der Alster 12": ["Am Alten Markt 5-7", "An der Alster 12"],
+        "Parkstr. 3 b und (Ostring-7)": ["Parkstr. 3 b", "Ostring-7"],
+        "221B Baker Street, Flat 3, London NW1 6XE": ["221B Baker Street", "Flat 3", "NW1 6XE"],
+        "10 St James's Square; Suite 400, SW1A1AA": ["10 St James's Square", "Suite 400", "SW1A1AA"],
+        "Apt. 12b A-1010 Wien CH-8001 Zürich": ["Apt. 12b", "A-1010", "CH-8001"],
+        "20000 Euro und 20001 Hamburg, § 10115 Berlin": ["20001", "10115"],
+        "Hauptstraße 12345; 12 high Street; Flat x; NW12 66XE; 1234 Wien": [],
+        "x" * 2000 + "-" * 50: [],
+    }
+    for text, want in cases.items():
+        assert [text[s:e] for s, e, _ in address.find_addresses(text)] == want, text
