@@ -4,13 +4,15 @@ Phase 1 builds each scope's vault from seeds and from the *distinct* detections
 once: the result is written to the shared folder.  A scope's vault is one group (its size is that of the
 distinct names, not of the texts).  Phase 2 applies the vaults to every document.  Vaults of up to
 VAULT_BYTES together are broadcast, and documents are redacted where they lie; each worker builds a
-scope's vault once.  Larger ones are joined: documents of a scope are dealt to slices by bytes, each
-of which meets its own copy of the scope's vault, so a scope with a third of all rows is many tasks.
+scope's vault once.  With larger ones, redaction and residuals meet candidates (`plans.filed`: no vault
+is copied), and recall deals a scope's documents to slices by bytes, each of which meets its own copy of
+the scope's vault, so a scope with a third of all rows is many tasks.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from dataclasses import replace
 
@@ -20,9 +22,11 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.fold import deconfuse_ascii
+from ..operators.glossary import build
 from ..operators.vault import Alias, Row, Vault, attributes_row, restore
 from ..schemas import ALIASES, REDACTION, TOKENS
 from ..sources.held import hold, spread
+from . import filed
 
 #: Bytes of the texts of a slice, about, and documents of one at most.
 SLICE_BYTES, SLICE_ROWS = 64 << 20, 50_000
@@ -206,14 +210,19 @@ def _bytes_of(df: DataFrame) -> int:
     return df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
 
 
-def _meet(docs: DataFrame, tokens: DataFrame, aliases: DataFrame, salts: DataFrame | None, f, ddl: str, id_col: str, scope_col: str, text_col: str, vault_bytes: int | None = None) -> DataFrame:
+def _fits(tokens: DataFrame, aliases: DataFrame, vault_bytes: float | None = None) -> bool:
+    """Whether all scopes' tokens and aliases together may be broadcast."""
+    return vault_bytes == math.inf or _bytes_of(tokens) + _bytes_of(aliases) <= (VAULT_BYTES if vault_bytes is None else vault_bytes)
+
+
+def _meet(docs: DataFrame, tokens: DataFrame, aliases: DataFrame, salts: DataFrame | None, f, ddl: str, id_col: str, scope_col: str, text_col: str, vault_bytes: float | None = None) -> DataFrame:
     """f(documents of one scope, the scope's vault) over all documents that have a scope; scopes without a vault have an empty one."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     schema = to_arrow_schema(_parse_datatype_string(ddl))
     spark = docs.sparkSession
-    if _bytes_of(tokens) + _bytes_of(aliases) <= (VAULT_BYTES if vault_bytes is None else vault_bytes):
+    if _fits(tokens, aliases, vault_bytes):
         held = _Held(_collected(tokens, aliases, salts), spark)
         base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(scope_col).alias("scope_id"), F.col(text_col).alias("text")).where(F.col(scope_col).isNotNull())
 
@@ -237,21 +246,27 @@ def _meet(docs: DataFrame, tokens: DataFrame, aliases: DataFrame, salts: DataFra
     return dealt.groupBy("scope_id", "slice").cogroup(right.groupBy("v_scope", "v_slice")).applyInArrow(run, ddl)
 
 
-def redact(docs: DataFrame, tokens: DataFrame, aliases: DataFrame, salts: DataFrame | None = None, glossary: bool = True, id_col: str = "doc_id", scope_col: str = "source", text_col: str = "text", vault_bytes: int | None = None) -> DataFrame:
+def redact(docs: DataFrame, tokens: DataFrame, aliases: DataFrame, salts: DataFrame | None = None, glossary: bool = True, id_col: str = "doc_id", scope_col: str = "source", text_col: str = "text", vault_bytes: float | None = None) -> DataFrame:
     """A redaction (schemas.REDACTION) for each document that has a scope; equal texts of a batch are matched once."""
+    small = _fits(tokens, aliases, vault_bytes)
 
     def f(rows: list[dict], v: Vault) -> list[dict]:
         known: dict[str | None, dict] = {}
         out = []
         for r in rows:
             if r["text"] not in known:
-                red = v.redact(r["text"], glossary)
+                red = v.redact(r["text"], glossary and small)
+                if glossary and not small and red["mapping"]:  # what its lines may leak is another text's question
+                    red["glossary"] = build(v, red["mapping"], red["text"], checked=False)
                 spans = [dict(zip(("start", "end", "out_start", "out_end", "token"), s, strict=True)) for s in red["spans"]]
                 known[r["text"]] = red | {"spans": spans, **{k: list(red[k].items()) for k in ("mapping", "surfaces", "canonical")}}
             out.append({"doc_id": r["doc_id"], "scope_id": r["scope_id"], **known[r["text"]]})
         return out
 
-    return _meet(docs, tokens, aliases, salts, f, REDACTION, id_col, scope_col, text_col, vault_bytes)
+    if small:
+        return _meet(docs, tokens, aliases, salts, f, REDACTION, id_col, scope_col, text_col, math.inf)
+    out = filed.meet(docs, tokens, aliases, f, REDACTION, id_col, scope_col, text_col)
+    return filed.without_leaks(out, tokens, aliases) if glossary else out
 
 
 RECALLED = "scope_id string, seq long, what string, surface string, owner string"
@@ -285,14 +300,17 @@ def recall(docs: DataFrame, tokens: DataFrame, aliases: DataFrame, salts: DataFr
     return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def residual(docs: DataFrame, tokens: DataFrame, aliases: DataFrame, id_col: str = "doc_id", scope_col: str = "source", text_col: str = "text") -> DataFrame:
+def residual(docs: DataFrame, tokens: DataFrame, aliases: DataFrame, id_col: str = "doc_id", scope_col: str = "source", text_col: str = "text", vault_bytes: float | None = None) -> DataFrame:
     """(doc_id, scope_id, found): enrolled surfaces that still stand in texts; documents without any have no row."""
 
     def f(rows: list[dict], v: Vault) -> list[dict]:
         out = [{"doc_id": r["doc_id"], "scope_id": r["scope_id"], "found": v.residual(r["text"] or "")} for r in rows]
         return [r for r in out if r["found"]]
 
-    return _meet(docs, tokens, aliases, None, f, "doc_id long, scope_id string, found array<string>", id_col, scope_col, text_col)
+    ddl = "doc_id long, scope_id string, found array<string>"
+    if not _fits(tokens, aliases, vault_bytes):
+        return filed.meet(docs, tokens, aliases, f, ddl, id_col, scope_col, text_col)
+    return _meet(docs, tokens, aliases, None, f, ddl, id_col, scope_col, text_col, math.inf)
 
 
 def seed_graph(tokens: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -327,15 +345,7 @@ def restored(text: Column, mapping: Column) -> Column:
 
 def vault_mapping(tokens: DataFrame) -> DataFrame:
     """(scope_id, token, value) of every token, retired ones as the row that carries their referent today."""
-    at = tokens.select("scope_id", "token", F.col("token").alias("now"))
-    step = hold(tokens.select("scope_id", F.col("token").alias("now"), F.when((F.col("status") != "active") & F.col("canonical_token").isNotNull(), F.col("canonical_token")).alias("next")))
-    chains = step.where("next is not null")
-    turns = chains.count()  # no chain is longer
-    while turns > 0:  # each turn doubles what a step spans, so a chain of n rows takes log2(n) turns
-        at = hold(at.join(step, ["scope_id", "now"], "left").select("scope_id", "token", F.coalesce("next", "now").alias("now")))
-        on = step.select("scope_id", F.col("now").alias("next"), F.col("next").alias("then"))
-        step = hold(step.join(on, ["scope_id", "next"], "left").select("scope_id", "now", F.coalesce("then", "next").alias("next")))
-        turns //= 2
+    at = filed.carriers(tokens)
     return at.join(tokens.select("scope_id", F.col("token").alias("now"), F.col("real_value").alias("value")), ["scope_id", "now"]).select("scope_id", "token", "value")
 
 
