@@ -111,6 +111,13 @@ found AS (SELECT DISTINCT source AS scope_id, kind, lower(s) AS k FROM det WHERE
 mail AS (SELECT DISTINCT scope_id, string_split(k, '@')[1] AS box FROM found WHERE kind = 'EMAIL'),
 a AS (SELECT * FROM seeds UNION SELECT * FROM found)
 SELECT scope_id, {_token()} AS token, kind, k AS normalized, 'active' AS status, CAST(1 AS BIGINT) AS n_surfaces FROM a""",
+    "redact_planted": f"""
+WITH c AS (SELECT CAST(c_custkey AS BIGINT) AS c, {_made("c_custkey + 100000000", 9)} || ' ' || {_made("c_custkey % 1000 + 5000", 4)} || ' Ltd' AS name FROM customer),
+d AS (SELECT doc_id, source, coalesce(text, '') AS text, 20 * (doc_id % greatest(n // 20, 1)) + 1 AS first, coalesce(TRY_CAST(regexp_extract(source, '^src([0-9]+)$', 1) AS BIGINT) % 20, 0) AS number FROM documents, (SELECT count(*) AS n FROM customer) WHERE source IS NOT NULL),
+p AS (SELECT doc_id, source, text, o.name AS own, t.name AS other, 'ORG' AS kind, lower(o.name) AS k FROM d JOIN c o ON o.c = first + number JOIN c t ON t.c = first + (number + 1) % 20),
+q AS (SELECT *, {_token()} AS token FROM p)
+SELECT doc_id, source AS scope_id, 1 AS redacted_count, token, CASE doc_id % 3 WHEN 0 THEN upper(own) WHEN 1 THEN replace(own, ' ', chr(160)) ELSE lower(own) END AS surface,
+sha256(text || ' (' || token || ') met ' || other || '.') AS text_sha256 FROM q""",
     "gateway_crossings": f"SELECT source AS actor_id, 'send' AS action, 'cloud' AS plane, {_NAME} AS sensitivity, sha256(text) AS content_hash, 'model' AS target FROM {_SENSITIVE} WHERE level <= 1",
     "gateway_refusals": f"SELECT {_NAME} AS sensitivity, count(*) AS n, min(doc_id) AS first_doc FROM {_SENSITIVE} WHERE level > 1 GROUP BY 1",
     "leak_check": "SELECT doc_id, sha256(b.t) AS surface_sha256, CAST((length(d.t) - length(replace(d.t, b.t, ''))) / length(b.t) AS BIGINT) AS n FROM (SELECT doc_id, replace(lower(text), 'ß', 'ss') AS t FROM documents) d, (SELECT DISTINCT replace(lower(text), 'ß', 'ss') AS t FROM benchmark) b WHERE contains(d.t, b.t)",

@@ -85,8 +85,8 @@ class _Units:
 def carriers(tokens: DataFrame) -> DataFrame:
     """(scope_id, token, now): the row that carries each token's referent today."""
     at = tokens.select("scope_id", "token", F.col("token").alias("now"))
-    step = hold(tokens.select("scope_id", F.col("token").alias("now"), F.when((F.col("status") != "active") & F.col("canonical_token").isNotNull(), F.col("canonical_token")).alias("next")))
-    turns = step.where("next is not null").count()  # no chain is longer
+    step = hold(tokens.where("status <> 'active' and canonical_token is not null").select("scope_id", F.col("token").alias("now"), F.col("canonical_token").alias("next")))
+    turns = step.count()  # no chain is longer
     while turns > 0:  # each turn doubles what a step spans, so a chain of n rows takes log2(n) turns
         at = hold(at.join(step, ["scope_id", "now"], "left").select("scope_id", "token", F.coalesce("next", "now").alias("now")))
         on = step.select("scope_id", F.col("now").alias("next"), F.col("next").alias("then"))
@@ -215,7 +215,7 @@ def meet(docs: DataFrame, tokens: DataFrame, aliases: DataFrame, f: Callable[[li
                 rows, named = by_scope.setdefault(r["scope_id"], ([], {}))
                 for e in r.pop("entries") or ():
                     if e["scope_id"] == r["scope_id"]:  # a hash may have met another scope's
-                        named[e["token"]] = e
+                        named[e["token"], e["row"]["normalized"]] = e
                 rows.append(r)
             for rows, named in by_scope.values():
                 yield pa.RecordBatch.from_pylist(f(rows, _vault(named.values())), schema=schema)

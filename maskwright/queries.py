@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import schemas
 from .functions import columns as C
 from .functions import udfs
 from .operators import cite, detect, disclosure, gateway, leak, reid, spans, usage
@@ -220,6 +221,34 @@ def redact_documents(spark: SparkSession, sf: str) -> DataFrame:
     return out.unionByName(refused, allowMissingColumns=True).select("doc_id", "scope_id", "redacted_count", F.array_join("entity_types", ",").alias("entity_types"), F.size("glossary").alias("n_glossary"), C.content_hash(F.col("text")).alias("content_sha256"))
 
 
+def _planted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, tokens, aliases): a made company for each customer, dealt to the scopes; each document ends with one of its
+    scope, in small letters, capitals or with a no-break space, and one of the next scope."""
+    customers = _table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("k"))
+    name = F.concat_ws(" ", _made_name(F.col("k") + 100_000_000, 9), _made_name(F.col("k") % 1000 + 5000, 4), F.lit("Ltd"))
+    rows = customers.select(F.concat(F.lit("src"), ((F.col("k") - 1) % 20).cast("string")).alias("scope_id"), name.alias("real_value"), F.lower(name).alias("normalized"), F.col("k").alias("seq"))
+    tokens = rows.select("scope_id", C.derive_token(F.lit(SALT), F.lit("ORG"), F.col("normalized")).alias("token"), F.lit("ORG").alias("kind"), "real_value", "normalized", F.lit("active").alias("status"), F.lit(None).cast("string").alias("canonical_token"), F.lit(None).cast(schemas.ATTRIBUTES).alias("attributes"), "seq")
+    tokens = hold(tokens)
+    aliases = tokens.select("scope_id", "token", F.col("real_value").alias("surface"), "normalized", F.lit("entity").alias("source"), "seq")
+    number = F.regexp_extract("source", "^src([0-9]+)$", 1).cast("long") % 20
+    n = F.lit(max(customers.count() // 20, 1))
+    docs = _table(spark, sf, "documents").where("source is not null").select("doc_id", "source", "text", (20 * F.pmod("doc_id", n) + 1).alias("first"), F.coalesce(number, F.lit(0)).alias("number"))
+    own, other = (rows.select((F.col("seq")).alias(k), F.col("real_value").alias(v)) for k, v in (("own_key", "own"), ("other_key", "other")))
+    docs = docs.withColumn("own_key", F.col("first") + F.col("number")).withColumn("other_key", F.col("first") + (F.col("number") + 1) % 20).join(own, "own_key").join(other, "other_key")
+    spelled = F.when(F.col("doc_id") % 3 == 0, F.upper("own")).when(F.col("doc_id") % 3 == 1, F.replace("own", F.lit(" "), F.lit("\u00a0"))).otherwise(F.lower("own"))
+    return docs.select("doc_id", "source", F.concat(F.coalesce("text", F.lit("")), F.lit(" ("), spelled, F.lit(") met "), "other", F.lit(".")).alias("text")), tokens, aliases
+
+
+@query
+def redact_planted(spark: SparkSession, sf: str) -> DataFrame:
+    """A planted name of each document's scope becomes its token however it is spelled, one of another scope stays;
+    the vault is met by candidates, as one too large to broadcast."""
+    docs, tokens, aliases = _planted(spark, sf)
+    out = enrol.redact(docs, tokens, aliases, glossary=False, vault_bytes=0)
+    m = F.map_entries("mapping")
+    return out.select("doc_id", "scope_id", "redacted_count", F.get(m, 0)["key"].alias("token"), F.get(m, 0)["value"].alias("surface"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @query
 def restore_documents(spark: SparkSession, sf: str) -> DataFrame:
     """M5: redacted documents restored: digests of the texts but for capitals, and whether the redaction held tokens in their place."""
