@@ -118,6 +118,10 @@ p AS (SELECT doc_id, source, text, o.name AS own, t.name AS other, 'ORG' AS kind
 q AS (SELECT *, {_token()} AS token FROM p)
 SELECT doc_id, source AS scope_id, 1 AS redacted_count, token, CASE doc_id % 3 WHEN 0 THEN upper(own) WHEN 1 THEN replace(own, ' ', chr(160)) ELSE lower(own) END AS surface,
 sha256(text || ' (' || token || ') met ' || other || '.') AS text_sha256 FROM q""",
+    "settle_conversations": f"""
+WITH w AS (SELECT DISTINCT conv_id, {_made("conv_id + 100000000", 9)} AS a, {_made("conv_id + 5000000", 7)} AS b, {_made("conv_id + 70000000", 8)} AS c FROM conversations),
+n AS (SELECT 'conv' || conv_id AS scope_id, 'ORG' AS kind, lower(a || ' ' || b || ' ' || c || ' Ltd') AS k, upper(a[1:1] || b[1:1] || c[1:1]) AS short, b || ' ' || c AS rest FROM w)
+SELECT scope_id, {_token()} AS token, CASE WHEN short < rest THEN short || '|' || rest ELSE rest || '|' || short END AS defined, CAST(4 AS BIGINT) AS n_hidden FROM n""",
     "gateway_crossings": f"SELECT source AS actor_id, 'send' AS action, 'cloud' AS plane, {_NAME} AS sensitivity, sha256(text) AS content_hash, 'model' AS target FROM {_SENSITIVE} WHERE level <= 1",
     "gateway_refusals": f"SELECT {_NAME} AS sensitivity, count(*) AS n, min(doc_id) AS first_doc FROM {_SENSITIVE} WHERE level > 1 GROUP BY 1",
     "leak_check": "SELECT doc_id, sha256(b.t) AS surface_sha256, CAST((length(d.t) - length(replace(d.t, b.t, ''))) / length(b.t) AS BIGINT) AS n FROM (SELECT doc_id, replace(lower(text), 'ß', 'ss') AS t FROM documents) d, (SELECT DISTINCT replace(lower(text), 'ß', 'ss') AS t FROM benchmark) b WHERE contains(d.t, b.t)",

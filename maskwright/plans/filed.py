@@ -95,7 +95,7 @@ def carriers(tokens: DataFrame) -> DataFrame:
     return at
 
 
-def _whole(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
+def whole(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
     """A row for each token: itself, told what carries it today, with its aliases."""
     said = aliases.groupBy("scope_id", "token").agg(F.collect_list(F.struct("seq", "surface", "normalized", "source")).alias("aliases"))
     now = carriers(tokens).where("token <> now")
@@ -138,8 +138,8 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _filter(index: DataFrame) -> np.ndarray:
     """FILTER_BITS bits, those of the vault's units set."""
-    place = F.shiftrightunsigned("unit", 17).bitwiseAND(F.lit(FILTER_BITS - 1))
-    set_bits = index.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bits")).toArrow()
+    bit = F.shiftrightunsigned("unit", 17).bitwiseAND(F.lit(FILTER_BITS - 1))
+    set_bits = index.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS >> 6, np.int64)
     out[set_bits["word"].to_numpy()] = set_bits["bits"].to_numpy()
     return out
@@ -156,8 +156,8 @@ def _met(base: DataFrame, needles: DataFrame) -> DataFrame:
             ats, found = [], []
             for at, scope, text in zip(*(batch[c].to_pylist() for c in ("at", "scope_id", "text")), strict=True):
                 u = one.of_text(text, scope)
-                place = (u >> np.uint64(17)) & mask
-                u = u[((bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)]
+                bit = (u >> np.uint64(17)) & mask
+                u = u[((bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)]
                 if len(u):
                     ats += [at] * len(u)
                     found.append(u.view(np.int64))
@@ -166,18 +166,18 @@ def _met(base: DataFrame, needles: DataFrame) -> DataFrame:
     return base.select("at", "scope_id", "text").mapInArrow(units, "at binary, unit long").distinct()
 
 
-def _place(scope: Column, text: Column) -> Column:
+def place(scope: Column, text: Column) -> Column:
     """What a scope's text is known by: half a SHA-256."""
     return F.unhex(F.substring(F.sha2(F.concat(F.base64(F.encode(scope, "utf-8")), F.lit(":"), F.coalesce(text, F.lit(""))), 256), 1, 32))
 
 
-def candidates(base: DataFrame, whole: DataFrame) -> DataFrame:
+def candidates(base: DataFrame, vault: DataFrame) -> DataFrame:
     """(at, scope_id, token): every token that a text may name, and those that it takes to tell them apart.
 
-    base: at, scope_id, text.  The latter are the owners of a shared name, what carries them today, and whoever claims
+    base: at, scope_id, text; vault: as `whole` gives it.  The latter are the owners of a shared name, what carries them today, and whoever claims
     a name that a token is told of with.
     """
-    index = hold(spread(whole).mapInArrow(_index, "scope_id string, token string, what int, needle int, size int, unit long"))
+    index = hold(spread(vault).mapInArrow(_index, "scope_id string, token string, what int, needle int, size int, unit long"))
     needles = index.where(F.col("what") == NEEDLE)
     met = hold(_met(base, needles))
     texts = met.groupBy("unit").agg(F.count("*").alias("texts"))
@@ -188,8 +188,8 @@ def candidates(base: DataFrame, whole: DataFrame) -> DataFrame:
 
     claims = index.where(F.col("what") == CLAIM).select("scope_id", "unit", F.col("token").alias("other"))
     told = index.where(F.col("what") == NAMED).join(claims, ["scope_id", "unit"]).select("scope_id", "token", "other")
-    shared = whole.select("scope_id", "token", F.explode("row.attributes.shared_by").alias("other"))
-    carried = whole.select("scope_id", F.col("token").alias("other"), F.col("row.canonical_token").alias("now")).where("now is not null")
+    shared = vault.select("scope_id", "token", F.explode("row.attributes.shared_by").alias("other"))
+    carried = vault.select("scope_id", F.col("token").alias("other"), F.col("row.canonical_token").alias("now")).where("now is not null")
     near = told.unionByName(shared).unionByName(shared.join(carried, ["scope_id", "other"]).select("scope_id", "token", F.col("now").alias("other"))).distinct()
     return may.unionByName(may.join(near, ["scope_id", "token"]).select("at", "scope_id", F.col("other").alias("token"))).distinct()
 
@@ -204,9 +204,9 @@ def meet(docs: DataFrame, tokens: DataFrame, aliases: DataFrame, f: Callable[[li
 
     schema = to_arrow_schema(_parse_datatype_string(ddl))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(scope_col).alias("scope_id"), F.col(text_col).alias("text")).where(F.col(scope_col).isNotNull())
-    base = spread(base).withColumn("at", _place(F.col("scope_id"), F.col("text")))
-    whole = hold(_whole(tokens, aliases))
-    entries = candidates(base, whole).join(whole, ["scope_id", "token"]).groupBy("at").agg(F.collect_list(F.struct("scope_id", "token", "row", "aliases")).alias("entries"))
+    base = spread(base).withColumn("at", place(F.col("scope_id"), F.col("text")))
+    vault = hold(whole(tokens, aliases))
+    entries = candidates(base, vault).join(vault, ["scope_id", "token"]).groupBy("at").agg(F.collect_list(F.struct("scope_id", "token", "row", "aliases")).alias("entries"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -15,7 +15,7 @@ from . import schemas
 from .functions import columns as C
 from .functions import udfs
 from .operators import cite, detect, disclosure, gateway, leak, reid, spans, usage
-from .plans import enrol, people, requests
+from .plans import enrol, people, requests, settle
 from .sources.held import hold, spread
 from .streaming import audit
 
@@ -249,6 +249,26 @@ def redact_planted(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "scope_id", "redacted_count", F.get(m, 0)["key"].alias("token"), F.get(m, 0)["value"].alias("surface"), F.sha2("text", 256).alias("text_sha256"))
 
 
+@query
+def settle_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """What the turns of requests define for each other.  A company of three words for each conversation; its last turn
+    defines its initials, and its first, by these initials, the name's end: so the first turn tells something new only when looked at again."""
+    turns = _table(spark, sf, "conversations").select(F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("scope_id"), F.col("conv_id").cast("long").alias("k"), "turn", "text")
+    ends = turns.groupBy("scope_id", "k").agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
+    words = [_made_name(F.col("k") + add, n) for add, n in ((100_000_000, 9), (5_000_000, 7), (70_000_000, 8))]
+    ends = ends.withColumn("end", F.concat_ws(" ", *words[1:])).withColumn("name", F.concat_ws(" ", words[0], "end", F.lit("Ltd"))).withColumn("short", F.upper(F.concat(*(F.substring(w, 1, 1) for w in words))))
+    ends = hold(ends)
+    tokens = hold(ends.select("scope_id", C.derive_token(F.lit(SALT), F.lit("ORG"), F.lower("name")).alias("token"), F.lit("ORG").alias("kind"), F.col("name").alias("real_value"), F.lower("name").alias("normalized"), F.lit("active").alias("status"), F.lit(None).cast("string").alias("canonical_token"), F.lit(None).cast(schemas.ATTRIBUTES).alias("attributes"), F.col("k").alias("seq")))
+    aliases = tokens.select("scope_id", "token", F.col("real_value").alias("surface"), "normalized", F.lit("entity").alias("source"), "seq")
+    opening = F.when(F.col("turn") == F.col("first"), F.concat(F.lit("\n"), "short", F.lit(' ("'), "end", F.lit('") wrote.'))).otherwise("")
+    closing = F.when(F.col("turn") == F.col("last"), F.concat(F.lit("\n"), "name", F.lit(' ("'), "short", F.lit('") signed.'))).otherwise("")
+    docs = hold(turns.join(ends, ["scope_id", "k"]).select((F.col("k") * 1000 + F.col("turn")).alias("doc_id"), "scope_id", F.concat(F.coalesce("text", F.lit("")), opening, closing).alias("text")))
+    tokens, aliases, _ = settle.settle(docs, tokens, aliases, scope_col="scope_id")
+    hidden = enrol.redact(docs, tokens, aliases, glossary=False, scope_col="scope_id").groupBy("scope_id").agg(F.sum("redacted_count").alias("n_hidden"))
+    told = aliases.where("source = 'defined'").groupBy("scope_id", "token").agg(F.array_join(F.array_sort(F.collect_list("surface")), "|").alias("defined"))
+    return told.join(hidden, "scope_id").select("scope_id", "token", "defined", F.col("n_hidden").cast("long").alias("n_hidden"))
+
+
 @query
 def restore_documents(spark: SparkSession, sf: str) -> DataFrame:
     """M5: redacted documents restored: digests of the texts but for capitals, and whether the redaction held tokens in their place."""
