@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fold import key
 from ..functions.names import admit_person, has_legal_form, is_common_word, is_honorific, strip_legal_form
+from .ordered import last_marked, running_sums
 
 MAX_CANDIDATES, MAX_RUN = 60, 7
 #: Bodies and records of crossings that are kept.
@@ -22,6 +23,7 @@ DOCUMENT_WORDS = frozenset(
     contratto allegato""".split()
 )
 ENTITY_TYPES = {"person": "individual", "individual": "individual", "organization": "company", "organisation": "company", "company": "company", "vessel": "vessel", "account": "account", "other": "other", "": "other"}
+_DECISION = "struct<id:string,verdict:string,valid_from:timestamp,valid_to:timestamp>"
 WHY = ("added", "list", "party", "identifier", "mailbox", "pattern", "name part", "address", "vault")
 
 
@@ -144,6 +146,45 @@ def retained(crossings: DataFrame, order: str = "id", size: str = "bytes", run:
     return out if run is None else out.where(F.col("run") == run)
 
 
+def retention(crossings: DataFrame, by: list[str], order: str = "id", size: str = "bytes", records: int = KEEP_RECORDS, bodies: int = KEEP_BODIES) -> DataFrame:
+    """All crossings of all sessions, with record_kept and body_kept, as `retained` decides for one: counts and sizes run from the newest.
+
+    A session of any length is many ranges.  order must not repeat in a session; a null size is none.
+    """
+    told = running_sums(crossings, by, [F.desc(order)], {"_rank": F.lit(1), "_size": F.col(size)})
+    record = F.col("_rank") <= records
+    return told.select(*crossings.columns, record.alias("record_kept"), (record & (F.col("_size") <= bodies)).alias("body_kept"))
+
+
+def transfers(decisions: DataFrame, summary: list[str]) -> DataFrame:
+    """Decisions on transfers (id, what, run, verdict, by, at, valid_from, valid_to) as records; ids that are not letters and digits are refused.
+
+    A decision is never rewritten: a withdrawal is a later decision.  summary: more columns that the record keeps.
+    valid_to null: without an end; valid_from null: from the decision on.
+    """
+    fixed = ["id", "what", "run", "verdict", "by", "at"]
+    kept = decisions.where(F.col("id").rlike("^[A-Za-z0-9]+$"))
+    return kept.select(*fixed, F.coalesce("valid_from", "at").alias("valid_from"), "valid_to", *(c for c in summary if c not in fixed))
+
+
+def standing(asked: DataFrame, decided: DataFrame, known_at: Column | None = None) -> DataFrame:
+    """asked (what, at, ask_id) with the decision on it: decision and standing, as of two times.
+
+    What rules is the last decision taken by known_at (by default when it was asked), ties to the larger id; whether it
+    lets the transfer go depends on whether its period (end exclusive) covers the time asked for.  standing: allowed, refused or withdrawn as
+    decided, lapsed or early outside the period of an approval, undecided before any.
+    """
+    q = asked.select("what", (F.col("at") if known_at is None else known_at).alias("_known"), F.lit(1).alias("_side"), F.col("ask_id").cast("string").alias("_id"), F.struct("ask_id", "at").alias("_ask"), F.lit(None).cast(_DECISION).alias("_decision"))
+    rule = F.struct("id", "verdict", "valid_from", "valid_to").cast(_DECISION)
+    d = decided.select("what", F.col("at").alias("_known"), F.lit(0).alias("_side"), F.col("id").alias("_id"), F.lit(None).cast(q.schema["_ask"].dataType).alias("_ask"), rule.alias("_decision"))
+    order = [F.col("_known"), F.col("_side"), F.col("_id")]
+    told = last_marked(q.unionByName(d), ["what"], order, F.col("_side") == 0, F.col("_decision"), "_rules").where("_side = 1")
+    at, r = F.col("_ask.at"), F.col("_rules")
+    period = F.when(at < r["valid_from"], "early").when(at >= r["valid_to"], "lapsed").otherwise("allowed")
+    verdict = F.when(r["id"].isNull(), "undecided").when(r["verdict"] == "allowed", period).otherwise(r["verdict"])
+    return told.select("what", F.col("_ask.ask_id").alias("ask_id"), at.alias("at"), r["id"].alias("decision"), verdict.alias("standing"))
+
+
 def party_kind(kind: Column, attributes: Column) -> Column:
     return F.when(kind == "PERSON", "person").when(kind == "ORG", "organization").when(kind == "VESSEL", "vessel").when(kind == "ENTITY", F.when(attributes["entity_type"] == "company", "organization").otherwise("other"))
 

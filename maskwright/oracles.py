@@ -122,6 +122,19 @@ sha256(text || ' (' || token || ') met ' || other || '.') AS text_sha256 FROM q"
 WITH w AS (SELECT DISTINCT conv_id, {_made("conv_id + 100000000", 9)} AS a, {_made("conv_id + 5000000", 7)} AS b, {_made("conv_id + 70000000", 8)} AS c FROM conversations),
 n AS (SELECT 'conv' || conv_id AS scope_id, 'ORG' AS kind, lower(a || ' ' || b || ' ' || c || ' Ltd') AS k, upper(a[1:1] || b[1:1] || c[1:1]) AS short, b || ' ' || c AS rest FROM w)
 SELECT scope_id, {_token()} AS token, CASE WHEN short < rest THEN short || '|' || rest ELSE rest || '|' || short END AS defined, CAST(4 AS BIGINT) AS n_hidden FROM n""",
+    "withdrawn_restores": f"""
+SELECT scope_id, conv_id || ':' || turn AS key, conv_id % 3 <> 0 OR turn % 2 <> 0 AS kept, CASE WHEN conv_id % 3 = 0 AND turn % 2 = 0 THEN upper(name) END AS shown
+FROM (SELECT 'desk' || (conv_id % 4) AS scope_id, conv_id, turn, {_made("conv_id + 100000000", 9)} || ' ' || {_made("conv_id + 5000000", 7)} || ' Ltd' AS name FROM conversations)""",
+    "crossing_retention": """
+SELECT session, id, r <= 5000 AS record_kept, r <= 5000 AND size <= 67108864 AS body_kept FROM (SELECT user_id AS session, event_id AS id, row_number() OVER w AS r,
+sum(coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) * 40000) OVER w AS size FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
+    "transfer_standing": """
+WITH e AS (SELECT *, coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 0) AS k FROM events),
+d AS (SELECT user_id, ts AS decided, 't' || event_id AS id, CASE WHEN event_type = 'signup' THEN 'withdrawn' WHEN k % 4 = 0 THEN 'refused' ELSE 'allowed' END AS verdict,
+CASE WHEN k % 7 = 0 THEN ts + to_hours(k % 3) ELSE ts END AS valid_from, CASE WHEN k % 5 <> 0 THEN ts + to_hours(k % 48) END AS valid_to FROM e WHERE event_type IN ('purchase', 'signup')),
+r AS (SELECT v.user_id, v.event_id, v.ts, d.id, d.verdict, d.valid_from, d.valid_to FROM e v LEFT JOIN d ON d.user_id = v.user_id AND d.decided <= v.ts
+WHERE event_type = 'view' QUALIFY row_number() OVER (PARTITION BY v.event_id ORDER BY decided DESC NULLS LAST, id DESC) = 1)
+SELECT user_id AS what, event_id AS ask_id, id AS decision, CASE WHEN id IS NULL THEN 'undecided' WHEN verdict <> 'allowed' THEN verdict WHEN ts < valid_from THEN 'early' WHEN ts >= valid_to THEN 'lapsed' ELSE 'allowed' END AS standing FROM r""",
     "gateway_crossings": f"SELECT source AS actor_id, 'send' AS action, 'cloud' AS plane, {_NAME} AS sensitivity, sha256(text) AS content_hash, 'model' AS target FROM {_SENSITIVE} WHERE level <= 1",
     "gateway_refusals": f"SELECT {_NAME} AS sensitivity, count(*) AS n, min(doc_id) AS first_doc FROM {_SENSITIVE} WHERE level > 1 GROUP BY 1",
     "leak_check": "SELECT doc_id, sha256(b.t) AS surface_sha256, CAST((length(d.t) - length(replace(d.t, b.t, ''))) / length(b.t) AS BIGINT) AS n FROM (SELECT doc_id, replace(lower(text), 'ß', 'ss') AS t FROM documents) d, (SELECT DISTINCT replace(lower(text), 'ß', 'ss') AS t FROM benchmark) b WHERE contains(d.t, b.t)",

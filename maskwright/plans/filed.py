@@ -145,19 +145,20 @@ def _filter(index: DataFrame) -> np.ndarray:
     return out
 
 
-def _met(base: DataFrame, needles: DataFrame) -> DataFrame:
-    """(at, unit): which of the filter's units each distinct text holds."""
-    held = base.sparkSession.sparkContext.broadcast(_filter(needles))
+def units_of(base: DataFrame, needles: DataFrame | None = None) -> DataFrame:
+    """(at, unit): what each distinct text may be found by; of needles, if given, where the filter's bit is set."""
+    held = None if needles is None else base.sparkSession.sparkContext.broadcast(_filter(needles))
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, mask = _Units(), np.uint64(FILTER_BITS - 1)
-        bits = held.value.view(np.uint64)
+        bits = None if held is None else held.value.view(np.uint64)
         for batch in batches:
             ats, found = [], []
             for at, scope, text in zip(*(batch[c].to_pylist() for c in ("at", "scope_id", "text")), strict=True):
                 u = one.of_text(text, scope)
-                bit = (u >> np.uint64(17)) & mask
-                u = u[((bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)]
+                if bits is not None:
+                    bit = (u >> np.uint64(17)) & mask
+                    u = u[((bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)]
                 if len(u):
                     ats += [at] * len(u)
                     found.append(u.view(np.int64))
@@ -171,15 +172,15 @@ def place(scope: Column, text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(F.concat(F.base64(F.encode(scope, "utf-8")), F.lit(":"), F.coalesce(text, F.lit(""))), 256), 1, 32))
 
 
-def candidates(base: DataFrame, vault: DataFrame) -> DataFrame:
+def candidates(base: DataFrame, vault: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(at, scope_id, token): every token that a text may name, and those that it takes to tell them apart.
 
-    base: at, scope_id, text; vault: as `whole` gives it.  The latter are the owners of a shared name, what carries them today, and whoever claims
+    base: at, scope_id, text; vault: as `whole` gives it; known: `units_of` the texts, if it is kept.  The latter are the owners of a shared name, what carries them today, and whoever claims
     a name that a token is told of with.
     """
     index = hold(spread(vault).mapInArrow(_index, "scope_id string, token string, what int, needle int, size int, unit long"))
     needles = index.where(F.col("what") == NEEDLE)
-    met = hold(_met(base, needles))
+    met = hold(units_of(base, needles) if known is None else known.join(needles.select("unit").distinct(), "unit", "left_semi").select("at", "unit").distinct())
     texts = met.groupBy("unit").agg(F.count("*").alias("texts"))
     rarest = F.min_by("unit", F.struct("texts", "unit"))
     filed = needles.join(texts, "unit").groupBy("scope_id", "token", "needle").agg(F.count("*").alias("met"), F.first("size").alias("size"), rarest.alias("unit"))
@@ -199,14 +200,19 @@ def meet(docs: DataFrame, tokens: DataFrame, aliases: DataFrame, f: Callable[[li
 
     f may ask the vault what stands in the texts, but not what else it holds.  A text without any name meets an empty one.
     """
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(scope_col).alias("scope_id"), F.col(text_col).alias("text")).where(F.col(scope_col).isNotNull())
+    base = spread(base).withColumn("at", place(F.col("scope_id"), F.col("text")))
+    vault = hold(whole(tokens, aliases))
+    return meet_candidates(base, candidates(base, vault), vault, f, ddl)
+
+
+def meet_candidates(base: DataFrame, named: DataFrame, vault: DataFrame, f: Callable[[list[dict], Vault], list[dict]], ddl: str) -> DataFrame:
+    """`meet`, of base (doc_id, scope_id, text, at) with the tokens that it names."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     schema = to_arrow_schema(_parse_datatype_string(ddl))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(scope_col).alias("scope_id"), F.col(text_col).alias("text")).where(F.col(scope_col).isNotNull())
-    base = spread(base).withColumn("at", place(F.col("scope_id"), F.col("text")))
-    vault = hold(whole(tokens, aliases))
-    entries = candidates(base, vault).join(vault, ["scope_id", "token"]).groupBy("at").agg(F.collect_list(F.struct("scope_id", "token", "row", "aliases")).alias("entries"))
+    entries = named.join(vault, ["scope_id", "token"]).groupBy("at").agg(F.collect_list(F.struct("scope_id", "token", "row", "aliases")).alias("entries"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

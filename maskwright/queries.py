@@ -15,7 +15,7 @@ from . import schemas
 from .functions import columns as C
 from .functions import udfs
 from .operators import cite, detect, disclosure, gateway, leak, reid, spans, usage
-from .plans import enrol, people, requests, settle
+from .plans import enrol, people, requests, settle, withdrawn
 from .sources.held import hold, spread
 from .streaming import audit
 
@@ -269,6 +269,44 @@ def settle_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return told.join(hidden, "scope_id").select("scope_id", "token", "defined", F.col("n_hidden").cast("long").alias("n_hidden"))
 
 
+@query
+def withdrawn_restores(spark: SparkSession, sf: str) -> DataFrame:
+    """Request turns as answers to be restored, every second one naming a company; those whose company is enrolled afterwards
+    (of every third conversation) are withdrawn, the others stay."""
+    turns = _table(spark, sf, "conversations")
+    k = F.col("conv_id").cast("long")
+    name = F.concat_ws(" ", _made_name(k + 100_000_000, 9), _made_name(k + 5_000_000, 7), F.lit("Ltd"))
+    scope = F.concat(F.lit("desk"), (k % 4).cast("string"))
+    said = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" So says "), F.upper(name), F.lit("."))).otherwise("")
+    restores = hold(turns.select(scope.alias("scope_id"), F.concat_ws(":", k.cast("string"), F.col("turn").cast("string")).alias("key"), F.concat(F.coalesce("text", F.lit("")), said).alias("value")))
+    later = turns.where("conv_id % 3 = 0").select(k.alias("k"), scope.alias("scope_id"), name.alias("real_value")).distinct()
+    tokens = hold(later.select("scope_id", C.derive_token(F.lit(SALT), F.lit("ORG"), F.lower("real_value")).alias("token"), F.lit("ORG").alias("kind"), "real_value", F.lower("real_value").alias("normalized"), F.lit("active").alias("status"), F.lit(None).cast("string").alias("canonical_token"), F.lit(None).cast(schemas.ATTRIBUTES).alias("attributes"), F.col("k").alias("seq")))
+    aliases = tokens.select("scope_id", "token", F.col("real_value").alias("surface"), "normalized", F.lit("entity").alias("source"), "seq")
+    gone = withdrawn.withdrawn(restores, hold(withdrawn.restore_index(restores)), tokens, aliases)
+    return restores.join(gone, ["scope_id", "key"], "left").select("scope_id", "key", F.col("shown").isNull().alias("kept"), F.array_join("shown", "|").alias("shown"))
+
+
+@query
+def crossing_retention(spark: SparkSession, sf: str) -> DataFrame:
+    """Of which crossings of each session the record and the body are kept: the last 5000, and the newest within 64 MB."""
+    n = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)) * 40_000
+    crossings = _table(spark, sf, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("id"), n.alias("bytes"))
+    return disclosure.retention(crossings, ["session"]).select("session", "id", "record_kept", "body_kept")
+
+
+@query
+def transfer_standing(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each view may go, by the last decision on its user: purchases allow or refuse for some hours, sign-ups withdraw."""
+    e = _table(spark, sf, "events")
+    n = F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(0))
+    verdict = F.when(F.col("event_type") == "signup", "withdrawn").when(n % 4 == 0, "refused").otherwise("allowed")
+    until = F.when(n % 5 != 0, F.col("ts") + F.make_dt_interval(hours=n % 48))
+    start = F.when(n % 7 == 0, F.col("ts") + F.make_dt_interval(hours=n % 3))
+    decided = e.where("event_type in ('purchase', 'signup')").select(F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("id"), F.col("user_id").alias("what"), F.lit("run").alias("run"), verdict.alias("verdict"), F.lit("user").alias("by"), F.col("ts").alias("at"), start.alias("valid_from"), until.alias("valid_to"))
+    asked = e.where("event_type = 'view'").select(F.col("user_id").alias("what"), F.col("ts").alias("at"), F.col("event_id").alias("ask_id"))
+    return disclosure.standing(asked, disclosure.transfers(decided, [])).select("what", "ask_id", "decision", "standing")
+
+
 @query
 def restore_documents(spark: SparkSession, sf: str) -> DataFrame:
     """M5: redacted documents restored: digests of the texts but for capitals, and whether the redaction held tokens in their place."""
