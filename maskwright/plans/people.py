@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions.udfs import _each, lazy
 from ..operators.people import asked, offered, referent_score, same_person
-from ..sources.held import hold
+from ..sources.held import hold, spread
 
 #: Names of a pair that are compared with one another, and names of a part of a larger one.
 PAIRED, SALTED = 512, 4096
@@ -62,6 +62,12 @@ same = lazy(_same, "boolean")
 score_of = lazy(_scores, "int")
 
 
+def _met(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by shuffle.  Spark judges a table by the file it comes from, and a small file of names is exploded to many pairs:
+    left alone, it collects them on the driver to broadcast them."""
+    return a.hint("merge").join(b.hint("merge"), on, how)
+
+
 def _keys(nodes: DataFrame) -> DataFrame:
     """(h, node, r, asks): each name's pairs within its scope."""
     rows = nodes.select("node", "r", "scope_id", F.explode(pairs_of("bones")).alias("p"))
@@ -75,11 +81,11 @@ def distinct_people(names: DataFrame, scope_col: str = "scope_id", token_col: st
     Rows without a name, a token or a part take no part and give no row; an empty table gives an empty result.
     """
     rows = names.select(F.col(scope_col).alias("scope_id"), F.col(token_col).alias("token"), F.col(name_col).alias("name"), F.coalesce(F.col(seeded_col), F.lit(False)).alias("seeded"), F.col(number_col).cast("long").alias("number"))
-    rows = rows.where("token is not null and name is not null").withColumn("bones", _skeleton("name")).where("size(bones) > 0")
+    rows = spread(rows.where("token is not null and name is not null")).withColumn("bones", _skeleton("name")).where("size(bones) > 0")
     nodes = hold(rows.withColumn("node", F.monotonically_increasing_id()))
     nodes = nodes.withColumn("r", F.struct((~F.col("seeded")).alias("later"), (-F.size("bones")).alias("fewer"), "number", "token", "node"))
     kept = _settled(nodes, paired).withColumn("kept", F.lit(True))
-    out = nodes.select("scope_id", "token", "name", "bones", "node").join(kept, "node", "left")
+    out = _met(nodes.select("scope_id", "token", "name", "bones", "node"), kept, "node", "left")
     return out.select("scope_id", "token", "name", "bones", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
@@ -88,44 +94,44 @@ def _edges(keys: DataFrame, bones: DataFrame, paired: int) -> DataFrame:
     few = keys.where(F.col("n") <= paired)
     a = few.where("asks").select("h", F.col("node").alias("x"), F.col("r").alias("rx"))
     b = few.select("h", F.col("node").alias("y"), F.col("r").alias("ry"))
-    met = a.join(b, "h").where("x <> y")
+    met = _met(a, b, "h").where("x <> y")
     met = met.select(F.when(F.col("rx") < F.col("ry"), F.col("x")).otherwise(F.col("y")).alias("a"), F.when(F.col("rx") < F.col("ry"), F.col("y")).otherwise(F.col("x")).alias("b")).distinct()
     return _verified(met, bones)
 
 
 def _verified(met: DataFrame, bones: DataFrame) -> DataFrame:
     x, y = (bones.select(F.col("node").alias(c), F.col("bones").alias(f"b{c}")) for c in "ab")
-    return met.join(x, "a").join(y, "b").where(same("ba", "bb")).select("a", "b")
+    return _met(_met(met, x, "a"), y, "b").where(same("ba", "bb")).select("a", "b")
 
 
 def _settled(nodes: DataFrame, paired: int) -> DataFrame:
     """The nodes that are kept."""
-    keys = _keys(nodes)
+    keys = hold(_keys(nodes))
     sizes = keys.groupBy("h").agg(F.count("*").alias("n"), F.max("asks").alias("asked")).where("n > 1 and asked").select("h", "n")
-    keys = hold(keys.join(sizes, "h"))
+    keys = hold(_met(keys, sizes, "h"))
     bones = nodes.select("node", "bones")
     edges = hold(_edges(keys, bones, paired))
     parts = F.ceil(F.col("n") / SALTED).cast("int")
     large = hold(keys.where(F.col("n") > paired).select("h", "node", "r", "asks", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int").alias("part")))
     # names that meet nobody are kept as they are
     met = edges.select(F.col("a").alias("node")).union(edges.select("b")).union(large.select("node")).distinct()
-    alone = nodes.select("node").join(met, "node", "left_anti")
-    open_ = hold(nodes.select("node").join(met, "node", "left_semi"))
+    alone = _met(nodes.select("node"), met, "node", "left_anti")
+    open_ = hold(_met(nodes.select("node"), met, "node", "left_semi"))
     kept = [alone]
     while not open_.isEmpty():
-        mine = large.join(open_, "node", "left_semi")
+        mine = _met(large, open_, "node", "left_semi")
         least = mine.groupBy("h", "parts").agg(F.min("r").alias("offers"), F.min(F.when(F.col("asks"), F.col("r"))).alias("asking"))
         least = least.select("h", "offers", "asking", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         before = (F.col("asks") & (F.col("offers") < F.col("r"))) | F.coalesce(F.col("asking") < F.col("r"), F.lit(False))
-        held_up = mine.join(least, ["h", "part"]).where(before).select("node")
-        live = edges.join(open_.select(F.col("node").alias("a")), "a", "left_semi").join(open_.select(F.col("node").alias("b")), "b", "left_semi")
-        free = hold(open_.join(held_up.union(live.select(F.col("b").alias("node"))).distinct(), "node", "left_anti"))
+        held_up = _met(mine, least, ["h", "part"]).where(before).select("node")
+        live = _met(_met(edges, open_.select(F.col("node").alias("a")), "a", "left_semi"), open_.select(F.col("node").alias("b")), "b", "left_semi")
+        free = hold(_met(open_, held_up.union(live.select(F.col("b").alias("node"))).distinct(), "node", "left_anti"))
         kept.append(free)
-        gone = live.join(free.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node"))
-        firsts = mine.join(free, "node", "left_semi").select("h", F.col("node").alias("x"), F.col("r").alias("rx"), F.col("asks").alias("xasks"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        met = mine.join(firsts, ["h", "part"]).where("node <> x and (asks or xasks)").where(F.col("rx") < F.col("r"))
+        gone = _met(live, free.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node"))
+        firsts = _met(mine, free, "node", "left_semi").select("h", F.col("node").alias("x"), F.col("r").alias("rx"), F.col("asks").alias("xasks"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        met = _met(mine, firsts, ["h", "part"]).where("node <> x and (asks or xasks)").where(F.col("rx") < F.col("r"))
         gone = gone.union(_verified(met.select(F.col("x").alias("a"), F.col("node").alias("b")).distinct(), bones).select(F.col("b").alias("node")))
-        open_ = hold(open_.join(free.union(gone).distinct(), "node", "left_anti"))
+        open_ = hold(_met(open_, free.union(gone).distinct(), "node", "left_anti"))
     out = kept[0]
     for k in kept[1:]:
         out = out.union(k)
@@ -137,14 +143,14 @@ def resolved(people: DataFrame, names: DataFrame, scope_col: str = "scope_id", n
 
     people: what distinct_people gave.  A name is matched with kept people of its scope by the pairs it asks for.
     """
-    rows = hold(names.withColumn("_row", F.monotonically_increasing_id()))
+    rows = hold(spread(names).withColumn("_row", F.monotonically_increasing_id()))
     told = rows.select("_row", F.col(scope_col).alias("scope_id"), _skeleton(name_col).alias("bones"))
     want = told.select("_row", "bones", "scope_id", F.explode(pairs_of("bones")).alias("p")).where("p.asks").select("_row", "bones", F.xxhash64("scope_id", _hit("pair")).alias("h"))
-    have = people.where("kept").select("scope_id", "token", F.col("bones").alias("known"))
+    have = spread(people).where("kept").select("scope_id", "token", F.col("bones").alias("known"))
     have = have.select("token", "known", "scope_id", F.explode(pairs_of("known")).alias("p")).select("token", "known", F.xxhash64("scope_id", _hit("pair")).alias("h"))
-    met = want.join(have, "h").groupBy("_row", "token").agg(F.first("bones").alias("bones"), F.first("known").alias("known"))
+    met = _met(want, have, "h").groupBy("_row", "token").agg(F.first("bones").alias("bones"), F.first("known").alias("known"))
     fits = met.where(score_of("known", "bones") >= 2).groupBy("_row").agg(F.min("token").alias("first"), F.max("token").alias("last"))
-    out = rows.join(fits, "_row", "left").drop("_row")
+    out = _met(rows, fits, "_row", "left").drop("_row")
     one = F.col("first") == F.col("last")
     return out.withColumn("person", F.when(one, F.col("first"))).withColumn("several", F.coalesce(~one, F.lit(False))).drop("first", "last")
 

@@ -70,3 +70,11 @@ def test_claims(spark):
     rows = [("s", "j smith", "J. Smith", "P_1"), ("s", "j smith", "J Smith", "P_2"), ("s", "j doe", "J. Doe", "P_1"), ("s", "j doe", "J. Doe", "P_1"), ("t", "j smith", "J. Smith", "P_9"), (None, "x", "X", "P_3"), ("s", None, "Y", "P_1")]
     got = {(r.scope_id, r.key): (r.surface, r.owner, r.several) for r in people.claims(spark.createDataFrame(rows, "scope_id string, key string, surface string, token string")).collect()}
     assert got == {("s", "j smith"): ("J Smith", None, True), ("s", "j doe"): ("J. Doe", "P_1", False), ("t", "j smith"): ("J. Smith", "P_9", False), (None, "x"): ("X", "P_3", False)}
+
+
+def test_names_are_not_collected_to_be_broadcast(spark):
+    rows = [("s", f"PERSON_{i}", f"Anna{i} Kovalenko{i}", False, i) for i in range(20)]
+    found = people.distinct_people(spark.createDataFrame(rows, SCHEMA))
+    keys = people._keys(found.selectExpr("monotonically_increasing_id() as node", "struct(token) as r", "scope_id", "bones")).selectExpr("*", "2L as n")
+    for df in (people.resolved(found, found), people._edges(keys, found.selectExpr("monotonically_increasing_id() as node", "bones"), 512)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
