@@ -29,3 +29,9 @@ def test_query_equals_its_sql(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 200
+
+
+def test_citation_forms_are_dealt_to_all_cores(spark, sf):
+    from maskwright.queries import QUERIES
+
+    assert "REPARTITION" in QUERIES["citation_forms"](spark, sf)._jdf.queryExecution().executedPlan().toString()
