@@ -31,7 +31,8 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 200
 
 
-def test_citation_forms_are_dealt_to_all_cores(spark, sf):
+@pytest.mark.parametrize("name", ["citation_forms", "variant_claims"])
+def test_tables_of_one_file_are_dealt_to_all_cores(spark, sf, name):
     from maskwright.queries import QUERIES
 
-    assert "REPARTITION" in QUERIES["citation_forms"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION" in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
