@@ -51,3 +51,21 @@ def test_long_texts_are_folded_in_runs():
 def test_planted_names_are_made_by_all_cores(spark):
     _, tokens, _ = queries._planted(spark, "/root/testdata/sf0.001")
     assert len(tokens.inputFiles()) > 1
+
+
+def test_workers_keep_no_vault_of_every_scope():
+    class Held:
+        id = "held"
+        value = {"vaults": {}}
+
+    for n in range(2000):
+        enrol._vault_of(Held, f"scope{n}")
+    assert len(enrol._built) * enrol.VAULT_ROWS <= enrol.BUILT_ROWS
+    assert enrol._vault_of(Held, "scope1999") is enrol._vault_of(Held, "scope1999")
+
+
+def test_batches_become_objects_in_pieces():
+    texts = ["a" * (held.PIECE_BYTES + 1), None, "", *["b"] * (2 * held.PIECE_ROWS)]
+    got = list(held.pieces(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])))
+    assert [t for b in got for t in b["text"].to_pylist()] == texts
+    assert got[0].num_rows == 1 and max(b.num_rows for b in got) == held.PIECE_ROWS
