@@ -41,3 +41,10 @@ def test_redact_documents_refuses_documents_without_a_scope(spark, write):
     got = {r.doc_id: r for r in entry.queries()["redact_documents"](spark, sf).collect()}
     assert got.keys() == {0, 1} and got[0].redacted_count == 1
     assert [got[1][c] for c in ("scope_id", "redacted_count", "entity_types", "n_glossary", "content_sha256")] == [None] * 5
+
+
+def test_hidden_tokens_are_met_where_their_values_first_stand(spark, write):
+    """A card number that an IP address runs into, and an address that ends a sentence, are no matches there, but the same values are further on."""
+    texts = ["10.20.30.40 4929348385146306 then x@b.org then 4929348385146306 end", "11.2.3.44. Then y@b.org, then 11.2.3.44 end", "z@b.org then 11.2.3.45"]
+    got = entry.queries()["hidden_tokens"](spark, documents(write, texts)).collect()
+    assert sorted((r.doc_id, r.place, r.token, r.n) for r in got) == [(0, 1, "IP_0", 1), (0, 2, "CARD_0", 1), (0, 3, "EMAIL_0", 1), (1, 1, "IP_0", 1), (1, 2, "EMAIL_0", 1), (2, 1, "EMAIL_0", 1), (2, 2, "IP_0", 1)]
