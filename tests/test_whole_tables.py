@@ -1,5 +1,7 @@
 """Queries over small tables of their own: every row and every kind takes part."""
 
+import hashlib
+
 import pytest
 
 import __spark_entry__ as entry
@@ -48,3 +50,12 @@ def test_hidden_tokens_are_met_where_their_values_first_stand(spark, write):
     texts = ["10.20.30.40 4929348385146306 then x@b.org then 4929348385146306 end", "11.2.3.44. Then y@b.org, then 11.2.3.44 end", "z@b.org then 11.2.3.45"]
     got = entry.queries()["hidden_tokens"](spark, documents(write, texts)).collect()
     assert sorted((r.doc_id, r.place, r.token, r.n) for r in got) == [(0, 1, "IP_0", 1), (0, 2, "CARD_0", 1), (0, 3, "EMAIL_0", 1), (1, 1, "IP_0", 1), (1, 2, "EMAIL_0", 1), (2, 1, "EMAIL_0", 1), (2, 2, "IP_0", 1)]
+
+
+def test_restore_documents_restores_values_that_stand_beside_themselves(spark, write):
+    """Neighbours of one value are one token, which stands for two there and for one elsewhere.  A number within a word is no word of its own: nothing is hidden."""
+    write("supplier", [(1, "Acme Ltd")], "s_suppkey long, s_name string")
+    a, b = "4929348385146306", "x@b.org"
+    texts = [f"{a} {a} and again {a}.", f"{b}\n{b}, {b} {b} {b} but {a} {b} {a}  {a} {b}", f"key {a}\n{a}", f"key ab{a}cd", "none"]
+    got = {r.doc_id: (r.restored_sha256, r.hidden) for r in entry.queries()["restore_documents"](spark, documents(write, texts)).collect()}
+    assert got == {i: (hashlib.sha256(t.encode()).hexdigest(), i < 3) for i, t in enumerate(texts)}
