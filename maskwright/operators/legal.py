@@ -251,7 +251,7 @@ def _before_roles(words: Words) -> Iterator[str | None]:
     last = -1
     for i, w in enumerate(words.all):
         if w.text == "," and words.at(i + 1) in POSSESSORS:
-            if any(_is_role(words.at(k)) for k in range(i + 2, i + 5)):
+            if any(_is_role(words.at(k)) and words.whole(k) for k in range(i + 2, i + 5)):
                 starts = [k for k in range(max(last + 1, i - 6), i) if words.all[k].bare.casefold() not in TITLES and words.name(k, 2, 3, True) == i]
                 if starts:
                     last = i
@@ -322,7 +322,7 @@ def _links(words: Words) -> Iterator[str | None]:
 
 
 _flexible = lambda phrase: "[ \t]".join(map(regex.escape, phrase.split(" ")))
-_FORM = regex.compile(rf"(?<=[\p{{L}}\p{{N}}&.],?[ \t]+)(?:{'|'.join(_flexible(f) for f in sorted((*LONG_FORMS, *SHORT_FORMS), key=len, reverse=True))})(?![\p{{L}}\p{{N}}])")
+_FORM = regex.compile(rf"(?<=[\p{{L}}\p{{N}}&.],?[ \t]+)(?:{'|'.join(_flexible(f) for f in sorted((*LONG_FORMS, *SHORT_FORMS), key=len, reverse=True))})(?![\p{{L}}\p{{N}}]|[\p{{L}}\p{{N}}._%+-]*@)")  # an e-mail address may begin like one
 
 
 FORM_WORDS = frozenset(f for f in (*LONG_FORMS, *SHORT_FORMS) if " " not in f)
@@ -395,7 +395,8 @@ class Shape:
 
 def _labelled(rule: str) -> str:
     phrases, value = LABELS[rule]
-    words = "|".join(_loose(p) for p in sorted(phrases.split("|"), key=len, reverse=True))
+    alone = lambda p: r"(?![\p{L}\p{N}])" if rule in LOOSE and " " not in p else ""
+    words = "|".join(_loose(p) + alone(p) for p in sorted(phrases.split("|"), key=len, reverse=True))
     gap = LOOSE.get(rule, r"[ \t]*(?::[ \t]*|is[ \t]+|des[ \t]+\p{L}+:[ \t]*|№[ \t]*)?:?[ \t]*(?:№[ \t]*)?")
     return rf"(?<![\p{{L}}\p{{N}}])(?i:{words}){gap}({value})(?![\p{{L}}\p{{N}}])"
 
@@ -490,35 +491,32 @@ def legal_detections(text: str | None) -> list[tuple[str, str, str]]:
     return list(out.values())
 
 
-_CONTEXT_ROWS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("scope_id", pa.string()), ("turn", pa.int32()), ("rank", pa.int32()), ("pos", pa.int32()), ("span", pa.string())])
+_SPANS = pa.list_(pa.struct([("rank", pa.int32()), ("pos", pa.int32()), ("span", pa.string())]))
 
 
-def _context_rows(batches):
-    for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            rows += [{k: r[k] for k in ("row", "doc_id", "scope_id", "turn")} | {"rank": _RANK[rule], "pos": n, "span": span} for n, (rule, span, _) in enumerate(_contextual(r["text"]))]
-        yield pa.RecordBatch.from_pylist(rows, _CONTEXT_ROWS)
+def _context_spans(texts: pa.Array) -> pa.Array:
+    found = (_contextual(t.as_py()) if t.is_valid else () for t in texts)
+    return pa.array([[{"rank": _RANK[rule], "pos": n, "span": span} for n, (rule, span, _) in enumerate(x)] for x in found], _SPANS)
 
 
 def detect_legal(docs: DataFrame, id_col: str = "doc_id", scope_col: str = "source", text_col: str = "text") -> DataFrame:
     """Detections of the legal rules (start and end are null: a span may be put together of parts): the first of each
     (key, kind) of a row of docs.  Patterns are expressions; rows that repeat an id each have their own."""
-    rows = spread(docs.select(id_col, scope_col, text_col)).where(F.col(text_col).isNotNull())
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(scope_col).cast("string").alias("scope_id"), F.col(text_col).alias("text"))
+    rows = docs.select(id_col, scope_col, text_col).where(F.col(text_col).isNotNull())
+    # numbered where they are read: after a shuffle rows come in another order each time
+    rows = spread(rows.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(scope_col).cast("string").alias("scope_id"), F.col(text_col).alias("text")))
     decoded = F.when(F.col("text").rlike(r"%20|[+]"), F.regexp_replace("text", LINK_GAPS, " "))
     both = rows.select("row", "doc_id", "scope_id", F.posexplode(F.array(F.col("text"), F.when(decoded != F.col("text"), decoded))).alias("turn", "text")).where("text is not null")
-    hits = F.array(*(F.struct(F.lit(i).alias("i"), F.regexp_extract_all("text", F.lit(s.pattern), F.lit(1)).alias("spans")) for i, s in enumerate(PATTERNS)))
-    shaped = both.select("row", "doc_id", "scope_id", "turn", F.explode(hits).alias("h")).select("row", "doc_id", "scope_id", "turn", F.col("h.i").alias("i"), F.posexplode("h.spans").alias("pos", "span"))
-    kept = [(F.col("i") == i) & ~s.keep(F.trim("span")) for i, s in enumerate(PATTERNS) if s.keep is not None]
-    for bad in kept:
-        shaped = shaped.where(~F.coalesce(bad, F.lit(False)))
-    passport = next(i for i, s in enumerate(PATTERNS) if s.rule == "Russian passport")
-    span = F.when(F.col("i") == passport, F.regexp_replace("span", PASSPORT_GAP, " ")).otherwise(F.trim("span"))
-    rank = F.element_at(F.array(*(F.lit(_RANK[s.rule]) for s in PATTERNS)), F.col("i") + 1)
-    shaped = shaped.select("row", "doc_id", "scope_id", "turn", rank.alias("rank"), "pos", span.alias("span"))
-    by_context = both.where(F.col("text").rlike(MARK)).mapInArrow(_context_rows, "row long, doc_id long, scope_id string, turn int, rank int, pos int, span string")
-    every = by_context.union(shaped).where((F.length("span") >= 3) & ~C.has_token(F.col("span")))
+    by_context = F.arrow_udf(_context_spans, "array<struct<rank:int,pos:int,span:string>>")(F.when(F.col("text").rlike(MARK), F.col("text")))
+    hit = lambda s: lambda span, pos: F.struct(F.lit(_RANK[s.rule]).alias("rank"), pos.alias("pos"), F.trim(span).alias("span"))
+    shaped = (F.transform(F.regexp_extract_all("text", F.lit(s.pattern), F.lit(1)), hit(s)) for s in PATTERNS)
+    # one row a text until here: what either kind of rule finds in a text bears the text's own number
+    every = both.select("row", "doc_id", "scope_id", "turn", F.explode(F.concat(by_context, *shaped)).alias("h")).select("row", "doc_id", "scope_id", "turn", "h.*")
+    for s in PATTERNS:
+        if s.keep is not None:
+            every = every.where(~F.coalesce((F.col("rank") == _RANK[s.rule]) & ~s.keep(F.col("span")), F.lit(False)))
+    every = every.withColumn("span", F.when(F.col("rank") == _RANK["Russian passport"], F.regexp_replace("span", PASSPORT_GAP, " ")).otherwise(F.col("span")))
+    every = every.where((F.length("span") >= 3) & ~C.has_token(F.col("span")))
     names = {_RANK[r]: (r, k) for r, k in [*((r, k) for r, k, _ in CONTEXTS), *((s.rule, s.kind) for s in PATTERNS)]}
     told = lambda part: F.element_at(F.array(*(F.lit(names[i][part]) for i in range(len(names)))), F.col("rank") + 1)
     every = every.withColumn("rule", told(0)).withColumn("kind", told(1)).withColumn("k", udfs.key("span"))

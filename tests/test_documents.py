@@ -44,6 +44,13 @@ def test_legal_marks_are_whole_words():
     assert found == [("M Therrent", "PERSON"), ("Pieter Dijk", "PERSON"), ("Sanne Groot", "PERSON")]
 
 
+def test_legal_words_within_longer_ones():
+    for t in ("Thston plc.47@mail2.example.com came", "Ada Falk, the AKIA7SON came", "Niemals 4668656817506359", "cifras 4668656817506359", "eine 12-3456789"):
+        assert legal.legal_detections(t) == [], t
+    found = [s for _, s, _ in legal.legal_detections("Red Harbour plc. Ada Falk, the auditor. NIE 4668656817506359; EIN: 12-3456789")]
+    assert found == ["Red Harbour plc", "Ada Falk", "12-3456789", "4668656817506359"]
+
+
 LEGAL = [
     "Red Harbour & Sons GmbH & Co. KG met Acme Holdings, Inc. and Bolt AG. SALE NOTICE Blue Anchor Foods B.V.",
     "Ada Falk, the senior auditor, and Max Ott, Esq. came.\nFrom: Nils Brandvold <n@b.no>\nKind regards,\n\nLena Voss\nI, Oskar Lind, say; see statement of Ivo Reng",
@@ -70,6 +77,14 @@ def test_legal_expressions_equal_their_twins(spark):
     assert legal.detect_legal(df.limit(0)).collect() == []
 
 
+def test_legal_rows_are_numbered_once(spark, tmp_path):
+    text = "our director Петров Иван Иванович"  # found by its surroundings and by its shape
+    spark.range(40).selectExpr("id as doc_id", "'s' as source", f"concat('{text}', if(id % 2 = 0, '', ' x')) as text").repartition(3).write.parquet(f"{tmp_path}/d")
+    out = legal.detect_legal(spark.read.parquet(f"{tmp_path}/d"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("monotonically_increasing_id") == 1
+    assert sorted(map(tuple, out.groupBy("rule").count().collect())) == [("Russian name and patronymic", 40), ("role before", 40)]
+
+
 def test_citations():
     c = cite.citations
     assert c("§§ 280 Abs. 1, 3, 281 BGB") == ["§ 280 BGB", "§ 281 BGB"] and c("§§ 133, 157 BGB") == ["§ 133 BGB", "§ 157 BGB"]

@@ -36,3 +36,14 @@ def test_tables_of_one_file_are_dealt_to_all_cores(spark, sf, name):
     from maskwright.queries import QUERIES
 
     assert "REPARTITION" in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("keys", ["(12345678::BIGINT), (123456781), (1234567812345), (87654321), (-1), (-6), (null), (7)", "(3::DOUBLE), (4), (20000000)"])
+def test_letters_of_any_key(spark, con, tmp_path, keys):
+    for name in ("documents", "conversations"):
+        con.sql(f"copy (select * from {name} limit 20) to '{tmp_path}/{name}.parquet'")
+    con.sql(f"copy (select * from (values {keys}) t(s_suppkey)) to '{tmp_path}/supplier.parquet'")
+    c = duckdb.connect()
+    for name in ("documents", "conversations", "supplier"):
+        c.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    assert rows(entry.queries()["detect_legal"](spark, str(tmp_path)).toArrow()) == rows(c.sql(entry.oracle_sql()["detect_legal"]).to_arrow_table())
