@@ -3,7 +3,8 @@
 Two kinds of rule.  Identifiers, vessels and names with a shape of their own are patterns, and run as
 expressions (`PATTERNS`).  Companies and people are told by what stands beside a run of capitalised words:
 a text is read as words with places (`Words`), and each of `CONTEXTS` looks left or right of such runs.
-Only texts that hold one of the marks these rules start from are handed to Python.
+Most texts hold nothing of the kind: whole batches are first searched in linear time (RE2) for what each rule cannot do
+without (`MARK`, `trigger`), and a rule reads only the texts that hold it.
 """
 
 from __future__ import annotations
@@ -11,8 +12,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -122,8 +126,7 @@ def name_like(word: str) -> bool:
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}'’-]*\.?(?:\p{L}\.)*|\d+|[^\s\p{L}\d]")
 
 
-@dataclass(frozen=True)
-class Word:
+class Word(NamedTuple):
     start: int
     end: int
     text: str
@@ -137,10 +140,21 @@ class Word:
         return self.text[:1].isupper()
 
 
+@lru_cache(1024)
+def _n_words(phrase: str) -> int:
+    return len(_WORD.findall(phrase))
+
+
+@lru_cache(64)
+def _begins(phrases: tuple[str, ...]) -> frozenset[str]:
+    return frozenset(p[:n] for p in phrases for n in range(1, len(p) + 1))
+
+
 class Words:
     def __init__(self, text: str):
         self.text = text
         self.all = [Word(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
+        self.low = [w.text.casefold() for w in self.all]
 
     def beside(self, i: int) -> bool:
         """Whether word i stands on the line of the one before it, with blanks between them at most."""
@@ -164,11 +178,18 @@ class Words:
 
     def says(self, i: int, phrase: str) -> int:
         """The number of words of a phrase that begins at word i, 0 if it is another."""
-        n = len(list(_WORD.finditer(phrase)))
+        if not (i < len(self.all) and phrase.startswith(self.low[i])):
+            return 0
+        n = _n_words(phrase)
         some = self.all[i : i + n]
         same = len(some) == n and " ".join(self.text[some[0].start : some[-1].end].casefold().split()) == phrase
         return n if same else 0
 
+    def starts(self, phrases: tuple[str, ...]) -> Iterator[int]:
+        """The words at which one of some phrases may begin."""
+        begins = _begins(phrases)
+        return (i for i, low in enumerate(self.low) if low in begins)
+
     def name(self, i: int, least: int, most: int, title_case: bool = False) -> int:
         """Where a run of capitalised words, with particles between them, ends that begins at word i; i for none.
         A run that is longer is cut."""
@@ -222,8 +243,8 @@ def _named(words: Words, i: int, j: int) -> str | None:
 
 
 def _titles(words: Words) -> Iterator[str]:
-    for i, w in enumerate(words.all):
-        if w.capital and w.bare.casefold() in TITLES and w.text != "M" and words.whole(i):  # "M." has its full stop
+    for i, (w, low) in enumerate(zip(words.all, words.low, strict=True)):
+        if low.rstrip(".") in TITLES and w.capital and w.text != "M" and words.whole(i):  # "M." has its full stop
             j = i + 1
             while j < len(words.all) and words.beside(j) and words.all[j].bare in SECOND_TITLES:
                 j += 1
@@ -232,6 +253,7 @@ def _titles(words: Words) -> Iterator[str]:
                 yield f"{w.bare} {words.span(j, end)}"
 
 
+@lru_cache(10_000)
 def _is_role(word: str) -> bool:
     low = word.rstrip(".").casefold()
     return low in ROLES or low.removesuffix("s") in ROLES
@@ -259,7 +281,7 @@ def _before_roles(words: Words) -> Iterator[str | None]:
 
 
 def _signings(words: Words) -> Iterator[str | None]:
-    for i in range(len(words.all)):
+    for i in words.starts(SIGNING):
         n = next((n for phrase in SIGNING if (n := words.says(i, phrase))), 0)
         if n and words.all[i].text != "i" and words.whole(i):
             j = i + n + (words.at(i + n) == "the")
@@ -285,7 +307,7 @@ def _numbered(words: Words) -> Iterator[str | None]:
 
 
 def _headers(words: Words) -> Iterator[str | None]:
-    for i in range(len(words.all)):
+    for i in words.starts(HEADERS):
         if words.starts_line(i) and any(words.says(i, h) for h in HEADERS):
             end = words.name(i + 2, 2, 4) if words.beside(i + 2) else i + 2
             if end > i + 2 and (words.at(end) == "<" or words.ends_line(end - 1)):
@@ -293,7 +315,7 @@ def _headers(words: Words) -> Iterator[str | None]:
 
 
 def _farewells(words: Words) -> Iterator[str | None]:
-    for i in range(len(words.all)):
+    for i in words.starts(FAREWELLS):
         n = next((n for phrase in FAREWELLS if words.starts_line(i) and (n := words.says(i, phrase))), 0)
         j = i + n + (words.at(i + n) == ",")
         if n and words.ends_line(j - 1) and j < len(words.all):
@@ -372,11 +394,12 @@ CONTEXTS: tuple[tuple[str, str, Callable[[Words], Iterator[str | None]]], ...] =
     ("attendance", "PERSON", _attendance),
     ("link", "PERSON", _links),
 )
-_any = lambda words: "|".join(r"\s+".join(map(regex.escape, w.split(" "))) for w in sorted(words, key=len, reverse=True))
-#: A text in which this is not found holds nothing for CONTEXTS.
+_any = lambda words: "|".join(r"[\s\x0b\pZ]+".join(map(regex.escape, w.split(" "))) for w in sorted(words, key=len, reverse=True))
+#: A text in which this is not found (by RE2) holds nothing for CONTEXTS.
 MARK = (
-    rf"(?<!\p{{L}})(?:(?i:{_any({*ROLES, *HEADERS, *FAREWELLS, *PRESENT, *SIGNING})})s?|{_any({*(t.capitalize() for t in TITLES), *(t.upper() for t in TITLES), *LONG_FORMS, *SHORT_FORMS, 'Esq'})})(?!\p{{L}})"
-    rf"|(?m:^[ \t]*\(\d+\))|[?&](?:{'|'.join(QUERY_KEYS)})="
+    rf"(?:^|\PL)(?:(?i:{_any({*ROLES, *FAREWELLS, *PRESENT, *SIGNING})})s?|{_any({*(t.capitalize() for t in TITLES), *(t.upper() for t in TITLES), *LONG_FORMS, *SHORT_FORMS, 'Esq'})})(?:$|\PL)"
+    rf"|(?:^|\PL)(?i:{_any({*HEADERS, *(p for p in SIGNING if not p[-1].isalpha())})})"
+    rf"|(?:^|[\n\r\x{{85}}\x{{2028}}\x{{2029}}])[ \t]*\([0-9]+\)|[?&](?:{'|'.join(QUERY_KEYS)})="
 )
 
 # -- rules by pattern --------------------------------------------------------------------------------
@@ -434,6 +457,18 @@ PATTERNS = (
     Shape("SSN", "ID", f"({_US['SSN'].pattern})", lambda s: _US["SSN"].keep(s).isNotNull(), _ssn),
     Shape("Russian passport", "ID", r"паспорт[а-я]*[ \t]+(?:серии[ \t]+)?(\d{2}[ \t]?\d{2}[ \t]+(?:№[ \t]*)?\d{6})(?!\d)"),
 )
+#: Look-arounds as RE2 has none: one that denies is a character beside, or an end of the text; one that demands is left out.
+_BESIDE = ((r"(?<![\p{L}\p{N}])", r"(?:^|[^\pL\pN])"), (r"(?<!\p{L})", r"(?:^|\PL)"), (r"(?![\p{L}\p{N}])", r"(?:$|[^\pL\pN])"), (r"(?!\d)", r"(?:$|\D)"), (rf"(?=[А-ЯЁ][а-яё]*(?:вич|вн|ичн))", ""), (r"\b", ""))
+
+
+def trigger(shape: Shape) -> str:
+    """An expression of RE2 that is found in every text that the shape's pattern is found in, and in few others."""
+    out = shape.pattern
+    for beside, plain in _BESIDE:
+        out = out.replace(beside, plain)
+    return out
+
+
 _RANK = {rule: i for i, rule in enumerate(["legal form", "Russian legal form", *(r for r, _, _ in CONTEXTS[1:]), *(s.rule for s in PATTERNS[1:])])}
 
 
@@ -492,11 +527,21 @@ def legal_detections(text: str | None) -> list[tuple[str, str, str]]:
 
 
 _SPANS = pa.list_(pa.struct([("rank", pa.int32()), ("pos", pa.int32()), ("span", pa.string())]))
+_HITS = "array<struct<rank:int,pos:int,span:string>>"
+
+
+def _holds(texts: pa.Array, pattern: str) -> np.ndarray:
+    return pc.fill_null(pc.match_substring_regex(texts, pattern), False).to_numpy(zero_copy_only=False)
 
 
-def _context_spans(texts: pa.Array) -> pa.Array:
-    found = (_contextual(t.as_py()) if t.is_valid else () for t in texts)
-    return pa.array([[{"rank": _RANK[rule], "pos": n, "span": span} for n, (rule, span, _) in enumerate(x)] for x in found], _SPANS)
+def _read(texts: pa.Array) -> pa.Array:
+    """What CONTEXTS find in each text, and which patterns may find something in it, a bit each."""
+    may = np.zeros(len(texts), np.int64)
+    for i, shape in enumerate(PATTERNS):  # one by one: all in one expression are too many states, and slow
+        may[_holds(texts, trigger(shape))] |= 1 << i
+    found = (_contextual(t.as_py()) if m else () for t, m in zip(texts, _holds(texts, MARK), strict=True))
+    spans = pa.array([[{"rank": _RANK[rule], "pos": n, "span": span} for n, (rule, span, _) in enumerate(x)] for x in found], _SPANS)
+    return pa.StructArray.from_arrays([pa.array(may), spans], ["may", "spans"])
 
 
 def detect_legal(docs: DataFrame, id_col: str = "doc_id", scope_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -507,11 +552,12 @@ def detect_legal(docs: DataFrame, id_col: str = "doc_id", scope_col: str = "sour
     rows = spread(rows.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(scope_col).cast("string").alias("scope_id"), F.col(text_col).alias("text")))
     decoded = F.when(F.col("text").rlike(r"%20|[+]"), F.regexp_replace("text", LINK_GAPS, " "))
     both = rows.select("row", "doc_id", "scope_id", F.posexplode(F.array(F.col("text"), F.when(decoded != F.col("text"), decoded))).alias("turn", "text")).where("text is not null")
-    by_context = F.arrow_udf(_context_spans, "array<struct<rank:int,pos:int,span:string>>")(F.when(F.col("text").rlike(MARK), F.col("text")))
+    both = both.withColumn("read", F.arrow_udf(_read, f"struct<may:long,spans:{_HITS}>")("text"))
     hit = lambda s: lambda span, pos: F.struct(F.lit(_RANK[s.rule]).alias("rank"), pos.alias("pos"), F.trim(span).alias("span"))
-    shaped = (F.transform(F.regexp_extract_all("text", F.lit(s.pattern), F.lit(1)), hit(s)) for s in PATTERNS)
+    matches = lambda s: F.transform(F.regexp_extract_all("text", F.lit(s.pattern), F.lit(1)), hit(s))
+    shaped = (F.when(F.col("read.may").bitwiseAND(F.lit(1 << i)) != 0, matches(s)).otherwise(F.array().cast(_HITS)) for i, s in enumerate(PATTERNS))
     # one row a text until here: what either kind of rule finds in a text bears the text's own number
-    every = both.select("row", "doc_id", "scope_id", "turn", F.explode(F.concat(by_context, *shaped)).alias("h")).select("row", "doc_id", "scope_id", "turn", "h.*")
+    every = both.select("row", "doc_id", "scope_id", "turn", F.explode(F.concat("read.spans", *shaped)).alias("h")).select("row", "doc_id", "scope_id", "turn", "h.*")
     for s in PATTERNS:
         if s.keep is not None:
             every = every.where(~F.coalesce((F.col("rank") == _RANK[s.rule]) & ~s.keep(F.col("span")), F.lit(False)))

@@ -1,3 +1,5 @@
+import pyarrow as pa
+
 from maskwright.operators import address, cite, disclosure, host, legal, review
 from maskwright.operators.vault import Vault, derive_token
 from tests.test_vault import ENTITIES, PARTIES, SALT
@@ -85,6 +87,22 @@ def test_legal_rows_are_numbered_once(spark, tmp_path):
     assert sorted(map(tuple, out.groupBy("rule").count().collect())) == [("Russian name and patronymic", 40), ("role before", 40)]
 
 
+def test_legal_triggers_miss_nothing(spark):
+    texts = [*LEGAL, "Name:Ada Falk; signed BY:Lena Voss", "MITGLIED ООО «Ромашка» дело № 5-77/20, ОГРН: 1234567890123; NIE\n12345678Z\nKVK nummer: 1234 5678", "USt-ID DE123456789; FRAB123456789,ATU12345678", "M/V \"Sea Finder\" IMO no.: 9074729", "HRA 123 B; AB 12 34 56 C;паспорта 45 04 123456", "р/с40702810900000000001 Az.: 5 O 7/20 Case number is B-2/2020", "(555)\t123-4567 x123-45-6789", "SBN 54321 tax id is about 12-3456789"]
+    got = sorted((r.doc_id, r.rule, r.span, r.kind) for r in legal.detect_legal(spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")).collect())
+    assert got == sorted((i, rule, s, k) for i, t in enumerate(texts) for rule, s, k in legal.legal_detections(t)) and len({r for _, r, _, _ in got}) > 20
+    for shape in legal.PATTERNS:  # every text that a pattern finds something in is let through
+        held = legal._holds(pa.array(texts), legal.trigger(shape))
+        assert all(held[i] or not legal._compiled(shape.pattern).search(t or "") for i, t in enumerate(texts)), shape.rule
+
+
+def test_phrases_are_looked_for_where_they_may_begin():
+    words = legal.Words("x y z " * 2000 + "\nKind regards,\nMax Ott\nSigned by Sanne Groot\nFrom: Nils Brandvold <n>")
+    tried, says = [], legal.Words.says
+    words.says = lambda i, phrase: tried.append(i) or says(words, i, phrase)
+    assert [list(f(words)) for f in (legal._farewells, legal._signings, legal._headers)] == [["Max Ott"], ["Sanne Groot"], ["Nils Brandvold"]] and len(set(tried)) < 10
+
+
 def test_citations():
     c = cite.citations
     assert c("§§ 280 Abs. 1, 3, 281 BGB") == ["§ 280 BGB", "§ 281 BGB"] and c("§§ 133, 157 BGB") == ["§ 133 BGB", "§ 157 BGB"]

@@ -38,6 +38,15 @@ def test_tables_of_one_file_are_dealt_to_all_cores(spark, sf, name):
     assert "REPARTITION" in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_letters_are_dealt_to_all_cores(spark, sf, tmp_path):
+    from maskwright.queries import QUERIES
+
+    for name in ("documents", "conversations"):  # as many files as cores, so that nothing is dealt for their sake
+        spark.read.parquet(f"{sf}/{name}.parquet").repartition(spark.sparkContext.defaultParallelism).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.read.parquet(f"{sf}/supplier.parquet").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    assert "hashpartitioning(s_suppkey" in QUERIES["detect_legal"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("keys", ["(12345678::BIGINT), (123456781), (1234567812345), (87654321), (-1), (-6), (null), (7)", "(3::DOUBLE), (4), (20000000)"])
 def test_letters_of_any_key(spark, con, tmp_path, keys):
     for name in ("documents", "conversations"):
