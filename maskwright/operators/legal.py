@@ -51,6 +51,7 @@ LONG_FORMS = (
     "A/S", "ApS", "OÜ", "Lda", "Kft", "Solicitors", "Rechtsanwälte",
 )
 SHORT_FORMS = ("AG", "KG", "SE", "SA", "AS", "AB", "BV", "NV", "LP", "Oy")
+SHORTENED = frozenset("bros gebr intl corp".split())
 LEADS = frozenset(
     """the a an and between with for from to by of in at on re dear signed messrs our your their its his her owners charterers brokers
     seller buyer landlord tenant client employer employee claimant defendant der die das zwischen und mit von le la les entre et el
@@ -374,6 +375,9 @@ def _companies(words: Words) -> Iterator[str | None]:
         if loud[0] and not all(loud):  # a heading in capitals runs into the name
             first = next(k for k, w in enumerate(whole) if not loud[k] and w[0].isupper()) if any(not x and w[0].isupper() for x, w in zip(loud, whole, strict=True)) else 0
             i, whole = i + first, whole[first:]
+        last = words.all[j - 1]
+        if m[0] in SHORT_FORMS and last.text.endswith(".") and (i == j - 1 or len(last.bare) > 3 and last.bare.casefold() not in SHORTENED):
+            continue  # a sentence ends before it
         if m[0] in SHORT_FORMS and all(is_common_word(w) or w.isdigit() or w in CONNECTORS for w in whole):
             continue
         stop = next((k for k in range(j, len(words.all)) if words.all[k].end >= m.end()), j)

@@ -53,6 +53,13 @@ def test_legal_words_within_longer_ones():
     assert found == ["Red Harbour plc", "Ada Falk", "12-3456789", "4668656817506359"]
 
 
+def test_no_company_runs_over_the_end_of_a_sentence():
+    for t in ("Rewhou. Thonthat. SE!! ESTAS!!", "Thouth. Of. AS!! THE!!", "Ciado. Esta.\tSE DO"):
+        assert legal.legal_detections(t) == [], t
+    found = [s for _, s, _ in legal.legal_detections("Wren & Co. KG met Falk Bros. AG and Bolt SE.")]
+    assert found == ["Wren & Co. KG", "Falk Bros. AG", "Bolt SE"]
+
+
 LEGAL = [
     "Red Harbour & Sons GmbH & Co. KG met Acme Holdings, Inc. and Bolt AG. SALE NOTICE Blue Anchor Foods B.V.",
     "Ada Falk, the senior auditor, and Max Ott, Esq. came.\nFrom: Nils Brandvold <n@b.no>\nKind regards,\n\nLena Voss\nI, Oskar Lind, say; see statement of Ivo Reng",
