@@ -376,7 +376,7 @@ def _companies(words: Words) -> Iterator[str | None]:
             first = next(k for k, w in enumerate(whole) if not loud[k] and w[0].isupper()) if any(not x and w[0].isupper() for x, w in zip(loud, whole, strict=True)) else 0
             i, whole = i + first, whole[first:]
         last = words.all[j - 1]
-        if m[0] in SHORT_FORMS and last.text.endswith(".") and (i == j - 1 or len(last.bare) > 3 and last.bare.casefold() not in SHORTENED):
+        if m[0] in SHORT_FORMS and last.text.endswith(".") and (i == j - 1 or not words.whole(j - 1) or len(last.bare) > 3 and last.bare.casefold() not in SHORTENED):
             continue  # a sentence ends before it
         if m[0] in SHORT_FORMS and all(is_common_word(w) or w.isdigit() or w in CONNECTORS for w in whole):
             continue
